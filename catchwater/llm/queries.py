@@ -23,6 +23,25 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from catchwater.llm import token_files
+    from catchwater.llm.common import shared_dir
+
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.digest(spark, path)
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catchwater.llm import embedding_dedup
+
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catchwater.llm import substring_dedup
 
@@ -54,6 +73,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_token_files": op3_token_files,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
