@@ -25,7 +25,7 @@ from catchwater.llm.common import joined, mix, pieces, shingles, span_hashes, wo
 from catchwater.llm.toxicity import sampled_labels
 
 #: Labelled rows used at most, random features, kernel width in standard deviations times root of the dimension, ridge, bins.
-SAMPLE, FEATURES, WIDTH, RIDGE, BINS = 100_000, 256, 1.0, 1e-3, 400
+SAMPLE, FEATURES, WIDTH, RIDGE, BINS = 20_000, 256, 1.0, 1e-3, 400
 
 _CLASS = np.zeros(256, np.int64)  # 0 other
 _CLASS[[0x20, *range(9, 14)]] = 1
@@ -116,17 +116,18 @@ class Model:
     def calibrated(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.raw(x), self.knots, self.values).clip(0, 1) if len(self.weights) else np.full(len(x), self.values[0])
 
-    def score(self, docs: DataFrame, stats: str = "stats", threshold: float = 0.3) -> DataFrame:
-        """docs, described, with score and predicted (1 from the threshold on)."""
+    def score(self, docs: DataFrame, text: str = "text", threshold: float = 0.3) -> DataFrame:
+        """docs with score (0 to 1) and predicted (1 from the threshold on); `text` stays."""
         docs, model = docs.drop("score", "predicted"), self
+        schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                y = model.calibrated(_matrix(batch.column(stats))) if batch.num_rows else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y)], [*batch.schema.names, "score"])
+            for batch in pieces(batches, text):
+                y = model.calibrated(statistics(batch.column(text)))
+                back = [c.cast(pa.string()) if n == text else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([*back, pa.array(y)], schema.names)
 
-        out = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("score", T.DoubleType())]))
-        return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def pooled(weight: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -142,9 +143,9 @@ def pooled(weight: np.ndarray, mean: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, features: int = FEATURES, seed: int = 11) -> Model:
-    """The model of described docs (doc_id, stats) as `label` of labels (doc_id, label) marks them."""
+    """The model of docs (doc_id, text) as `label` of labels (doc_id, label) marks them."""
     chosen = F.broadcast(sampled_labels(labels, label, sample))  # at most `sample` rows of 12 bytes
-    rows = docs.select("doc_id", "stats").join(chosen, "doc_id").select("y", "stats").repartition(12).persist()
+    rows = described(docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text")).repartition(12).persist()
     try:
         return _fit(rows, features, seed)
     finally:

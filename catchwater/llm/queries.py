@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catchwater.llm.common import table, written
+from catchwater.llm.common import table
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +49,18 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catchwater.llm import packing
+
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from catchwater.llm import quality
 
-    described = written(quality.described(table(spark, sf_dir, "documents").select("doc_id", "text")), "statistics")
-    model = quality.fit(described, table(spark, sf_dir, "labels").where(~held_out()))
-    return model.score(described).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return model.score(docs).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
