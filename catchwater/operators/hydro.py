@@ -172,7 +172,7 @@ def _face(df: DataFrame, side: str, name: str, axis: str, n: int, inside: Column
     deep, slope, flow, new = F.col("__deep"), F.col("__slope"), F.col("__flow"), F.col("__new")
     df = df.withColumn("__deep", F.greatest(zi + hi, zn + hn) - F.greatest(zi, zn))
     df = df.withColumn("__slope", F.when(place == n - 1, F.lit(p.edge_slope)).when(place <= 2, F.lit(-p.edge_slope)).otherwise(((zn + hn) - (zi + hi)) / dx))
-    df = df.withColumn("__new", (q - g * deep * dt * slope) / (1 + g * deep * dt * p.manning**2 * F.abs(q) / F.pow(deep, F.lit(10.0 / 3.0))))
+    df = df.withColumn("__new", (q - g * deep * dt * slope) / (1 + F.try_divide(g * deep * dt * p.manning**2 * F.abs(q), F.pow(deep, F.lit(10.0 / 3.0)))))
     fastest = deep * F.sqrt(g * deep) * p.froude
     df = df.withColumn("__flow", F.when(F.abs(new) > fastest, sign(new) * fastest).otherwise(new))
     limited = F.when((flow > 0) & (flow * dt / dx > hi / 4), hi * dx / 5 / dt).when((flow < 0) & (F.abs(flow) * dt / dx > hn / 4), -hn * dx / 5 / dt).otherwise(flow)
