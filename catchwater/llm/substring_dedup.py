@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from catchwater.llm.common import joined, mix, pieces, span_hashes, words
 
 #: Words in a window and in a minimiser; bytes of text that a task packs at once; bytes of text to a bucket.
-WINDOW, MER, PACK, BUCKET = 13, 2, 12 << 20, 2 << 20
+WINDOW, MER, PACK, BUCKET = 13, 2, 3 << 20, 1 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -54,10 +54,15 @@ def _sliding_hash(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The byte spans one after another."""
+    """The byte spans one after another, about a megabyte of them at a time."""
     ends = np.cumsum(sizes)
-    at = np.arange(int(ends[-1]) if len(ends) else 0)
-    return data[at + np.repeat(starts - (ends - sizes), sizes)]
+    out, k, at = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8), 0, 0
+    while k < len(ends):
+        upto = max(k + 1, int(np.searchsorted(ends, at + (1 << 20), side="right")))
+        stop, n = int(ends[upto - 1]), sizes[k:upto]
+        out[at:stop] = data[np.arange(at, stop) + np.repeat(starts[k:upto] - (ends[k:upto] - n), n)]
+        k, at = upto, stop
+    return out
 
 
 def _normal(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +133,7 @@ def groups(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np.ndar
 
 def _blob(*arrays: np.ndarray) -> bytes:
     raw = b"".join(np.int64(len(a)).tobytes() + a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(raw)).tobytes() + raw)
+    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(raw)).tobytes() + raw)
 
 
 def _arrays(blob: bytes, *kinds: type) -> list[np.ndarray]:
@@ -150,7 +155,7 @@ def _ranges(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.RecordB
 
 
 def _packed(docs: DataFrame, buckets: int, window: int, mer: int, pack: int) -> DataFrame:
-    """Rows (bucket, blob) for buckets and (doc, text hash, ranges) for what a task can tell by itself."""
+    """Rows (bucket, blob) and, for what a task can tell by itself, (bucket, document, text hash, ranges)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", pack):
@@ -166,7 +171,7 @@ def _packed(docs: DataFrame, buckets: int, window: int, mer: int, pack: int) ->
             offset = word - first[own]
             if len(lost):
                 k, listed = _ranges(own[lost], offset[lost], count[lost])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.binary()), pa.array(doc_id[k]), pa.array(print_[k]), listed], names)
+                yield pa.RecordBatch.from_arrays([pa.array((print_[k] % buckets).astype(np.int32)), pa.nulls(len(k), pa.binary()), pa.array(doc_id[k]), pa.array(print_[k]), listed], names)
             sent = np.flatnonzero(doc_id[own] == doc_id[own[head]])
             bucket = (value[sent] % np.uint64(buckets)).astype(np.int32)
             sent = sent[np.lexsort((value[sent], bucket))]
@@ -187,7 +192,11 @@ def _packed(docs: DataFrame, buckets: int, window: int, mer: int, pack: int) ->
 
 
 def _bucket(parts: pa.Table, window: int) -> pa.Table:
-    """The word ranges that documents of one bucket lose."""
+    """The word ranges that documents of one bucket lose; ranges that tasks found pass through."""
+    told = parts.filter(pc.is_null(parts["blob"])).select(["d", "t", "ranges"])
+    parts = parts.filter(pc.is_valid(parts["blob"]))
+    if not len(parts):
+        return told
     read = [_arrays(x, np.int64, np.int64, np.int32, np.int32, np.uint8) for x in parts["blob"].to_pylist()]
     doc_id, print_, offset, count, data = (np.concatenate(x) for x in zip(*read, strict=True))
     ends = np.flatnonzero(data == 32)
@@ -205,7 +214,8 @@ def _bucket(parts: pa.Table, window: int) -> pa.Table:
     own = np.unique(np.stack([doc_id[of[k]], print_[of[k]]], 1), axis=0, return_inverse=True)[1].ravel() if len(k) else np.zeros(0, np.int64)
     place, listed = _ranges(own, offset[of[k]] + step[k], size)
     some = np.unique(own, return_index=True)[1]
-    return pa.table({"d": doc_id[of[k]][some], "t": print_[of[k]][some], "ranges": listed})
+    found = pa.table([pa.array(doc_id[of[k]][some]), pa.array(print_[of[k]][some]), listed.cast(told.schema.field("ranges").type)], schema=told.schema)
+    return pa.concat_tables([told, found])
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, mer: int = MER, pack: int = PACK, bucket_bytes: int = BUCKET, text: str = "text", into: str = "kept") -> DataFrame:
@@ -219,15 +229,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, mer: int = MER, pack: int = PAC
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(16, int(total // bucket_bytes))
     packed = _packed(keyed.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.col(text).alias("text")), buckets, window, mer, pack)
-    from catchwater.llm.common import written
-
-    packed = written(packed, "super-kmers")
 
     def own(parts: pa.Table) -> pa.Table:
         return _bucket(parts, window)
 
-    found = packed.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(own, "d long, t long, ranges array<int>")
-    ranges = found.union(packed.where("bucket is null").select("d", "t", "ranges")).groupBy("d", "t").agg(F.flatten(F.collect_list("ranges")).alias("__r"))
+    found = packed.groupBy("bucket").applyInArrow(own, "d long, t long, ranges array<int>")
+    ranges = found.groupBy("d", "t").agg(F.flatten(F.collect_list("ranges")).alias("__r"))
     joined_ = keyed.join(ranges, (F.col("__d") == F.col("d")) & (F.col("__t") == F.col("t")), "left").drop("d", "t", "__d", "__t")
     fields = [f for f in docs.schema if f.name != text]
     schema = T.StructType([*fields, *([] if into == text else [docs.schema[text]]), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(into, T.StringType())])
