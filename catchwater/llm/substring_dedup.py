@@ -133,7 +133,7 @@ def groups(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np.ndar
 
 def _blob(*arrays: np.ndarray) -> bytes:
     raw = b"".join(np.int64(len(a)).tobytes() + a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(raw)).tobytes() + raw)
+    return zstandard.ZstdCompressor(level=6).compress(np.int64(len(raw)).tobytes() + raw)
 
 
 def _arrays(blob: bytes, *kinds: type) -> list[np.ndarray]:
@@ -181,7 +181,7 @@ def _packed(docs: DataFrame, buckets: int, window: int, mer: int, pack: int) ->
             blobs = []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 k = sent[lo:hi]
-                blobs.append(_blob(doc_id[own[k]], print_[own[k]], offset[k].astype(np.int32), count[k].astype(np.int32), _gathered(data, a[k], size[lo:hi])))
+                blobs.append(_blob(doc_id[own[k]], print_[own[k]].astype(np.uint32), offset[k].astype(np.int32), count[k].astype(np.int32), _gathered(data, a[k], size[lo:hi])))
             n = len(blobs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket[cut[:-1]]), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], names
@@ -197,8 +197,9 @@ def _bucket(parts: pa.Table, window: int) -> pa.Table:
     parts = parts.filter(pc.is_valid(parts["blob"]))
     if not len(parts):
         return told
-    read = [_arrays(x, np.int64, np.int64, np.int32, np.int32, np.uint8) for x in parts["blob"].to_pylist()]
+    read = [_arrays(x, np.int64, np.uint32, np.int32, np.int32, np.uint8) for x in parts["blob"].to_pylist()]
     doc_id, print_, offset, count, data = (np.concatenate(x) for x in zip(*read, strict=True))
+    print_ = print_.astype(np.int64)
     ends = np.flatnonzero(data == 32)
     starts = np.concatenate([[0], ends[:-1] + 1])
     word = np.concatenate([[0], np.cumsum(count + window - 1)])[:-1]  # first word of each string
@@ -225,7 +226,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, mer: int = MER, pack: int = PAC
     shuffle of the texts.
     """
     docs = docs.drop(*({into, "n_words", "n_removed"} - {text}))
-    keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__t", F.xxhash64(text))
+    keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__t", F.pmod(F.xxhash64(text), F.lit(1 << 32)))  # 32 bits tell rows of one id apart
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(16, int(total // bucket_bytes))
     packed = _packed(keyed.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.col(text).alias("text")), buckets, window, mer, pack)
