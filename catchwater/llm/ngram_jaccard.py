@@ -25,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catchwater.llm.common import components, joined, mix, pieces, shingles, span_hashes, words, written
 
 #: Words in an n-gram, similarity from which two documents are linked, recall aimed at, members of a chunk.
-WORDS, THRESHOLD, RECALL, CHUNK = 5, 0.8, 0.999, 1024
+WORDS, THRESHOLD, RECALL, CHUNK = 5, 0.8, 0.999, 512
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 5) -> tuple[int, int]:
@@ -81,17 +82,19 @@ def signatures(docs: DataFrame, n: int = WORDS, bands: int = 0, rows: int = 0) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
-def ngram_sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, grams): the sorted set of n-gram hashes of each text."""
+def ngram_sets(docs: DataFrame, n: int = WORDS, text: str = "text", into: str = "grams") -> DataFrame:
+    """docs with the sorted set of n-gram hashes of each text in place of the text."""
+    kept = [f for f in docs.schema if f.name not in (text, into)]
+    schema = T.StructType([*kept, T.StructField(into, T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            grams, first = _sets(batch.column("text"), n)
+        for batch in pieces(batches, text):
+            grams, first = _sets(batch.column(text), n)
             own = [np.unique(grams[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
             ends = pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own)))], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own)))], schema.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, grams array<long>")
+    return docs.mapInArrow(run, schema)
 
 
 def shared(values: np.ndarray, member: np.ndarray, m: int) -> np.ndarray:
@@ -104,7 +107,7 @@ def shared(values: np.ndarray, member: np.ndarray, m: int) -> np.ndarray:
     group, member = group[common], member[common]
     _, group = np.unique(group, return_inverse=True)
     out = np.zeros((m, m), np.float32)
-    width = max(1, (8 << 20) // max(m, 1))
+    width = max(1, (4 << 20) // max(m, 1))
     for at in range(0, int(group.max()) + 1 if len(group) else 0, width):
         a, b = np.searchsorted(group, [at, at + width])
         part = np.zeros((m, min(width, int(group[b - 1]) - at + 1)), np.float32)
@@ -137,19 +140,23 @@ def verified(block: pa.Table, threshold: float) -> pa.Table:
     offsets = np.asarray(sets.offsets)
     size = np.diff(offsets)
     both = shared(np.asarray(sets.flatten()), np.repeat(np.arange(m), size), m)
-    jaccard = both / np.maximum(size[:, None] + size[None, :] - both, 1)
-    i, j = np.nonzero(np.triu(jaccard >= threshold - 1e-6, 1))
-    exact = both[i, j].astype(np.int64)
-    good = (exact >= threshold * (size[i] + size[j] - exact) - 1e-9) & (rep[i] != rep[j])
-    if low != high:
-        good &= chunk[i] != chunk[j]
-    i, j = i[good], j[good]
-    first = np.argmax(prints[i] == prints[j], 1)
-    i, j = i[first == band], j[first == band]
-    links = np.bincount(i, weight[j], m) + np.bincount(j, weight[i], m)
+    links, found = np.zeros(m, np.int64), []
+    for at in range(0, m, 64):  # a few rows of the pair matrix at a time
+        common = both[at : at + 64].astype(np.int64)
+        i, j = np.nonzero(common >= threshold * (size[at : at + 64, None] + size[None, :] - common) - 1e-9)
+        common, i = common[i, j], i + at
+        good = (i < j) & (rep[i] != rep[j]) & (common > 0)
+        if low != high:
+            good &= chunk[i] != chunk[j]
+        i, j = i[good], j[good]
+        first = np.argmax(prints[i] == prints[j], 1) == band
+        i, j = i[first], j[first]
+        links += np.bincount(i, weight[j], m).astype(np.int64) + np.bincount(j, weight[i], m).astype(np.int64)
+        found.append(np.stack([i, j]).astype(np.int32))
+    i, j = np.concatenate(found, 1)
     some = np.flatnonzero(links)
     reach = rep[smallest_reached(m, i, j)]
-    return pa.table({"doc_id": rep[some], "n_links": links[some].astype(np.int64), "reach": reach[some]})
+    return pa.table({"doc_id": rep[some], "n_links": links[some], "reach": reach[some]})
 
 
 def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:
@@ -173,10 +180,11 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall:
     members = spread.join(once, ["band", "h"]).withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("parts")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = written(members.select("rep", "band", "h", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = ngram_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id"), n)
-    full = sets.join(classes.select(F.col("rep").alias("doc_id"), "copies", "bands"), "doc_id")
-    blocks = members.withColumnRenamed("rep", "doc_id").join(full, "doc_id")
+    # What a text needs for its blocks goes to the text before its set is made, so that sets are shuffled once, to blocks.
+    wanted = members.groupBy("rep").agg(F.collect_list(F.struct("band", "h", "chunk", "low", "high")).alias("blocks"))
+    wanted = wanted.join(classes.select("rep", "copies", "bands"), "rep").withColumnRenamed("rep", "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id")
+    blocks = ngram_sets(texts, n).withColumn("b", F.explode("blocks")).select("doc_id", "copies", "bands", "grams", "b.*")
 
     def check(block: pa.Table) -> pa.Table:
         return verified(block, threshold)

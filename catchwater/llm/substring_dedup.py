@@ -1,6 +1,7 @@
 """Substring dedup: removes passages that also stand in a document with a smaller id, by super-k-mers.
 
-A window is `window` consecutive words of one text. Its minimiser is the smallest hash among its runs of `mer` words.
+A window is `window` consecutive words of one text. Its minimiser is the rarest among its runs of `mer` words, by hashed
+counts over all texts, then by hash: common runs, which would draw a share of the whole corpus to one bucket, never are.
 Consecutive windows with one minimiser travel as one string of words, a super-k-mer, to the bucket of that minimiser, so
 each word is sent about three times instead of `window` times. A task packs what it sends to a bucket into one compressed
 blob and sends a string once however many of its documents hold it: documents but the smallest lose the string's windows
@@ -76,13 +77,16 @@ def _normal(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return out, stop - size, stop - 1, first
 
 
-def super_kmers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, window: int, mer: int) -> tuple[np.ndarray, ...]:
+def super_kmers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, window: int, mer: int, level: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(text, first word, windows, minimiser) of each super-k-mer of the texts."""
     total = len(starts) - window + 1
     empty = np.zeros(0, np.int64)
     if total <= 0:
         return empty, empty, empty, empty.astype(np.uint64)
-    least = _sliding_min(_runs(span_hashes(data, starts, ends), mer), window - mer + 1)
+    order = _runs(span_hashes(data, starts, ends), mer)
+    if level is not None:
+        order = level[order >> np.uint64(48)] << np.uint64(56) | order >> np.uint64(8)
+    least = _sliding_min(order, window - mer + 1)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     good = np.flatnonzero(doc[:total] == doc[window - 1 :])
     if not len(good):
@@ -154,14 +158,34 @@ def _ranges(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.RecordB
     return key[cut], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
+def commonness(docs: DataFrame, mer: int) -> np.ndarray:
+    """How common the runs of `mer` words under each 16-bit hash are in all texts, on a scale of quarter powers of two."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << 16, np.int64)
+        for batch in pieces(batches, "text"):
+            data, firsts = joined(batch.column("text"))
+            starts, ends, _ = words(data, firsts)
+            sums += np.bincount((_runs(span_hashes(data, starts, ends), mer) >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+        slot = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sums[slot])], ["slot", "n"])
+
+    out = np.zeros(1 << 16)
+    for r in docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+        out[r["slot"]] = r["n"]
+    return np.minimum(4 * np.log2(out + 1), 255).astype(np.uint64)
+
+
 def _packed(docs: DataFrame, buckets: int, window: int, mer: int, pack: int) -> DataFrame:
     """Rows (bucket, blob) and, for what a task can tell by itself, (bucket, document, text hash, ranges)."""
+    level = commonness(docs, mer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", pack):
             doc_id, print_ = np.asarray(batch.column("d")), np.asarray(batch.column("t"))
             data, starts, ends, first = _normal(batch.column("text"))
-            own, word, count, value = super_kmers(data, starts, ends, first, window, mer)
+            own, word, count, value = super_kmers(data, starts, ends, first, window, mer, level)
+            value = mix(value)
             if not len(own):
                 continue
             a, b = starts[word], ends[word + count + window - 2]
