@@ -235,6 +235,13 @@ def decompress(block: bytes) -> np.ndarray:
     """The ids of a block; ValueError if it is not one or its checksum fails."""
     if block[:4] != MAGIC:
         raise ValueError("not a token block")
+    try:
+        return _decompressed(block)
+    except IndexError as e:  # a damaged block may ask for words past its end
+        raise ValueError("a token block is damaged") from e
+
+
+def _decompressed(block: bytes) -> np.ndarray:
     n, lanes, vocabulary, crc = np.frombuffer(block, "<u4", 4, 4).tolist()
     counts = np.frombuffer(block, "<u4", lanes, 20).astype(np.int64)
     steps = -(-n // lanes)
