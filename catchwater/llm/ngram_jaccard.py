@@ -46,7 +46,7 @@ def _sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, n: int = WORDS, bands: int = 0, rows: int = 0) -> DataFrame:
-    """(doc_id, n, f1, f2, bands): size and fingerprint of each n-gram set and a hash for each band; null without n-grams."""
+    """(doc_id, t, n, f1, f2, bands): a hash of the text, size and fingerprint of its n-gram set, a hash for each band."""
     if not bands:
         bands, rows = banding()
     odd = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,11 +75,16 @@ def signatures(docs: DataFrame, n: int = WORDS, bands: int = 0, rows: int = 0) -
             ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands, pa.int32())
             listed = pa.ListArray.from_arrays(ends, pa.array(banded.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), listed],
-                ["doc_id", "n", "f1", "f2", "bands"],
+                [batch.column("doc_id"), batch.column("t"), pa.array(size), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), listed],
+                ["doc_id", "t", "n", "f1", "f2", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, t long, n long, f1 long, f2 long, bands array<long>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, text): t tells the texts of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
 
 
 def ngram_sets(docs: DataFrame, n: int = WORDS, text: str = "text", into: str = "grams") -> DataFrame:
@@ -132,8 +137,13 @@ def smallest_reached(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def verified(block: pa.Table, threshold: float) -> pa.Table:
     """The members of one block that have a link: n_links counts documents, reach is the smallest member in reach."""
-    block = block.sort_by("doc_id").combine_chunks()
-    rep, weight = np.asarray(block["doc_id"]), np.asarray(block["copies"])
+    block = block.sort_by([("doc_id", "ascending"), ("t", "ascending")]).combine_chunks()
+    rep, kind = np.asarray(block["doc_id"]), np.asarray(block["t"])
+    again = np.concatenate([[False], (rep[1:] == rep[:-1]) & (kind[1:] == kind[:-1])])
+    if again.any():  # repeated rows
+        block = block.filter(pa.array(~again)).combine_chunks()
+        rep, kind = rep[~again], kind[~again]
+    weight = np.asarray(block["copies"])
     chunk, m = np.asarray(block["chunk"]), len(rep)
     band, (low, high) = block["band"][0].as_py(), (block["low"][0].as_py(), block["high"][0].as_py())
     sets, prints = block["grams"].combine_chunks(), np.asarray(block["bands"].combine_chunks().flatten()).reshape(m, -1)
@@ -156,7 +166,7 @@ def verified(block: pa.Table, threshold: float) -> pa.Table:
     i, j = np.concatenate(found, 1)
     some = np.flatnonzero(links)
     reach = rep[smallest_reached(m, i, j)]
-    return pa.table({"doc_id": rep[some], "n_links": links[some], "reach": reach[some]})
+    return pa.table({"doc_id": rep[some], "t": kind[some], "n_links": links[some], "reach": reach[some]})
 
 
 def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:
@@ -169,30 +179,33 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall:
     bands, rows = banding(threshold, recall)
     signed = written(signatures(docs, n, bands, rows), "signatures")
     some = signed.where("n > 0 and doc_id is not null")
-    classes = written(some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    spread = written(classes.select("rep", F.posexplode("bands").alias("band", "h")), "bands")
+    classes = some.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "t")).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = written(classes.select("f1", "f2", "n", F.col("least.doc_id").alias("rep"), "least.t", "copies", "bands"), "classes")
+    spread = written(classes.select("rep", "t", F.posexplode("bands").alias("band", "h")), "bands")
     buckets = spread.groupBy("band", "h").agg(
-        F.count("*").alias("members"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).cast("string").alias("s1"), F.bit_xor(F.xxhash64("rep", F.lit(3))).alias("s2")
+        F.count("*").alias("members"), F.sum(F.xxhash64("rep", "t").cast("decimal(20,0)")).cast("string").alias("s1"), F.bit_xor(F.xxhash64("rep", "t", F.lit(3))).alias("s2")
     )
     once = buckets.where("members > 1").groupBy("members", "s1", "s2").agg(F.min(F.struct("band", "h")).alias("first"))
     once = once.select("members", "first.band", "first.h")
     parts = F.ceil(F.col("members") / chunk).cast("int")
-    members = spread.join(once, ["band", "h"]).withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("parts")).cast("int"))
+    members = spread.join(once, ["band", "h"]).withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("rep", "t", F.lit(9)), F.col("parts")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = written(members.select("rep", "band", "h", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")), "members")
+    members = written(members.select("rep", "t", "band", "h", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")), "members")
     # What a text needs for its blocks goes to the text before its set is made, so that sets are shuffled once, to blocks.
-    wanted = members.groupBy("rep").agg(F.collect_list(F.struct("band", "h", "chunk", "low", "high")).alias("blocks"))
-    wanted = wanted.join(classes.select("rep", "copies", "bands"), "rep").withColumnRenamed("rep", "doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id")
-    blocks = ngram_sets(texts, n).withColumn("b", F.explode("blocks")).select("doc_id", "copies", "bands", "grams", "b.*")
+    wanted = members.groupBy("rep", "t").agg(F.collect_list(F.struct("band", "h", "chunk", "low", "high")).alias("blocks"))
+    wanted = wanted.join(classes.select("rep", "t", "copies", "bands"), ["rep", "t"]).withColumnRenamed("rep", "doc_id")
+    texts = _keyed(docs).join(wanted.hint("merge"), ["doc_id", "t"])
+    blocks = ngram_sets(texts, n).withColumn("b", F.explode("blocks")).select("doc_id", "t", "copies", "bands", "grams", "b.*")
 
     def check(block: pa.Table) -> pa.Table:
         return verified(block, threshold)
 
-    links = written(blocks.groupBy("band", "h", "low", "high").applyInArrow(check, "doc_id long, n_links long, reach long"), "links")
-    reached = components(links.select("doc_id", "reach"), "doc_id", "reach")
-    per = links.groupBy("doc_id").agg(F.sum("n_links").alias("links"))
-    known = classes.select("f1", "f2", "n", "rep", "copies").join(per, F.col("rep") == per["doc_id"], "left").drop("doc_id").join(reached, F.col("rep") == reached["id"], "left")
+    links = written(blocks.groupBy("band", "h", "low", "high").applyInArrow(check, "doc_id long, t long, n_links long, reach long"), "links")
+    several = some.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n")).alias("a"), F.max(F.struct("f1", "f2", "n")).alias("b")).where("a <> b").select("doc_id")
+    united = some.join(several, "doc_id").join(classes, ["f1", "f2", "n"]).select("doc_id", F.col("rep").alias("reach"))
+    reached = components(links.select("doc_id", "reach").union(united), "doc_id", "reach")
+    per = links.groupBy(F.col("doc_id").alias("rep"), "t").agg(F.sum("n_links").alias("links"))
+    known = classes.select("f1", "f2", "n", "rep", "t", "copies").join(per, ["rep", "t"], "left").join(reached, F.col("rep") == reached["id"], "left")
     known = known.select("f1", "f2", "n", "rep", "copies", "links", "component")
     out = signed.select("doc_id", "f1", "f2", F.when(F.col("n") > 0, F.col("n")).alias("n")).join(known, ["f1", "f2", "n"], "left")
     alone = F.col("doc_id").isNull() | F.col("rep").isNull()
