@@ -292,15 +292,22 @@ def diffused(raster: Raster, parity: int, tau: float, sigma: float | None = None
 
 
 def matching_shift(cells: DataFrame, target: float, area: float, passes: int = 5, tries: int = 24) -> float:
-    """The shift c with sum(area * max(0, eta + c - z)) = target; each pass over the cells narrows it 23-fold."""
-    top = cells.agg(F.max(F.abs(F.col("eta") - F.col("z")))).first()[0] or 0.0
-    low, high = -top - 1.0, top + 1.0 + target / area
+    """The shift c with sum(area * max(0, eta + c - z)) = target.
+
+    Each pass over the cells narrows the range 23-fold; the volume is piecewise linear in the shift, so the last range is
+    interpolated, which is exact unless a cell falls dry inside it.
+    """
+    top, n = cells.agg(F.max(F.abs(F.col("eta") - F.col("z"))), F.count("*")).first()
+    if not n:
+        return 0.0
+    low, high = -(top or 0.0) - 1.0, (top or 0.0) + 1.0 + target / (area * n)
+    under, over = 0.0, None
     for _ in range(passes):
         shifts = [low + (high - low) * k / (tries - 1) for k in range(tries)]
         sums = cells.agg(*[F.sum(area * F.greatest(F.lit(0.0), F.col("eta") + F.lit(c) - F.col("z"))) for c in shifts]).first()
-        above = next((k for k, v in enumerate(sums) if (v or 0.0) >= target), tries - 1)
-        low, high = shifts[max(above - 1, 0)], shifts[above]
-    return (low + high) / 2
+        above = max(1, next((k for k, v in enumerate(sums) if (v or 0.0) >= target), tries - 1))
+        low, high, under, over = shifts[above - 1], shifts[above], sums[above - 1] or 0.0, sums[above] or 0.0
+    return low + (high - low) * min(max((target - under) / (over - under), 0.0), 1.0) if over and over > under else low
 
 
 def volume_shifted(cells: DataFrame, shift: float, area: float) -> DataFrame:

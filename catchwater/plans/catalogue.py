@@ -406,7 +406,7 @@ def _face_sql(n: str, name: str, place: str, size: str) -> str:
 _INERTIAL = f"{_WETN}, {_face_sql('t', 'qy', 'r', 'ny')}, {_face_sql('l', 'qx', 'col', 'nx')}"
 
 
-@query(f"WITH {_INERTIAL} SELECT i, round(nqx, 6) AS qx, round(nqy, 6) AS qy FROM qx4")
+@query(f"WITH {_INERTIAL} SELECT i, round(nqx, 6) + 0 AS qx, round(nqy, 6) + 0 AS qy FROM qx4")
 def inertial_faces(spark, d):
     return rounded(hydro.inertial_faces(wet(r1(spark, d))).cells.select("i", "qx", "qy"), "qx", "qy")
 
