@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from catchwater.operators.resample import BOUNDARIES, METHODS, double, halve
@@ -44,7 +45,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             files.write_tiff(raster, a.target)
         return 0
-    except (OSError, ValueError) as e:
+    except (OSError, ValueError, PySparkException) as e:
         print(f"catchwater: {e}", file=sys.stderr)
         return 1
 

@@ -93,10 +93,10 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
 
 def read_raster(spark: SparkSession, path: str, mode: str = "normal") -> Raster:
     """One .npy or TIFF file as a raster; the shape comes from the cells, the cell size from the TIFF header."""
+    head = spark.read.format("binaryFile").load(path).select("content").first()["content"]
+    dx = 1.0 if bytes(head[:6]) == b"\x93NUMPY" else tiff_band(bytes(head))[1]  # ValueError for any other file
     cells = read_arrays(spark, path).drop("path")
     top = cells.agg(F.max("row"), F.max("col")).first()
-    head = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-    dx = 1.0 if bytes(head[:6]) == b"\x93NUMPY" else tiff_band(bytes(head))[1]
     return Raster(cells, Meta(int(top[1]) + 1, int(top[0]) + 1, dx, mode))
 
 
