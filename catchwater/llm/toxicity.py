@@ -92,7 +92,7 @@ class Model:
         return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def _fit_linear(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray, features: int, rounds: int = 150, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def _fit_linear(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray, features: int, rounds: int = 600, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps; rows: each row's features, x: each feature's value."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
