@@ -82,3 +82,37 @@ def test_statistics_of_odd_texts():
 def test_grams_come_once():
     doc, key = toxicity.grams(pa.array(["abcabcabc", "", "ABC abc"]))
     assert len(set(zip(doc.tolist(), key.tolist(), strict=True))) == len(doc) and 1 not in doc.tolist()
+
+
+def test_toxicity_is_fitted_to_its_optimum(spark, monkeypatch):
+    """The weights of the model leave a short gradient over the rows it was fitted on, and no feature is left out."""
+    rows, labels = corpus(7)
+    docs, marks = frames(spark, rows, labels)
+    seen, true = [], toxicity.minimum
+
+    def watched(loss, x, *more):
+        at = true(loss, x, *more)
+        seen.append((len(at) - 1, np.linalg.norm(loss(at)[1])))
+        return at
+
+    monkeypatch.setattr(toxicity, "minimum", watched)
+    model = toxicity.fit(docs, marks)
+    assert seen and seen[0][1] <= toxicity.GRADIENT
+
+    grams, y = {}, {i: t for i, _, t in labels}
+    for i, t in rows:
+        for g in {f" {t.lower()} "[a : a + n] for n in toxicity.SIZES for a in range(len(t) + 3 - n)}:
+            grams.setdefault(g, set()).add(i)
+    pos, neg, clear = sum(y.values()), len(y) - sum(y.values()), 0
+    for own in grams.values():
+        p = sum(y[i] for i in own)
+        q = len(own) - p
+        s = (p + q + 1) / (pos + neg + 2)
+        clear += p + q >= 3 and abs(p / pos - q / neg) / (s * (1 - s) * (1 / pos + 1 / neg)) ** 0.5 >= toxicity.CLEAR
+    assert len(model.keys) == len(model.weights) == seen[0][0] == clear
+
+
+def test_minimum_of_a_steep_valley():
+    scale = np.logspace(0, 6, 30)
+    at = toxicity.minimum(lambda x: (float(scale @ (x - 1) ** 2) / 2, scale * (x - 1)), np.zeros(30))
+    assert np.allclose(at, 1, atol=1e-5)
