@@ -7,6 +7,9 @@ that it can be expected to hold is opened: a size costs its length plus `overhea
 bounded by the lengths not placed yet that fit beside the item. At the end each bin shrinks to the smallest permitted
 length that holds its contents.
 
+`length` says how many tokens a text has. The queries give tokenizer_ids(): the ids that the tokenizer of the token files
+makes of the whole text, and an end id; pieces are runs of those ids, so bins hold what they say once texts are tokenised.
+
 Every piece is placed once and no bin overflows. A null or empty text is an item of one token (its end). Ties go by
 doc_id, then piece. Rows with one id and text are separate items. Null ids come last. An empty table gives no rows.
 """
@@ -21,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catchwater.llm.common import pieces, written
+
 #: Permitted sequence lengths, cost of a sequence beside its length, tokens in a shard.
 SIZES, OVERHEAD, SHARD = (512, 1024, 2048, 4096), 32, 8_000_000
 
@@ -30,6 +35,20 @@ def word_tokens(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1
 
 
+def tokenizer_ids(path: str, text: str = "text") -> Column:
+    """Ids of a whole text by the tokenizer file at path, and an end id."""
+
+    def count(texts: pa.Array) -> pa.Array:
+        from catchwater.llm.token_files import tokenizer
+
+        cached, found = tokenizer(path), []
+        for batch in pieces(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text"):
+            found += [len(ids) + 1 for ids in cached.encode(batch.column("text").to_pylist())]
+        return pa.array(found, pa.int64())
+
+    return F.arrow_udf(count, T.LongType())(F.col(text))
+
+
 def pack(lengths: Sequence[int], sizes: Sequence[int] = SIZES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
     """(bin, offset) of each item and the size of each bin; lengths come longest first and fit the largest size."""
     sizes = sorted(sizes)
@@ -70,7 +89,9 @@ def pack(lengths: Sequence[int], sizes: Sequence[int] = SIZES, overhead: int = O
 def best_fit(docs: DataFrame, length: Column | None = None, sizes: Sequence[int] = SIZES, overhead: int = OVERHEAD, shard: int = SHARD) -> DataFrame:
     """One row per piece of a document: doc_id, piece, shard, bin, bin_size, bin_offset, n_tokens. Bins are numbered within a shard."""
     longest = max(sizes)
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.lit(1), length if length is not None else word_tokens()).cast("long").alias("n"), F.xxhash64("text").alias("h"))
+    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (length if length is not None else word_tokens()).cast("long").alias("n"), F.xxhash64("text").alias("h"))
+    items = items.withColumn("n", F.greatest(F.lit(1), "n"))
+    items = written(items, "lengths")  # a text is counted once
     total = items.agg(F.sum("n")).first()[0] or 0
     shards = max(16, int(total // shard))
     items = items.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / longest).cast("int") - 1)))

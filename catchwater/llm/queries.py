@@ -64,9 +64,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from catchwater.llm import packing
 
-    return packing.best_fit(table(spark, sf_dir, "documents"))
+    return packing.best_fit(table(spark, sf_dir, "documents"), packing.tokenizer_ids(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,8 +41,10 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document: its bin, the bin's size and the piece's place there."""
-    return packing.best_fit(docs)
+    """A row for each piece of a document: its bin, the bin's size and the piece's place there, in ids of the tokenizer."""
+    import public_tokenizers
+
+    return packing.best_fit(docs, packing.tokenizer_ids(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [

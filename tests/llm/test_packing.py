@@ -56,3 +56,31 @@ def test_edges(spark):
             at += n
         assert at <= size and size == min(c for c in packing.SIZES if c >= at)
     assert packing.best_fit(cases.frame(spark, [])).count() == 0
+
+
+def test_bins_hold_the_tokenised_texts(spark, tmp_path):
+    """The query's pieces, filled with the tokenizer's own ids, fit their bins; texts without spaces among them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from catchwater.llm import queries
+
+    r = random.Random(4)
+    unspaced = ["".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(30_000)), "日本語の文章" * 3000]
+    rows = cases.rows() + [(100 + k, t, *["clash"] * (len(cases.SCHEMA) - 2)) for k, t in enumerate(unspaced)]
+    cases.frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op7_best_fit_packing(spark, str(tmp_path)).collect()
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.encode_special_tokens = True
+    want, got, bins = {}, {}, {}
+    for i, t, *_ in rows:
+        want.setdefault(i, []).append(len(encoder.encode(t or "", add_special_tokens=False).ids) + 1)
+    for x in out:
+        got.setdefault(x["doc_id"], []).append((x["piece"], x["n_tokens"]))
+        bins.setdefault((x["shard"], x["bin"], x["bin_size"]), []).append((x["bin_offset"], x["n_tokens"]))
+    pieces = {i: sorted((k // 4096, min(4096, n - k)) for n in own for k in range(0, n, 4096)) for i, own in want.items()}
+    assert {i: sorted(own) for i, own in got.items()} == pieces
+    assert all(len(pieces[100 + k]) > 1 for k in range(len(unspaced)))
+    for (_, _, size), own in bins.items():
+        assert size in packing.SIZES and sum(n for _, n in own) <= size
+        assert all(a + n <= b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:], strict=False))
