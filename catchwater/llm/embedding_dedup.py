@@ -3,9 +3,11 @@
 Vectors that are equal form a class with one representative. Representatives are dealt to shards by a hash; a task builds
 the hierarchical graph of its shard and then streams every representative past it. A beam that ends inside the
 similarity range widens until it leaves it, so a dense group is listed whole. Before that, an audit compares the first
-queries with brute force over the shard and doubles the beam until recall passes; a beam as wide as the shard is exact.
-Candidates are verified by cosine in double precision. A task returns one row a query that has links: how many vectors,
-and the smallest id among them, never the pairs; components() unites these and the members.
+queries with brute force over the shard and doubles the beam until enough of them find every partner, those with few
+partners and those with many each for themselves; a beam as wide as the shard is exact. Candidates are verified by cosine
+in double precision. A task returns one row a query and one a member that has links: how many vectors, and the smallest
+id among them or of the members they unite, never the pairs; components() unites these. A link that only one of its ends
+found so joins both; n_links is the greater of the links found from a vector and those found towards it.
 
 Null, zero and non-finite vectors and vectors with null components link with nothing, nor does a null id. Vectors of
 different lengths never link. Rows that share an id count as one vector whose links unite; n_links counts rows.
@@ -24,8 +26,9 @@ from catchwater.llm.common import components, written
 
 #: Cosine from which vectors are linked; vectors in a shard, shards at least; links of a vertex on the ground and above.
 THRESHOLD, SHARD, SHARDS, GROUND, ABOVE = 0.95, 50_000, 6, 32, 16
-#: Beam while building and at the start of the search; audited queries; recall that audits ask for.
-BUILD, BEAM, AUDITED, RECALL = 48, 48, 2048, 0.995
+#: Beam while building and at the start of the search; audited queries; the share of them that has to find every partner;
+#: from how many partners a query has many.
+BUILD, BEAM, AUDITED, RECALL, MANY = 48, 48, 2048, 0.995, 16
 _NONE = np.float32(-np.inf)
 
 
@@ -177,68 +180,121 @@ class Graph:
         r, c = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         return r, self.order[c]
 
-    def audited(self, q: np.ndarray, threshold: float, beam: int = BEAM) -> int:
-        """A beam whose recall over the queries' true partners passes."""
-        at, true = [], 0
-        for lo in range(0, len(q), 256):
-            r, c = np.nonzero(q[lo : lo + 256].astype(np.float32) @ self.x.T >= threshold)
-            true += len(r)
-            at.append(np.unique(r) + lo)
-        at = np.concatenate(at)
-        while len(at) and beam < len(self.x):
-            if len(self.within(q[at], threshold, beam)[0]) >= RECALL * true:
-                break
-            beam *= 2
+    def audited(self, q: np.ndarray, threshold: float, beam: int = BEAM, own: np.ndarray | None = None) -> int:
+        """A beam with which enough queries find all their true partners, both of those with few and with many.
+
+        own: each query's own point, which is no partner, or -1. Partners within rounding of the threshold do not count.
+        """
+        q, x = q.astype(np.float32), self.x[np.argsort(self.order)]
+        own = np.full(len(q), -1) if own is None else own
+
+        def true(at: np.ndarray) -> np.ndarray:
+            near = q[at] @ x.T >= threshold + 1e-5
+            near[np.flatnonzero(own[at] >= 0), own[at][own[at] >= 0]] = False
+            return near
+
+        parts = [np.arange(lo, min(lo + 256, len(q))) for lo in range(0, len(q), 256)]
+        partners = np.concatenate([true(at).sum(1) for at in parts]) if parts else np.zeros(0, np.int64)
+        for group in (partners > 0) & (partners < MANY), partners >= MANY:
+            some = np.flatnonzero(group)
+            while len(some) and beam < len(x):
+                whole = 0
+                for lo in range(0, len(some), 256):
+                    at = some[lo : lo + 256]
+                    missed = true(at)
+                    missed[self.within(q[at], threshold, beam)] = False
+                    whole += int((~missed.any(1)).sum())
+                if whole >= RECALL * len(some):
+                    break
+                beam *= 2
         return beam
 
 
+def _united(root: np.ndarray, r: np.ndarray, c: np.ndarray, queries: int) -> np.ndarray:
+    """root (each member's smallest united one) after the members c of each query r are united."""
+    while True:
+        least = np.full(queries, len(root))
+        np.minimum.at(least, r, root[c])
+        new = root.copy()
+        np.minimum.at(new, root[c], least[r])
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _unit(column: pa.Array, d: int) -> np.ndarray:
     x = np.asarray(column.flatten(), np.float64).reshape(-1, d)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def _own(q: np.ndarray, qid: np.ndarray, held: dict) -> np.ndarray:
+    """Each query's own point among the shard's members: that of its id and vector; -1 for a query of another shard."""
+    out = np.full(len(q), -1)
+    lo, hi = (np.searchsorted(held["ids"], qid, side, held["sorted"]) for side in ("left", "right"))
+    for k in np.flatnonzero(hi > lo):
+        same = [m for m in held["sorted"][lo[k] : hi[k]] if np.array_equal(held["x"][m], q[k])]
+        if same:
+            out[k] = same[0]
+    return out
+
+
 def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows come by shard, its members before the queries."""
     held: dict = {"key": None}
+    names = ["vec_id", "n_links", "n_back", "reach"]
 
     def flush() -> Iterator[pa.RecordBatch]:
         if held["key"] is None or not held["queries"]:
             return
-        if not held["ids"]:  # no vector of this length is in the shard
+        if not len(held["ids"]):  # no vector of this length is in the shard
             held["queries"], held["rows"] = [], 0
             return
         if "graph" not in held:
             held["x"], held["ids"], held["weight"] = (np.concatenate(held[k]) for k in ("x", "ids", "weight"))
             held["graph"] = Graph(held["x"])
-        q, qid = np.concatenate([v for v, _ in held["queries"]]), np.concatenate([i for _, i in held["queries"]])
+            held["root"], held["back"] = np.arange(len(held["ids"])), np.zeros(len(held["ids"]), np.int64)
+            held["sorted"] = np.argsort(held["ids"], kind="stable")
+        q, qid, copies = (np.concatenate(z) for z in zip(*held["queries"], strict=True))
         if "beam" not in held:
-            held["beam"] = held["graph"].audited(q[:AUDITED], threshold - 1e-4)
-        r, c = held["graph"].within(q, threshold - 1e-4, held["beam"])
-        good = np.einsum("kd,kd->k", q[r], held["x"][c]) >= threshold
-        good &= qid[r] != held["ids"][c]
-        r, c = r[good], c[good]
-        n = np.bincount(r, held["weight"][c], len(q)).astype(np.int64)
-        least = np.full(len(q), np.iinfo(np.int64).max)
-        np.minimum.at(least, r, held["ids"][c])
-        some = np.flatnonzero(n)
+            held["beam"] = held["graph"].audited(q[:AUDITED], threshold - 1e-4, own=_own(q[:AUDITED], qid[:AUDITED], held))
         held["queries"], held["rows"] = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(qid[some]), pa.array(n[some]), pa.array(least[some])], ["vec_id", "n_links", "reach"])
+        for lo in range(0, len(q), 1024):
+            at, ids, weight = q[lo : lo + 1024], qid[lo : lo + 1024], copies[lo : lo + 1024]
+            r, c = held["graph"].within(at, threshold - 1e-4, held["beam"])
+            good = np.concatenate([np.einsum("kd,kd->k", at[r[k : k + 100_000]], held["x"][c[k : k + 100_000]]) for k in range(0, len(r), 100_000)] or [np.zeros(0)]) >= threshold
+            good &= ids[r] != held["ids"][c]
+            r, c = r[good], c[good]
+            n = np.bincount(r, held["weight"][c], len(at)).astype(np.int64)
+            least = np.full(len(at), np.iinfo(np.int64).max)
+            np.minimum.at(least, r, held["ids"][c])
+            held["root"] = _united(held["root"], r, c, len(at))
+            held["back"] += np.bincount(c, weight[r], len(held["ids"])).astype(np.int64)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some]), pa.array(np.zeros(len(some), np.int64)), pa.array(least[some])], names)
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        """The rest of a shard and what its members were found by. A member that a query found is united with the others of that query."""
+        yield from flush()
+        if "graph" in held:
+            some = np.flatnonzero(held["back"])
+            yield pa.RecordBatch.from_arrays([pa.array(held["ids"][some]), pa.array(np.zeros(len(some), np.int64)), pa.array(held["back"][some]), pa.array(held["ids"][held["root"][some]])], names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        names = ["dim", "shard", "query"]
-        dim, shard, query = (np.asarray(batch.column(k)) for k in names)
+        dim, shard, query = (np.asarray(batch.column(k)) for k in ("dim", "shard", "query"))
         cut = np.flatnonzero((np.diff(dim) != 0) | (np.diff(shard) != 0) | (np.diff(query) != 0)) + 1
         for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
             key = (int(dim[lo]), int(shard[lo]))
             if key != held["key"]:
-                yield from flush()
+                yield from ended()
                 held = {"key": key, "x": [], "ids": [], "weight": [], "queries": [], "rows": 0}
             part = batch.slice(lo, hi - lo)
             x, ids = _unit(part.column("embedding"), key[0]), np.asarray(part.column("vec_id"))
             if query[lo]:
-                held["queries"].append((x, ids))
+                held["queries"].append((x, ids, np.asarray(part.column("copies"))))
                 held["rows"] += len(ids)
                 if held["rows"] >= 8192:
                     yield from flush()
@@ -246,7 +302,7 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
                 held["x"].append(x)
                 held["ids"].append(ids)
                 held["weight"].append(np.asarray(part.column("copies")))
-    yield from flush()
+    yield from ended()
 
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, shards: int = SHARDS) -> DataFrame:
@@ -264,9 +320,9 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD,
     members = classes.withColumn("shard", place).withColumn("query", F.lit(0))
     queries = classes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("query", F.lit(1))
     dealt = members.unionByName(queries).repartition(shards * 10, "dim", "shard").sortWithinPartitions("dim", "shard", "query", F.xxhash64("vec_id"))
-    found = written(dealt.mapInArrow(lambda batches: _links(batches, threshold), "vec_id long, n_links long, reach long"), "links")
+    found = written(dealt.mapInArrow(lambda batches: _links(batches, threshold), "vec_id long, n_links long, n_back long, reach long"), "links")
     groups = components(found.select("vec_id", "reach"), "vec_id", "reach")
-    per = found.groupBy("vec_id").agg(F.sum("n_links").alias("links")).join(groups, F.col("vec_id") == F.col("id"), "left").drop("id")
+    per = found.groupBy("vec_id").agg(F.greatest(F.sum("n_links"), F.sum("n_back")).alias("links")).join(groups, F.col("vec_id") == F.col("id"), "left").drop("id")
     known = classes.select("embedding", F.col("vec_id").alias("rep"), "copies").join(per.withColumnRenamed("vec_id", "rep"), "rep", "left")
     key = F.when(usable, v)
     out = rows.withColumn("embedding", key).join(known, "embedding", "left")

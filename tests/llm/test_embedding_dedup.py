@@ -62,3 +62,65 @@ def test_small_graphs():
         x = np.eye(32, dtype=np.float32)[:n]
         r, c = embedding_dedup.Graph(x).within(x, 0.9, 8)
         assert sorted(zip(r.tolist(), c.tolist(), strict=True)) == [(k, k) for k in range(n)]
+
+
+def skewed(dense: int, pairs: int, alone: int, seed: int = 8):
+    """Unit vectors, shuffled: one dense group, pairs and lone ones; and which kind each is (0, 1, 2)."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(1 + pairs + alone, 64))
+    near = lambda x, n: x + rng.normal(size=(n, 64)) * 0.05
+    x = np.concatenate([near(base[:1], dense), base[1 : pairs + 1], near(base[1 : pairs + 1], pairs), base[pairs + 1 :]])
+    kind = np.repeat([0, 1, 2], [dense, 2 * pairs, alone])
+    order = rng.permutation(len(x))
+    return (x / np.linalg.norm(x, axis=1)[:, None])[order], kind[order]
+
+
+def test_a_dense_group_does_not_hide_missed_pairs():
+    x, kind = skewed(300, 100, 100)
+
+    class Missing(embedding_dedup.Graph):
+        """Misses the partners of small groups until the beam is 100 wide."""
+
+        def within(self, q, threshold, beam):
+            r, c = super().within(q, threshold, beam)
+            keep = (kind[c] == 0) | (np.einsum("kd,kd->k", q[r], x[c]) > 0.99999) | (beam >= 100)
+            return r[keep], c[keep]
+
+    assert Missing(x).audited(x[:400], 0.95) >= 100
+    assert embedding_dedup.Graph(x).audited(x[:400], 0.95, own=np.arange(400)) <= len(x)
+
+
+def batch(x, ids, query):
+    import pyarrow as pa
+
+    n = len(x)
+    data = {"dim": [x.shape[1]] * n, "shard": [0] * n, "query": [query] * n, "vec_id": ids, "copies": [1] * n, "embedding": list(x.astype(np.float32))}
+    return pa.record_batch({k: pa.array(v, pa.list_(pa.float32())) if k == "embedding" else pa.array(v) for k, v in data.items()})
+
+
+def test_many_queries_of_a_shard():
+    x, _ = skewed(20, 20, 8240)
+    ids = np.arange(len(x))
+    rows = [r for b in embedding_dedup._links(iter([batch(x[:50], ids[:50], 0), batch(x, ids, 1), batch(x, ids, 1)]), 0.95) for r in b.to_pylist()]
+    near = x @ x[:50].T >= 0.95
+    near[ids[:50], ids[:50]] = False
+    assert sum(r["n_links"] for r in rows) == 2 * near.sum() == sum(r["n_back"] for r in rows)
+
+
+def test_a_link_found_from_one_end_counts_for_both(monkeypatch):
+    x, kind = skewed(0, 30, 10)
+    true = embedding_dedup.Graph.within
+    small = {x[a].astype(np.float32).astype(np.float64).round(4).tobytes() for a in range(len(x)) if any(b > a and x[a] @ x[b] >= 0.95 for b in range(len(x)))}
+
+    def one_way(self, q, threshold, beam):
+        r, c = true(self, q, threshold, beam)
+        deaf = np.array([v.astype(np.float64).round(4).tobytes() in small for v in q])
+        return r[~deaf[r]], c[~deaf[r]]
+
+    monkeypatch.setattr(embedding_dedup.Graph, "within", one_way)
+    monkeypatch.setattr(embedding_dedup.Graph, "audited", lambda *a, **k: 48)
+    found = {}
+    for b in embedding_dedup._links(iter([batch(x, np.arange(len(x)), 0), batch(x, np.arange(len(x)), 1)]), 0.95):
+        for r in b.to_pylist():
+            found.setdefault(r["vec_id"], []).append(max(r["n_links"], r["n_back"]))
+    assert {k: max(v) for k, v in found.items()} == {k: 1 for k in np.flatnonzero(kind == 1).tolist()}
