@@ -126,21 +126,25 @@ def split_surface(surface: str = "zh", bed: str = "z") -> dict:
     return {"h": F.when(below, F.lit(0.0)).otherwise(F.col(surface) - F.col(bed)), bed: F.when(below, F.col(surface)).otherwise(F.col(bed))}
 
 
-def carve_down(raster: Raster, links: DataFrame, drop: float = 2e-3, field: str = "z", steps: int = 10_000) -> DataFrame:
-    """(i, z): from every local minimum, the steepest path lowered by `drop` a step until a lower cell or a root.
+def carve_down(raster: Raster, links: DataFrame, drop: float = 2e-3, field: str = "z") -> DataFrame:
+    """(i, z): from every local minimum that water cannot leave, the steepest path lowered by `drop` a step until a lower cell or a root.
 
-    The paths of all minima advance together; where paths meet, the lowest wins.
+    links: receivers that lead out of the pits, see reroute(); a pit that is its own receiver stays as it is. The paths of
+    all minima advance together, to their ends; where paths meet, the lowest wins.
     """
     cells = raster.cells.select("i", F.col(field).alias("z"))
     around = edges(raster, field)
     lowest = around.groupBy("i").agg(F.min(f"{field}_j").alias("near"))
-    front = cells.join(lowest, "i").where("z < near").select("i", F.col("z").alias("ref"), F.lit(1).cast("long").alias("n"))
+    inside = raster.cells.where(~can_leave(raster.meta)).select("i")
+    open_ = links.where("rcv <> i").select("i", "rcv")
+    onward = written(open_.join(open_.select(F.col("i").alias("rcv")), "rcv", "left_semi"), "onward")  # a root is not lowered
+    front = cells.join(lowest, "i").join(inside, "i", "left_semi").where("z <= near").select("i", F.col("z").alias("ref"), F.lit(1).cast("long").alias("n"))
     front = written(front, "front")
     changes = front.select("i", F.col("ref").alias("new")).limit(0)
-    for _ in range(steps):
-        moved = front.join(links.where("rcv <> i"), "i").select(F.col("rcv").alias("i"), "ref", "n").join(cells, "i")
-        front = written(moved.where(F.col("z") >= F.col("ref") - F.col("n") * drop).select("i", "ref", (F.col("n") + 1).alias("n")), "front")
+    for _ in range(raster.meta.nx * raster.meta.ny + 1):  # no path is longer
+        moved = front.join(onward, "i").select(F.col("rcv").alias("i"), "ref", "n").join(cells, "i")
+        front = written(moved.where(F.col("z") >= F.col("ref") - (F.col("n") - 1) * drop).select("i", "ref", (F.col("n") + 1).alias("n")), "front")
         if not some(front):
-            break
+            return cells.join(changes, "i", "left").select("i", F.coalesce("new", "z").alias("z"))
         changes = written(changes.union(front.select("i", F.col("ref") - (F.col("n") - 1) * drop)).groupBy("i").agg(F.min("new").alias("new")), "carved")
-    return cells.join(changes, "i", "left").select("i", F.coalesce("new", "z").alias("z"))
+    raise ValueError("the links have a cycle")

@@ -327,7 +327,7 @@ def split_surface(spark, d):
 @query()
 def carved_down(spark, d):
     raster = r1(spark, d)
-    return rounded(depressions.carve_down(raster, routing.receivers(raster)), "z")
+    return rounded(depressions.carve_down(raster, depressions.reroute(raster, routing.receivers(raster))), "z")
 
 
 # Water. Depth and discharge come from the cell number, see wet().

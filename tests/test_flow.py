@@ -138,3 +138,36 @@ def test_erosion_follows_the_recurrence(dem):
             k = 2e-2 * q[i] ** 0.45
             want = flat[i] / (1 + k) if rcv[i] == i else (flat[i] + k * got[rcv[i]]) / (1 + k)
             assert np.isclose(got[i], want)
+
+
+def test_carving_down_against_a_walk_from_each_minimum(dem):
+    z, raster, links = dem
+    out = depressions.reroute(raster, links)
+    rcv, flat = array(out, "rcv", z.size).astype(int), z.ravel()
+    ny, nx = z.shape
+    want = flat.copy()
+    for i in range(z.size):
+        r, c = divmod(i, nx)
+        near = [flat[(r + a) * nx + c + b] for a, b in ((-1, 0), (0, -1), (0, 1), (1, 0)) if 0 <= r + a < ny and 0 <= c + b < nx]
+        if flat[i] <= min(near) and 0 < r < ny - 1 and 0 < c < nx - 1:
+            for k, j in enumerate(path(rcv, i)[1:-1], 1):
+                if flat[j] < flat[i] - (k - 1) * 2e-3:
+                    break
+                want[j] = min(want[j], flat[i] - k * 2e-3)
+    assert (want < flat).any()
+    assert np.allclose(array(depressions.carve_down(raster, out), "z", z.size), want, atol=1e-12)
+
+
+def test_the_carving_query_changes_cells(spark, monkeypatch):
+    from catchwater.plans import catalogue
+
+    z = np.random.default_rng(5).random((8, 9)) * 10
+    raster = from_matrix(spark, z)
+    monkeypatch.setattr(catalogue, "r1", lambda *a: raster)
+    assert (array(catalogue.carved_down(spark, ""), "z", z.size) < z.ravel() - 1e-3).any()
+
+
+def test_carving_tells_a_cycle(spark):
+    raster = from_matrix(spark, np.array([[9.0, 9.0, 9.0, 9.0], [9.0, 1.0, 5.0, 9.0], [9.0, 9.0, 9.0, 9.0]]))
+    with pytest.raises(ValueError):
+        depressions.carve_down(raster, spark.createDataFrame([(5, 6), (6, 5)], "i long, rcv long"))
