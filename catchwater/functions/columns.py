@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _MASK = 0xFFFFFFFF
 
 
+# The 32-bit integer hash (shifts, multiplier) behind seeded resampling noise, so that seeds give known rasters.
 def uniform(seed: int, index: Column) -> Column:
-    """A number in [0, 1] that depends on seed and index alone: equal however rows are partitioned or retried."""
+    """A number in [0, 1] that depends on seed and the index's lower 32 bits alone, however rows are partitioned or retried.
+
+    For the noise of resampling; draws over many cells and rounds take drawn().
+    """
     m = F.lit(_MASK)
     x = (index.cast("long") + F.lit(seed)).bitwiseAND(m)
     x = x.bitwiseXOR(F.lit(61)).bitwiseXOR(F.shiftrightunsigned(x, 16))
@@ -20,6 +25,25 @@ def uniform(seed: int, index: Column) -> Column:
     return x / F.lit(4294967295.0)
 
 
+def drawn(seed: int, *keys: Column) -> Column:
+    """A number in [0, 1) for each combination of whole keys, from 52 bits of the MD5 of seed and keys, joined by commas.
+
+    Keys are told apart whatever their size, and any engine can repeat a draw.
+    """
+    text = F.concat_ws(",", F.lit(str(seed)), *(k.cast("long").cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def larger(a, b):
+    """The larger of two columns or numpy arrays."""
+    return F.greatest(a, b) if isinstance(a, Column) else np.maximum(a, b)
+
+
+def lesser(a, b):
+    """The lesser of two columns or numpy arrays."""
+    return F.least(a, b) if isinstance(a, Column) else np.minimum(a, b)
+
+
 def resolved(index: Column, n: int, boundary: str) -> Column:
     """The index inside 0 .. n-1 that an outside one stands for: clamp, wrap or reflect (about the border samples)."""
     if boundary == "clamp":

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from catchwater.operators.grid import Raster, can_leave, edges, is_nodata
+from catchwater.functions.columns import positive_slope
+from catchwater.operators.grid import D4, Meta, Raster, can_leave, edges, gather, is_nodata, tiled
 from catchwater.operators.routing import stochastic_receivers
-from catchwater.plans.iterate import ancestors, descendants, some, written
+from catchwater.plans.iterate import Block, ancestors, by_index, descendants, written
 
 
 def as_tree(links: DataFrame, *more: str) -> DataFrame:
@@ -15,20 +20,24 @@ def as_tree(links: DataFrame, *more: str) -> DataFrame:
     return links.withColumn("p", F.when(F.col("rcv") != F.col("i"), F.col("rcv"))).drop("rcv").select(*(c for c in links.columns if c != "rcv" and c not in more), "p", *more)
 
 
-def drainage_cells(links: DataFrame) -> DataFrame:
-    """(i, q): how many cells drain through i, itself included."""
-    return descendants(as_tree(links).withColumn("q", F.lit(1).cast("long")))
+def _blocks(meta: Meta | None) -> Block:
+    return by_index if meta is None else tiled(meta)
+
+
+def drainage_cells(links: DataFrame, meta: Meta | None = None) -> DataFrame:
+    """(i, q): how many cells drain through i, itself included. meta: the raster's, to follow paths by tiles."""
+    return descendants(as_tree(links).withColumn("q", F.lit(1).cast("long")), block=_blocks(meta))
 
 
-def accumulate(links: DataFrame, sources: DataFrame, value: str = "q") -> DataFrame:
+def accumulate(links: DataFrame, sources: DataFrame, value: str = "q", meta: Meta | None = None) -> DataFrame:
     """(i, value): the sum of sources (i, value) over all cells that drain through i."""
-    return descendants(as_tree(links).join(sources.select("i", value), "i"), value)
+    return descendants(as_tree(links).join(sources.select("i", value), "i"), value, block=_blocks(meta))
 
 
 def constant_discharge(raster: Raster, links: DataFrame, rate: float, area: bool = True) -> DataFrame:
     """(i, q) of a rate everywhere, times the cell area or not; counted in whole cells first."""
     unit = rate * raster.meta.dx**2 if area else rate
-    return drainage_cells(links).select("i", (F.col("q") * F.lit(unit)).alias("q"))
+    return drainage_cells(links, raster.meta).select("i", (F.col("q") * F.lit(unit)).alias("q"))
 
 
 def ensemble(raster: Raster, rate: float, reps: int, seed: int, area: bool = True, memory: float | None = None) -> DataFrame:
@@ -37,59 +46,98 @@ def ensemble(raster: Raster, rate: float, reps: int, seed: int, area: bool = Tru
     All draws run in one pass, keyed by draw.
     """
     links = stochastic_receivers(raster, seed, reps)
-    counts = descendants(as_tree(links).withColumn("q", F.lit(1).cast("long")), keys=("rep",))
+    counts = descendants(as_tree(links).withColumn("q", F.lit(1).cast("long")), keys=("rep",), block=tiled(raster.meta))
     weight = F.lit(1.0 / reps) if memory is None else F.lit(1 - memory) * F.pow(F.lit(float(memory)), F.lit(reps - 1) - F.col("rep"))
     unit = rate * raster.meta.dx**2 if area else rate
     return counts.groupBy("i").agg((F.sum(F.col("q") * weight) * unit).alias("q"))
 
 
-def with_loss(links: DataFrame, sources: DataFrame, kept: DataFrame) -> DataFrame:
+def with_loss(links: DataFrame, sources: DataFrame, kept: DataFrame, meta: Meta | None = None) -> DataFrame:
     """(i, q, loss): each cell keeps the fraction a of what reaches it (its own source included) and passes the rest on.
 
-    kept: (i, a). The mass that reaches a cell is a sum over paths of products of 1 - a; both come level by level.
+    kept: (i, a). The mass that reaches a cell is a sum over paths of products of 1 - a; see level_accumulate().
     """
     graph = links.where("rcv <> i").select(F.col("i").alias("src"), F.col("rcv").alias("dst"))
     weights = graph.join(kept.select(F.col("i").alias("src"), (F.lit(1.0) - F.col("a")).alias("w")), "src")
-    return level_accumulate(weights, sources).join(kept, "i", "left").select("i", "q", (F.col("q") * F.coalesce("a", F.lit(0.0))).alias("loss"))
+    return level_accumulate(weights, sources, block=_blocks(meta)).join(kept, "i", "left").select("i", "q", (F.col("q") * F.coalesce("a", F.lit(0.0))).alias("loss"))
 
 
-def level_accumulate(graph: DataFrame, sources: DataFrame, depth: int = 100_000) -> DataFrame:
-    """(i, q): sources (i, q) pushed through an acyclic graph (src, dst, w), each level when all above it is done."""
-    graph = written(graph.select("src", "dst", "w"), "graph")
-    into = graph.groupBy(F.col("dst").alias("i")).agg(F.count("*").alias("left"))
-    state = written(sources.select("i", F.col("q").cast("double").alias("q")).join(into, "i", "left").na.fill(0, ["left"]), "level")
+def level_accumulate(graph: DataFrame, sources: DataFrame, depth: int = 10_000, block: Block = by_index) -> DataFrame:
+    """(i, q): sources (i, q) pushed through an acyclic graph (src, dst, w).
+
+    One task pushes what has come to a block through all its levels; what crosses to another block comes there in the next
+    round, and blocks that nothing comes to are left alone. What cells get adds up over the rounds, so rounds grow with
+    the number of borders on a path, not with its cells. A cycle inside a block or over blocks is an error.
+    """
+    graph = written(graph.select("src", "dst", F.col("w").cast("double").alias("w"), block(F.col("src")).alias("b")), "graph")
+    front = sources.select("i", F.col("q").cast("double").alias("q"))
+    settled = []
     for _ in range(depth):
-        ready = state.where("left = 0")
-        if not some(ready):
-            if some(state.where("left > 0")):
-                raise ValueError("the graph has a cycle")
-            return state.select("i", "q")
-        push = ready.select(F.col("i").alias("src"), "q").join(graph, "src").groupBy(F.col("dst").alias("i")).agg(F.sum(F.col("q") * F.col("w")).alias("dq"), F.count("*").alias("dn"))
-        step = state.join(push, "i", "left")
-        left = F.when(F.col("left") == 0, F.lit(-1)).otherwise(F.col("left") - F.coalesce("dn", F.lit(0)))
-        state = written(step.select("i", (F.col("q") + F.coalesce("dq", F.lit(0.0))).alias("q"), left.alias("left")), "level")
-    raise ValueError("too many levels")
-
-
-def slope_weights(raster: Raster, field: str = "z", emit: Column | None = None) -> DataFrame:
-    """(i, k, j, s, w): links to lower neighbours, their slope and its share of the cell's downward slopes.
-
-    emit: which cells send anything (all but cells without data by default).
+        coming = front.withColumn("b", block(F.col("i")))
+        seen = Observation()
+        step = graph.groupBy("b").cogroup(coming.groupBy("b")).applyInArrow(_pushed, "i long, q double, p long").observe(seen, F.count("p").alias("open"))
+        step = written(step, "level")
+        settled.append(step.where("p is null").select("i", "q"))
+        if not seen.get["open"]:
+            return reduce(DataFrame.union, settled).groupBy("i").agg(F.sum("q").alias("q"))
+        front = step.where("p is not null").groupBy("i").agg(F.sum("q").alias("q"))
+    raise ValueError("the graph has a cycle")
+
+
+def _pushed(edges: pa.Table, coming: pa.Table) -> pa.Table:
+    """One block: (i, q, null) for what its cells get and (i, q, i) for what goes to cells of other blocks."""
+    kinds = pa.schema([("i", pa.int64()), ("q", pa.float64()), ("p", pa.int64())])
+    if not len(coming):
+        return kinds.empty_table()
+    src, dst, w = (np.asarray(edges[c]) for c in ("src", "dst", "w"))
+    given = np.asarray(coming["i"], np.int64)
+    cells = np.unique(np.concatenate([src, given]))
+    place = np.minimum(np.searchsorted(cells, dst), len(cells) - 1)
+    inner = cells[place] == dst
+    a, b, share = np.searchsorted(cells, src[inner]), place[inner], w[inner]
+    order = np.argsort(a, kind="stable")
+    a, b, share = a[order], b[order], share[order]
+    first, last = np.searchsorted(a, np.arange(len(cells))), np.searchsorted(a, np.arange(len(cells)), "right")
+    q = np.bincount(np.searchsorted(cells, given), np.asarray(coming["q"], np.float64), len(cells))
+    left = np.bincount(b, minlength=len(cells))
+    front, done = np.flatnonzero(left == 0), 0
+    while len(front):
+        done += len(front)
+        n = last[front] - first[front]
+        at = np.repeat(first[front] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        np.add.at(q, b[at], q[a[at]] * share[at])
+        np.subtract.at(left, b[at], 1)
+        front = np.unique(b[at][left[b[at]] == 0])
+    if done < len(cells):
+        raise ValueError("the graph has a cycle")
+    some = np.flatnonzero((q != 0) | np.isin(cells, given))
+    away = np.flatnonzero(~inner)
+    sent = q[np.searchsorted(cells, src[away])] * w[away]
+    away, sent = away[sent != 0], sent[sent != 0]
+    none = pa.nulls(len(some), pa.int64())
+    return pa.table([pa.array(np.concatenate([cells[some], dst[away]])), pa.array(np.concatenate([q[some], sent])), pa.concat_arrays([none, pa.array(dst[away], pa.int64())])], schema=kinds)
+
+
+def slope_weights(raster: Raster, field: str = "z", emit: Column | None = None, *carried: str) -> DataFrame:
+    """(i, carried, k, j, s, w): links to lower neighbours, their slope and its share of the cell's downward slopes.
+
+    emit: which cells send anything (all but cells without data by default). The four slopes stand in one gathered row and
+    are added in the order of directions.
     """
-    cells = raster.cells if emit is None else raster.cells.withColumn("__on", emit)
-    around = edges(raster.with_cells(cells), field, *([] if emit is None else ["__on"]))
+    near = gather(raster, field)
     if emit is not None:
-        around = around.where("__on")
-    s = (F.col(field) - F.col(f"{field}_j")) / F.lit(raster.meta.dx)
-    down = around.withColumn("s", s).where("s > 0")
-    total = down.groupBy("i").agg(F.sum("s").alias("total"))
-    return down.join(total, "i").select("i", "k", "j", "s", (F.col("s") / F.col("total")).alias("w"))
+        near = near.where(emit)
+    slope = {d: positive_slope(F.col(field), F.col(f"{field}_{d}"), raster.meta.dx) for d, _, _ in D4}
+    near = near.select("i", *carried, *(F.col(f"i_{d}") for d in slope), *(s.alias(f"s_{d}") for d, s in slope.items()))
+    near = near.withColumn("total", reduce(lambda a, b: a + b, [F.col(f"s_{d}") for d in slope]))
+    links = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.col(f"i_{d}").alias("j"), F.col(f"s_{d}").alias("s")) for k, d in enumerate(slope)])
+    return near.select("i", *carried, "total", F.explode(F.filter(links, lambda x: x["s"] > 0)).alias("e")).select("i", *carried, "e.*", (F.col("e.s") / F.col("total")).alias("w"))
 
 
 def multiple_flow(raster: Raster, sources: DataFrame, field: str = "z") -> DataFrame:
-    """(i, q): sources shared over all lower neighbours by slope, level by level."""
+    """(i, q): sources shared over all lower neighbours by slope."""
     w = slope_weights(raster, field)
-    return level_accumulate(w.select(F.col("i").alias("src"), F.col("j").alias("dst"), "w"), sources)
+    return level_accumulate(w.select(F.col("i").alias("src"), F.col("j").alias("dst"), "w"), sources, block=tiled(raster.meta))
 
 
 def indegree(raster: Raster, field: str = "z") -> DataFrame:
@@ -97,10 +145,10 @@ def indegree(raster: Raster, field: str = "z") -> DataFrame:
     return edges(raster, field).groupBy("i").agg(F.count_if(F.col(f"{field}_j") > F.col(field)).alias("n"))
 
 
-def affine(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def affine(links: DataFrame, a: str = "a", b: str = "b", meta: Meta | None = None) -> DataFrame:
     """(i, x) with x = a * x[rcv] + b; at a root x = b. links: (i, rcv, a, b)."""
     tree = links.select("i", F.when(F.col("rcv") != F.col("i"), F.col("rcv")).alias("p"), F.when(F.col("rcv") != F.col("i"), F.col(a)).otherwise(F.lit(0.0)).alias("a"), F.col(b).alias("b"))
-    done = ancestors(tree, {"a": "a", "b": "b"}, {"a": lambda n, f: n["a"] * f["a"], "b": lambda n, f: n["b"] + n["a"] * f["b"]})
+    done = ancestors(tree, {"a": "a", "b": "b"}, {"a": lambda n, f: n["a"] * f["a"], "b": lambda n, f: n["b"] + n["a"] * f["b"]}, block=_blocks(meta))
     return done.select("i", F.col("b").alias("x"))
 
 

@@ -2,41 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from catchwater.functions.columns import larger, lesser
 from catchwater.operators.accumulate import as_tree
-from catchwater.operators.grid import Raster, can_leave, edges
-from catchwater.plans.iterate import ancestors, some, written
+from catchwater.operators.grid import D4, Meta, Raster, can_leave, edges, gather, tiled
+from catchwater.plans.iterate import ancestors, by_index, descendants, dropped, some, written
 
 
-def roots(links: DataFrame) -> DataFrame:
+def roots(links: DataFrame, meta: Meta | None = None) -> DataFrame:
     """(i, root): the cell at the end of each cell's path."""
     tree = as_tree(links).withColumn("root", F.coalesce("p", "i"))
-    return ancestors(tree, {"root": "root"}, {"root": lambda near, far: far["root"]})
+    return ancestors(tree, {"root": "root"}, {"root": lambda near, far: far["root"]}, block=by_index if meta is None else tiled(meta))
 
 
 def basins(raster: Raster, links: DataFrame) -> DataFrame:
     """(i, root, bid): bid is the pit's index plus 1, or 0 where the path ends at a cell that water can leave."""
     leave = raster.cells.select(F.col("i").alias("root"), can_leave(raster.meta).alias("leave"))
-    return roots(links).join(leave, "root").select("i", "root", F.when(F.col("leave"), F.lit(0)).otherwise(F.col("root") + 1).cast("long").alias("bid"))
-
-
-def crossings(raster: Raster, field: str = "z") -> DataFrame:
-    """Links between neighbours with what a basin needs to choose: (i, j, pass height, lesser and greater cell)."""
-    around = edges(raster, field)
-    height = F.greatest(F.col(field), F.col(f"{field}_j"))
-    return around.select("i", "j", height.alias("height"), F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"))
+    return roots(links, raster.meta).join(leave, "root").select("i", "root", F.when(F.col("leave"), F.lit(0)).otherwise(F.col("root") + 1).cast("long").alias("bid"))
 
 
-def saddles(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bid, saddle, outlet, height): each basin's lowest way out.
+def saddles(raster: Raster, labels: DataFrame, field: str = "z") -> DataFrame:
+    """(bid, saddle, outlet, height, other): each basin's lowest way out, by the labels (i, bid) of basins.
 
-    Ties go by (height, lesser cell, greater cell), one order for all basins, so choices can only loop in pairs.
+    Labels are gathered with the heights, so links need no join. Ties go by (height, lesser cell, greater cell), one order
+    for all basins, so choices can only loop in pairs.
     """
-    a, b = labels.select("i", "bid"), labels.select(F.col("i").alias("j"), F.col("bid").alias("other"))
-    out = pairs.join(a.where("bid <> 0"), "i").join(b, "j").where("bid <> other")
-    best = out.groupBy("bid").agg(F.min(F.struct("height", "low", "high", "i", "j", "other")).alias("s"))
+    cells = raster.cells.select("i", "row", "col", F.col(field).alias("v"), *(["bc"] if raster.meta.mode == "custom" else [])).join(labels.select("i", "bid"), "i")
+    pairs = edges(raster.with_cells(cells), "v", "bid").where("bid <> 0 and bid <> bid_j")
+    way = F.struct(F.greatest("v", "v_j").alias("height"), F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "j", F.col("bid_j").alias("other"))
+    best = pairs.groupBy("bid").agg(F.min(way).alias("s"))
     return best.select("bid", F.col("s.i").alias("saddle"), F.col("s.j").alias("outlet"), F.col("s.height").alias("height"), F.col("s.other").alias("other"))
 
 
@@ -47,19 +48,12 @@ def _kept(found: DataFrame) -> DataFrame:
     return found.join(mutual, "bid", "left_anti")
 
 
-def _carved(links: DataFrame, found: DataFrame) -> DataFrame:
+def _carved(links: DataFrame, found: DataFrame, meta: Meta) -> DataFrame:
     """Turns round the links from each saddle down to its pit and leads the saddle to its outlet."""
     tree = as_tree(links)
-    tagged, pointer = written(found.select(F.col("saddle").alias("i")), "tags"), written(tree, "pointers")
-    while True:  # tags reach twice as far each round
-        more = tagged.join(pointer.where("p is not null"), "i").select(F.col("p").alias("i"))
-        grown = written(tagged.union(more).distinct(), "tags")
-        if not some(pointer.where("p is not null").join(tagged, "i", "left_semi")):
-            break
-        up = pointer.select(F.col("i").alias("p"), F.col("p").alias("up"))
-        pointer = written(pointer.join(up, "p", "left").select("i", F.col("up").alias("p")), "pointers")
-        tagged = grown
-    turned = tree.where("p is not null").join(tagged, "i", "left_semi").select(F.col("p").alias("i"), F.col("i").alias("new"), F.lit(1).alias("rank"))
+    marks = tree.join(found.select(F.col("saddle").alias("i"), F.lit(1).cast("long").alias("q")), "i", "left").select("i", "p", F.coalesce("q", F.lit(0).cast("long")).alias("q"))
+    below = descendants(marks, block=tiled(meta)).where("q > 0").select("i")  # cells on the way from a saddle to its pit
+    turned = tree.where("p is not null").join(below, "i", "left_semi").select(F.col("p").alias("i"), F.col("i").alias("new"), F.lit(1).alias("rank"))
     changes = turned.union(found.select(F.col("saddle").alias("i"), F.col("outlet").alias("new"), F.lit(0).alias("rank")))
     changes = changes.groupBy("i").agg(F.min(F.struct("rank", "new"))["new"].alias("new"))
     return links.join(changes, "i", "left").select("i", F.coalesce("new", "rcv").alias("rcv"))
@@ -71,19 +65,21 @@ def reroute(raster: Raster, links: DataFrame, carve: bool = True, field: str = "
     carve: turn the path from saddle to pit round; else the pit jumps to the outlet cell. Without any way out of the
     raster the last basin keeps its pit.
     """
-    pairs = written(crossings(raster, field), "crossings")
     links = written(links.select("i", "rcv"), "receivers")
     for _ in range(rounds):
         labels = written(basins(raster, links), "basins")
-        found = written(_kept(saddles(pairs, labels)), "saddles") if some(labels.where("bid <> 0")) else None
-        if found is None or not some(found):
+        found = written(_kept(saddles(raster, labels, field)), "saddles")
+        if not some(found):
+            dropped(labels, found)
             return links
         if carve:
-            links = written(_carved(links, found), "receivers")
+            new = _carved(links, found, raster.meta)
         else:
             jump = found.select((F.col("bid") - 1).alias("i"), F.col("outlet").alias("new"))
-            links = written(links.join(jump, "i", "left").select("i", F.coalesce("new", "rcv").alias("rcv")), "receivers")
-    return links
+            new = links.join(jump, "i", "left").select("i", F.coalesce("new", "rcv").alias("rcv"))
+        before, links = links, written(new, "receivers")
+        dropped(before, labels, found)
+    raise ValueError("basins remain after all rounds")
 
 
 def _heights(raster: Raster, links: DataFrame, field: str) -> DataFrame:
@@ -95,7 +91,8 @@ def fill(raster: Raster, links: DataFrame, epsilon: float = 1e-3, field: str = "
     done = ancestors(
         _heights(raster, links, field),
         {"m": F.col("v"), "d": F.lit(1).cast("long")},
-        {"m": lambda n, f: F.greatest(n["m"], f["m"] + n["d"] * F.lit(epsilon)), "d": lambda n, f: n["d"] + f["d"]},
+        {"m": lambda n, f: larger(n["m"], f["m"] + n["d"] * epsilon), "d": lambda n, f: n["d"] + f["d"]},
+        block=tiled(raster.meta),
     )
     return done.select("i", F.col("m").alias("z"))
 
@@ -108,7 +105,8 @@ def breach(raster: Raster, links: DataFrame, slope: float = 0.56, field: str = "
     done = ancestors(
         tree.join(raster.cells.select("i", F.col(field).cast("double").alias("v")), "i"),
         {"m": F.col("v"), "d": F.lit(1).cast("long")},
-        {"m": lambda n, f: F.least(n["m"], f["m"] + n["d"] * F.lit(step)), "d": lambda n, f: n["d"] + f["d"]},
+        {"m": lambda n, f: lesser(n["m"], f["m"] + n["d"] * step), "d": lambda n, f: n["d"] + f["d"]},
+        block=tiled(raster.meta),
     )
     return done.select("i", F.col("m").alias("z"))
 
@@ -129,22 +127,59 @@ def split_surface(surface: str = "zh", bed: str = "z") -> dict:
 def carve_down(raster: Raster, links: DataFrame, drop: float = 2e-3, field: str = "z") -> DataFrame:
     """(i, z): from every local minimum that water cannot leave, the steepest path lowered by `drop` a step until a lower cell or a root.
 
-    links: receivers that lead out of the pits, see reroute(); a pit that is its own receiver stays as it is. The paths of
-    all minima advance together, to their ends; where paths meet, the lowest wins.
+    links: receivers that lead out of the pits, see reroute(); a pit that is its own receiver stays as it is. A task takes
+    all walks of a tile to their ends or to the tile's border, from where the next round goes on; where walks meet, the
+    lowest wins.
     """
-    cells = raster.cells.select("i", F.col(field).alias("z"))
-    around = edges(raster, field)
-    lowest = around.groupBy("i").agg(F.min(f"{field}_j").alias("near"))
-    inside = raster.cells.where(~can_leave(raster.meta)).select("i")
-    open_ = links.where("rcv <> i").select("i", "rcv")
-    onward = written(open_.join(open_.select(F.col("i").alias("rcv")), "rcv", "left_semi"), "onward")  # a root is not lowered
-    front = cells.join(lowest, "i").join(inside, "i", "left_semi").where("z <= near").select("i", F.col("z").alias("ref"), F.lit(1).cast("long").alias("n"))
-    front = written(front, "front")
-    changes = front.select("i", F.col("ref").alias("new")).limit(0)
-    for _ in range(raster.meta.nx * raster.meta.ny + 1):  # no path is longer
-        moved = front.join(onward, "i").select(F.col("rcv").alias("i"), "ref", "n").join(cells, "i")
-        front = written(moved.where(F.col("z") >= F.col("ref") - (F.col("n") - 1) * drop).select("i", "ref", (F.col("n") + 1).alias("n")), "front")
-        if not some(front):
-            return cells.join(changes, "i", "left").select("i", F.coalesce("new", "z").alias("z"))
-        changes = written(changes.union(front.select("i", F.col("ref") - (F.col("n") - 1) * drop)).groupBy("i").agg(F.min("new").alias("new")), "carved")
+    tile, near = tiled(raster.meta), gather(raster, field)
+    lowest = F.least(*[F.col(f"{field}_{d}") for d, _, _ in D4])
+    starts = near.where(~can_leave(raster.meta) & (F.col(field) <= lowest)).select("i", F.col(field).alias("ref"), F.lit(0).cast("long").alias("n"))
+    cells = raster.cells.select("i", F.col(field).cast("double").alias("z")).join(links, "i")
+    cells = cells.select("i", "z", F.when(F.col("rcv") != F.col("i"), F.col("rcv")).alias("p"))
+    cells = written(cells.withColumn("b", tile(F.col("i"))), "cells")
+    front, changes = starts, []
+    for _ in range(raster.meta.nx * raster.meta.ny + 1):  # no path crosses more borders
+        seen = Observation()
+        walked = cells.groupBy("b").cogroup(front.withColumn("b", tile(F.col("i"))).groupBy("b")).applyInArrow(lambda own, walks: _walked(own, walks, drop), "i long, new double, n long, ref double")
+        walked = written(walked.observe(seen, F.count("n").alias("open"), F.min("n").alias("least")), "walked")
+        if (seen.get["least"] or 0) < 0:
+            break
+        changes.append(walked.where("n is null").select("i", "new"))
+        if not seen.get["open"]:
+            lowered = reduce(DataFrame.union, changes).groupBy("i").agg(F.min("new").alias("new"))
+            return raster.cells.select("i", F.col(field).alias("z")).join(lowered, "i", "left").select("i", F.least("z", F.coalesce("new", "z")).alias("z"))
+        front = walked.where("n is not null").select("i", "ref", "n").groupBy("i", "ref", "n").agg()
     raise ValueError("the links have a cycle")
+
+
+def _walked(own: pa.Table, walks: pa.Table, drop: float) -> pa.Table:
+    """One tile: (i, height, null, null) for lowered cells, (i, null, n, ref) for walks that go on in another tile.
+
+    A walk stands at cell i, n steps from its minimum of height ref; at n > 0 the cell itself is still to be looked at. A
+    cell whose link ends there (it is its own receiver) is not lowered.
+    """
+    kinds = pa.schema([("i", pa.int64()), ("new", pa.float64()), ("n", pa.int64()), ("ref", pa.float64())])
+    if not len(walks):
+        return kinds.empty_table()
+    own = own.sort_by("i")
+    i, z, last = np.asarray(own["i"]), np.asarray(own["z"]), np.asarray(own["p"].is_null())
+    p = np.asarray(pc.fill_null(own["p"], -1), np.int64)
+    new, away = np.full(len(i), np.inf), []
+    at, ref, n = np.searchsorted(i, np.asarray(walks["i"])), np.asarray(walks["ref"]), np.asarray(walks["n"])
+    for _ in range(len(i) + 1):
+        goes = ((n == 0) | (z[at] >= ref - (n - 1) * drop)) & ~last[at]
+        at, ref, n = at[goes], ref[goes], n[goes]
+        low = n > 0
+        np.minimum.at(new, at[low], ref[low] - n[low] * drop)
+        to = np.minimum(np.searchsorted(i, p[at]), len(i) - 1)
+        inside = i[to] == p[at]
+        away.append((p[at][~inside], n[~inside] + 1, ref[~inside]))
+        at, ref, n = to[inside], ref[inside], n[inside] + 1
+        if not len(at):
+            break
+    else:  # a cycle: told by a negative number of steps
+        away.append((p[at], np.full(len(at), -1), ref))
+    some = np.flatnonzero(np.isfinite(new))
+    there, steps, height = (np.concatenate(x) for x in zip(*away, strict=True))
+    lowered = pa.table([pa.array(i[some]), pa.array(new[some]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.float64())], schema=kinds)
+    return pa.concat_tables([lowered, pa.table([pa.array(there), pa.nulls(len(there), pa.float64()), pa.array(steps), pa.array(height)], schema=kinds)])

@@ -35,7 +35,7 @@ def stream_power(raster: Raster, links: DataFrame, p: Params = Params()) -> Data
     leave = can_leave(raster.meta)
     terms = raster.cells.select("i", F.when(leave, F.lit(0.0)).otherwise(k / (1 + k)).alias("a"), F.when(leave, F.col("z")).otherwise(F.col("z") / (1 + k)).alias("b"), leave.alias("leave"))
     ends = links.join(terms, "i").select("i", F.when(F.col("leave"), F.col("i")).otherwise(F.col("rcv")).alias("rcv"), "a", "b")
-    return affine(ends).select("i", F.col("x").alias("z"))
+    return affine(ends, meta=raster.meta).select("i", F.col("x").alias("z"))
 
 
 def sediment_source(before: DataFrame, after: DataFrame, dx: float, dt: float) -> DataFrame:
@@ -66,7 +66,10 @@ def deposit(raster: Raster, links: DataFrame, p: Params = Params(), rounds: int
 
 
 def stream_power_transport(raster: Raster, links: DataFrame, p: Params = Params(), implicit: bool = False, rounds: int = 5, limit: int = 50, tolerance: float = 1e-3) -> Raster:
-    """Erosion, its sediment and deposition: once, or until the mean change of z is small and `rounds` are done."""
+    """Erosion, its sediment and deposition: once, or until the mean change of z is small and `rounds` are done.
+
+    `limit` implicit rounds that do not settle are an error.
+    """
     first = raster.cells
     state = raster
     for k in range(limit if implicit else 1):
@@ -77,6 +80,6 @@ def stream_power_transport(raster: Raster, links: DataFrame, p: Params = Params(
         done = written(state.cells.join(laid, "i"), "laid")
         change = done.agg(F.avg(F.abs(F.col("z1") - F.col("z")))).first()[0] or 0.0
         state = raster.with_cells(done.withColumn("z", F.col("z1")).drop("z1"))
-        if implicit and k + 1 >= rounds and change <= tolerance:
-            break
-    return state
+        if not implicit or (k + 1 >= rounds and change <= tolerance):
+            return state
+    raise ValueError("erosion and deposition did not settle")

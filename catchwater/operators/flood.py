@@ -58,7 +58,7 @@ class Flood:
             links = depressions.reroute(surface, links, carve, "zh")
             wet = depressions.fill_into_water(self.raster, links, epsilon).select("i", F.col("h").alias("hf"))
             raster = raster.with_cells(raster.cells.join(wet, "i").withColumn("h", F.col("hf")).drop("hf"))
-        q = accumulate.accumulate(links, raster.cells.select("i", self._source(rain).alias("q")))
+        q = accumulate.accumulate(links, raster.cells.select("i", self._source(rain).alias("q")), meta=raster.meta)
         cells = raster.cells.drop("q").join(q, "i").select(*raster.cells.columns)
         return self._with(raster.with_cells(written(cells, "routed"))), links
 

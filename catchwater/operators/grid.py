@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -19,10 +20,13 @@ D8 = (("tl", -1, -1), ("t", -1, 0), ("tr", -1, 1), ("l", 0, -1), ("r", 0, 1), ("
 
 @dataclass(frozen=True)
 class Meta:
+    """Shape, cell size, boundary mode and, as JSON, what a file told of place and reference system."""
+
     nx: int
     ny: int
     dx: float = 1.0
     mode: str = "normal"
+    geo: str = ""
 
     def __post_init__(self):
         if self.mode not in MODES:
@@ -129,37 +133,62 @@ def is_nodata(meta: Meta) -> Column:
     return F.col("bc") == NODATA if meta.mode == "custom" else F.lit(False)
 
 
+#: Cells on a side of a tile.
+TILE = 128
+
+
+def tiled(meta: Meta, size: int = 2 * TILE) -> Callable[[Column], Column]:
+    """Tiles as a function of the cell's number, for the loops of plans.iterate."""
+    across = -(-meta.nx // size)
+    return lambda i: F.floor(i / (meta.nx * size)) * across + F.floor(F.pmod(i, F.lit(meta.nx)) / size)
+
+
+def _copies(place: str, n: int, wraps: bool) -> Column:
+    """(tile, place) of a row or column: in its own tile and, at a tile's border, in the next; past the far ends if wrapped."""
+    at, last = F.col(place), (n - 1) // TILE
+    own = F.floor(at / TILE)
+    pair = lambda tile, where: F.struct(tile.cast("long").alias("t"), where.cast("long").alias("at"))
+    more = [
+        F.when((F.pmod(at, F.lit(TILE)) == 0) & (at > 0), pair(own - 1, at)),
+        F.when((F.pmod(at + 1, F.lit(TILE)) == 0) & (at < n - 1), pair(own + 1, at)),
+    ]
+    if wraps:
+        more += [F.when(at == 0, pair(F.lit(last), F.lit(n))), F.when(at == n - 1, pair(F.lit(0), F.lit(-1)))]
+    return F.array_compact(F.array(pair(own, at), *more))
+
+
 def gather(raster: Raster, *fields: str, eight: bool = False) -> DataFrame:
     """The cells with each field of each neighbour, as field_direction (i_t, z_t, ...); null where there is none.
 
-    Two windows (one over rows, one over columns) instead of a join for each direction: two shuffles for any number of
-    fields and for diagonals too. Wrapped axes take the far end of the same window partition. In custom mode a cell of
-    code 9 wraps on the axis of its edge (a corner: north-south), and a cell of code 0 is nobody's neighbour.
+    Cells are dealt to tiles in one shuffle, those at a tile's border to the tiles beside it too; two windows inside a tile
+    (one along rows, one along columns) then give all neighbours, diagonals included. Wrapped axes have the far end beside
+    their first and last tile. In custom mode a cell of code 9 wraps on the axis of its edge (a corner: north-south), and a
+    cell of code 0 is nobody's neighbour.
     """
     meta, fields = raster.meta, tuple(dict.fromkeys(("i", *fields)))
     custom = meta.mode == "custom"
     own = F.struct(*fields, *(["bc"] if custom and "bc" not in fields else []))
-    row, column = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
-    full = (Window.unboundedPreceding, Window.unboundedFollowing)
-    kind = edge_class(meta)
-    east_west = kind.isin(4, 5) & (F.col("bc") == PERIODIC) if custom else F.lit(meta.mode == "periodic_EW")
-    north_south = kind.isin(1, 2, 3, 6, 7, 8) & (F.col("bc") == PERIODIC) if custom else F.lit(meta.mode == "periodic_NS")
     wraps_ew, wraps_ns = custom or meta.mode == "periodic_EW", custom or meta.mode == "periodic_NS"
-
-    def sides(value: Column, window, wraps: bool, where: Column) -> tuple[Column, Column]:
-        before, after = F.lag(value).over(window), F.lead(value).over(window)
-        if not wraps:
-            return before, after
-        last, first = F.last(value).over(window.rowsBetween(*full)), F.first(value).over(window.rowsBetween(*full))
-        return F.coalesce(before, F.when(where, last)), F.coalesce(after, F.when(where, first))
-
-    left, right = sides(F.col("__s"), row, wraps_ew, east_west)
-    df = raster.cells.withColumn("__s", own).withColumns({"__l": left, "__r": right})
-    up, down = sides(F.struct("__s", "__l", "__r") if eight else F.struct("__s"), column, wraps_ns, north_south)
-    df = df.withColumns({"__u": up, "__d": down})
-    places = {"t": "__u.__s", "l": "__l", "r": "__r", "b": "__d.__s"}
+    df = raster.cells.withColumn("__s", own).withColumn("__r", F.explode(_copies("row", meta.ny, wraps_ns))).withColumn("__c", F.explode(_copies("col", meta.nx, wraps_ew)))
+    df = df.withColumns({"__tr": F.col("__r.t"), "__tc": F.col("__c.t"), "__r": F.col("__r.at"), "__c": F.col("__c.at")}).repartition("__tr", "__tc")
+    along, across = Window.partitionBy("__tr", "__tc", "__r").orderBy("__c"), Window.partitionBy("__tr", "__tc", "__c").orderBy("__r")
+    df = df.withColumns({"__l": F.lag("__s").over(along), "__g": F.lead("__s").over(along)})
+    line = F.struct("__s", "__l", "__g") if eight else F.struct("__s")
+    df = df.withColumn("__line", line)
+    df = df.withColumns({"__u": F.lag("__line").over(across), "__d": F.lead("__line").over(across)})
+    inner = (F.col("__r") == F.col("row")) & (F.col("__c") == F.col("col")) & (F.floor(F.col("row") / TILE) == F.col("__tr")) & (F.floor(F.col("col") / TILE) == F.col("__tc"))
+    df = df.where(inner)
+    if custom:  # an axis wraps only at cells of code 9
+        kind, coded = edge_class(meta), F.col("bc") == PERIODIC
+        east_west, north_south = kind.isin(4, 5) & coded, kind.isin(1, 2, 3, 6, 7, 8) & coded
+        off = lambda name, at_end, wraps: F.when(at_end & ~wraps, F.lit(None)).otherwise(F.col(name))
+        df = df.withColumns({
+            "__l": off("__l", F.col("col") == 0, east_west), "__g": off("__g", F.col("col") == meta.nx - 1, east_west),
+            "__u": off("__u", F.col("row") == 0, north_south), "__d": off("__d", F.col("row") == meta.ny - 1, north_south),
+        })
+    places = {"t": "__u.__s", "l": "__l", "r": "__g", "b": "__d.__s"}
     if eight:
-        places |= {"tl": "__u.__l", "tr": "__u.__r", "bl": "__d.__l", "br": "__d.__r"}
+        places |= {"tl": "__u.__l", "tr": "__u.__g", "bl": "__d.__l", "br": "__d.__g"}
     for d, place in places.items():
         value = F.col(place)
         df = df.withColumn(f"__{d}_", F.when(value["bc"] != NODATA, value) if custom else value)
@@ -179,8 +208,9 @@ def any_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns)
 
 
-def tile_ids(meta: Meta, size: int, shift: tuple[int, int] = (0, 0)) -> Column:
-    """Tiles counted from 1 row by row, rolled by (rows, columns)."""
+def tile_ids(meta: Meta, size: int, shift: tuple[int, int] = (0, 0), of: Column | None = None) -> Column:
+    """Tiles counted from 1 row by row, rolled by (rows, columns), of each cell or of the cell number `of`."""
     across = -(-meta.nx // size)
-    r, c = F.floor(F.pmod(F.col("row") - shift[0], F.lit(meta.ny)) / size), F.floor(F.pmod(F.col("col") - shift[1], F.lit(meta.nx)) / size)
+    row, col = (F.col("row"), F.col("col")) if of is None else (F.floor(of / meta.nx), F.pmod(of, F.lit(meta.nx)))
+    r, c = F.floor(F.pmod(row - shift[0], F.lit(meta.ny)) / size), F.floor(F.pmod(col - shift[1], F.lit(meta.nx)) / size)
     return (r * across + c + 1).cast("long")

@@ -12,10 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catchwater.functions.columns import positive_slope, sign, uniform
+from catchwater.functions.columns import drawn, positive_slope, sign
 from catchwater.operators.accumulate import slope_weights
 from catchwater.operators.grid import D4, Raster, can_leave, gather, is_nodata, tile_ids
-from catchwater.plans.iterate import written
+from catchwater.plans.iterate import dropped, written
 
 
 @dataclass(frozen=True)
@@ -51,17 +51,23 @@ def two_axis_slope(dx: float, field: str = "zh", own: Column | None = None) -> t
     return F.greatest(s["l"], s["r"]), F.greatest(s["t"], s["b"])
 
 
-def hydraulic_slope(raster: Raster) -> DataFrame:
-    """(i, sw): norm of the two-axis slope of z + h; 0 at outlets and without data."""
+def _sloped(raster: Raster) -> tuple[DataFrame, Column]:
+    """The gathered cells and the norm of the two-axis slope of z + h; 0 at outlets and without data."""
     mx, my = two_axis_slope(raster.meta.dx)
     off = can_leave(raster.meta) | is_nodata(raster.meta)
-    return gather(_surface(raster), "zh").select("i", F.when(off, F.lit(0.0)).otherwise(F.sqrt(mx * mx + my * my)).alias("sw"))
+    return gather(_surface(raster), "zh"), F.when(off, F.lit(0.0)).otherwise(F.sqrt(mx * mx + my * my))
+
+
+def hydraulic_slope(raster: Raster) -> DataFrame:
+    """(i, sw): norm of the two-axis slope of z + h; 0 at outlets and without data."""
+    near, slope = _sloped(raster)
+    return near.select("i", slope.alias("sw"))
 
 
 def shear_stress(raster: Raster, density: float = 1000.0, gravity: float = 9.81) -> DataFrame:
     """(i, tau): slope times depth times density times gravity."""
-    slope = hydraulic_slope(raster)
-    return raster.cells.join(slope, "i").select("i", (F.col("sw") * F.col("h") * density * gravity).alias("tau"))
+    near, slope = _sloped(raster)
+    return near.select("i", (slope * F.col("h") * density * gravity).alias("tau"))
 
 
 def _capacity(h: Column, slope: Column, dx: float, manning: float) -> Column:
@@ -87,17 +93,24 @@ def manning_core(raster: Raster, links: DataFrame, p: Params = Params()) -> Rast
 
 
 def _arrived(w: DataFrame, q: DataFrame) -> DataFrame:
-    return w.join(q.select("i", "q"), "i").groupBy(F.col("j").alias("i")).agg(F.sum(F.col("q") * F.col("w")).alias("more"))
+    return _landed(w.join(q.select("i", "q"), "i"))
+
+
+def _landed(w: DataFrame) -> DataFrame:
+    return w.groupBy(F.col("j").alias("i")).agg(F.sum(F.col("q") * F.col("w")).alias("more"))
 
 
 def diffuse(raster: Raster, source: Column, q: str = "q", keep_old: float = 0.0, to_outlets: bool = True, weights: DataFrame | None = None) -> DataFrame:
     """(i, q): source plus what lower-neighbour weights bring from q, blended with the old q.
 
-    Outlets and cells without data send nothing; outlets receive if to_outlets, else they keep their source.
+    Outlets and cells without data send nothing; outlets receive if to_outlets, else they keep their source. Without given
+    weights, a cell's links carry its q, so what it sends needs no join.
     """
     emit = ~(can_leave(raster.meta) | is_nodata(raster.meta))
-    w = slope_weights(_surface(raster), "zh", emit) if weights is None else weights
-    more = _arrived(w, raster.cells.select("i", F.col(q).alias("q")))
+    if weights is None:
+        more = _landed(slope_weights(_surface(raster.with_columns(q=F.col(q))), "zh", emit, "q"))
+    else:
+        more = _arrived(weights, raster.cells.select("i", F.col(q).alias("q")))
     got = F.coalesce("more", F.lit(0.0)) if to_outlets else F.when(can_leave(raster.meta), F.lit(0.0)).otherwise(F.coalesce("more", F.lit(0.0)))
     return raster.cells.join(more, "i", "left").select("i", (F.lit(1.0 - keep_old) * (source + got) + F.lit(keep_old) * F.col(q)).alias("q"))
 
@@ -236,13 +249,11 @@ def sweep(raster: Raster, source: Column, omega: float = 1.0, mask: Column | Non
     """
     off = can_leave(raster.meta) | is_nodata(raster.meta)
     cells = raster if tile is None else raster.with_columns(tile=tile_ids(raster.meta, tile))
-    w = slope_weights(cells, "zh", ~off)
     if tile is None:
-        more = _arrived(w, raster.cells)
+        more = _landed(slope_weights(cells, "zh", ~off, "q"))
     else:
-        of = cells.cells.select("i", "tile")
-        w = w.join(of, "i").join(of.select(F.col("i").alias("j"), F.col("tile").alias("tile_j")), "j").join(raster.cells.select("i", "q", "qapp"), "i")
-        sent = F.when(F.col("tile") == F.col("tile_j"), F.col("q")).otherwise(F.col("qapp"))
+        w = slope_weights(cells, "zh", ~off, "q", "qapp", "tile")
+        sent = F.when(F.col("tile") == tile_ids(raster.meta, tile, of=F.col("j")), F.col("q")).otherwise(F.col("qapp"))
         more = w.groupBy(F.col("j").alias("i")).agg(F.sum(sent * F.col("w")).alias("more"))
     on = F.lit(True) if mask is None else mask
     if parity is not None:
@@ -257,9 +268,10 @@ def spread_mask(raster: Raster, mask: Column) -> DataFrame:
     return w.select(F.col("j").alias("i")).union(raster.cells.where(mask).select("i")).distinct()
 
 
-def smoothed(raster: Raster, tau: float = 0.2, outer: int = 200, tolerance: float = 1e-4, sigma: float | None = None, sweeps: int = 1) -> Raster:
-    """h after the water surface is smoothed at constant volume.
+def smoothed(raster: Raster, tau: float = 0.2, outer: int | None = None, tolerance: float = 1e-4, sigma: float | None = None, sweeps: int = 1, limit: int = 10_000) -> Raster:
+    """h after the water surface is smoothed at constant volume: `outer` rounds, or until no cell moves by the tolerance.
 
+    Without a number of rounds, `limit` rounds that do not settle are an error.
     Each round: a red and a black Laplacian step of eta = z + h (weights exp(-|dz/dx|/sigma) with sigma), a floor at the
     bed, and one shift that restores the volume, found by bisections that try 24 shifts in each pass over the table.
     """
@@ -267,16 +279,19 @@ def smoothed(raster: Raster, tau: float = 0.2, outer: int = 200, tolerance: floa
     area = dx * dx
     state = written(raster.cells.withColumn("eta", F.col("z") + F.col("h")), "surface")
     target = state.agg(F.sum(area * F.greatest(F.lit(0.0), F.col("eta") - F.col("z")))).first()[0] or 0.0
-    for _ in range(outer):
+    for k in range(limit if outer is None else outer):
         step = raster.with_cells(state.withColumn("old", F.col("eta")))
         for _ in range(sweeps):
             for parity in (0, 1):
                 step = raster.with_cells(diffused(step, parity, tau, sigma))
         floored = written(step.cells.withColumn("eta", F.greatest("eta", "z")), "surface")
         shift = matching_shift(floored, target, area)
-        state = written(floored.withColumn("eta", F.greatest(F.col("z"), F.col("eta") + F.lit(shift))), "surface")
+        before, state = state, written(floored.withColumn("eta", F.greatest(F.col("z"), F.col("eta") + F.lit(shift))), "surface")
+        dropped(before, floored)
         if (state.agg(F.max(F.abs(F.col("eta") - F.col("old")))).first()[0] or 0.0) < tolerance:
             break
+        if outer is None and k + 1 == limit:
+            raise ValueError("the surface did not settle")
     return raster.with_cells(state.withColumn("h", F.greatest(F.lit(0.0), F.col("eta") - F.col("z"))).select(*raster.cells.columns))
 
 
@@ -321,7 +336,8 @@ def max_difference(df: DataFrame, a: str, b: str) -> DataFrame:
 def run(raster: Raster, step: Callable[[Raster], Raster], n: int) -> Raster:
     """n steps, each written."""
     for _ in range(n):
-        raster = raster.with_cells(written(step(raster).cells, "state"))
+        before, raster = raster, raster.with_cells(written(step(raster).cells, "state"))
+        dropped(before.cells)
     return raster
 
 
@@ -330,4 +346,4 @@ def bumped(raster: Raster, seed: int, amount: float = 1e-2) -> Raster:
     near = gather(_surface(raster), "zh")
     lowest = F.least(*[F.col(f"zh_{d}") for d, _, _ in D4])
     off = can_leave(raster.meta) | is_nodata(raster.meta)
-    return raster.with_cells(near.withColumn("h", F.when(~off & (F.col("zh") <= lowest), F.col("h") + uniform(seed, F.col("i")) * amount).otherwise(F.col("h"))).select(*raster.cells.columns))
+    return raster.with_cells(near.withColumn("h", F.when(~off & (F.col("zh") <= lowest), F.col("h") + drawn(seed, F.col("i")) * amount).otherwise(F.col("h"))).select(*raster.cells.columns))

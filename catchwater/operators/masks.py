@@ -41,10 +41,10 @@ def beside_nodata(raster: Raster, nodata: Column) -> DataFrame:
 
 def lasso_outlets(raster: Raster, nodata: Column, points: Sequence[tuple[float, float]]) -> Raster:
     """bc = 3 inside the polygon (of column, row points) at cells with data on the edge or beside missing data."""
-    beside = beside_nodata(raster, nodata)
-    on = inside_polygon(points, F.col("col").cast("double"), F.col("row").cast("double")) & ~nodata & (on_edge(raster.meta) | F.col("beside"))
-    joined = raster.cells.join(beside, "i")
-    return raster.with_cells(joined.withColumn("bc", F.when(on, F.lit(OUTLET)).otherwise(F.col("bc")).cast("byte")).select(*raster.cells.columns))
+    near = gather(raster.with_columns(nd=nodata), "nd")
+    beside = any_of([F.coalesce(F.col(f"nd_{d}"), F.lit(False)) for d, _, _ in D4])
+    on = inside_polygon(points, F.col("col").cast("double"), F.col("row").cast("double")) & ~F.col("nd") & (on_edge(raster.meta) | beside)
+    return raster.with_cells(near.withColumn("bc", F.when(on, F.lit(OUTLET)).otherwise(F.col("bc")).cast("byte")).select(*raster.cells.columns))
 
 
 def brush(raster: Raster, field: str, at: Sequence[tuple[int, int]], radius: int, amount: float) -> Raster:

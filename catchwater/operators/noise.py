@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catchwater.functions.columns import uniform
+from catchwater.functions.columns import drawn
 from catchwater.operators.grid import Meta, Raster
+from catchwater.plans.iterate import written
 
-#: Gradients by the low three bits of a hash: four diagonals, four axes.
+# Gradients by the low three bits of a hash (four diagonals, four axes).
 GRADIENTS = ((1, 1), (-1, 1), (1, -1), (-1, -1), (1, 0), (-1, 0), (0, 1), (0, -1))
 
 
@@ -23,47 +24,67 @@ def _cells(spark: SparkSession, nx: int, ny: int):
 
 def white(spark: SparkSession, nx: int, ny: int, amplitude: float = 1.0, seed: int = 42) -> Raster:
     """Uniform between -amplitude and amplitude."""
-    return Raster(_cells(spark, nx, ny).withColumn("z", (uniform(seed, F.col("i")) * 2 - 1) * amplitude), Meta(nx, ny))
+    return Raster(_cells(spark, nx, ny).withColumn("z", (drawn(seed, F.col("i")) * 2 - 1) * amplitude), Meta(nx, ny))
+
+
+#: Rows or columns in a band, of which a task transforms one.
+BAND = 64
+
+
+def _bands(df: DataFrame, key: str, order: str, n: int, change: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(row, col, re, im) after `change` of the complex matrix of each band of rows (key) of n values; it gets the rows' numbers too."""
+    schema = "row long, col long, re double, im double"
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([(key, "ascending"), (order, "ascending")])
+        lines = np.asarray(part[key]).reshape(-1, n)[:, 0]
+        x = change(lines, (np.asarray(part["re"]) + 1j * np.asarray(part["im"])).reshape(-1, n)).ravel()
+        return pa.table([part["row"], part["col"], pa.array(x.real), pa.array(x.imag)], names=["row", "col", "re", "im"])
+
+    return df.withColumn("band", F.floor(F.col(key) / BAND)).groupBy("band").applyInArrow(_unbanded(run), schema)
+
+
+def _unbanded(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    def call(part: pa.Table) -> pa.Table:
+        return run(part.drop_columns(["band"]))
+
+    return call
 
 
 def red(spark: SparkSession, nx: int, ny: int, amplitude: float = 1.0, seed: int = 42, exponent: float = 1.0) -> Raster:
     """White noise whose spectrum falls as 1 / |k|**exponent, without mean, scaled to the amplitude.
 
-    A transform over the whole raster has no relational form, and its size is a parameter, not data: one task makes it.
+    The transform is separable: bands of rows, then bands of columns are transformed, the spectrum is scaled while columns
+    are at hand, and both are transformed back. A task holds a band of BAND lines.
     """
+    base = white(spark, nx, ny, 1.0, seed).cells.select("row", "col", F.col("z").alias("re"), F.lit(0.0).alias("im"))
+
+    def scaled(cols: np.ndarray, x: np.ndarray) -> np.ndarray:
+        ky, kx = np.fft.fftfreq(ny)[None, :] * ny, (((cols + nx // 2) % nx) - nx // 2)[:, None] if nx % 2 == 0 else (((cols + (nx - 1) // 2) % nx) - (nx - 1) // 2)[:, None]
+        k = np.hypot(ky, kx)
+        spectrum = np.fft.fft(x, axis=1) / np.where(k == 0, 1.0, k) ** exponent
+        return np.fft.ifft(np.where(k == 0, 0, spectrum), axis=1)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rng = np.random.Generator(np.random.PCG64(seed))
-            ky, kx = np.fft.fftfreq(ny)[:, None] * ny, np.fft.fftfreq(nx)[None, :] * nx
-            k = np.hypot(ky, kx)
-            k[0, 0] = 1
-            spectrum = np.fft.fft2(rng.standard_normal((ny, nx))) / k**exponent
-            spectrum[0, 0] = 0
-            z = np.fft.ifft2(spectrum).real
-            z -= z.mean()
-            z *= amplitude / max(np.abs(z).max(), 1e-12)
-            for row in range(ny):
-                i = np.arange(row * nx, (row + 1) * nx)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.full(nx, row)), pa.array(i % nx), pa.array(z[row])], ["i", "row", "col", "z"])
-
-    return Raster(spark.range(1, numPartitions=1).mapInArrow(make, "i long, row long, col long, z double"), Meta(nx, ny))
+    rows = _bands(base, "row", "col", nx, lambda _, x: np.fft.fft(x, axis=1))
+    both = _bands(rows, "col", "row", ny, scaled)
+    z = written(_bands(both, "row", "col", nx, lambda _, x: np.fft.ifft(x, axis=1)).select("row", "col", F.col("re").alias("z")), "noise")
+    mean, low, high = z.agg(F.avg("z"), F.min("z"), F.max("z")).first()
+    most = max(high - mean, mean - low, 1e-12) if mean is not None else 1.0
+    return Raster(z.select((F.col("row") * nx + F.col("col")).alias("i"), "row", "col", ((F.col("z") - F.lit(mean)) * F.lit(amplitude / most)).alias("z")), Meta(nx, ny))
 
 
 def autoregressive(spark: SparkSession, nx: int, ny: int, amplitude: float = 1.0, decay: float = 0.8, seed: int = 42) -> Raster:
-    """First-order recurrences along rows, then along columns, as folds over arrays."""
-    base = white(spark, nx, ny, 1.0, seed).cells
+    """First-order recurrences along rows, then along columns: x[k] = decay x[k - 1] + sqrt(1 - decay**2) e[k]."""
+    base = white(spark, nx, ny, 1.0, seed).cells.select("row", "col", F.col("z").alias("re"), F.lit(0.0).alias("im"))
 
-    def run(df, group: str, order: str):
-        lines = df.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "z"))), lambda s: s["z"]).alias("v"))
-        folded = F.aggregate("v", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) * decay + x * math.sqrt(1 - decay**2))))
-        return lines.select(group, F.posexplode(folded).alias(order, "z"))
+    def run(_: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out, last = np.empty_like(x), np.zeros(len(x), x.dtype)
+        for k in range(x.shape[1]):
+            out[:, k] = last = decay * last + x[:, k] * math.sqrt(1 - decay**2)
+        return out
 
-    out = run(run(base, "row", "col"), "col", "row")
-    row, col = F.col("row").cast("long"), F.col("col").cast("long")
-    return Raster(out.select((row * nx + col).alias("i"), row.alias("row"), col.alias("col"), (F.col("z") * amplitude).alias("z")), Meta(nx, ny))
+    out = _bands(_bands(base, "row", "col", nx, run), "col", "row", ny, run)
+    return Raster(out.select((F.col("row") * nx + F.col("col")).alias("i"), "row", "col", (F.col("re") * amplitude).alias("z")), Meta(nx, ny))
 
 
 def permutation(seed: int) -> list[int]:

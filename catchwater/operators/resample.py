@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def padded(raster: Raster) -> Raster:
     cells = raster.cells.withColumn("dr", F.explode(repeat("row", ny))).withColumn("dc", F.explode(repeat("col", nx)))
     wide = nx + nx % 2
     cells = cells.withColumns({"row": F.col("row") + F.col("dr"), "col": F.col("col") + F.col("dc")}).drop("dr", "dc")
-    return Raster(cells.withColumn("i", F.col("row") * wide + F.col("col")), Meta(wide, ny + ny % 2, raster.meta.dx, raster.meta.mode))
+    return Raster(cells.withColumn("i", F.col("row") * wide + F.col("col")), replace(raster.meta, nx=wide, ny=ny + ny % 2))
 
 
 def _cells(df: DataFrame, nx: int) -> DataFrame:
@@ -41,7 +42,7 @@ def halve(raster: Raster, method: str = "mean", boundary: str = "clamp", block:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
     _check(boundary)
     raster = padded(raster)
-    meta = Meta(raster.meta.nx // 2, raster.meta.ny // 2, raster.meta.dx * 2, raster.meta.mode)
+    meta = replace(raster.meta, nx=raster.meta.nx // 2, ny=raster.meta.ny // 2, dx=raster.meta.dx * 2)
     if block is not None:
         out = block(raster)
     elif method == "cubic":
@@ -89,7 +90,7 @@ def double(raster: Raster, noise: float = 0.0, seed: int = 0, boundary: str = "c
     value = z + (F.col("ux") * (F.col("a") - 0.5) + F.col("uy") * (F.col("b") - 0.5)) * F.col("strength")
     if noise:
         value = value + (uniform(seed, i) * 2 - 1) * F.lit(noise * 0.1) * F.col("strength")
-    return Raster(df.select(i.alias("i"), row.alias("row"), col.alias("col"), value.alias("z")), Meta(2 * nx, 2 * ny, raster.meta.dx / 2, raster.meta.mode))
+    return Raster(df.select(i.alias("i"), row.alias("row"), col.alias("col"), value.alias("z")), replace(raster.meta, nx=2 * nx, ny=2 * ny, dx=raster.meta.dx / 2))
 
 
 def resize_to(raster: Raster, nx: int, ny: int, boundary: str = "clamp") -> Raster:
@@ -106,7 +107,7 @@ def resize_to(raster: Raster, nx: int, ny: int, boundary: str = "clamp") -> Rast
     source = resolved(F.col("y0") + F.col("t.b"), sy, boundary) * sx + resolved(F.col("x0") + F.col("t.a"), sx, boundary)
     taps = df.select("i", "row", "col", source.cast("long").alias("src"), weight.alias("w")).where("w <> 0")
     out = taps.join(raster.cells.select(F.col("i").alias("src"), "z"), "src").groupBy("i", "row", "col").agg(F.sum(F.col("z") * F.col("w")).alias("z"))
-    return Raster(out, Meta(nx, ny, raster.meta.dx * sx / nx, raster.meta.mode))
+    return Raster(out, replace(raster.meta, nx=nx, ny=ny, dx=raster.meta.dx * sx / nx))
 
 
 def resize(raster: Raster, scale: float, boundary: str = "clamp") -> Raster:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catchwater.functions.columns import uniform
+from catchwater.functions.columns import drawn
 from catchwater.operators.grid import D4, D8, Raster, gather, is_nodata
 
 
@@ -38,7 +38,7 @@ def stochastic_receivers(raster: Raster, seed: int, reps: int = 1, field: str =
     values = []
     for k, (d, _, _) in enumerate(D4):
         slope = (F.col(field) - F.col(f"{field}_{d}")) / F.lit(raster.meta.dx)
-        values.append(F.when(slope > 0, uniform(seed, (F.col("rep") * 1_000_003 + F.col("i")) * 4 + k) * F.pow(slope, F.lit(exponent))))
+        values.append(F.when(slope > 0, drawn(seed, F.col("rep"), F.col("i"), F.lit(k)) * F.pow(slope, F.lit(exponent))))
     return near.select("rep", "i", first_largest(values, [F.col(f"i_{d}") for d, _, _ in D4], F.col("i")).alias("rcv"))
 
 

@@ -118,6 +118,11 @@ def _uniform_sql(seed: int, index: str) -> str:
     return f"(xor({x}, {x} >> 15) / 4294967295.0e0)"
 
 
+def _drawn_sql(seed: int, *keys: str) -> str:
+    text = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"(CAST('0x' || left(md5(concat_ws(',', '{seed}', {text})), 13) AS BIGINT) / 4503599627370496.0e0)"
+
+
 # Grid.
 
 
@@ -175,12 +180,14 @@ def pit_count(spark, d):
 
 @query(_recursive("SELECT a AS i, CAST(count(*) AS BIGINT) AS q FROM paths GROUP BY a"))
 def drainage_cells(spark, d):
-    return accumulate.drainage_cells(routing.receivers(r1(spark, d)))
+    raster = r1(spark, d)
+    return accumulate.drainage_cells(routing.receivers(raster), raster.meta)
 
 
 @query(_recursive("SELECT a AS i, CAST(count(*) AS BIGINT) AS q FROM paths GROUP BY a", "periodic_EW"))
 def drainage_cells_pew(spark, d):
-    return accumulate.drainage_cells(routing.receivers(r1(spark, d, "periodic_EW")))
+    raster = r1(spark, d, "periodic_EW")
+    return accumulate.drainage_cells(routing.receivers(raster), raster.meta)
 
 
 @query(_recursive("SELECT a AS i, CAST(count(*) * 0.5e0 AS DOUBLE) AS q FROM paths GROUP BY a"))
@@ -192,11 +199,11 @@ def drainage_area(spark, d):
 @query(_recursive("SELECT a AS i, round(sum(c.z), 4) AS q FROM paths JOIN c ON c.i = paths.i GROUP BY a"))
 def custom_accumulation(spark, d):
     raster = r1(spark, d)
-    q = accumulate.accumulate(routing.receivers(raster), raster.cells.select("i", F.col("z").alias("q")))
+    q = accumulate.accumulate(routing.receivers(raster), raster.cells.select("i", F.col("z").alias("q")), meta=raster.meta)
     return q.select("i", F.round("q", 4).alias("q"))
 
 
-_DRAW = "draw AS (SELECT rep, i, j, k, " + _uniform_sql(7, "(rep * 1000003 + i) * 4 + k") + " * sqrt(z - zj) AS v FROM e, (SELECT unnest(range(4)) AS rep) WHERE z > zj), srec AS (SELECT reps.rep, c.i, coalesce(b.j, c.i) AS rcv FROM c CROSS JOIN (SELECT unnest(range(4)) AS rep) reps LEFT JOIN (SELECT rep, i, j FROM (SELECT rep, i, j, row_number() OVER (PARTITION BY rep, i ORDER BY v DESC, k) AS n FROM draw WHERE v > 0) WHERE n = 1) b ON b.i = c.i AND b.rep = reps.rep)"
+_DRAW = "draw AS (SELECT rep, i, j, k, " + _drawn_sql(7, "rep", "i", "k") + " * sqrt(z - zj) AS v FROM e, (SELECT unnest(range(4)) AS rep) WHERE z > zj), srec AS (SELECT reps.rep, c.i, coalesce(b.j, c.i) AS rcv FROM c CROSS JOIN (SELECT unnest(range(4)) AS rep) reps LEFT JOIN (SELECT rep, i, j FROM (SELECT rep, i, j, row_number() OVER (PARTITION BY rep, i ORDER BY v DESC, k) AS n FROM draw WHERE v > 0) WHERE n = 1) b ON b.i = c.i AND b.rep = reps.rep)"
 
 
 @query(f"WITH {_edges_sql()}, {_DRAW} SELECT CAST(rep AS BIGINT) AS rep, i, rcv FROM srec")
@@ -212,7 +219,10 @@ def ensemble_area(spark, d):
     return accumulate.ensemble(r1(spark, d), 1.0, 4, 7)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_edges_sql()}, {_DRAW}, p(rep, i, a) AS (SELECT rep, i, i FROM srec UNION ALL SELECT p.rep, p.i, s.rcv FROM p JOIN srec s ON s.rep = p.rep AND s.i = p.a WHERE s.rcv <> p.a) "
+    "SELECT a AS i, round(sum(n * pow(0.5e0, 4 - rep)), 6) AS q FROM (SELECT rep, a, count(*) AS n FROM p GROUP BY rep, a) GROUP BY a"
+)
 def ensemble_filtered(spark, d):
     return rounded(accumulate.ensemble(r1(spark, d), 1.0, 4, 7, memory=0.5), "q")
 
@@ -222,12 +232,17 @@ def mfd_indegree(spark, d):
     return accumulate.indegree(r1(spark, d))
 
 
-@query(f"WITH {_edges_sql()} SELECT i, k, j, round((z - zj) / sum(z - zj) OVER (PARTITION BY i), 6) AS w FROM e WHERE z > zj")
+# Shares of the downward slopes, which are added in the order of directions.
+_DOWN = "greatest(0, coalesce({v} - {v}_t, 0)) + greatest(0, coalesce({v} - {v}_l, 0)) + greatest(0, coalesce({v} - {v}_r, 0)) + greatest(0, coalesce({v} - {v}_b, 0))"
+_SHARES = f"WITH RECURSIVE {_edges_sql()}, t AS (SELECT i, {_DOWN.format(v='z')} AS total FROM (SELECT *, {_WIN.format(v='z')} FROM c {_WINDOWS})), w AS (SELECT e.i, k, j, (z - zj) / total AS w FROM e JOIN t ON t.i = e.i WHERE z > zj)"
+
+
+@query(f"{_SHARES} SELECT i, k, j, round(w, 6) AS w FROM w")
 def mfd_weights(spark, d):
     return rounded(accumulate.slope_weights(r1(spark, d)).select("i", "k", "j", "w"), "w")
 
 
-@query()
+@query(f"{_SHARES}, v(n, i, q) AS (SELECT CAST(0 AS BIGINT), i, CAST(1 AS DOUBLE) FROM c UNION ALL SELECT v.n + 1, w.j, sum(v.q * w.w) FROM v JOIN w ON w.i = v.i GROUP BY v.n + 1, w.j) SELECT i, round(sum(q), 6) AS q FROM v GROUP BY i")
 def multiple_flow(spark, d):
     raster = r1(spark, d)
     return rounded(accumulate.multiple_flow(raster, accumulate.discharge_sources(raster, 1.0)), "q")
@@ -246,14 +261,14 @@ def slope_right(spark, d):
 @query(_recursive("SELECT i, round(sum(CASE WHEN k = depth AND k > 0 THEN pow(0.5e0, k) * b ELSE pow(0.5e0, k) * b END), 6) AS x FROM (SELECT p.i, p.k, max(p.k) OVER (PARTITION BY p.i) AS depth, c.z AS b FROM paths p JOIN c ON c.i = p.a) GROUP BY i"))
 def affine_upstream(spark, d):
     raster = r1(spark, d)
-    return rounded(accumulate.affine(routing.receivers(raster).join(raster.cells.select("i", F.lit(0.5).alias("a"), F.col("z").alias("b")), "i")), "x")
+    return rounded(accumulate.affine(routing.receivers(raster).join(raster.cells.select("i", F.lit(0.5).alias("a"), F.col("z").alias("b")), "i"), meta=raster.meta), "x")
 
 
-@query()
+@query(_recursive("SELECT a AS i, round(sum(pow(0.75e0, k)), 6) AS q, round(0.25e0 * sum(pow(0.75e0, k)), 6) AS loss FROM paths GROUP BY a"))
 def accumulation_with_loss(spark, d):
     raster = r1(spark, d)
     kept = raster.cells.select("i", F.lit(0.25).alias("a"))
-    return rounded(accumulate.with_loss(routing.receivers(raster), accumulate.discharge_sources(raster, 1.0), kept), "q", "loss")
+    return rounded(accumulate.with_loss(routing.receivers(raster), accumulate.discharge_sources(raster, 1.0), kept, raster.meta), "q", "loss")
 
 
 # Depressions.
@@ -278,7 +293,7 @@ def basin_sizes(spark, d):
 @query(_basin_sql("SELECT bid, saddle, outlet, height FROM (SELECT CAST(a.bid AS BIGINT) AS bid, e.i AS saddle, e.j AS outlet, greatest(e.z, e.zj) AS height, row_number() OVER (PARTITION BY a.bid ORDER BY greatest(e.z, e.zj), least(e.i, e.j), greatest(e.i, e.j)) AS n FROM e JOIN bas a ON a.i = e.i JOIN bas b ON b.i = e.j WHERE a.bid <> 0 AND a.bid <> b.bid) WHERE n = 1"))
 def basin_saddles(spark, d):
     raster = r1(spark, d)
-    return depressions.saddles(depressions.crossings(raster), depressions.basins(raster, routing.receivers(raster))).select("bid", "saddle", "outlet", "height")
+    return depressions.saddles(raster, depressions.basins(raster, routing.receivers(raster))).select("bid", "saddle", "outlet", "height")
 
 
 @query("SELECT CAST(0 AS BIGINT) AS pits, CAST(count(*) AS BIGINT) AS cells FROM events")
@@ -416,7 +431,25 @@ def inertial_depth(spark, d):
     return rounded(hydro.inertial_depth(wet(r1(spark, d))).cells.select("i", "h"), "h")
 
 
-@query()
+def _inertial_run_sql(steps: int, rate: float) -> str:
+    """Rain, faces and depth, `steps` times from a dry raster."""
+    out = [_C1, "s0 AS (SELECT i, r, q AS col, z, CAST(0 AS DOUBLE) AS h, CAST(0 AS DOUBLE) AS qx, CAST(0 AS DOUBLE) AS qy FROM c)"]
+    for k in range(steps):
+        out.append(f"a{k} AS (SELECT i, r, col, z, h + {rate!r}e0 * 0.1e0 AS h, qx, qy FROM s{k})")
+        near = _WIN.format(v="h") + ", " + _WIN.format(v="z") + ", lag(z + h) OVER cc AS zh_t, lag(z + h) OVER rr AS zh_l"
+        out.append(f"m{k} AS (SELECT a{k}.*, g.*, z + h AS zh, {near} FROM a{k}, g WINDOW rr AS (PARTITION BY r ORDER BY col), cc AS (PARTITION BY col ORDER BY r))")
+        y, x = _face_sql("t", "qy", "r", "ny"), _face_sql("l", "qx", "col", "nx")
+        for name in ("qy", "qx"):
+            for n in "1234":
+                y, x = (f.replace(f"{name}{n}", f"{name}{n}_{k}") for f in (y, x))
+        out += [y.replace("FROM m)", f"FROM m{k})"), x]
+        out.append(
+            f"s{k + 1} AS (SELECT i, r, col, z, h + 0.1e0 * (coalesce(lead(nqy) OVER cc, 0) - nqy + coalesce(lead(nqx) OVER rr, 0) - nqx) AS h, nqx AS qx, nqy AS qy FROM qx4_{k} WINDOW rr AS (PARTITION BY r ORDER BY col), cc AS (PARTITION BY col ORDER BY r))"
+        )
+    return f"WITH {', '.join(out)} SELECT i, round(h, 6) AS h FROM s{steps}"
+
+
+@query(_inertial_run_sql(3, 1e-2))
 def inertial_run(spark, d):
     return rounded(flood.Flood(r1(spark, d)).run_inertial(3, 1e-2).get("h"), "h")
 
@@ -441,7 +474,35 @@ def sweep_colour(spark, d):
     return rounded(hydro.sweep(raster, F.lit(1.0), 0.8, parity=1), "q")
 
 
-@query()
+def _links_sql(name: str, base: str) -> str:
+    """CTEs name_n (neighbours of zh), name_w(i, j, w): shares of cells that water cannot leave, slopes added in the order of directions."""
+    win = _WINDOWS.replace("PARTITION BY q", "PARTITION BY col").replace("ORDER BY q", "ORDER BY col")
+    return (
+        f"{name}_n AS (SELECT *, {_WIN.format(v='zh')} FROM {base} {win}), "
+        f"{name}_e AS (SELECT i, {_DOWN.format(v='zh')} AS total, unnest([i - 100, i - 1, i + 1, i + 100]) AS j, unnest([zh - zh_t, zh - zh_l, zh - zh_r, zh - zh_b]) AS s FROM {name}_n, g WHERE NOT (r = 0 OR r = ny - 1 OR col = 0 OR col = nx - 1)), "
+        f"{name}_w AS (SELECT i, j, s / total AS w FROM {name}_e WHERE s > 0)"
+    )
+
+
+_RATE = "(0.01e0 / 3600)"
+_TILE_OF = "(({i} // 100) // 10) * 10 + ({i} % 100) // 10"
+
+
+def _sweeps_sql(n: int) -> str:
+    out = [
+        f"{_WETN}, p AS (SELECT *, least(zh_t, zh_l, zh_r, zh_b) AS low FROM m)",
+        "b AS (SELECT i, r, col, qq, CASE WHEN NOT leaves AND zh <= low THEN zh + (floor((low - zh) / 1e-3) + 1) * 1e-3 ELSE zh END AS zh FROM p)",
+        _links_sql("k", "b"),
+        "v0 AS (SELECT i, qq AS q FROM b)",
+    ]
+    for k in range(n):
+        same = f"{_TILE_OF.format(i='l.i')} = {_TILE_OF.format(i='l.j')}"
+        out.append(f"u{k} AS (SELECT l.j AS i, sum(CASE WHEN {same} THEN v.q ELSE b.qq END * w) AS more FROM k_w l JOIN v{k} v ON v.i = l.i JOIN b ON b.i = l.i GROUP BY l.j)")
+        out.append(f"v{k + 1} AS (SELECT b.i, {_RATE} + coalesce(more, 0) AS q FROM b LEFT JOIN u{k} u ON u.i = b.i)")
+    return f"WITH {', '.join(out)} SELECT i, round(q, 6) AS q FROM v{n}"
+
+
+@query(_sweeps_sql(2))
 def sweeps_tiled(spark, d):
     return rounded(flood.Flood(wet(r1(spark, d))).run_sweeps(2, tile=10).get("q"), "q")
 
@@ -481,18 +542,74 @@ def smoothed_volume(spark, d):
 
 
 @query()
+def smoothed_depth(spark, d):
+    """The depth after three rounds."""
+    return rounded(hydro.smoothed(wet(r1(spark, d)), outer=3).cells.select("i", "h"), "h")
+
+
+_FLUX = "coalesce(CASE WHEN zh - zh_{d} >= 0 THEN 1 ELSE -1 END * pow(greatest(h, h_{d}), 5e0 / 3e0) / 0.033e0 * sqrt(abs(zh - zh_{d})), 0)"
+
+
+@query(
+    f"WITH {_WETN}, f AS (SELECT i, r, col, h, leaves, {_FLUX.format(d='r')} AS fx, {_FLUX.format(d='b')} AS fy FROM m), n2 AS (SELECT *, coalesce(lag(fx) OVER rr, 0) - fx + coalesce(lag(fy) OVER cc, 0) - fy AS net FROM f WINDOW rr AS (PARTITION BY r ORDER BY col), cc AS (PARTITION BY col ORDER BY r)) "
+    "SELECT i, round(CASE WHEN leaves THEN h ELSE 0.5e0 * h + 0.5e0 * greatest(0, h + 0.01e0 * (net + 1e-4)) END, 6) AS h FROM n2"
+)
 def flux_diffusion(spark, d):
     return rounded(flood.Flood(wet(r1(spark, d))).run_flux_diffusion(1, 1e-4).get("h"), "h")
 
 
-@query()
+def _diffusive_sql(n: int) -> str:
+    out = [_WET, "s0 AS (SELECT i, r, col, z, h, qq FROM w)"]
+    for k in range(n):
+        out += [f"b{k} AS (SELECT *, z + h AS zh FROM s{k})", _links_sql(f"l{k}", f"b{k}"), f"u{k} AS (SELECT l.j AS i, sum(s.qq * w) AS more FROM l{k}_w l JOIN s{k} s ON s.i = l.i GROUP BY l.j)"]
+        norm = "greatest(sqrt(pow(greatest(0, coalesce(zh - zh_l, 0), coalesce(zh - zh_r, 0)), 2) + pow(greatest(0, coalesce(zh - zh_t, 0), coalesce(zh - zh_b, 0)), 2)), 1e-6)"
+        out.append(f"t{k} AS (SELECT n.*, 0.5e0 * ({_RATE} + coalesce(more, 0)) + 0.5e0 * qq AS q2, {norm} AS norm FROM l{k}_n n LEFT JOIN u{k} u ON u.i = n.i)")
+        out.append(f"s{k + 1} AS (SELECT i, r, col, z, CASE WHEN r = 0 OR r = ny - 1 OR col = 0 OR col = nx - 1 THEN 0 ELSE greatest(0, h + (q2 - pow(h, 5e0 / 3e0) / 0.033e0 * sqrt(norm)) * 1e-3) END AS h, q2 AS qq FROM t{k}, g)")
+    return f"WITH {', '.join(out)} SELECT i, round(h, 6) AS h FROM s{n}"
+
+
+@query(_diffusive_sql(2))
 def diffusive_run(spark, d):
     return rounded(flood.Flood(wet(r1(spark, d))).run_diffusive(2).get("h"), "h")
 
 
+@query(f"WITH {_WETN} SELECT i, round(0.5e0 * h + 0.5e0 * 0.25e0 * qq, 6) AS h FROM m")
+def additive_depth(spark, d):
+    return rounded(hydro.additive_step(wet(r1(spark, d)), 0.25).cells.select("i", "h"), "h")
+
+
+@query(f"WITH {_WETN} SELECT i, round(CASE WHEN NOT leaves AND zh <= least(zh_t, zh_l, zh_r, zh_b) THEN h + {_drawn_sql(13, 'i')} * 1e-2 ELSE h END, 6) AS h FROM m")
+def bumped_minima(spark, d):
+    return rounded(hydro.bumped(wet(r1(spark, d)), 13).cells.select("i", "h"), "h")
+
+
+@query(
+    f"WITH {_WETN}, f AS (SELECT *, mx <= 0 AND my <= 0 AS flat, greatest(0, coalesce(z - z_l, 0), coalesce(z - z_r, 0)) AS bx, greatest(0, coalesce(z - z_t, 0), coalesce(z - z_b, 0)) AS by_ FROM m), "
+    "t AS (SELECT *, CASE WHEN flat THEN CASE WHEN bx <= 0 AND by_ <= 0 THEN 1e-3 ELSE bx END ELSE mx END AS ax, CASE WHEN flat THEN CASE WHEN bx <= 0 AND by_ <= 0 THEN 1e-3 ELSE by_ END ELSE my END AS ay FROM f) "
+    "SELECT i, round(CASE WHEN leaves OR i % 2 = 1 THEN h ELSE 0.75e0 * pow(qq * 0.033e0 / sqrt(sqrt(ax * ax + ay * ay)), 0.6e0) + 0.25e0 * h END, 6) AS h FROM t"
+)
+def analytic_depth_masked(spark, d):
+    return rounded(hydro.analytic_depth(wet(r1(spark, d)), keep_old=0.25, mask=F.col("i") % 2 == 0).cells.select("i", "h"), "h")
+
+
+_TOWARDS = "coalesce(exp(-abs(z_{d} - z) / 5) * (zh_{d} - zh), 0)"
+
+
+@query(f"WITH {_WETN} SELECT i, round(CASE WHEN (r + col) % 2 = 1 THEN zh + 0.2e0 * ({' + '.join(_TOWARDS.format(d=x) for x in 'tlrb')}) ELSE zh END, 6) AS eta FROM m")
+def diffused_by_slope(spark, d):
+    raster = wet(r1(spark, d)).with_columns(eta=F.col("z") + F.col("h"))
+    return rounded(hydro.diffused(raster, 1, 0.2, 5.0).select("i", "eta"), "eta")
+
+
+@query(f"WITH {_edges_sql()}, on_ AS (SELECT i FROM c WHERE i % 7 = 0) SELECT i FROM on_ UNION SELECT e.j AS i FROM e JOIN on_ ON on_.i = e.i WHERE e.z > e.zj")
+def spread_mask(spark, d):
+    return hydro.spread_mask(r1(spark, d).with_columns(zh=F.col("z")), F.col("i") % 7 == 0)
+
+
 @query()
 def graphflood_run(spark, d):
-    return rounded(flood.Flood(r1(spark, d)).set_depth(0.0).run_graphflood(1, lakes=False).get("h"), "h")
+    """Routing, lakes, accumulation and Manning depth together, two rounds of heavy rain."""
+    return rounded(flood.Flood(r1(spark, d)).set_depth(0.0).run_graphflood(2, 1.0).get("h"), "h")
 
 
 @query()
@@ -615,6 +732,16 @@ def hillshade_multi(spark, d):
     return rounded(terrain.hillshade(r1(spark, d), azimuths=terrain.FOUR), "shade")
 
 
+@query(_shade_sql(terrain.STYLES["multi_smooth"][2]))
+def hillshade_styled(spark, d):
+    return rounded(terrain.styled(r1(spark, d), "multi_smooth"), "shade")
+
+
+@query(_shade_sql((315.0,)).replace("SELECT i, round(", "SELECT p.i, round(least(1, greatest(0, (c.z - 10) / (70 + 1e-6))), 6) AS height, round(").replace("FROM p", "FROM p JOIN c ON c.i = p.i"))
+def visual_layers(spark, d):
+    return rounded(terrain.visual_layers(r1(spark, d), 10.0, 80.0), "height", "shade")
+
+
 @query(f"WITH {_C1} SELECT i, CAST(floor((z - low) / (high - low) * 255) AS BIGINT) AS value FROM c, (SELECT min(z) AS low, max(z) AS high FROM c)")
 def normalised(spark, d):
     return terrain.normalised(r1(spark, d), 255)
@@ -625,7 +752,7 @@ def masked_height(spark, d):
     return rounded(terrain.masked_height(r1(spark, d), 10.0), "height")
 
 
-@query(f"SELECT CAST(i AS BIGINT) AS i, round(({_uniform_sql(42, 'i')} * 2 - 1) * 2, 6) AS z FROM (SELECT unnest(range(5000)) AS i)")
+@query(f"SELECT CAST(i AS BIGINT) AS i, round(({_drawn_sql(42, 'i')} * 2 - 1) * 2, 6) AS z FROM (SELECT unnest(range(5000)) AS i)")
 def white_noise(spark, d):
     return rounded(noise.white(spark, 100, 50, 2.0).cells.select("i", "z"), "z")
 
@@ -672,6 +799,12 @@ def weighted_mean(spark, d):
     return scan.zipped(raster, raster.cells.select("i", (F.col("i") % 10).cast("double").alias("o")), "z", "o", 0.25, mean=True).cells.select("i", "z")
 
 
+@query("SELECT CAST(o_orderkey AS BIGINT) AS i, o_totalprice + 0.25e0 * (o_orderkey % 10) AS z FROM orders")
+def weighted_sum(spark, d):
+    raster = r2(spark, d)
+    return scan.zipped(raster, raster.cells.select("i", (F.col("i") % 10).cast("double").alias("o")), "z", "o", 0.25).cells.select("i", "z")
+
+
 @query(f"WITH {_C4}, n AS (SELECT *, lag(bc) OVER cc AS t, lag(bc) OVER rr AS l, lead(bc) OVER rr AS x, lead(bc) OVER cc AS b FROM c {_WINDOWS}) SELECT i, CAST(coalesce(t = 0, false) OR coalesce(l = 0, false) OR coalesce(x = 0, false) OR coalesce(b = 0, false) AS BIGINT) AS beside FROM n")
 def nodata_adjacent(spark, d):
     raster = r4(spark, d)
@@ -700,13 +833,32 @@ def lasso(spark, d):
     return cells.where(masks.inside_polygon(_TRIANGLE, F.col("col").cast("double"), F.col("row").cast("double"))).select("i")
 
 
-@query()
+_STROKE = "kern AS (SELECT dr, dc, exp(-(dr * dr + dc * dc) / 4.5e0) AS w FROM (SELECT unnest(range(-3, 4)) AS dr), (SELECT unnest(range(-3, 4)) AS dc) WHERE dr * dr + dc * dc <= 9), hit AS (SELECT (pr + dr) * 100 + pc + dc AS i, sum(w) / (SELECT sum(w) FROM kern) AS w FROM kern, (VALUES (2, 3), (3, 4)) p(pr, pc), g WHERE pr + dr BETWEEN 0 AND ny - 1 AND pc + dc BETWEEN 0 AND nx - 1 GROUP BY 1)"
+
+
+@query(f"WITH {_C1}, {_STROKE} SELECT c.i, round(coalesce(w, 0), 6) AS p FROM c LEFT JOIN hit ON hit.i = c.i")
 def brush(spark, d):
     raster = r1(spark, d).with_columns(p=F.lit(0.0))
     return rounded(masks.brush(raster, "p", [(2, 3), (3, 4)], 3, 1.0).cells.select("i", "p"), "p")
 
 
-_WALK = f"v AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS k, count(*) OVER () AS n FROM c, g WHERE NOT {_LEAVE['normal']}), walk AS (SELECT p.pid, v.i AS pos FROM (SELECT pid, least(CAST(floor({_uniform_sql(5, 'pid')} * (SELECT max(n) FROM v)) AS BIGINT), (SELECT max(n) FROM v) - 1) AS k FROM (SELECT unnest(range(500)) AS pid)) p JOIN v ON v.k = p.k)"
+@query(f"WITH {_C1}, k AS (SELECT count(*) AS n FROM c WHERE {_polygon_sql(_TRIANGLE, 'q', 'r')}) SELECT i, round(CASE WHEN {_polygon_sql(_TRIANGLE, 'q', 'r')} THEN 3e0 / greatest(n, 1) ELSE 0 END, 9) AS p FROM c, k")
+def rain_lasso(spark, d):
+    raster = r1(spark, d).with_columns(p=F.lit(0.0))
+    return masks.lasso_rain(raster, "p", _TRIANGLE, 3.0, additive=False).cells.select("i", F.round("p", 9).alias("p"))
+
+
+@query(
+    f"WITH {_C4}, n AS (SELECT *, lag(bc) OVER cc AS t, lag(bc) OVER rr AS l, lead(bc) OVER rr AS x, lead(bc) OVER cc AS b FROM c {_WINDOWS}) "
+    f"SELECT i, CAST(CASE WHEN {_polygon_sql(_TRIANGLE, 'q', 'r')} AND bc <> 0 AND (r = 0 OR r = ny - 1 OR q = 0 OR q = nx - 1 OR coalesce(t = 0, false) OR coalesce(l = 0, false) OR coalesce(x = 0, false) OR coalesce(b = 0, false)) THEN 3 ELSE bc END AS BIGINT) AS bc FROM n, g"
+)
+def outlet_lasso(spark, d):
+    raster = r4(spark, d)
+    plain = Raster(raster.cells, r1(spark, d).meta)
+    return masks.lasso_outlets(plain, F.col("bc") == 0, _TRIANGLE).cells.select("i", F.col("bc").cast("long").alias("bc"))
+
+
+_WALK = f"v AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS k, count(*) OVER () AS n FROM c, g WHERE NOT {_LEAVE['normal']}), walk AS (SELECT p.pid, v.i AS pos FROM (SELECT pid, CAST(floor({_drawn_sql(5, 'pid')} * (SELECT max(n) FROM v)) AS BIGINT) AS k FROM (SELECT unnest(range(500)) AS pid)) p JOIN v ON v.k = p.k)"
 
 
 @query(f"WITH {_C1}, {_WALK} SELECT pos, CAST(count(*) AS BIGINT) AS n FROM walk GROUP BY pos")
@@ -720,6 +872,12 @@ def particle_step(spark, d):
     return particles.moved(particles.placed(raster, 500, 5), particles.next_cells(raster))
 
 
+@query(f"WITH {_receivers_sql(eight=True)}, {_WALK} SELECT CAST(pid AS BIGINT) AS pid, rcv AS pos FROM walk JOIN rec ON rec.i = pos")
+def particle_step_d8(spark, d):
+    raster = r1(spark, d)
+    return particles.moved(particles.placed(raster, 500, 5), particles.next_cells(raster, eight=True))
+
+
 @query()
 def particle_collisions(spark, d):
     raster = r1(spark, d).with_columns(h=F.lit(0.0))
@@ -733,8 +891,9 @@ def seeded_uniform(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """For each cell of R1, where its water goes and how many cells drain through it."""
-    links = written(routing.receivers(r1(spark, d)), "receivers")
-    return links.join(accumulate.drainage_cells(links), "i")
+    raster = r1(spark, d)
+    links = written(routing.receivers(raster), "receivers")
+    return links.join(accumulate.drainage_cells(links, raster.meta), "i")
 
 
 QUERIES["flow_and_drainage"] = flagship

@@ -1,6 +1,9 @@
-"""Raster files: Parquet cell tables (the native form), .npy arrays, PNG, and uncompressed GeoTIFF bands.
+"""Raster files: Parquet cell tables (the native form), .npy arrays, PNG, and GeoTIFF bands.
 
-Whole-array formats go through one task for each file; cell tables are read and written in parallel.
+Cell tables are read and written in parallel. A file of another format is decoded by one task, header included; files of
+these formats are written a band of rows at a time, so that no process holds more than a band. GeoTIFF: one band in strips
+or tiles, plain, LZW or deflated, with or without a predictor; place, reference system and missing value are kept in the
+raster's description and written again.
 """
 
 from __future__ import annotations
@@ -20,6 +23,12 @@ from pyspark.sql import functions as F
 from catchwater.operators.grid import Meta, Raster
 
 CELLS = "path string, i long, row long, col long, z double"
+#: Rows that are written at a time.
+BAND = 256
+# The tags of GeoTIFF files that tell place and reference system, with their field types, and the missing value.
+PIXEL_SCALE, NODATA_TAG = 33550, 42113
+GEO_TAGS = {33922: 12, 34264: 12, 34735: 3, 34736: 12, 34737: 2, 42113: 2}
+_FIELDS = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 12: "d", 11: "f", 16: "Q"}
 
 
 def write_cells(raster: Raster, path: str) -> None:
@@ -33,47 +42,124 @@ def read_cells(spark: SparkSession, path: str) -> Raster:
     return Raster(spark.read.parquet(f"{path}/cells"), Meta(**meta))
 
 
-def tiff_band(data: bytes) -> tuple[np.ndarray, float]:
-    """The first band of an uncompressed or deflated TIFF in strips or tiles, and its pixel size (1 if not told)."""
+def lzw_decoded(data: bytes) -> bytes:
+    """The bytes of an LZW strip: codes of 9 to 12 bits, highest bit first, wider one code early."""
+    out, held, bits, width, table, before = bytearray(), 0, 0, 9, None, b""
+    start = [bytes((k,)) for k in range(256)] + [b"", b""]
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits
+        held &= (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, before = list(start), 9, b""
+            continue
+        if table is None or code > len(table) or (code == len(table) and not before):
+            raise ValueError("a damaged LZW strip")
+        now = table[code] if code < len(table) else before + before[:1]
+        if before:
+            table.append(before + now[:1])
+            width = max(9, min(12, (len(table) + 1).bit_length()))
+        out += now
+        before = now
+    return bytes(out)
+
+
+def _unpredicted(raw: bytes, kind: np.dtype, wide: int, predictor: int) -> np.ndarray:
+    """Rows of a strip or tile of `wide` samples from their differences."""
+    if predictor == 2:
+        if kind.kind == "f":
+            raise ValueError("predictor 2 needs whole numbers")
+        return np.cumsum(np.frombuffer(raw, kind).reshape(-1, wide), 1, dtype=kind)
+    if predictor == 3:
+        size = kind.itemsize
+        planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(-1, wide * size), 1, dtype=np.uint8).reshape(-1, size, wide)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">"))[..., 0]
+    return np.frombuffer(raw, kind).reshape(-1, wide)
+
+
+def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+    if order is None or len(data) < 8 or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise ValueError("not a TIFF file")
-    at = struct.unpack(order + "I", data[4:8])[0]
-    kinds, tags = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 12: "d", 11: "f", 16: "Q"}, {}
+    at, tags = struct.unpack(order + "I", data[4:8])[0], {}
     for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
         tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
-        if kind not in kinds:
+        if kind not in _FIELDS:
             continue
-        form = order + kinds[kind] * n
+        form = order + _FIELDS[kind] * n
         size = struct.calcsize(form)
         raw = data[at + 10 + 12 * k : at + 14 + 12 * k] if size <= 4 else data[(p := struct.unpack(order + "I", data[at + 10 + 12 * k : at + 14 + 12 * k])[0]) : p + size]
         tags[tag] = struct.unpack(form, raw[:size])
-    width, height, packing = tags[256][0], tags[257][0], tags.get(259, (1,))[0]
-    if packing not in (1, 8, 32946) or tags.get(277, (1,))[0] != 1 or tags.get(317, (1,))[0] != 1:
-        raise ValueError("only one-band, uncompressed or deflated TIFF files without predictor are read")
+    return order, tags
+
+
+def tiff_place(data: bytes) -> tuple[float, str]:
+    """Pixel size (1 if not told) and, as JSON, the tags of place, reference system and missing value."""
+    _, tags = _tags(data)
+    geo = {str(t): b"".join(tags[t]).decode("latin-1") if kind == 2 else list(tags[t]) for t, kind in GEO_TAGS.items() if t in tags}
+    return float(tags[PIXEL_SCALE][0]) if PIXEL_SCALE in tags else 1.0, json.dumps(geo, sort_keys=True) if geo else ""
+
+
+def tiff_band(data: bytes) -> np.ndarray:
+    """The first band of a TIFF; missing values of numbers with a fraction become NaN."""
+    order, tags = _tags(data)
+    width, height, packing, predictor = tags[256][0], tags[257][0], tags.get(259, (1,))[0], tags.get(317, (1,))[0]
+    if packing not in (1, 5, 8, 32946) or tags.get(277, (1,))[0] != 1 or predictor not in (1, 2, 3):
+        raise ValueError("only one-band TIFF files, plain, LZW or deflated, are read")
     kind = np.dtype(order + {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]] + str(tags[258][0] // 8))
     wide, tall = (tags[322][0], tags[323][0]) if 322 in tags else (width, tags.get(278, (height,))[0])
     starts, sizes = (tags[324], tags[325]) if 322 in tags else (tags[273], tags[279])
     out, across = np.zeros((height, width), kind), -(-width // wide)
     for k, (start, n) in enumerate(zip(starts, sizes, strict=True)):
         raw = data[start : start + n]
-        part = np.frombuffer(raw if packing == 1 else zlib.decompress(raw), kind)
+        raw = raw if packing == 1 else lzw_decoded(raw) if packing == 5 else zlib.decompress(raw)
         r, c = k // across * tall, k % across * wide
-        part = part.reshape(-1, wide)[: height - r, : width - c]
+        part = _unpredicted(raw, kind, wide, predictor)[: height - r, : width - c]
         out[r : r + len(part), c : c + part.shape[1]] = part
-    return out, float(tags[33550][0]) if 33550 in tags else 1.0
-
-
-def tiff_bytes(z: np.ndarray, dx: float = 1.0) -> bytes:
-    """A one-strip float32 TIFF with its pixel size."""
-    raw = np.ascontiguousarray(z, "<f4").tobytes()
-    ny, nx = z.shape
-    entries = [(256, 4, 1, nx), (257, 4, 1, ny), (258, 3, 1, 32), (259, 3, 1, 1), (262, 3, 1, 1), (273, 4, 1, 8), (277, 3, 1, 1), (278, 4, 1, ny), (279, 4, 1, len(raw)), (339, 3, 1, 3)]
-    at = 8 + len(raw)
-    scale = at + 2 + 12 * (len(entries) + 1) + 4
-    entries.append((33550, 12, 3, scale))
-    table = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
-    return b"II" + struct.pack("<HI", 42, at) + raw + table + struct.pack("<3d", dx, dx, 0.0)
+    if NODATA_TAG in tags:
+        try:
+            missing = float(b"".join(tags[NODATA_TAG]).rstrip(b"\0 "))
+        except ValueError:
+            return out
+        out = out.astype(np.float64)
+        out[out == (float(np.float32(missing)) if kind.itemsize == 4 and kind.kind == "f" else missing)] = np.nan
+    return out
+
+
+def tiff_frame(nx: int, ny: int, dx: float = 1.0, geo: str = "") -> tuple[bytes, bytes]:
+    """What comes before and after the float32 samples of a plain TIFF in strips of BAND rows."""
+    strips = -(-ny // BAND)
+    rows = [min(BAND, ny - k * BAND) for k in range(strips)]
+    at = 8 + 4 * nx * ny
+    starts = [8 + 4 * nx * BAND * k for k in range(strips)]
+    entries = [(256, 4, [nx]), (257, 4, [ny]), (258, 3, [32]), (259, 3, [1]), (262, 3, [1]), (273, 4, starts), (277, 3, [1]), (278, 4, [min(BAND, ny)]), (279, 4, [4 * nx * r for r in rows]), (339, 3, [3]), (PIXEL_SCALE, 12, [dx, dx, 0.0])]
+    for tag, value in json.loads(geo or "{}").items():
+        entries.append((int(tag), GEO_TAGS[int(tag)], value))
+    entries.sort()
+    table, more, free = struct.pack("<H", len(entries)), b"", at + 2 + 12 * len(entries) + 4
+    for tag, kind, value in entries:
+        raw = value.encode("latin-1") if kind == 2 else struct.pack("<" + _FIELDS[kind] * len(value), *value)
+        n = len(value)
+        if len(raw) <= 4:
+            table += struct.pack("<HHI", tag, kind, n) + raw.ljust(4, b"\0")
+        else:
+            table += struct.pack("<HHII", tag, kind, n, free + len(more))
+            more += raw + b"\0" * (len(raw) & 1)
+    return b"II" + struct.pack("<HI", 42, at), table + struct.pack("<I", 0) + more
+
+
+def tiff_bytes(z: np.ndarray, dx: float = 1.0, geo: str = "") -> bytes:
+    head, tail = tiff_frame(z.shape[1], z.shape[0], dx, geo)
+    return head + np.ascontiguousarray(z, "<f4").tobytes() + tail
+
+
+def _decoded(content: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(content)) if content[:6] == b"\x93NUMPY" else tiff_band(content)
 
 
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
@@ -81,50 +167,89 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                z = np.load(io.BytesIO(content)) if content[:6] == b"\x93NUMPY" else tiff_band(content)[0]
+            for k in range(batch.num_rows):
+                name, z = batch.column("path")[k].as_py(), _decoded(batch.column("content")[k].as_py())
+                n = z.shape[1]
                 for row in range(z.shape[0]):
-                    n = z.shape[1]
                     col = np.arange(n)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(row * n + col), pa.array(np.full(n, row)), pa.array(col), pa.array(z[row].astype(np.float64))], ["path", "i", "row", "col", "z"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, CELLS)
 
 
+def read_meta(spark: SparkSession, path: str) -> DataFrame:
+    """(path, nx, ny, dx, geo) of .npy and TIFF files, read by tasks."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                raw = batch.column("content")[k].as_py()
+                array = raw[:6] == b"\x93NUMPY"
+                dx, geo = (1.0, "") if array else tiff_place(raw)
+                ny, nx = np.load(io.BytesIO(raw), mmap_mode=None).shape if array else (_tags(raw)[1][257][0], _tags(raw)[1][256][0])
+                yield pa.RecordBatch.from_arrays([batch.column("path").slice(k, 1), pa.array([nx]), pa.array([ny]), pa.array([dx]), pa.array([geo])], ["path", "nx", "ny", "dx", "geo"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(told, "path string, nx long, ny long, dx double, geo string")
+
+
 def read_raster(spark: SparkSession, path: str, mode: str = "normal") -> Raster:
-    """One .npy or TIFF file as a raster; the shape comes from the cells, the cell size from the TIFF header."""
-    head = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-    dx = 1.0 if bytes(head[:6]) == b"\x93NUMPY" else tiff_band(bytes(head))[1]  # ValueError for any other file
-    cells = read_arrays(spark, path).drop("path")
-    top = cells.agg(F.max("row"), F.max("col")).first()
-    return Raster(cells, Meta(int(top[1]) + 1, int(top[0]) + 1, dx, mode))
+    """One .npy or TIFF file as a raster. Only its description comes to the driver."""
+    told = read_meta(spark, path).first()
+    if told is None:
+        raise ValueError(f"no file at {path}")
+    return Raster(read_arrays(spark, path).drop("path"), Meta(told["nx"], told["ny"], told["dx"], mode, told["geo"]))
 
 
-def write_npy(raster: Raster, path: str, field: str = "z") -> tuple[float, float]:
-    """The field as .npy (for rasters that fit on the driver); returns its least and largest value."""
-    z = raster.matrix(field).astype(np.float32)
-    np.save(path, z)
-    return float(np.nanmin(z)), float(np.nanmax(z))
+def bands(raster: Raster, field: str = "z") -> Iterator[np.ndarray]:
+    """One field as arrays of BAND rows, from the top, a band on the driver at a time; NaN where a cell is missing."""
+    nx, ny = raster.meta.nx, raster.meta.ny
 
+    def pack(part: pa.Table) -> pa.Table:
+        band = part["band"][0].as_py()
+        out = np.full((min(BAND, ny - band * BAND), nx), np.nan)
+        out[np.asarray(part["row"]) - band * BAND, np.asarray(part["col"])] = np.asarray(part["v"], np.float64)
+        return pa.table({"band": [band], "data": pa.array([out.tobytes()], pa.binary())})
 
-def write_tiff(raster: Raster, path: str, field: str = "z") -> None:
+    cells = raster.cells.select("row", "col", F.col(field).cast("double").alias("v")).withColumn("band", F.floor(F.col("row") / BAND))
+    for row in cells.groupBy("band").applyInArrow(pack, "band long, data binary").orderBy("band").toLocalIterator():
+        yield np.frombuffer(row["data"]).reshape(-1, nx)
+
+
+def write_npy(raster: Raster, path: str, field: str = "z") -> tuple[float, float]:
+    """The field as .npy; returns its least and largest value."""
+    low, high = np.inf, -np.inf
     with open(path, "wb") as f:
-        f.write(tiff_bytes(raster.matrix(field), raster.meta.dx))
+        np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (raster.meta.ny, raster.meta.nx)})
+        for z in bands(raster, field):
+            f.write(z.astype("<f4").tobytes())
+            low, high = min(low, float(np.nanmin(z))), max(high, float(np.nanmax(z)))
+    return low, high
 
 
-def png_bytes(values: np.ndarray, bits: int = 8) -> bytes:
-    """A grey PNG of whole numbers."""
-    ny, nx = values.shape
-    lines = values.astype(">u2" if bits == 16 else np.uint8).tobytes()
-    step = nx * bits // 8
-    raw = b"".join(b"\0" + lines[r * step : (r + 1) * step] for r in range(ny))
-    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", nx, ny, bits, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+def write_tiff(raster: Raster, path: str, field: str = "z") -> None:
+    meta = raster.meta
+    head, tail = tiff_frame(meta.nx, meta.ny, meta.dx, meta.geo)
+    missing = json.loads(meta.geo or "{}").get(str(NODATA_TAG), "").rstrip("\0 ")
+    with open(path, "wb") as f:
+        f.write(head)
+        for z in bands(raster, field):
+            f.write((np.where(np.isnan(z), float(missing), z) if missing else z).astype("<f4").tobytes())
+        f.write(tail)
 
 
 def write_png(raster: Raster, path: str, bits: int = 8, field: str = "z") -> None:
+    """A grey PNG of the field's normalised values."""
     from catchwater.operators.terrain import normalised
 
-    levels = normalised(raster, (1 << bits) - 1, field)
+    nx, ny = raster.meta.nx, raster.meta.ny
+    levels = raster.with_cells(raster.cells.select("i", "row", "col").join(normalised(raster, (1 << bits) - 1, field), "i"))
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
     with open(path, "wb") as f:
-        f.write(png_bytes(raster.with_cells(raster.cells.join(levels, "i")).matrix("value"), bits))
+        f.write(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", nx, ny, bits, 0, 0, 0, 0)))
+        packer = zlib.compressobj()
+        for z in bands(levels, "value"):
+            lines = np.nan_to_num(z).astype(">u2" if bits == 16 else np.uint8)
+            raw = np.concatenate([np.zeros((len(z), 1), np.uint8), np.ascontiguousarray(lines).view(np.uint8).reshape(len(z), -1)], 1)
+            if done := packer.compress(raw.tobytes()):
+                f.write(part(b"IDAT", done))
+        f.write(part(b"IDAT", packer.flush()) + part(b"IEND", b""))
