@@ -148,7 +148,7 @@ def carve_down(raster: Raster, links: DataFrame, drop: float = 2e-3, field: str
         if not seen.get["open"]:
             lowered = reduce(DataFrame.union, changes).groupBy("i").agg(F.min("new").alias("new"))
             return raster.cells.select("i", F.col(field).alias("z")).join(lowered, "i", "left").select("i", F.least("z", F.coalesce("new", "z")).alias("z"))
-        front = walked.where("n is not null").select("i", "ref", "n").groupBy("i", "ref", "n").agg()
+        front = walked.where("n is not null").select("i", "ref", "n").distinct()
     raise ValueError("the links have a cycle")
 
 
