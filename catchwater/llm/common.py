@@ -2,64 +2,98 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catchwater.plans.iterate import dropped, shared_dir, written  # noqa: F401
+
 #: Bytes of text that a task works on at once; a longer text is a piece of its own.
 PIECE = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="catchwater-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, so a lost executor costs a reread only."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Rows in an Arrow batch between JVM and Python: a few megabytes of texts instead of tens.
-BATCH_ROWS = 1000
+def released() -> None:
+    """Gives freed memory back to the system: a worker process lives on and would hold it through the stages to come."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; batches to Python get BATCH_ROWS rows from now on unless the session asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in record batches of about `size` bytes of text; a null text counts as empty."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The rows of batches in record batches of about `size` bytes of text, each with its texts, null ones as empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        k = batch.schema.get_field_index(column)
-        text = pc.fill_null(batch.column(k).cast(pa.large_string()), "")
-        batch = batch.set_column(k, pa.field(column, pa.large_string()), text)
+        text = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
         ends = np.cumsum(np.asarray(pc.binary_length(text), dtype=np.int64))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
             upto = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
-            yield batch.slice(at, upto - at)
+            yield batch.slice(at, upto - at), text.slice(at, upto - at)
             at = upto
+    released()
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """slices() for those who need no null texts: record batches whose texts are filled."""
+    for batch, text in slices(batches, column, size):
+        yield batch.set_column(batch.schema.get_field_index(column), pa.field(column, pa.large_string()), text)
+
+
+_FIRM = np.zeros(256, bool)
+_FIRM[0x21:0x7F] = True
+#: White space besides ASCII's, in UTF-8.
+_WIDE_SPACE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def parts(text: pa.Array, whole: tuple[str, ...] = ()) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct parts, each part's place among them, each text's first part and one more).
+
+    A text is cut before each single space between two characters that are no white space: there a pre-tokeniser of the
+    form " ?word" always cuts. A text that holds a string of `whole` is one part.
+    """
+    text = pa.concat_arrays([text.cast(pa.large_string())])  # offsets from 0
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    raw = text.buffers()[2]
+    base, stop = int(offsets[0]), int(offsets[-1])
+    data = np.frombuffer(raw, np.uint8)[base:stop] if raw is not None else np.zeros(0, np.uint8)
+    firm = _FIRM.copy()
+    if len(text) and not pc.any(pc.match_substring_regex(text, _WIDE_SPACE)).as_py():
+        firm[0x80:] = True
+    space = np.flatnonzero(data[1:-1] == 32) + 1 if len(data) > 2 else np.zeros(0, np.int64)
+    cut = space[firm[data[space - 1]] & firm[data[space + 1]]]
+    begin = offsets[:-1] - base
+    size = np.diff(offsets)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[begin] = True
+    cut = cut[~edge[cut] & ~edge[cut + 1]]  # inside one text
+    for token in whole:
+        held = np.asarray(pc.match_substring(text, token))
+        if held.any():
+            cut = cut[~held[np.searchsorted(begin, cut, side="right") - 1]]
+    at = np.concatenate([cut, begin[size > 0]])
+    at = np.sort(at, kind="stable")  # two sorted runs; a cut is never a text's first byte
+    ends = np.concatenate([at, [stop - base]]).astype(np.int64)
+    words_ = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.ascontiguousarray(ends + base)), raw]) if len(at) else pa.array([], pa.large_string())
+    coded = words_.dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices, np.int64), np.searchsorted(at, np.concatenate([begin, [stop - base]]))
+
+
+def gathered_ids(own: list[bytes], place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts one after another, each text's first id and one more), from the ids of each distinct part."""
+    size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+    listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(own), "<u4")))
+    ids = np.asarray(listed.take(pa.array(place)).flatten()) if len(place) else np.zeros(0, np.uint32)
+    ends = np.concatenate([[0], np.cumsum(size[place])])
+    return ids, ends[first]
 
 
 def joined(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +179,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round hooks every vertex to its smallest neighbour, follows those pointers to their end by doubling and
     contracts the edges, so vertices at least halve; rounds grow with the logarithm of a component's size. Every
-    round is written to the shared folder. Only counts come to the driver.
+    round is written to the shared folder, and the tables of the round before are deleted. Only counts come to the driver.
     """
     edges = written(
         edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct(), "edges"
@@ -153,17 +187,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     label = None
     while edges.limit(1).count():
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-        parent = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("p")).select("id", F.least("id", "p").alias("p"))
+        parent = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("p")).select("id", F.least("id", "p").alias("p"), F.lit(True).alias("moved"))
         parent = written(parent, "parent")
         while True:  # doubling: p <- p[p]
             up = parent.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-            step = written(parent.join(up, "p").select("id", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "parent")
-            parent = step.select("id", "p")
-            if not step.where("moved").limit(1).count():
+            before, parent = parent, written(parent.select("id", "p").join(up, "p").select("id", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "parent")
+            dropped(before)
+            if not parent.where("moved").limit(1).count():
                 break
-        label = parent.select("id", F.col("p").alias("component")) if label is None else written(
-            label.join(parent.select(F.col("id").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component")), "label"
-        )
+        old, hooked = label, parent.select("id", "p")
+        if label is None:
+            label = written(hooked.withColumnRenamed("p", "component"), "label")
+        else:
+            label = written(label.join(hooked.select(F.col("id").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component")), "label")
         pa_, pb_ = parent.select(F.col("id").alias("a"), F.col("p").alias("ra")), parent.select(F.col("id").alias("b"), F.col("p").alias("rb"))
-        edges = written(edges.join(pa_, "a").join(pb_, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+        before, edges = edges, written(edges.join(pa_, "a").join(pb_, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+        dropped(before, parent, old)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0) if label is None else label

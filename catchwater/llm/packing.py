@@ -1,52 +1,57 @@
 """Best-fit packing with several permitted sequence lengths.
 
-Items (documents, cut into pieces where they are longer than the longest permitted length) are dealt to shards by a hash;
-a shard holds about `shard` tokens and is packed by one task. Longest first, an item goes to the open bin whose free room
-fits it best; a bitmap over free rooms finds it. If no open bin has room, a bin of the size with the least cost per token
-that it can be expected to hold is opened: a size costs its length plus `overhead`, and what can still come into it is
-bounded by the lengths not placed yet that fit beside the item. At the end each bin shrinks to the smallest permitted
-length that holds its contents.
-
-`length` says how many tokens a text has. The queries give tokenizer_ids(): the ids that the tokenizer of the token files
-makes of the whole text, and an end id; pieces are runs of those ids, so bins hold what they say once texts are tokenised.
-
-Every piece is placed once and no bin overflows. A null or empty text is an item of one token (its end). Ties go by
-doc_id, then piece. Rows with one id and text are separate items. Null ids come last. An empty table gives no rows.
+tokenised() gives every whole text its ids by the tokenizer of the token files, and an end id. Items (documents, cut into
+pieces of ids where they are longer than the longest permitted length) are dealt to shards by a hash; a shard holds about
+`shard` ids and is packed by one task. Longest first, an item goes to the open bin whose free room fits it best; a bitmap
+over free rooms finds it. If no open bin has room, a bin of the size with the least cost per id that it can be expected to
+hold is opened: a size costs its length plus `overhead`, and what can still come into it is bounded by the lengths not
+placed yet that fit beside the item. At the end each bin shrinks to the smallest permitted length that holds its contents.
+sequences() then gives the packed bins with their ids.
+
+Every piece is placed once and no bin overflows. A null or empty text is an item of one id (its end). A text of any length
+is cut into as many pieces as it needs. Ties go by doc_id, then item, then piece; of open bins with equal room the one that
+came to it last is taken. Rows with one id and text are separate items. Null ids come last. Other columns are not used. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catchwater.llm.common import pieces, written
+from catchwater.llm.common import slices, written
 
-#: Permitted sequence lengths, cost of a sequence beside its length, tokens in a shard.
+#: Permitted sequence lengths, cost of a sequence beside its length, ids in a shard.
 SIZES, OVERHEAD, SHARD = (512, 1024, 2048, 4096), 32, 8_000_000
 
 
-def word_tokens(text: str = "text") -> Column:
-    """Tokens of a text where words are the tokens: its runs of non-space bytes and an end."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1
+def tokenised(docs: DataFrame, path: str, end_id: int = 0, keep: bool = True) -> DataFrame:
+    """(item, doc_id, n, ids) of docs (doc_id, text): n ids, the end id included, as 32-bit integers; written once.
 
+    keep=False leaves the ids out: for a plan of the bins the lengths are enough.
+    """
 
-def tokenizer_ids(path: str, text: str = "text") -> Column:
-    """Ids of a whole text by the tokenizer file at path, and an end id."""
-
-    def count(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from catchwater.llm.token_files import tokenizer
 
-        cached, found = tokenizer(path), []
-        for batch in pieces(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text"):
-            found += [len(ids) + 1 for ids in cached.encode(batch.column("text").to_pylist())]
-        return pa.array(found, pa.int64())
+        cached, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
+        for batch, text in slices(batches, "text"):
+            if keep:
+                ids, first = cached.encode(text)
+                raw, at = ids.astype("<u4").tobytes(), (4 * first).tolist()
+                own = [raw[a:b] + end for a, b in zip(at[:-1], at[1:], strict=True)]
+                columns = [pa.array(np.diff(first) + 1, pa.int64()), pa.array(own, pa.binary())]
+            else:
+                columns = [pa.array(cached.count(text) + 1, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "ids"][: 2 + keep])
 
-    return F.arrow_udf(count, T.LongType())(F.col(text))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long" + ", ids binary" * keep)
+    return written(rows.withColumn("item", F.monotonically_increasing_id()), "tokenised")
 
 
 def pack(lengths: Sequence[int], sizes: Sequence[int] = SIZES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
@@ -86,24 +91,40 @@ def pack(lengths: Sequence[int], sizes: Sequence[int] = SIZES, overhead: int = O
     return bins, offsets, np.asarray(sizes)[np.searchsorted(sizes, used)].tolist() if used else []
 
 
-def best_fit(docs: DataFrame, length: Column | None = None, sizes: Sequence[int] = SIZES, overhead: int = OVERHEAD, shard: int = SHARD) -> DataFrame:
-    """One row per piece of a document: doc_id, piece, shard, bin, bin_size, bin_offset, n_tokens. Bins are numbered within a shard."""
+def best_fit(items: DataFrame, sizes: Sequence[int] = SIZES, overhead: int = OVERHEAD, shard: int = SHARD) -> DataFrame:
+    """One row per piece of an item (item, doc_id, n): item, doc_id, piece, shard, bin, bin_size, bin_offset, n_tokens.
+
+    Bins are numbered within a shard.
+    """
     longest = max(sizes)
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (length if length is not None else word_tokens()).cast("long").alias("n"), F.xxhash64("text").alias("h"))
-    items = items.withColumn("n", F.greatest(F.lit(1), "n"))
-    items = written(items, "lengths")  # a text is counted once
+    items = items.select("item", "doc_id", F.greatest(F.lit(1), "n").alias("n"))
     total = items.agg(F.sum("n")).first()[0] or 0
     shards = max(16, int(total // shard))
     items = items.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / longest).cast("int") - 1)))
     items = items.withColumn("n_tokens", F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).cast("int"))
-    items = items.select("doc_id", "piece", "n_tokens", F.pmod(F.xxhash64("doc_id", "h", "piece"), F.lit(shards)).cast("int").alias("shard"))
+    items = items.select("item", "doc_id", "piece", "n_tokens", F.pmod(F.xxhash64("item", "doc_id", "piece"), F.lit(shards)).cast("int").alias("shard"))
 
     def run(own: pa.Table) -> pa.Table:
-        own = own.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        own = own.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("item", "ascending"), ("piece", "ascending")])
         bins, offsets, widths = pack(own["n_tokens"].to_pylist(), sizes, overhead)
         bin_size = np.asarray(widths, np.int32)[bins]
-        return pa.table([own["doc_id"], own["piece"], own["shard"], pa.array(bins, pa.int64()), pa.array(bin_size), pa.array(offsets, pa.int32()), own["n_tokens"]], names=out.names)
+        return pa.table([own["item"], own["doc_id"], own["piece"], own["shard"], pa.array(bins, pa.int64()), pa.array(bin_size), pa.array(offsets, pa.int32()), own["n_tokens"]], names=out.names)
 
-    kinds = [("doc_id", T.LongType()), ("piece", T.IntegerType()), ("shard", T.IntegerType()), ("bin", T.LongType()), ("bin_size", T.IntegerType()), ("bin_offset", T.IntegerType()), ("n_tokens", T.IntegerType())]
+    kinds = [("item", T.LongType()), ("doc_id", T.LongType()), ("piece", T.IntegerType()), ("shard", T.IntegerType()), ("bin", T.LongType()), ("bin_size", T.IntegerType()), ("bin_offset", T.IntegerType()), ("n_tokens", T.IntegerType())]
     out = T.StructType([T.StructField(n, t) for n, t in kinds])
     return items.groupBy("shard").applyInArrow(run, out)
+
+
+def sequences(items: DataFrame, placed: DataFrame, sizes: Sequence[int] = SIZES) -> DataFrame:
+    """The packed bins: shard, bin, bin_size, doc_ids and starts (a piece each, in order), ids (n_tokens of them, 32 bits each).
+
+    items: tokenised(); placed: best_fit() of them with the same sizes.
+    """
+    longest = max(sizes)
+    cut = F.expr(f"substring(ids, cast(piece as int) * {4 * longest} + 1, n_tokens * 4)")
+    parts = placed.join(items.select("item", "ids"), "item").select("shard", "bin", "bin_size", F.struct("bin_offset", "doc_id", cut.alias("ids")).alias("part"))
+    bins = parts.groupBy("shard", "bin", "bin_size").agg(F.array_sort(F.collect_list("part")).alias("own"))  # at most `longest` pieces
+    return bins.select(
+        "shard", "bin", "bin_size", F.transform("own", lambda x: x["doc_id"]).alias("doc_ids"), F.transform("own", lambda x: x["bin_offset"]).alias("starts"),
+        F.aggregate("own", F.lit(b""), lambda got, x: F.concat(got, x["ids"])).alias("ids"),
+    )

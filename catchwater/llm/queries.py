@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catchwater.llm.common import table
+#: Rows in an Arrow batch between JVM and Python: a few megabytes of texts instead of tens.
+BATCH_ROWS = 1000
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for a query or a pipeline stage. These are applications and size their session's Arrow batches; operators never do."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +77,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from catchwater.llm import packing
 
-    return packing.best_fit(table(spark, sf_dir, "documents"), packing.tokenizer_ids(public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.best_fit(packing.tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=False))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Token files: ids of whole texts, in ascending document order, in blocks of an adaptive context-mixing range coder.
 
-write() tokenises, orders by doc_id, and writes rows (file, block, n_ids, data); read() gives the documents back with the
+write() tokenises, orders by doc_id, and writes rows (file, block, n_ids, runs, data); read() gives the documents back with the
 place of their first id. A block is independent: it starts from an empty model and carries the CRC-32 of its ids.
 
 Coder. The ids of a block are dealt to lanes, each a run of the block with a range coder of its own; all lanes advance
@@ -10,32 +10,32 @@ the predictions hold, given their confidences and the order-0 frequency of the p
 domain by weights learned on the way. An arithmetic-coding step tells which prediction held; if none did, a second step
 codes the id by order-0 frequencies. All model arithmetic is in integers, so any machine reads what another wrote.
 
-Null and empty texts: the end id alone. Null ids come first. Rows that share a doc_id are ordered by text. Extra columns
-are not stored. An empty table gives no rows.
+A block holds BLOCK ids at most: a long document goes on in the next blocks of its file and is joined when read. Null and
+empty texts: the end id alone. Null ids come first. Rows that share a doc_id come in the order of a hash of their texts.
+A text that names a special token of the tokenizer gets that token's id, as the library has it. Extra columns are not
+stored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import base64
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catchwater.llm.common import pieces
+from catchwater.llm.common import gathered_ids, parts, pieces, released
 
 #: Ids in a block, lanes in a block at most, ids in a lane at least; bytes of text in a file.
 BLOCK, LANES, LANE, FILE = 1 << 20, 2048, 256, 32 << 20
 MAGIC = b"CWT1"
-REMEMBERED, LONGEST = 800_000, 64
-_ODD_SPACE = regex.compile(r"\s | \s|^ | $").search
-
+REMEMBERED, LONGEST = 300_000, 64
 _U = np.uint64
 _P = np.arange(4096)
 #: Logit of a 12-bit chance in 8-bit fixed point, and its inverse over -2047 .. 2047.
@@ -267,106 +267,188 @@ def _decompressed(block: bytes) -> np.ndarray:
 
 
 class Cached:
-    """The tokenizers library, with the ids of the parts of texts that came before."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
-        self.tokenizer.encode_special_tokens = True
-        self.vocabulary = self.tokenizer.get_vocab_size()
-
-    def split(self, text: str) -> list[str]:
-        """Parts whose ids do not depend on each other: the pre-tokeniser cuts before each single space between words."""
-        return [text] if "\0" in text or _ODD_SPACE(text) else text.replace(" ", "\0 ").split("\0")
+    """A tokenizer, with the ids of the parts of texts that came before.
+
+    encode: from texts to their ids. sizes: bytes that each id stands for. added: strings that the tokenizer takes out of
+    a text before anything else; a text with one of them stays whole.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], sizes: np.ndarray, added: tuple[str, ...] = ()):
+        self.many, self.sizes, self.added, self.seen = encode, sizes, added, {}
+        self.vocabulary = len(sizes)
+
+    def fresh(self, new: list[str]) -> list[bytes]:
+        """Ids of parts not seen yet: words, spaced apart, go through the tokenizer side by side, since it cuts there anyway."""
+        out: list[bytes] = [b""] * len(new)
+        word = [x[0] == " " and len(x) > 1 and not x[1].isspace() and not x[-1].isspace() and not any(t in x for t in self.added) for x in new]
+        plain, odd = [k for k, w in enumerate(word) if w], [k for k, w in enumerate(word) if not w]
+        for k, ids in zip(odd, self.many([new[k] for k in odd]), strict=True):
+            out[k] = np.array(ids, "<u4").tobytes()
+        groups = [plain[at : at + 200] for at in range(0, len(plain), 200)]
+        ids = np.fromiter(chain.from_iterable(self.many(["".join([new[k] for k in own]) for own in groups])), "<u4")
+        ends = np.cumsum(np.fromiter((len(new[k].encode()) for k in plain), np.int64, len(plain)))
+        at = [0, *(4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()]
+        packed = ids.tobytes()
+        for k, lo, hi in zip(plain, at[:-1], at[1:], strict=True):
+            out[k] = packed[lo:hi]
+        return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.split(text) for text in texts]
+    def encoded(self, text: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(ids of each distinct part, each part's place among them, each text's first part and one more)."""
+        distinct, place, first = parts(text, self.added)
         if len(self.seen) > REMEMBERED:  # the earlier half has the commoner parts
             self.seen = dict(islice(self.seen.items(), REMEMBERED // 2))
         seen = self.seen
-        new = list(set(chain.from_iterable(split)).difference(seen))
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            seen[part] = np.array(found.ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(seen.__getitem__, own)), "<u4") for own in split]
-        for part in new:
-            if len(part) > LONGEST:
-                del seen[part]
-        return out
+        own = list(map(seen.get, distinct))
+        new = [k for k, x in enumerate(own) if x is None]
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            for k, ids in zip(some, self.fresh([distinct[k] for k in some]), strict=True):
+                own[k] = ids
+                if len(distinct[k]) <= LONGEST:
+                    seen[distinct[k]] = ids
+        return own, place, first
+
+    def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, each text's first id and one more)."""
+        return gathered_ids(*self.encoded(text))
+
+    def count(self, text: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        own, place, first = self.encoded(text)
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        return np.diff(np.concatenate([[0], np.cumsum(size[place])])[first])
 
 
 @lru_cache(2)
 def tokenizer(path: str) -> Cached:
-    return Cached(path)
+    """A byte-level tokenizer of the tokenizers library (a file .json)."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    added = library.get_added_tokens_decoder()
+    sizes = np.zeros(max([*library.get_vocab().values(), -1]) + 1, np.int64)
+    for token, k in library.get_vocab().items():
+        sizes[k] = len(token)  # a character of a byte-level token stands for a byte
+    return Cached(lambda texts: [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)], sizes, tuple(t.content for t in added.values()))
+
+
+@lru_cache(2)
+def rank_tokenizer(path: str, pattern: str) -> Cached:
+    """A tokenizer of the tiktoken library by a rank file, without special tokens."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, k in ranks.items():
+        sizes[k] = len(token)
+    return Cached(lambda texts: [library.encode_ordinary(x) for x in texts], sizes)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, block: int = BLOCK, file_bytes: int = FILE) -> None:
-    """Writes the texts of docs (doc_id, text) as token files under path; every text ends with end_id."""
+    """Writes the texts of docs (doc_id, text) as token files under path; every text ends with end_id.
+
+    A block holds at most `block` ids; a document that does not fit into one goes on in the next.
+    """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(12, int(total // file_bytes))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         cached, file, place = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        names: list[int | None] = []
+        vocabulary = max(cached.vocabulary, end_id + 1)
+        runs: list[dict] = []
         held: list[np.ndarray] = []
-        size, end = 0, np.array([end_id], "<u4")
+        size, doc, end = 0, 0, np.array([end_id], "<u4")
 
         def row() -> pa.RecordBatch:
             ids = np.concatenate(held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([file]), pa.array([place]), pa.array([len(ids)]), pa.array([names], pa.list_(pa.int64())), pa.array([[len(x) for x in held]], pa.list_(pa.int64())), pa.array([compress(ids, max(cached.vocabulary, end_id + 1))], pa.binary())],
-                ["file", "block", "n_ids", "doc_ids", "sizes", "data"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([place]), pa.array([len(ids)]), pa.array([runs], kind), pa.array([compress(ids, vocabulary)], pa.binary())], ["file", "block", "n_ids", "runs", "data"])
 
         for batch in pieces(batches, "text"):
-            for name, ids in zip(batch.column("doc_id").to_pylist(), cached.encode(batch.column("text").to_pylist()), strict=True):
-                names.append(name)
-                held.append(np.concatenate([ids, end]))
-                size += len(ids) + 1
-                if size >= block:
-                    yield row()
-                    place, size, names, held = place + 1, 0, [], []
+            ids, first = cached.encode(batch.column("text"))
+            for name, a, b in zip(batch.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                own, at = np.concatenate([ids[a:b], end]), 0
+                while at < len(own):
+                    part = own[at : at + block - size]
+                    runs.append({"doc_id": name, "doc": doc, "at": at, "n": len(part), "last": at + len(part) == len(own)})
+                    held.append(part)
+                    at += len(part)
+                    size += len(part)
+                    if size == block:
+                        yield row()
+                        place, size, runs, held = place + 1, 0, [], []
+                doc += 1
         if held:
             yield row()
 
-    ordered.mapInArrow(run, "file long, block long, n_ids long, doc_ids array<long>, sizes array<long>, data binary").write.parquet(path)
-
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("last", pa.bool_())]))
+    schema = "file long, block long, n_ids long, runs array<struct<doc_id: long, doc: long, at: long, n: long, last: boolean>>, data binary"
+    ordered.mapInArrow(run, schema).write.parquet(path)
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Documents (doc_id, start, ids) of token files; start counts the ids of all documents before."""
-    return _read(spark, path, "ids array<long>", lambda own: pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64())))
 
+def _runs(spark: SparkSession, path: str, columns: str, values: Callable[[list[np.ndarray], list[bool]], list[pa.Array]]) -> DataFrame:
+    """(doc_id, file, doc, at, last, start, n, columns): the runs of documents in blocks; start counts the ids of all before.
 
-def _read(spark: SparkSession, path: str, column: str, value) -> DataFrame:
+    values gives the columns of a block's runs; it is told which are a whole document. The sum over files runs in one task
+    over a row for each file of FILE bytes; that over blocks runs file by file.
+    """
     blocks = spark.read.parquet(path)
     index = blocks.select("file", "block", "n_ids")
     files = index.groupBy("file").agg(F.sum("n_ids").alias("n")).select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     inside = F.sum("n_ids").over(Window.partitionBy("file").orderBy("block")) - F.col("n_ids")
     offsets = index.withColumn("inside", inside).join(files, "file").select("file", "block", (F.col("before") + F.col("inside")).alias("base"))
-    name = column.split()[0]
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 ids = decompress(batch.column("data")[k].as_py())
-                sizes = np.asarray(batch.column("sizes")[k].values)
-                ends = np.cumsum(sizes)
-                own = [ids[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-                n = len(own)
+                told = batch.column("runs")[k].values
+                n = len(told)
+                doc_id, doc, at, size, last = (told.field(x) for x in ("doc_id", "doc", "at", "n", "last"))
+                ends = np.cumsum(np.asarray(size))
+                starts = ends - np.asarray(size)
+                own = [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                alone = [b and not a for a, b in zip(at.to_pylist(), last.to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column("file")[k].as_py()] * n), pa.array([batch.column("block")[k].as_py()] * n), batch.column("doc_ids")[k].values, pa.array(ends - sizes), pa.array(sizes), value(own)],
-                    ["file", "block", "doc_id", "inside", "n_tokens", name],
+                    [pa.array([batch.column("file")[k].as_py()] * n), pa.array([batch.column("block")[k].as_py()] * n), doc_id, doc, at, last, pa.array(starts), size, *values(own, alone)],
+                    ["file", "block", "doc_id", "doc", "at", "last", "inside", "n", *names],
                 )
+        released()
+
+    found = blocks.select("file", "block", "runs", "data").mapInArrow(run, f"file long, block long, doc_id long, doc long, at long, last boolean, inside long, n long, {columns}")
+    return found.join(offsets, ["file", "block"]).withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside", "block")
+
 
-    found = blocks.select("file", "block", "doc_ids", "sizes", "data").mapInArrow(run, f"file long, block long, doc_id long, inside long, n_tokens long, {column}")
-    return found.join(offsets, ["file", "block"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", name)
+def _documents(runs: DataFrame, whole: Column, joined: Column, into: str) -> DataFrame:
+    """(doc_id, start, n_tokens, into): whole over a document's only run, joined over `own`, the ids of several in order."""
+    alone = F.col("last") & (F.col("at") == 0)
+    once = runs.where(alone).select("doc_id", "start", F.col("n").alias("n_tokens"), whole.alias(into))
+    more = runs.where(~alone).groupBy("file", "doc").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("own")
+    )
+    return once.union(more.select("doc_id", "start", "n_tokens", joined.alias(into)))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Documents (doc_id, start, n_tokens, ids) of token files; start counts the ids of all documents before."""
+    runs = _runs(spark, path, "ids array<long>", lambda own, alone: [pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))])
+    return _documents(runs, F.col("ids"), F.flatten("own"), "ids")
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """Documents (doc_id, start, n_tokens, ids_crc32) of token files, from their decoded ids."""
-    return _read(spark, path, "ids_crc32 long", lambda own: pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()))
+
+    def values(own: list[np.ndarray], alone: list[bool]) -> list[pa.Array]:
+        crc = [zlib.crc32(x.tobytes()) if a else None for x, a in zip(own, alone, strict=True)]
+        return [pa.array(crc, pa.int64()), pa.array([None if a else x.tobytes() for x, a in zip(own, alone, strict=True)], pa.binary())]
+
+    runs = _runs(spark, path, "crc long, ids binary", values)
+    return _documents(runs, F.col("crc"), F.crc32(F.aggregate("own", F.lit(b""), lambda got, x: F.concat(got, x))), "ids_crc32")

@@ -1,24 +1,29 @@
 import random
 
+import numpy as np
+
 from catchwater.llm import packing
 from tests.llm import cases
 
 
 def brute(lengths, sizes, overhead):
-    """The same rule with plain lists: the tightest open bin, else the size of the least price; then the least size that holds."""
-    bins, out = [], []
+    """The same rule with plain lists: (bin of each item, size of each bin).
+
+    The tightest open bin (of equal ones that which came to its room last), else a new one of the size of the least price.
+    """
+    bins, out = [], []  # [size, used, when it came to its room]
     for k, n in enumerate(lengths):
         fit = [b for b in range(len(bins)) if bins[b][0] - bins[b][1] >= n]
         if fit:
-            least = min(bins[b][0] - bins[b][1] for b in fit)
-            b = [b for b in fit if bins[b][0] - bins[b][1] == least]
+            b = min(fit, key=lambda b: (bins[b][0] - bins[b][1], -bins[b][2]))
         else:
             price = lambda c: (c + overhead) / (n + min(c - n, sum(x for x in lengths[k + 1 :] if x <= c - n)))
-            bins.append([min((c for c in sizes if c >= n), key=price), 0])
-            b = [len(bins) - 1]
+            bins.append([min((c for c in sizes if c >= n), key=price), 0, 0])
+            b = len(bins) - 1
         out.append(b)
-        bins[b[-1]][1] += n
-    return sum(min(c for c in sizes if c >= used) for _, used in bins), len(bins)
+        bins[b][1] += n
+        bins[b][2] = k
+    return out, [min(c for c in sizes if c >= used) for _, used, _ in bins]
 
 
 def test_pack_against_plain_lists():
@@ -32,55 +37,52 @@ def test_pack_against_plain_lists():
             assert o == used.get(b, 0)
             used[b] = o + n
         assert [min(c for c in sizes if c >= used[b]) for b in range(len(widths))] == widths
-        total, count = brute(lengths, sizes, 5)
-        assert abs(sum(widths) - total) <= 0.1 * total + sizes[-1] and abs(len(widths) - count) <= 2
-
-
-def test_edges(spark):
-    out = packing.best_fit(cases.frame(spark)).collect()
-    got = {}
-    for r in out:
-        got.setdefault(r["doc_id"], []).append(r["n_tokens"])
-    want = {}
-    for i, t, *_ in cases.rows():
-        want[i] = want.get(i, 0) + len((t or "").split()) + 1
-    assert {i: sum(n) for i, n in got.items()} == {**want, 17: sum(got[17])} and max(map(max, got.values())) <= 4096
-    bins = {}
-    for r in out:
-        bins.setdefault((r["shard"], r["bin"], r["bin_size"]), []).append((r["bin_offset"], r["n_tokens"]))
-    assert len(bins) == len({b[:2] for b in bins})
-    for (_, _, size), own in bins.items():
-        at = 0
-        for offset, n in sorted(own):
-            assert offset == at
-            at += n
-        assert at <= size and size == min(c for c in packing.SIZES if c >= at)
-    assert packing.best_fit(cases.frame(spark, [])).count() == 0
-
-
-def test_bins_hold_the_tokenised_texts(spark, tmp_path):
-    """The query's pieces, filled with the tokenizer's own ids, fit their bins; texts without spaces among them."""
+        assert (bins, widths) == brute(lengths, sizes, 5)
+
+
+def unspaced():
+    r = random.Random(4)
+    return ["".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(30_000)), "日本語の文章" * 3000]
+
+
+def packed(spark, rows):
+    """The pieces, the bins with their ids, and each row's ids by the tokenizer."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    items = packing.tokenised(cases.frame(spark, rows), path)
+    placed = packing.best_fit(items)
+    encoder = Tokenizer.from_file(path)
+    ids = [(i, encoder.encode(t or "", add_special_tokens=False).ids + [0]) for i, t, *_ in rows]
+    return placed.collect(), packing.sequences(items, placed).collect(), ids, items
+
+
+def test_bins_hold_the_ids_of_whole_texts(spark):
+    """Every id of every text stands once in a bin, in runs of at most the longest size; each shard's bins are the brute force's."""
+    rows = cases.rows() + [(100 + k, t, *["clash"] * (len(cases.SCHEMA) - 2)) for k, t in enumerate(unspaced())]
+    out, bins, ids, items = packed(spark, rows)
+    wanted = sorted((str(i), tuple(own[k : k + 4096])) for i, own in ids for k in range(0, len(own), 4096))
+    found = []
+    for b in bins:
+        own = np.frombuffer(b["ids"], "<u4").tolist()
+        assert len(own) <= b["bin_size"] == min(c for c in packing.SIZES if c >= len(own)) and b["starts"][0] == 0
+        for i, lo, hi in zip(b["doc_ids"], b["starts"], [*b["starts"][1:], len(own)], strict=True):
+            found.append((str(i), tuple(own[lo:hi])))
+    assert sorted(found) == wanted
+    for shard in {r["shard"] for r in out}:
+        own = sorted((r for r in out if r["shard"] == shard), key=lambda r: (-r["n_tokens"], r["doc_id"] is None, r["doc_id"] or 0, r["item"], r["piece"]))
+        want, widths = brute([r["n_tokens"] for r in own], packing.SIZES, packing.OVERHEAD)
+        assert [r["bin"] for r in own] == want and all(r["bin_size"] == widths[r["bin"]] for r in own)
+    none = items.limit(0)
+    assert packing.best_fit(none).count() == 0 == packing.sequences(none, packing.best_fit(none)).count()
+
+
+def test_the_query(spark, tmp_path):
     from catchwater.llm import queries
 
-    r = random.Random(4)
-    unspaced = ["".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(30_000)), "日本語の文章" * 3000]
-    rows = cases.rows() + [(100 + k, t, *["clash"] * (len(cases.SCHEMA) - 2)) for k, t in enumerate(unspaced)]
+    rows = cases.rows()
     cases.frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     out = queries.op7_best_fit_packing(spark, str(tmp_path)).collect()
-    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encoder.encode_special_tokens = True
-    want, got, bins = {}, {}, {}
-    for i, t, *_ in rows:
-        want.setdefault(i, []).append(len(encoder.encode(t or "", add_special_tokens=False).ids) + 1)
-    for x in out:
-        got.setdefault(x["doc_id"], []).append((x["piece"], x["n_tokens"]))
-        bins.setdefault((x["shard"], x["bin"], x["bin_size"]), []).append((x["bin_offset"], x["n_tokens"]))
-    pieces = {i: sorted((k // 4096, min(4096, n - k)) for n in own for k in range(0, n, 4096)) for i, own in want.items()}
-    assert {i: sorted(own) for i, own in got.items()} == pieces
-    assert all(len(pieces[100 + k]) > 1 for k in range(len(unspaced)))
-    for (_, _, size), own in bins.items():
-        assert size in packing.SIZES and sum(n for _, n in own) <= size
-        assert all(a + n <= b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:], strict=False))
+    _, _, ids, _ = packed(spark, rows)
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in out) == sorted((str(i), min(4096, len(own) - k)) for i, own in ids for k in range(0, len(own), 4096))
