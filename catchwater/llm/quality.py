@@ -7,7 +7,9 @@ bins turn the raw score into a share of good documents.
 Labelled rows: rows with a null id, label or no text partner are ignored; of repeated ids the larger label counts; at
 most `sample` rows are used (a bound, chosen by a hash of the id). Without labels of both kinds every text gets the share
 of good labels (0.5 without labels). Null and empty texts have the statistics of the empty text and a score like any
-other. Rows pass unchanged, repeated or not; other columns stay, clashing ones are replaced.
+other; a text of any length is described whole, and equal texts get equal scores. Rows pass unchanged, null texts too,
+repeated or not; other columns stay, clashing ones (score, predicted) are replaced. An empty table gives no rows, and a
+fit on one is the fit without labels. Raw scores that tie share a bin of the calibration.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catchwater.llm.common import joined, mix, pieces, shingles, span_hashes, words
+from catchwater.llm.common import dropped, joined, mix, pieces, shingles, slices, span_hashes, words, written
 from catchwater.llm.toxicity import sampled_labels
 
 #: Labelled rows used at most, random features, kernel width in standard deviations times root of the dimension, ridge, bins.
@@ -122,10 +124,8 @@ class Model:
         schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, text):
-                y = model.calibrated(statistics(batch.column(text)))
-                back = [c.cast(pa.string()) if n == text else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
-                yield pa.RecordBatch.from_arrays([*back, pa.array(y)], schema.names)
+            for batch, texts in slices(batches, text):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.calibrated(statistics(texts)))], schema.names)
 
         return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -145,11 +145,11 @@ def pooled(weight: np.ndarray, mean: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, features: int = FEATURES, seed: int = 11) -> Model:
     """The model of docs (doc_id, text) as `label` of labels (doc_id, label) marks them."""
     chosen = F.broadcast(sampled_labels(labels, label, sample))  # at most `sample` rows of 12 bytes
-    rows = described(docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text")).repartition(12).persist()
+    rows = written(described(docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text")).repartition(12), "statistics")
     try:
         return _fit(rows, features, seed)
     finally:
-        rows.unpersist()
+        dropped(rows)
 
 
 def _fit(rows: DataFrame, features: int, seed: int) -> Model:

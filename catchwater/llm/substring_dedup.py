@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catchwater.llm.common import joined, mix, pieces, span_hashes, words
+from catchwater.llm.common import joined, mix, pieces, slices, span_hashes, words
 
 #: Words in a window and in a minimiser; bytes of text that a task packs at once; bytes of text to a bucket.
 WINDOW, MER, PACK, BUCKET = 13, 2, 3 << 20, 1 << 20
@@ -265,8 +265,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, mer: int = MER, pack: int = PAC
     schema = T.StructType([*fields, *([] if into == text else [docs.schema[text]]), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(into, T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
-            data, starts, ends, first = _normal(batch.column(text))
+        for batch, texts in slices(batches, text):
+            data, starts, ends, first = _normal(texts)
             n = np.diff(first)
             listed = batch.column("__r").combine_chunks() if isinstance(batch.column("__r"), pa.ChunkedArray) else batch.column("__r")
             size = np.asarray(pc.fill_null(pc.list_value_length(listed), 0), np.int64) // 2
@@ -283,7 +283,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, mer: int = MER, pack: int = PAC
             stop = np.cumsum(spans)
             raw = kept.tobytes()
             out = pa.array([raw[b - s : b - 1].decode() if s else "" for s, b in zip(spans.tolist(), stop.tolist(), strict=True)], pa.string())
-            columns = [batch.column(f.name) for f in fields] + ([] if into == text else [batch.column(text).cast(pa.string())])
+            columns = [batch.column(f.name) for f in fields] + ([] if into == text else [batch.column(text)])
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64)), pa.array((n - left).astype(np.int64)), out], schema.names)
 
     return joined_.mapInArrow(cut, schema)

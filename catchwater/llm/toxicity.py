@@ -8,7 +8,9 @@ shared value is a rare chance. score() adds, for every whole text, the probabili
 Labelled rows: rows with a null id, label or no text partner are ignored; of repeated ids the larger label counts. At
 most `sample` labelled rows are used (a bound on what the fit holds; chosen by a hash of the id). With no labelled row of
 one kind, every text gets the share of toxic labels (0 without labels). Null and empty texts have no n-gram and get the
-model's intercept. Rows pass unchanged, repeated or not; other columns stay, clashing ones are replaced.
+model's intercept; a text of any length is read whole, and equal texts get equal scores. Rows pass unchanged, null texts
+too, repeated or not; other columns stay, clashing ones (score, predicted) are replaced. An empty table gives no rows, and
+a fit on one is the fit without labels. N-grams whose shares tie at the bound are all kept.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catchwater.llm.common import mix, pieces
+from catchwater.llm.common import dropped, mix, pieces, slices, written
 
 #: Characters in an n-gram; bits of an n-gram's hash and of a document's place beside it; bits of the table of features.
 SIZES, BITS, PLACE, TABLE = (4, 5, 6), 44, 20, 22
@@ -30,8 +32,8 @@ SIZES, BITS, PLACE, TABLE = (4, 5, 6), 44, 20, 22
 CLEAR = 3.5
 #: Weight of the squared weights in the loss, and the length of the gradient at which the fit ends.
 DECAY, GRADIENT = 1e-4, 1e-6
-#: Bytes of text worked on at once; counted n-grams that a task holds; tasks of a gradient.
-TEXT, HELD, PARTS = 1 << 19, 2_000_000, 6
+#: Bytes of text worked on at once and in a row of features; counted n-grams that a task holds; tasks of a gradient.
+TEXT, ROW, HELD, PARTS = 1 << 19, 1 << 15, 1_000_000, 6
 #: Labelled rows that the fit uses at most.
 SAMPLE = 20_000
 
@@ -113,16 +115,11 @@ class Model:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             features = Features(keys)
-            for batch in pieces(batches, text, TEXT):
-                doc, place = grams(batch.column(text), features)
+            for batch, texts in slices(batches, text, TEXT):
+                doc, place = grams(texts, features)
                 z = intercept + np.bincount(doc, weights[place], batch.num_rows)
-                score = pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-                back = [c.cast(f.type) if f.name == text else c for c, f in zip(batch.columns, source, strict=True)]
-                yield pa.RecordBatch.from_arrays([*back, score], [*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*batch.schema.names, "score"])
 
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        source = to_arrow_schema(docs.schema)
         out = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("score", T.DoubleType())]))
         return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -164,11 +161,11 @@ def minimum(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     """The model of docs (doc_id, text) as `label` of labels (doc_id, label) marks them."""
     chosen = F.broadcast(sampled_labels(labels, label, sample))  # at most `sample` rows of 12 bytes
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text").repartition(12).persist()
+    rows = written(docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text").repartition(12), "labelled")
     try:
         return _fit(rows)
     finally:
-        rows.unpersist()
+        dropped(rows)
 
 
 def _fit(rows: DataFrame) -> Model:
@@ -214,16 +211,16 @@ def _fit(rows: DataFrame) -> Model:
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(keys)
-        for batch in pieces(batches, "text", TEXT):
+        for batch in pieces(batches, "text", ROW):
             doc, place = grams(batch.column("text"), features)
             parts = np.asarray(batch.column("y"), np.float64), doc.astype(np.int32), place.astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["y", "doc", "place"])
 
-    own = rows.mapInArrow(held, "y binary, doc binary, place binary").repartition(PARTS).persist()
+    own = rows.mapInArrow(held, "y binary, doc binary, place binary").repartition(PARTS).persist()  # read in every round; what a lost executor held is made again
     try:
         at = minimum(lambda x: _loss(own, x, ratio, pos + neg), np.zeros(len(keys) + 1))
     finally:
-        own.unpersist()
+        own.unpersist(True)
     return Model(keys, at[:-1] * ratio, float(at[-1]))
 
 
@@ -234,8 +231,8 @@ def _loss(own: DataFrame, x: np.ndarray, ratio: np.ndarray, n: int) -> tuple[flo
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, slope, lean = 0.0, np.zeros(len(weight)), 0.0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                y, doc, place = (np.frombuffer(b, kind) for b, kind in zip(row, (np.float64, np.int32, np.int32), strict=True))
+            for k in range(batch.num_rows):
+                y, doc, place = (np.frombuffer(c[k].as_buffer(), kind) for c, kind in zip(batch.columns, (np.float64, np.int32, np.int32), strict=True))
                 z = intercept + np.bincount(doc, weight[place], len(y))
                 g = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
                 total += float((np.logaddexp(0, z) - y * z).sum())

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from catchwater.llm import quality, toxicity
 from tests.llm import cases
@@ -53,7 +54,8 @@ def test_edges(spark):
         out = model.score(odd)
         assert out.columns.count("score") == out.columns.count("predicted") == 1 and "lang" in out.columns
         found = out.collect()
-        assert sorted((r["doc_id"] or -1, r["text"] or "") for r in found) == sorted((i or -1, t or "") for i, t, *_ in cases.rows())
+        assert sorted((str(r["doc_id"]), str(r["text"])) for r in found) == sorted((str(i), str(t)) for i, t, *_ in cases.rows())
+        assert sum(r["text"] is None for r in found) == sum(t is None for _, t, *_ in cases.rows())
         assert all(0 <= r["score"] <= 1 for r in found)
         assert model.score(odd.limit(0)).count() == 0
         for few, share in ((marks.where("false"), {0.0, 0.5}), (marks.where("toxic = 1 and quality = 1"), {1.0})):
@@ -116,3 +118,77 @@ def test_minimum_of_a_steep_valley():
     scale = np.logspace(0, 6, 30)
     at = toxicity.minimum(lambda x: (float(scale @ (x - 1) ** 2) / 2, scale * (x - 1)), np.zeros(30))
     assert np.allclose(at, 1, atol=1e-5)
+
+
+def brute_toxicity(rows, y):
+    """The same model with dictionaries and a dense Newton fit: (score of a text)."""
+    own = {i: {f" {t.lower()} "[a : a + n] for n in toxicity.SIZES for a in range(len(t) + 3 - n)} for i, t in rows}
+    pos = sum(y.values())
+    neg = len(y) - pos
+    count = {}
+    for i, grams in own.items():
+        for g in grams:
+            p, q = count.get(g, (0, 0))
+            count[g] = p + y[i], q + 1 - y[i]
+    kept = []
+    for g, (p, q) in count.items():
+        s = (p + q + 1) / (pos + neg + 2)
+        if p + q >= 3 and abs(p / pos - q / neg) / (s * (1 - s) * (1 / pos + 1 / neg)) ** 0.5 >= toxicity.CLEAR:
+            kept.append(g)
+    ratio = np.array([np.log((count[g][0] + 1) / (pos + 2)) - np.log((count[g][1] + 1) / (neg + 2)) for g in kept])
+    row = lambda grams: np.array([*(r if g in grams else 0.0 for g, r in zip(kept, ratio, strict=True)), 1.0])
+    x, t, w = np.array([row(own[i]) for i, _ in rows]), np.array([float(y[i]) for i, _ in rows]), np.zeros(len(kept) + 1)
+    decay = np.append(np.full(len(kept), toxicity.DECAY), 0.0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(t) + np.diag(decay + 1e-12), x.T @ (p - t) / len(t) + decay * w)
+    return lambda text: 1 / (1 + np.exp(-row({f" {text.lower()} "[a : a + n] for n in toxicity.SIZES for a in range(len(text) + 3 - n)}) @ w))
+
+
+def test_toxicity_against_plain_counting(spark):
+    rows, labels = corpus(11, 90)
+    docs, marks = frames(spark, rows, labels)
+    score = brute_toxicity(rows, {i: t for i, _, t in labels})
+    for r in toxicity.fit(docs, marks).score(docs).collect():
+        assert abs(r["score"] - score(r["text"])) < 2e-3
+
+
+def test_quality_against_a_dense_fit(spark):
+    """The whole model in numpy, without partitions: standardised statistics, features, ridge, bins, pooling."""
+    rows, labels = corpus(12, 200)
+    docs, marks = frames(spark, rows, labels)
+    y = np.array([float(q) for _, q, _ in labels])
+    x = quality.statistics(pa.array([t for _, t in rows]))
+    mean, scale, d, features = x.mean(0), np.maximum(x.std(0), 1e-6), x.shape[1], 48
+    random_ = np.random.Generator(np.random.PCG64(11))
+    mapped, phase = random_.normal(size=(d, features)) / (quality.WIDTH * np.sqrt(d)), random_.uniform(0, 2 * np.pi, features)
+    z = np.c_[np.sqrt(2 / features) * np.cos(np.clip((x - mean) / scale, -6, 6) @ mapped + phase), np.ones(len(x))]
+    raw = z @ np.linalg.solve(z.T @ z + quality.RIDGE * len(y) / features * np.eye(features + 1), z.T @ y)
+    bins = np.clip(np.floor((raw + 0.5) * quality.BINS / 2), 0, quality.BINS - 1).astype(int)
+    used = np.unique(bins)
+    good = [y[bins == b].mean() for b in used]
+    weight = [(bins == b).sum() for b in used]
+    level = [max(min(np.dot(weight[a : b + 1], good[a : b + 1]) / sum(weight[a : b + 1]) for b in range(k, len(used))) for a in range(k + 1)) for k in range(len(used))]  # the min-max form of isotonic regression
+    want = np.interp(raw, (used + 0.5) * 2 / quality.BINS - 0.5, level).clip(0, 1)
+    got = {r["doc_id"]: r["score"] for r in quality.fit(docs, marks, features=features).score(docs).collect()}
+    assert np.allclose([got[i] for i, _ in rows], want, atol=1e-6)
+
+
+def test_the_queries_learn_from_four_fifths(spark, tmp_path):
+    import zlib
+
+    from catchwater.llm import queries
+
+    rows, labels = corpus(13, 250)
+    docs, marks = frames(spark, rows + [(900, None), (901, "")], labels)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    seen = {r["doc_id"] for r in marks.where(~queries.held_out()).collect()}
+    assert seen == {i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5}
+    for query, kind, label in ((queries.op8_quality_classifier, quality, "quality"), (queries.op9_toxicity, toxicity, "toxic")):
+        got = {r["doc_id"]: (r["held_out"], r["score"], r["predicted"]) for r in query(spark, str(tmp_path)).collect()}
+        model = kind.fit(docs, marks.where(F.col("doc_id").isin(sorted(seen))), label)
+        for r in model.score(docs).collect():
+            held, score, predicted = got.pop(r["doc_id"])
+            assert held == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and abs(score - r["score"]) < 1e-6 and predicted == r["predicted"]
+        assert not got
