@@ -1,20 +1,26 @@
 """Embedding near-dedup: navigable small-world graphs per shard, beams widened by recall audits, exact cosine, components.
 
 Vectors that are equal form a class with one representative. Representatives are dealt to shards by a hash; a task builds
-the hierarchical graph of its shard and then streams every representative past it. A beam that ends inside the
-similarity range widens until it leaves it, so a dense group is listed whole. Before that, an audit compares the first
-queries with brute force over the shard and doubles the beam until enough of them find every partner, those with few
-partners and those with many each for themselves; a beam as wide as the shard is exact. Candidates are verified by cosine
-in double precision. A task returns one row a query and one a member that has links: how many vectors, and the smallest
-id among them or of the members they unite, never the pairs; components() unites these. A link that only one of its ends
-found so joins both; n_links is the greater of the links found from a vector and those found towards it.
+the hierarchical graph of its shard, audits it, and writes it to the shared folder. Representatives are also packed into
+slices, and every pair of a shard and a slice is one task: each query of the slice goes down the graph with the shard's
+beam. A beam that ends inside the similarity range has met a dense group: from there, links are followed from point to
+point while they stay in range of those queries, and all points so reached are compared with them. The audit compares the
+first members with brute force over the shard and doubles the beam until enough of them find every partner, those with few
+partners and those with many each for themselves. Candidates are verified by cosine in double precision; where single
+precision with its error bound already decides, that is not repeated.
+
+A task returns one row a query and one a member that has links: how many vectors, and the smallest id among them or of the
+members they unite, never the pairs; components() unites these. A link that only one of its ends found so joins both;
+n_links is the greater of the links found from a vector and those found towards it.
 
 Null, zero and non-finite vectors and vectors with null components link with nothing, nor does a null id. Vectors of
-different lengths never link. Rows that share an id count as one vector whose links unite; n_links counts rows.
+different lengths never link. Equal vectors link whatever their number. Rows that share an id count as one vector whose
+links unite; n_links counts rows. Long vectors are read whole. Other columns are not used. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catchwater.llm.common import components, written
+from catchwater.llm.common import components, dropped, released, written
 
 #: Cosine from which vectors are linked; vectors in a shard, shards at least; links of a vertex on the ground and above.
 THRESHOLD, SHARD, SHARDS, GROUND, ABOVE = 0.95, 50_000, 6, 32, 16
+#: Vectors in a slice, slices at least; how far under the threshold a dense group is followed.
+SLICE, SLICES, MARGIN = 100_000, 4, 0.05
 #: Beam while building and at the start of the search; audited queries; the share of them that has to find every partner;
 #: from how many partners a query has many.
 BUILD, BEAM, AUDITED, RECALL, MANY = 48, 48, 2048, 0.995, 16
@@ -157,28 +165,64 @@ class Graph:
         order = np.argsort(-sims, 1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
-    def within(self, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) pairs of about the threshold's similarity or more; a beam that ends inside the range widens."""
+    def packed(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, order=self.order, x=self.x, **{f"layer{k}": links for k, links in enumerate(self.layers)})
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Graph:
+        self, held = cls.__new__(cls), np.load(io.BytesIO(raw))
+        self.order, self.x = held["order"], held["x"]
+        self.layers = [held[f"layer{k}"] for k in range(len(held.files) - 2)]
+        return self
+
+    def _reached(self, q: np.ndarray, start: np.ndarray, threshold: float) -> np.ndarray:
+        """Points that links reach from `start` through points in range of one of the queries."""
+        looked, inside, front = np.zeros(len(self.x), bool), np.zeros(len(self.x), bool), start
+        looked[start] = inside[start] = True
+        while len(front):
+            near = np.zeros(len(self.x), bool)
+            found = self.layers[-1][front].ravel()
+            near[found[found >= 0]] = True
+            near &= ~looked
+            looked |= near
+            near = np.flatnonzero(near)
+            front = np.concatenate([at[(self.x[at] @ q.T >= threshold - MARGIN).any(1)] for at in np.split(near, range(8192, len(near), 8192))])
+            inside[front] = True
+        return np.flatnonzero(inside)
+
+    def near(self, q: np.ndarray, threshold: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks (query, point, similarity in single precision) of pairs of about the threshold or more."""
         q = np.ascontiguousarray(q, np.float32)
-        left, found = np.arange(len(q)), []
-        entry = self._entry(q)
-        while len(left):
-            if beam >= len(self.x):
-                for at in range(0, len(left), 256):
-                    r, c = np.nonzero(q[left[at : at + 256]] @ self.x.T >= threshold)
-                    found.append((left[at + r], c))
-                break
-            wide, parts = [], max(16, min(512, (32 << 20) // max(len(self.x), 1)))
-            for at in range(0, len(left), parts):
-                own = left[at : at + parts]
-                ids, sims = self._search(self.layers[-1], q[own], entry[own], beam)
-                full = sims[:, -1] >= threshold - 0.05
-                r, c = np.nonzero((sims >= threshold) & ~full[:, None])
-                found.append((own[r], ids[r, c]))
-                wide.append(own[full])
-            left, beam = np.concatenate(wide), beam * 2
+        if not len(q) or not len(self.x):
+            return
+        entry, dense, starts = self._entry(q), [], []
+        step = max(16, min(512, (32 << 20) // len(self.x)))
+        for at in range(0, len(q), step):
+            own = np.arange(at, min(at + step, len(q)))
+            ids, sims = self._search(self.layers[-1], q[own], entry[own], beam)
+            full = sims[:, -1] >= threshold - MARGIN
+            r, c = np.nonzero((sims >= threshold) & ~full[:, None])
+            yield own[r], self.order[ids[r, c]], sims[r, c]
+            dense.append(own[full])
+            starts.append(ids[full])
+        dense, starts = np.concatenate(dense), np.concatenate(starts)
+        together = np.argsort(starts[:, 0], kind="stable")
+        for at in range(0, len(together), 256):
+            own = together[at : at + 256]
+            some = self._reached(q[dense[own]], np.unique(starts[own]), threshold)
+            for lo in range(0, len(own), 32):
+                part = dense[own[lo : lo + 32]]
+                sim = q[part] @ self.x[some].T
+                r, c = np.nonzero(sim >= threshold)
+                yield part[r], self.order[some[c]], sim[r, c]
+
+    def within(self, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) pairs of about the threshold's similarity or more."""
+        found = [(r, c) for r, c, _ in self.near(q, threshold, beam)]
         r, c = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        return r, self.order[c]
+        return r, c
 
     def audited(self, q: np.ndarray, threshold: float, beam: int = BEAM, own: np.ndarray | None = None) -> int:
         """A beam with which enough queries find all their true partners, both of those with few and with many.
@@ -210,122 +254,109 @@ class Graph:
         return beam
 
 
-def _united(root: np.ndarray, r: np.ndarray, c: np.ndarray, queries: int) -> np.ndarray:
-    """root (each member's smallest united one) after the members c of each query r are united."""
+def _united(root: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """root (each member's smallest united one) after the members c of each query r are united; r comes in runs."""
+    if not len(r):
+        return root
+    first = np.flatnonzero(np.diff(r, prepend=-1))
+    size = np.diff(np.append(first, len(r)))
     while True:
-        least = np.full(queries, len(root))
-        np.minimum.at(least, r, root[c])
+        own = root[c]
+        least = np.minimum.reduceat(own, first)
+        if (np.maximum.reduceat(own, first) == least).all():
+            return root
         new = root.copy()
-        np.minimum.at(new, root[c], least[r])
+        np.minimum.at(new, own, np.repeat(least, size))
         while (new[new] != new).any():
             new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+        root = new[root]
 
 
-def _unit(column: pa.Array, d: int) -> np.ndarray:
-    x = np.asarray(column.flatten(), np.float64).reshape(-1, d)
+def _unit(raw: bytes, d: int) -> np.ndarray:
+    x = np.frombuffer(raw, np.float64).reshape(-1, d)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _own(q: np.ndarray, qid: np.ndarray, held: dict) -> np.ndarray:
-    """Each query's own point among the shard's members: that of its id and vector; -1 for a query of another shard."""
-    out = np.full(len(q), -1)
-    lo, hi = (np.searchsorted(held["ids"], qid, side, held["sorted"]) for side in ("left", "right"))
-    for k in np.flatnonzero(hi > lo):
-        same = [m for m in held["sorted"][lo[k] : hi[k]] if np.array_equal(held["x"][m], q[k])]
-        if same:
-            out[k] = same[0]
-    return out
-
-
-def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come by shard, its members before the queries."""
-    held: dict = {"key": None}
-    names = ["vec_id", "n_links", "n_back", "reach"]
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if held["key"] is None or not held["queries"]:
-            return
-        if not len(held["ids"]):  # no vector of this length is in the shard
-            held["queries"], held["rows"] = [], 0
-            return
-        if "graph" not in held:
-            held["x"], held["ids"], held["weight"] = (np.concatenate(held[k]) for k in ("x", "ids", "weight"))
-            held["graph"] = Graph(held["x"])
-            held["root"], held["back"] = np.arange(len(held["ids"])), np.zeros(len(held["ids"]), np.int64)
-            held["sorted"] = np.argsort(held["ids"], kind="stable")
-        q, qid, copies = (np.concatenate(z) for z in zip(*held["queries"], strict=True))
-        if "beam" not in held:
-            held["beam"] = held["graph"].audited(q[:AUDITED], threshold - 1e-4, own=_own(q[:AUDITED], qid[:AUDITED], held))
-        held["queries"], held["rows"] = [], 0
-        for lo in range(0, len(q), 1024):
-            at, ids, weight = q[lo : lo + 1024], qid[lo : lo + 1024], copies[lo : lo + 1024]
-            r, c = held["graph"].within(at, threshold - 1e-4, held["beam"])
-            good = np.concatenate([np.einsum("kd,kd->k", at[r[k : k + 100_000]], held["x"][c[k : k + 100_000]]) for k in range(0, len(r), 100_000)] or [np.zeros(0)]) >= threshold
-            good &= ids[r] != held["ids"][c]
+def _packed(own: pa.Table, place: str) -> tuple[int, int, np.ndarray, np.ndarray, bytes]:
+    """Length, shard or slice, ids, copies and vectors of a group, in the order of a hash of their ids."""
+    own = own.sort_by([("mixed", "ascending"), ("vec_id", "ascending")]).combine_chunks()
+    x = np.asarray(own["embedding"].combine_chunks().flatten(), np.float64)
+    return own["dim"][0].as_py(), own[place][0].as_py(), np.asarray(own["vec_id"], np.int64), np.asarray(own["copies"], np.int64), x.tobytes()
+
+
+def _shard(own: pa.Table, threshold: float) -> pa.Table:
+    """A shard as one row: its graph, the beam that its audit asks for, its members."""
+    d, place, ids, copies, raw = _packed(own, "shard")
+    x = _unit(raw, d)
+    graph = Graph(x)
+    beam = graph.audited(x[:AUDITED], threshold, own=np.arange(min(len(x), AUDITED)))
+    released()
+    return pa.table({"dim": [d], "shard": [place], "beam": [beam], "ids": [ids.tobytes()], "copies": [copies.tobytes()], "vectors": pa.array([raw], pa.binary()), "graph": pa.array([graph.packed()], pa.binary())})
+
+
+def _slice(own: pa.Table) -> pa.Table:
+    d, place, ids, copies, raw = _packed(own, "slice")
+    return pa.table({"dim": [d], "slice": [place], "q_ids": [ids.tobytes()], "q_copies": [copies.tobytes()], "q_vectors": pa.array([raw], pa.binary())})
+
+
+def _links(shards: pa.Table, slices: pa.Table, threshold: float) -> pa.Table:
+    """The rows of one shard and one slice."""
+    kinds = pa.schema([("vec_id", pa.int64()), ("n_links", pa.int64()), ("n_back", pa.int64()), ("reach", pa.int64())])
+    if not len(shards) or not len(slices):
+        return kinds.empty_table()
+    d, long = shards["dim"][0].as_py(), np.int64
+    graph, beam, x = Graph.unpacked(shards["graph"][0].as_py()), shards["beam"][0].as_py(), _unit(shards["vectors"][0].as_py(), d)
+    ids, weight = (np.frombuffer(shards[k][0].as_py(), long) for k in ("ids", "copies"))
+    qid, copies = (np.frombuffer(slices[k][0].as_py(), long) for k in ("q_ids", "q_copies"))
+    raw, out = slices["q_vectors"][0].as_py(), []
+    root, back = np.arange(len(ids)), np.zeros(len(ids), long)
+    slack = 1.2e-7 * (d + 8)  # what single precision may be off
+
+    def rows(i: np.ndarray, n: np.ndarray, m: np.ndarray, reach: np.ndarray) -> pa.Table:
+        return pa.table([pa.array(v.astype(long)) for v in (i, n, m, reach)], schema=kinds)
+
+    for lo in range(0, len(qid), 4096):
+        q, own, many = _unit(raw[lo * d * 8 : (lo + 4096) * d * 8], d), qid[lo : lo + 4096], copies[lo : lo + 4096]
+        n, least = np.zeros(len(q), long), np.full(len(q), np.iinfo(long).max)
+        for r, c, sim in graph.near(q, threshold - slack, beam):
+            close = np.flatnonzero(sim < threshold + slack)
+            good = own[r] != ids[c]
+            good[close] &= np.einsum("kd,kd->k", q[r[close]], x[c[close]]) >= threshold
             r, c = r[good], c[good]
-            n = np.bincount(r, held["weight"][c], len(at)).astype(np.int64)
-            least = np.full(len(at), np.iinfo(np.int64).max)
-            np.minimum.at(least, r, held["ids"][c])
-            held["root"] = _united(held["root"], r, c, len(at))
-            held["back"] += np.bincount(c, weight[r], len(held["ids"])).astype(np.int64)
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some]), pa.array(np.zeros(len(some), np.int64)), pa.array(least[some])], names)
-
-    def ended() -> Iterator[pa.RecordBatch]:
-        """The rest of a shard and what its members were found by. A member that a query found is united with the others of that query."""
-        yield from flush()
-        if "graph" in held:
-            some = np.flatnonzero(held["back"])
-            yield pa.RecordBatch.from_arrays([pa.array(held["ids"][some]), pa.array(np.zeros(len(some), np.int64)), pa.array(held["back"][some]), pa.array(held["ids"][held["root"][some]])], names)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        dim, shard, query = (np.asarray(batch.column(k)) for k in ("dim", "shard", "query"))
-        cut = np.flatnonzero((np.diff(dim) != 0) | (np.diff(shard) != 0) | (np.diff(query) != 0)) + 1
-        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
-            key = (int(dim[lo]), int(shard[lo]))
-            if key != held["key"]:
-                yield from ended()
-                held = {"key": key, "x": [], "ids": [], "weight": [], "queries": [], "rows": 0}
-            part = batch.slice(lo, hi - lo)
-            x, ids = _unit(part.column("embedding"), key[0]), np.asarray(part.column("vec_id"))
-            if query[lo]:
-                held["queries"].append((x, ids, np.asarray(part.column("copies"))))
-                held["rows"] += len(ids)
-                if held["rows"] >= 8192:
-                    yield from flush()
-            else:
-                held["x"].append(x)
-                held["ids"].append(ids)
-                held["weight"].append(np.asarray(part.column("copies")))
-    yield from ended()
-
-
-def dedup(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, shards: int = SHARDS) -> DataFrame:
+            n += np.bincount(r, weight[c], len(q)).astype(long)
+            np.minimum.at(least, r, ids[c])
+            root = _united(root, r, c)
+            back += np.bincount(c, many[r], len(ids)).astype(long)
+        some = np.flatnonzero(n)
+        out.append(rows(own[some], n[some], np.zeros(len(some)), least[some]))
+    some = np.flatnonzero(back)  # a member that a query found is united with the others of that query
+    out.append(rows(ids[some], np.zeros(len(some)), back[some], ids[root[some]]))
+    released()
+    return pa.concat_tables(out)
+
+
+def dedup(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, shards: int = SHARDS, slice_: int = SLICE, slices: int = SLICES) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
     v = F.col("embedding")
     norm = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = v.isNotNull() & F.col("vec_id").isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & (norm > 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0).cast("float")).alias("embedding"))
-    classes = rows.where(usable).groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-    classes = written(classes.withColumn("dim", F.size("embedding")), "vectors")
+    usable = F.coalesce(v.isNotNull() & F.col("vec_id").isNotNull() & (F.size(v) > 0) & finite & (norm > 0), F.lit(False))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0).cast("float")).alias("embedding")).withColumn("usable", usable)
+    classes = rows.where("usable").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    classes = written(classes.withColumns({"dim": F.size("embedding").cast("long"), "mixed": F.xxhash64("vec_id")}), "vectors")
     n = classes.count()
-    shards = max(shards, -(-n // shard))
-    place = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")
-    members = classes.withColumn("shard", place).withColumn("query", F.lit(0))
-    queries = classes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("query", F.lit(1))
-    dealt = members.unionByName(queries).repartition(shards * 10, "dim", "shard").sortWithinPartitions("dim", "shard", "query", F.xxhash64("vec_id"))
-    found = written(dealt.mapInArrow(lambda batches: _links(batches, threshold), "vec_id long, n_links long, n_back long, reach long"), "links")
+    shards, slices = max(shards, -(-n // shard)), max(slices, -(-n // slice_))
+    dealt = lambda seed, parts: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts))
+    graphs = classes.withColumn("shard", dealt(1, shards)).groupBy("dim", "shard").applyInArrow(lambda own: _shard(own, threshold), "dim long, shard long, beam long, ids binary, copies binary, vectors binary, graph binary")
+    packs = classes.withColumn("slice", dealt(2, slices)).groupBy("dim", "slice").applyInArrow(_slice, "dim long, slice long, q_ids binary, q_copies binary, q_vectors binary")
+    graphs, packs = written(graphs, "graphs"), written(packs, "slices")
+    left = graphs.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))).groupBy("dim", "shard", "slice")
+    right = packs.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).groupBy("dim", "shard", "slice")
+    found = written(left.cogroup(right).applyInArrow(lambda a, b: _links(a, b, threshold), "vec_id long, n_links long, n_back long, reach long"), "links")
+    dropped(graphs, packs)
     groups = components(found.select("vec_id", "reach"), "vec_id", "reach")
     per = found.groupBy("vec_id").agg(F.greatest(F.sum("n_links"), F.sum("n_back")).alias("links")).join(groups, F.col("vec_id") == F.col("id"), "left").drop("id")
     known = classes.select("embedding", F.col("vec_id").alias("rep"), "copies").join(per.withColumnRenamed("vec_id", "rep"), "rep", "left")
-    key = F.when(usable, v)
-    out = rows.withColumn("embedding", key).join(known, "embedding", "left")
-    component = F.coalesce("component", "rep", "vec_id")
-    links = F.when(F.col("rep").isNull(), F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
-    return out.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    linked = rows.where("usable").join(known, "embedding").select("vec_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -90,37 +90,105 @@ def test_a_dense_group_does_not_hide_missed_pairs():
     assert embedding_dedup.Graph(x).audited(x[:400], 0.95, own=np.arange(400)) <= len(x)
 
 
-def batch(x, ids, query):
+def table(x, ids):
     import pyarrow as pa
 
     n = len(x)
-    data = {"dim": [x.shape[1]] * n, "shard": [0] * n, "query": [query] * n, "vec_id": ids, "copies": [1] * n, "embedding": list(x.astype(np.float32))}
-    return pa.record_batch({k: pa.array(v, pa.list_(pa.float32())) if k == "embedding" else pa.array(v) for k, v in data.items()})
+    return pa.table({"dim": [x.shape[1]] * n, "shard": [0] * n, "slice": [0] * n, "mixed": list(range(n)), "vec_id": ids, "copies": [1] * n, "embedding": pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))})
+
+
+def links(members, queries):
+    out = embedding_dedup._links(embedding_dedup._shard(table(*members), 0.95), embedding_dedup._slice(table(*queries)), 0.95)
+    return out.to_pylist()
 
 
 def test_many_queries_of_a_shard():
     x, _ = skewed(20, 20, 8240)
     ids = np.arange(len(x))
-    rows = [r for b in embedding_dedup._links(iter([batch(x[:50], ids[:50], 0), batch(x, ids, 1), batch(x, ids, 1)]), 0.95) for r in b.to_pylist()]
+    rows = links((x[:50], ids[:50]), (x, ids))
     near = x @ x[:50].T >= 0.95
     near[ids[:50], ids[:50]] = False
-    assert sum(r["n_links"] for r in rows) == 2 * near.sum() == sum(r["n_back"] for r in rows)
+    assert sum(r["n_links"] for r in rows) == near.sum() == sum(r["n_back"] for r in rows)
 
 
 def test_a_link_found_from_one_end_counts_for_both(monkeypatch):
     x, kind = skewed(0, 30, 10)
-    true = embedding_dedup.Graph.within
+    true = embedding_dedup.Graph.near
     small = {x[a].astype(np.float32).astype(np.float64).round(4).tobytes() for a in range(len(x)) if any(b > a and x[a] @ x[b] >= 0.95 for b in range(len(x)))}
 
     def one_way(self, q, threshold, beam):
-        r, c = true(self, q, threshold, beam)
         deaf = np.array([v.astype(np.float64).round(4).tobytes() in small for v in q])
-        return r[~deaf[r]], c[~deaf[r]]
+        for r, c, s in true(self, q, threshold, beam):
+            yield r[~deaf[r]], c[~deaf[r]], s[~deaf[r]]
 
-    monkeypatch.setattr(embedding_dedup.Graph, "within", one_way)
+    monkeypatch.setattr(embedding_dedup.Graph, "near", one_way)
     monkeypatch.setattr(embedding_dedup.Graph, "audited", lambda *a, **k: 48)
     found = {}
-    for b in embedding_dedup._links(iter([batch(x, np.arange(len(x)), 0), batch(x, np.arange(len(x)), 1)]), 0.95):
-        for r in b.to_pylist():
-            found.setdefault(r["vec_id"], []).append(max(r["n_links"], r["n_back"]))
+    for r in links((x, np.arange(len(x))), (x, np.arange(len(x)))):
+        found.setdefault(r["vec_id"], []).append(max(r["n_links"], r["n_back"]))
     assert {k: max(v) for k, v in found.items()} == {k: 1 for k in np.flatnonzero(kind == 1).tolist()}
+
+
+def test_dense_groups_are_followed_through_the_graph():
+    """Each query of a group far wider than the beam finds all of it, and no comparison is with the whole shard."""
+    x, kind = skewed(700, 200, 900)
+    graph, looked = embedding_dedup.Graph(x), []
+    true = embedding_dedup.Graph._reached
+
+    def watched(self, q, start, threshold):
+        out = true(self, q, start, threshold)
+        looked.append(len(out))
+        return out
+
+    embedding_dedup.Graph._reached = watched
+    try:
+        r, c = graph.within(x, 0.95, 48)
+    finally:
+        embedding_dedup.Graph._reached = true
+    want = x @ x.T >= 0.95
+    got = np.zeros_like(want)
+    got[r, c] = True
+    assert (got >= want).mean(1)[kind == 0].min() == 1.0 and (got & want).sum() / want.sum() >= 0.999
+    assert looked and max(looked) < len(x) / 2
+
+
+def test_chains_unite(spark):
+    """Paths whose ids run 1-4-3-2: each vector is linked with its neighbours only, and all four are one component."""
+    rng, rows = np.random.default_rng(4), []
+    for k in range(200):
+        a, b = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        for step, place in enumerate((1, 4, 3, 2)):
+            rows.append((4 * k + place, (np.cos(np.radians(15 * step)) * a + np.sin(np.radians(15 * step)) * b).astype(np.float32).tolist()))
+    frame = spark.createDataFrame([(i, v, 1, "") for i, v in rows], SCHEMA)
+    want = brute(rows)
+    for shards in (1, 6):
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.dedup(frame, shards=shards).collect()) == want
+
+
+def test_more_vectors_than_a_block(spark, tmp_path):
+    """9,000 distinct vectors through the query, two blocks of a slice and more, against all pairs."""
+    from catchwater.llm import queries
+
+    x, _ = skewed(400, 900, 6800)
+    x = x.astype(np.float32)
+    spark.createDataFrame([(k, v.tolist(), 1, "") for k, v in enumerate(x)], SCHEMA).drop("kept").repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = {r["vec_id"]: r for r in queries.op4_embedding_dedup(spark, str(tmp_path)).collect()}
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    n, parent = np.zeros(len(y), int), list(range(len(y)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for lo in range(0, len(y), 500):
+        near = y[lo : lo + 500] @ y.T >= 0.95
+        near[np.arange(len(near)), lo + np.arange(len(near))] = False
+        n[lo : lo + 500] = near.sum(1)
+        for a, b in zip(*np.nonzero(near), strict=True):
+            low, high = sorted((find(lo + a), find(b)))
+            parent[high] = low
+    assert len(y) > 8192 and len(out) == len(y)
+    assert np.mean([out[k]["n_links"] == n[k] for k in range(len(y))]) >= 0.999
+    assert np.mean([out[k]["component_id"] == find(k) for k in range(len(y))]) >= 0.999
