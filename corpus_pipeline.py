@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catchwater.llm import ngram_jaccard, packing, quality, substring_dedup, toxicity
-from catchwater.llm.common import table, written
+from catchwater.llm.common import dropped, written
+from catchwater.llm.queries import table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """A row for each piece of a document: its bin, the bin's size and the piece's place there, in ids of the tokenizer."""
     import public_tokenizers
 
-    return packing.best_fit(docs, packing.tokenizer_ids(public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.best_fit(packing.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=False))
 
 
 STAGES = [
@@ -62,5 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        dropped(before)
     return docs
