@@ -1,11 +1,15 @@
 """Media columns of lossless WebP: payloads are stored as pictures, read back and described.
 
-A payload is padded with bytes 255 to whole rows of ROW samples (one row at least); a sample is the green channel of a
-pixel. Payloads of more rows than a picture may have become several pictures, one file after another. A payload of few
-distinct bytes gets a palette (several samples to a pixel), a very repetitive one back-references; equal payloads are
-always stored alike. Reading decodes the prefix codes, copies and transforms and gives the samples back.
-
-Null and empty texts are one row of padding. Other columns pass through; clashing ones are replaced.
+A payload is padded with bytes 255 to whole rows of ROW samples (one row at least); three samples are the red, green and
+blue channel of a pixel. Long payloads become several pictures of HIGH rows, one file after another. A picture of few
+colours gets a palette where that is shorter, a very repetitive one back-references; the others take one of FORMS by a
+checksum of their content, as pictures from different writers would, so that a column needs every part of the format:
+predictor by block, cross-colour, subtract-green, colour cache. Equal payloads are always stored alike. Reading decodes
+the prefix codes, copies, cache hits and transforms of a batch of pictures together and gives the samples back.
+
+Null and empty texts are one row of padding. A text of any length is stored whole. Repeated rows are stored each for
+itself. Other columns pass through; clashing ones (media, n_bytes, pixels, feature) are replaced. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -20,36 +24,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from catchwater.llm import webp
-from catchwater.llm.common import pieces
+from catchwater.llm.common import released, slices
 
-#: Samples in a row; distinct bytes from which no palette pays; deflated share under which copies are searched.
-ROW, FEW, REPETITIVE = 576, 16, 0.12
+#: Samples in a row, rows of a picture at most, deflated share under which copies are searched, stored bytes read together.
+ROW, HIGH, REPETITIVE, TOGETHER = 576, 16, 0.12, 4 << 20
+#: Forms of pictures, as arguments of webp.encode().
+FORMS = ({"cache_bits": 8}, {"green": True, "cross": 0xFF04FC02}, {"predictor": -1}, {"predictor": -1, "green": True, "cache_bits": 6}, {"cross": 0xFF02FE04, "cache_bits": 9})
 
 
 def padded(payload: bytes) -> bytes:
     return payload + b"\xff" * (-len(payload) % ROW or (0 if payload else ROW))
 
 
+def pixels_of(samples: np.ndarray) -> np.ndarray:
+    """Rows of pixels of rows of samples."""
+    c = samples.reshape(-1, ROW // 3, 3).astype(np.uint32)
+    return c[..., 0] << np.uint32(16) | c[..., 1] << np.uint32(8) | c[..., 2] | np.uint32(0xFF000000)
+
+
 def stored(payload: bytes) -> bytes:
     """The pictures of a padded payload."""
-    files, limit = [], webp.LIMIT * ROW
+    files, limit = [], HIGH * ROW
     for at in range(0, len(payload), limit):
         part = payload[at : at + limit]
-        samples = np.frombuffer(part, np.uint8)
-        pixels = ((samples.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000)).reshape(-1, ROW)
-        few = int((np.bincount(samples, minlength=256) > 0).sum()) <= FEW
-        files.append(webp.encode(pixels, palette=few, copies=len(zlib.compress(part, 1)) < REPETITIVE * len(part)))
+        pixels = pixels_of(np.frombuffer(part, np.uint8))
+        colours = 257 if len(np.unique(pixels[:3])) > 256 else len(np.unique(pixels))
+        if colours <= 256 and 24 * colours + pixels.size * max(colours - 1, 1).bit_length() < 12 * pixels.size:
+            files.append(webp.encode(pixels, palette=True, copies=colours > 1 and pixels.size > 4 * colours))
+        elif len(zlib.compress(part, 1)) < REPETITIVE * len(part):
+            files.append(webp.encode(pixels, copies=True, cache_bits=4))
+        else:
+            files.append(webp.encode(pixels, **FORMS[zlib.crc32(part) % len(FORMS)]))
     return b"".join(files)
 
 
-def loaded(media: bytes) -> np.ndarray:
-    """The samples of pictures as rows of bytes."""
-    parts, at = [], 0
+def files_of(media: bytes) -> list[bytes]:
+    """The files that stand one after another in a media value."""
+    out, at = [], 0
     while at < len(media):
         size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        parts.append(((webp.decode(media[at : at + size]) >> np.uint32(8)) & np.uint32(255)).astype(np.uint8))
+        out.append(media[at : at + size])
         at += size
-    return np.concatenate(parts)
+    return out
+
+
+def loaded_many(media: list[bytes]) -> list[np.ndarray]:
+    """The samples of each media value as rows of bytes."""
+    files = [files_of(x) for x in media]
+    read = iter(webp.decode_many([f for own in files for f in own]))
+    out = []
+    for own in files:
+        pixels = np.concatenate([next(read) for _ in own])
+        out.append(np.stack([pixels >> np.uint32(16), pixels >> np.uint32(8), pixels], 2).astype(np.uint8).reshape(len(pixels), ROW))
+    return out
+
+
+def loaded(media: bytes) -> np.ndarray:
+    return loaded_many([media])[0]
+
+
+def _together(batches: Iterator[pa.RecordBatch], media: str = "media") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The rows of batches with the samples of their media, about TOGETHER stored bytes at a time."""
+    for batch in batches:
+        size = np.cumsum([len(x.as_buffer()) for x in batch.column(media)]) if batch.num_rows else []
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TOGETHER, side="right")))
+            part = batch.slice(at, upto - at)
+            yield part, loaded_many(part.column(media).to_pylist())
+            at = upto
+    released()
 
 
 def described(samples: np.ndarray) -> str:
@@ -68,8 +112,8 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = T.StructType([*kept, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
-            raw = [x.encode() for x in batch.column(text).to_pylist()]
+        for batch, texts in slices(batches, text):
+            raw = [x.encode() for x in texts.to_pylist()]
             media = [stored(padded(x)) for x in raw]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], schema.names)
 
@@ -82,11 +126,8 @@ def load(rows: DataFrame, media: str = "media", into: str = "pixels") -> DataFra
     schema = T.StructType([*rows.schema, T.StructField(into, T.BinaryType()), T.StructField("feature", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                read = [loaded(x) for x in part.column(media).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in read], pa.binary()), pa.array([described(x) for x in read])], schema.names)
+        for part, read in _together(batches, media):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in read], pa.binary()), pa.array([described(x) for x in read])], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -96,13 +137,11 @@ def digest(rows: DataFrame) -> DataFrame:
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part, out = batch.slice(at, 200), []
-                for media in part.column("media").to_pylist():
-                    samples = loaded(media)
-                    raw = samples.tobytes()
-                    out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(media), hashlib.sha256(media).hexdigest(), described(samples)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(list(x)) for x in zip(*out, strict=True))], [x.split()[0] for x in schema.split(", ")])
+        for part, read in _together(batches):
+            out = []
+            for media, samples in zip(part.column("media").to_pylist(), read, strict=True):
+                raw = samples.tobytes()
+                out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(media), hashlib.sha256(media).hexdigest(), described(samples)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(list(x)) for x in zip(*out, strict=True))], [x.split()[0] for x in schema.split(", ")])
 
     return rows.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)

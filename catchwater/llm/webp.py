@@ -1,12 +1,14 @@
-"""Media columns: lossless WebP. decode() reads any lossless still image into its pixel array; encode() writes one.
+"""Media columns: lossless WebP. decode_many() reads any lossless still images into pixel arrays; encode() writes one.
 
 The decoder follows the public format: prefix codes (simple and normal, with the code-length code), prefix-code groups
 chosen by an entropy image, LZ77 back-references with the two-dimensional distance map, the colour cache, and the
 inverses of the four transforms (predictor, cross-colour, subtract-green, colour indexing with packed pixels).
 
-An image whose pixels vary in one channel and hold no copies nor cache entries is one prefix-coded run; that run is
-decoded by arrays: the symbol and length at every bit position, then the chain of positions by doubling. All else goes
-symbol by symbol. Pixels are uint32 ARGB arrays of shape (height, width).
+Many images are read side by side, each in a lane: a step reads the next symbol of every lane by arrays. Copies and cache
+hits are first kept as pointers to earlier pixels, which doubling then follows to a pixel with a colour of its own: a
+cache hit points to the last pixel before it that fell into its slot. The predictor is undone along slanted fronts over
+all rows of all images at once. Images with several prefix-code groups, and the small images inside of others, go symbol
+by symbol. Pixels are uint32 ARGB arrays of shape (height, width).
 """
 
 from __future__ import annotations
@@ -29,7 +31,10 @@ NEAR = (
 )
 PREDICTOR, CROSS, GREEN, INDEX = 0, 1, 2, 3
 GREENS, LENGTHS, DISTANCES = 256, 24, 40
+_ORDER, _EXTRA = np.array(CODE_LENGTH_ORDER), np.array([0] * 16 + [2, 3, 7])
 LIMIT = 1 << 14
+#: Bits of the side of a block with its own predictor and factors.
+BLOCK = 5
 
 
 class Damaged(ValueError):
@@ -55,52 +60,54 @@ class Bits:
         return (self.value >> (at - self.base)) & ((1 << n) - 1)
 
 
-_REVERSED = [int(f"{k:015b}"[::-1], 2) for k in range(1 << 15)]
+_REVERSED = np.array([int(f"{k:015b}"[::-1], 2) for k in range(1 << 15)])
+#: Of codes of n bits: how many of 15 bits one stands for, and the mask of its bits.
+_ROOM, _MASK = np.array([1 << 15 - n for n in range(16)]), np.array([(1 << n) - 1 for n in range(16)])
+#: Where the next n bits, read as a number, stand among the codes of n bits in order.
+_PLACES = [_REVERSED[: 1 << n] >> (15 - n) for n in range(16)]
 
 
-def canonical(lengths: Sequence[int]) -> np.ndarray:
-    """The canonical codes of the lengths, bits reversed: the first bit of a code is its lowest."""
-    lengths = np.asarray(lengths)
-    codes, code, before = np.zeros(len(lengths), np.int64), 0, 0
-    listed = lengths.tolist()
-    for n, s in sorted((listed[s], s) for s in np.flatnonzero(lengths).tolist()):
-        code <<= n - before
-        codes[s], before = _REVERSED[code] >> (15 - n), n
-        code += 1
+def canonical(lengths: np.ndarray, used: np.ndarray | None = None) -> np.ndarray:
+    """The canonical codes of the lengths, bits reversed: the first bit of a code is its lowest. used: where there is one."""
+    used = lengths.nonzero()[0] if used is None else used
+    order = used[lengths[used].argsort(kind="stable")]
+    n = lengths[order]
+    room = _ROOM[n]
+    codes = np.zeros(len(lengths), np.int64)
+    codes[order] = _REVERSED[(room.cumsum() - room) & 0x7FFF] & _MASK[n]
     return codes
 
 
 class Prefix:
-    """A prefix code as a table by the next 15 bits."""
+    """A prefix code as a table by the next `bits` bits: symbol << 4 | length."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         if not len(used):
             raise Damaged("an empty prefix code")
         self.single = int(used[0]) if len(used) == 1 else None
-        self.bits = 0 if self.single is not None else int(lengths.max())
         if self.single is not None:
-            self.symbol, self.length = np.array([self.single], np.int32), np.zeros(1, np.int32)
+            self.bits, self.table = 0, np.array([self.single << 4], np.int32)
         else:
-            if (1 << 15) != int((1 << (15 - lengths[used])).sum()):
+            n = lengths[used]
+            if _ROOM[n].sum() != 1 << 15:
                 raise Damaged("a prefix code is not complete")
-            self.symbol, self.length = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
-            codes = canonical(lengths)
-            for s in used.tolist():
-                n = int(lengths[s])
-                self.symbol[codes[s] :: 1 << n], self.length[codes[s] :: 1 << n] = s, n
-        self._lists = None
+            order = n.argsort(kind="stable")
+            n = n[order]
+            self.bits = int(n[-1])
+            self.table = (used[order] << 4 | n).repeat(_ROOM[n] >> (15 - self.bits))[_PLACES[self.bits]].astype(np.int32)
+        self._list = None
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
-        if self._lists is None:
-            self._lists = self.symbol.tolist(), self.length.tolist()
-        k = bits.peek(self.bits)
-        bits.at += self._lists[1][k]
+        if self._list is None:
+            self._list = self.table.tolist()
+        e = self._list[bits.peek(self.bits)]
+        bits.at += e & 15
         if bits.at > bits.size:
             raise Damaged("the image ends early")
-        return self._lists[0][k]
+        return e >> 4
 
 
 def _read_prefix(bits: Bits, alphabet: int) -> Prefix:
@@ -117,21 +124,37 @@ def _read_prefix(bits: Bits, alphabet: int) -> Prefix:
         of[CODE_LENGTH_ORDER[k]] = bits.read(3)
     code = Prefix(of)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, before = 0, 8
+    at, before, out = 0, 8, [0] * alphabet
+    table, mask, start = code.table.tolist(), len(code.table) - 1, bits.at
+    held, have, used = 0, 0, 0  # bits of this code at hand, how many, and how many are used up
     while at < alphabet and left:
         left -= 1
-        s = code.read(bits)
+        if have - used < 32:
+            first = start + used
+            held = int.from_bytes(bits.data[first >> 3 : (first >> 3) + 64], "little") >> (first & 7)
+            start, used, have = first, 0, 504
+        e = table[held & mask]
+        s, n = e >> 4, e & 15
+        held >>= n
+        used += n
         if s < 16:
-            lengths[at] = s
+            out[at] = s
             before = s or before
             at += 1
-        else:
-            n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-            if at + n > alphabet:
-                raise Damaged("code lengths run over")
-            lengths[at : at + n] = before if s == 16 else 0
-            at += n
-    return Prefix(lengths)
+            continue
+        more = (2, 3, 7)[s - 16]
+        n = (3, 3, 11)[s - 16] + (held & ((1 << more) - 1))
+        held >>= more
+        used += more
+        if at + n > alphabet:
+            raise Damaged("code lengths run over")
+        if s == 16:
+            out[at : at + n] = [before] * n
+        at += n
+    bits.at = start + used
+    if bits.at > bits.size:
+        raise Damaged("the image ends early")
+    return Prefix(np.array(out))
 
 
 def _extra(bits: Bits, symbol: int) -> int:
@@ -141,61 +164,31 @@ def _extra(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << n) + bits.read(n) + 1
 
 
-def _run(bits: Bits, code: Prefix, n: int) -> np.ndarray:
-    """The next n symbols of one prefix code, by arrays over all bit positions of a stretch at a time."""
-    out, have = np.zeros(n, np.int32), 0
-    data = np.frombuffer(bits.data, np.uint8)
-    while have < n:
-        want = min(n - have, 1 << 14)
-        first = bits.at >> 3
-        raw = data[first : first + (want * code.bits + 7) // 8 + 4].astype(np.uint32)
-        raw = np.concatenate([raw, np.zeros(3, np.uint32)])
-        three = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
-        window = np.empty((len(three), 8), np.uint32)
-        for k in range(8):
-            np.right_shift(three, k, out=window[:, k])
-        window = (window & np.uint32((1 << code.bits) - 1)).ravel()
-        length, size = code.length[window], len(window)
-        step = [np.minimum(np.arange(size, dtype=np.int32) + length, size - 1)]
-        while len(step) < 5:
-            step.append(step[-1][step[-1]])
-        leap, start = memoryview(step[-1]), bits.at & 7
-        heads, p = [], start
-        for _ in range(-(-want // 16)):
-            heads.append(p)
-            p = leap[p]
-        at = np.array(heads, np.int32)[:, None]
-        for s in reversed(step[:-1]):
-            at = np.stack([at, s[at]], 2).reshape(len(heads), -1)
-        at = at.ravel()[:want]
-        out[have : have + want] = code.symbol[window[at]]
-        bits.at = (first << 3) + int(at[-1]) + int(length[at[-1]])
-        if bits.at > bits.size:
-            raise Damaged("the image ends early")
-        have += want
-    return out
-
-
-def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
-    """The pixels that prefix codes, back-references and the colour cache stand for; transforms come later."""
+def _head(bits: Bits, width: int, height: int, top: bool) -> tuple[int, np.ndarray | None, int, list[list[Prefix]]]:
+    """Cache bits, the entropy image and its block, and the prefix codes of an image."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise Damaged("the colour cache is too large")
     groups, chosen, block = 1, None, 0
     if top and bits.read(1):
         block = bits.read(3) + 2
-        chosen = (_image(bits, (width + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block, False) >> 8) & 0xFFFF
+        chosen = (_image(bits, (width + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block) >> 8) & 0xFFFF
         groups = int(chosen.max()) + 1
     alphabets = (GREENS + LENGTHS + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, DISTANCES)
-    codes = [[_read_prefix(bits, n) for n in alphabets] for _ in range(groups)]
+    return cache_bits, chosen, block, [[_read_prefix(bits, n) for n in alphabets] for _ in range(groups)]
+
+
+def _image(bits: Bits, width: int, height: int) -> np.ndarray:
+    """The pixels of an image inside another one."""
+    return _pixel_by_pixel(bits, width, height, *_head(bits, width, height, False))
+
+
+def _pixel_by_pixel(bits: Bits, width: int, height: int, cache_bits: int, chosen: np.ndarray | None, block: int, codes: list[list[Prefix]]) -> np.ndarray:
+    """The pixels that prefix codes, back-references and the colour cache stand for; transforms come later."""
     n = width * height
-    if groups == 1 and not cache_bits:
-        green, red, blue, alpha, _ = codes[0]
-        if None not in (red.single, blue.single, alpha.single) and (green.single is not None or green.symbol.max() < GREENS):
-            rest = alpha.single << 24 | red.single << 16 | blue.single
-            symbols = np.full(n, green.single, np.int32) if green.single is not None else _run(bits, green, n)
-            if green.single is None or green.single < GREENS:
-                return (symbols.astype(np.uint32) << np.uint32(8) | np.uint32(rest)).reshape(height, width)
+    green, red, blue, alpha, _ = codes[0]
+    if chosen is None and None not in (green.single, red.single, blue.single, alpha.single) and green.single < GREENS:
+        return np.full((height, width), alpha.single << 24 | red.single << 16 | green.single << 8 | blue.single, np.uint32)
     out, cache, at, cached = [0] * n, [0] * (1 << cache_bits), 0, 0
     shift = 32 - cache_bits
     while at < n:
@@ -231,6 +224,152 @@ def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(out, np.uint32).reshape(height, width)
 
 
+_NEAR = np.array(NEAR)
+
+
+def _slot(colour: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+    """The place of colours in caches of so many bits."""
+    return ((colour.astype(np.uint64) * np.uint64(0x1E35A7BD)) & np.uint64(0xFFFFFFFF)) >> (32 - np.asarray(bits)).astype(np.uint64)
+
+
+class _Lane:
+    """An image to be read: its bits, size, cache bits and prefix codes."""
+
+    def __init__(self, bits: Bits, width: int, height: int, cache_bits: int, codes: list[Prefix]):
+        self.bits, self.width, self.height, self.cache_bits, self.codes = bits, width, height, cache_bits, codes
+
+
+def _read_lanes(lanes: list[_Lane]) -> list[np.ndarray]:
+    """The pixels of all lanes; transforms come later."""
+    sizes = np.array([x.width * x.height for x in lanes])
+    base = np.cumsum(sizes + 1) - sizes - 1  # one more pixel for what lanes read after their end
+    chunks, start, at = [], np.zeros(len(lanes), np.int64), 0
+    for k, x in enumerate(lanes):
+        first = x.bits.at >> 5
+        raw = x.bits.data[first * 4 :]
+        raw += b"\0" * (-len(raw) % 4)
+        start[k] = at * 8 + x.bits.at - first * 32
+        chunks.append(raw)
+        at += len(raw)
+    words = np.frombuffer(b"".join(chunks) + b"\0" * 64, "<u4").astype(np.uint64)
+    words = words[:-1] | words[1:] << np.uint64(32)
+    end = start + np.array([x.bits.size - x.bits.at for x in lanes])
+    tables = [np.concatenate([x.codes[c].table for x in lanes]) for c in range(5)]
+    starts = [np.cumsum([0] + [len(x.codes[c].table) for x in lanes[:-1]]) for c in range(5)]
+    masks = [np.array([len(x.codes[c].table) - 1 for x in lanes], np.uint64) for c in range(5)]
+    width = np.array([x.width for x in lanes])
+    total = int((sizes + 1).sum())
+    colour, source = np.zeros(total, np.uint32), np.full(total, -1, np.int64)  # source: -1 own colour; -2 - slot: cache hit; else an earlier pixel
+    copies: list[tuple[np.ndarray, ...]] = []
+    on, pos, done = np.arange(len(lanes)), start.copy(), np.zeros(len(lanes), np.int64)
+    most = len(words) - 1
+
+    def look(p: np.ndarray) -> np.ndarray:
+        return words[np.minimum(p >> 5, most)] >> (p & 31).astype(np.uint64)
+
+    def symbol(c: int, lane: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        e = tables[c][starts[c][lane] + (x & masks[c][lane]).astype(np.int64)]
+        return e >> 4, e & 15
+
+    def extra(s: np.ndarray, lane: np.ndarray) -> np.ndarray:
+        n = np.maximum((s - 2) >> 1, 0)
+        more = (look(pos[lane]) & ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        pos[lane] += n
+        return np.where(s < 4, s, ((2 + (s & 1)) << n) + more) + 1
+
+    while len(on):
+        group = [(tables[c], starts[c][on], masks[c][on]) for c in range(4)]
+        p, d, n_, b_ = pos[on], done[on], sizes[on], base[on]
+        for _ in range(16):
+            x = look(p)
+            t, o, m = group[0]
+            e = t[o + (x & m).astype(np.int64)]
+            green, n = e >> 4, e & 15
+            literal = green < GREENS
+            x = x >> n.astype(np.uint64)
+            t, o, m = group[1]
+            e = t[o + (x & m).astype(np.int64)]
+            red, n2 = e >> 4, n + (e & 15)
+            q = p + n2
+            x = look(q)
+            t, o, m = group[2]
+            e = t[o + (x & m).astype(np.int64)]
+            blue, n3 = e >> 4, e & 15
+            x = x >> n3.astype(np.uint64)
+            t, o, m = group[3]
+            e = t[o + (x & m).astype(np.int64)]
+            value = (e >> 4).astype(np.uint32) << np.uint32(24) | red.astype(np.uint32) << np.uint32(16) | green.astype(np.uint32) << np.uint32(8) | blue.astype(np.uint32)
+            place, live = b_ + d, d < n_
+            colour[place] = value
+            p = np.where(live, np.where(literal, q + n3 + (e & 15), p + n), p)
+            step = live.astype(np.int64)
+            other = np.flatnonzero(live & ~literal)
+            if not len(other):
+                d = d + step
+                continue
+            hit = green[other] >= GREENS + LENGTHS
+            some = other[hit]
+            source[place[some]] = -2 - (green[some].astype(np.int64) - GREENS - LENGTHS)
+            some = other[~hit]
+            if len(some):
+                lane = on[some]
+                pos[lane] = p[some]
+                length = extra(green[some].astype(np.int64) - GREENS, lane)
+                code, n = symbol(4, lane, look(pos[lane]))
+                pos[lane] += n
+                far = extra(code.astype(np.int64), lane)
+                near = np.minimum(far, 120) - 1
+                back = np.where(far > 120, far - 120, np.maximum(1, _NEAR[near, 0] + _NEAR[near, 1] * width[lane]))
+                p[some] = pos[lane]
+                if ((back > d[some]) | (d[some] + length > n_[some])).any():
+                    raise Damaged("a back-reference leaves the image")
+                copies.append((place[some], length, back))
+                step[some] = length
+            d = d + step
+        pos[on], done[on] = p, d
+        on = on[d < n_]
+    if (pos > end).any():
+        raise Damaged("the image ends early")
+    if copies:
+        place, length, back = (np.concatenate(z) for z in zip(*copies, strict=True))
+        inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        source[np.repeat(place, length) + inside] = np.repeat(place - back, length) + inside
+    _followed(colour, source, lanes, base, sizes)
+    return [colour[b : b + n].reshape(x.height, x.width) for x, b, n in zip(lanes, base.tolist(), sizes.tolist(), strict=True)]
+
+
+def _roots(source: np.ndarray) -> np.ndarray:
+    """Where pointers to earlier pixels end."""
+    up = np.where(source >= 0, source, np.arange(len(source)))
+    while True:
+        new = up[up]
+        if (new == up).all():
+            return up
+        up = new
+
+
+def _followed(colour: np.ndarray, source: np.ndarray, lanes: list[_Lane], base: np.ndarray, sizes: np.ndarray) -> None:
+    """Gives copied pixels and cache hits their colours."""
+    if (source == -1).all():
+        return
+    root = _roots(source)
+    if (source < -1).any():
+        bits = np.repeat([x.cache_bits for x in lanes], sizes + 1)
+        some = np.flatnonzero(bits > 0)
+        some = some[~np.isin(some, base + sizes)]
+        slot = np.where(source[root[some]] < -1, -2 - source[root[some]], _slot(colour[root[some]], bits[some]).astype(np.int64))
+        lane = np.repeat(np.arange(len(lanes)), sizes + 1)[some]
+        order = np.argsort(lane << 11 | slot, kind="stable")
+        key = (lane << 11 | slot)[order]
+        before = np.full(len(source), -1)
+        before[some[order[1:]]] = np.where(key[1:] == key[:-1], some[order[:-1]], -1)
+        hits = np.flatnonzero(source < -1)
+        colour[hits] = 0  # a slot that nothing has fallen into yet
+        source[hits] = before[hits]
+        root = _roots(source)
+    colour[:] = colour[root]
+
+
 def _channels(pixels: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(pixels, "<u4").view(np.uint8).reshape(*pixels.shape, 4).astype(np.int32)  # blue, green, red, alpha
 
@@ -240,9 +379,9 @@ def _pixels(channels: np.ndarray) -> np.ndarray:
 
 
 def _predicted(mode: int, left: np.ndarray, up: np.ndarray, up_left: np.ndarray, up_right: np.ndarray) -> np.ndarray:
-    """The prediction of one pixel's four channels."""
+    """The predictions of pixels' four channels by one mode."""
     if mode == 0 or mode > 13:
-        return np.array([0, 0, 0, 255])
+        return np.broadcast_to(np.array([0, 0, 0, 255], left.dtype), left.shape)
     if mode < 5:
         return (left, up, up_right, up_left)[mode - 1]
     if mode == 5:
@@ -253,7 +392,7 @@ def _predicted(mode: int, left: np.ndarray, up: np.ndarray, up_left: np.ndarray,
     if mode == 10:
         return (((left + up_left) >> 1) + ((up + up_right) >> 1)) >> 1
     if mode == 11:
-        return left if np.abs(up - up_left).sum() < np.abs(left - up_left).sum() else up
+        return np.where((np.abs(up - up_left).sum(-1) < np.abs(left - up_left).sum(-1))[..., None], left, up)
     if mode == 12:
         return np.clip(left + up - up_left, 0, 255)
     mean = (left + up) >> 1
@@ -261,25 +400,78 @@ def _predicted(mode: int, left: np.ndarray, up: np.ndarray, up_left: np.ndarray,
     return np.clip(mean + np.where(half < 0, -(-half // 2), half // 2), 0, 255)
 
 
-def _predictor(channels: np.ndarray, modes: np.ndarray, block: int, sign: int) -> np.ndarray:
-    """sign 1: values from differences; -1: differences from values."""
-    height, width, _ = channels.shape
-    out = channels.copy()
-    full = out if sign > 0 else channels
-    black = np.array([0, 0, 0, 255])
-    for y in range(height):
-        for x in range(width):
-            if not y:
-                guess = full[0, x - 1] if x else black
-            elif not x:
-                guess = full[y - 1, 0]
-            else:
-                right = full[y - 1, x + 1] if x + 1 < width else full[y, 0]
-                guess = _predicted(int(modes[y >> block, x >> block]), full[y, x - 1], full[y - 1, x], full[y - 1, x - 1], right)
-            out[y, x] = (channels[y, x] + sign * guess) & 255
+def _effective(modes: np.ndarray, block: int, height: int, width: int) -> np.ndarray:
+    """The mode of each pixel: the first row looks left, the first column up, the first pixel is against black."""
+    out = modes[np.arange(height)[:, None] >> block, np.arange(width)[None, :] >> block].astype(np.int8)
+    out[:, 0], out[0], out[0, 0] = 2, 1, 0
     return out
 
 
+def _around(c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Left, upper, upper left and upper right channels of each pixel; what is outside is not used but for the upper right
+    of the last column, which is the first pixel of its own row."""
+    left, up = np.roll(c, 1, 1), np.roll(c, 1, 0)
+    up_right = np.roll(up, -1, 1)
+    up_right[:, -1] = c[:, 0]
+    return left, up, np.roll(up, 1, 1), up_right
+
+
+def _differences(c: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
+    """What the predictor leaves of channels."""
+    near, mode, out = _around(c), _effective(modes, block, *c.shape[:2]), c.copy()
+    for m in np.unique(mode).tolist():
+        on = mode == m
+        out[on] = (c[on] - _predicted(m, *(x[on] for x in near))) & 255
+    return out
+
+
+def best_modes(c: np.ndarray, block: int, candidates: Sequence[int] = (0, 1, 2, 7, 11, 12)) -> np.ndarray:
+    """For each block of pixels, the mode that leaves the least differences."""
+    height, width = c.shape[:2]
+    near, rows, cols = _around(c), np.arange(0, height, 1 << block), np.arange(0, width, 1 << block)
+    cost = []
+    for m in candidates:
+        d = (c - _predicted(m, *near))[..., :3] & 255
+        d = np.minimum(d, 256 - d).sum(-1)
+        cost.append(np.add.reduceat(np.add.reduceat(d, rows, 0), cols, 1))
+    return np.asarray(list(candidates))[np.argmin(np.stack(cost), 0)]
+
+
+def _unpredicted(images: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
+    """Channels from differences, for many images (channels, modes, block): pixel (y, x) comes in front x + 2 y."""
+    if not images:
+        return []
+    sizes = [c.shape[0] * c.shape[1] for c, _, _ in images]
+    flat = np.concatenate([c.reshape(-1, 4) for c, _, _ in images]).astype(np.int16)
+    mode = np.concatenate([_effective(m, b, *c.shape[:2]).ravel() for c, m, b in images])
+    first = np.cumsum(sizes) - sizes
+    y = np.concatenate([np.arange(c.shape[0]) for c, _, _ in images])
+    wide = np.repeat([c.shape[1] for c, _, _ in images], [c.shape[0] for c, _, _ in images])
+    begin = np.repeat(first, [c.shape[0] for c, _, _ in images]) + y * wide
+    order = np.argsort(y, kind="stable")
+    y, wide, begin = y[order], wide[order], begin[order]
+    for t in range(int((2 * y + wide).max())):
+        lo, hi = np.searchsorted(y, [(t - int(wide.max())) // 2, t // 2 + 1])
+        x = t - 2 * y[lo:hi]
+        on = np.flatnonzero((x >= 0) & (x < wide[lo:hi]))
+        x, w, at = x[on], wide[lo:hi][on], begin[lo:hi][on]
+        at = at + x
+        own = mode[at]
+        for m in np.unique(own).tolist():
+            some = np.flatnonzero(own == m)
+            a, b = at[some], w[some]
+            if m == 0:
+                guess = np.array([0, 0, 0, 255], np.int16)
+            elif m == 1:
+                guess = flat[a - 1]
+            elif m == 2:
+                guess = flat[a - b]
+            else:
+                guess = _predicted(m, flat[a - 1], flat[a - b], flat[a - b - 1], flat[np.where(x[some] == b - 1, a - x[some], a - b + 1)])
+            flat[a] = (flat[a] + guess) & 255
+    return [flat[k : k + n].reshape(c.shape) for k, n, (c, _, _) in zip(first.tolist(), sizes, images, strict=True)]
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return ((x & 255) ^ 128) - 128
 
@@ -296,8 +488,8 @@ def _cross(channels: np.ndarray, factors: np.ndarray, block: int, sign: int) ->
     return out
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of a lossless WebP file: uint32 ARGB of shape (height, width). Damaged if it is none."""
+def _opened(data: bytes) -> tuple[Bits, int, int, int, list[tuple]]:
+    """The bits after the transforms, width before and after them, height, whether there is alpha, and the transforms."""
     if len(data) < 25 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise Damaged("not a WebP file")
     at = 12
@@ -319,33 +511,71 @@ def decode(data: bytes) -> np.ndarray:
         if kind in (PREDICTOR, CROSS):
             block = bits.read(3) + 2
             side = lambda n, b=block: (n + (1 << b) - 1) >> b
-            transforms.append((kind, block, _image(bits, side(wide), side(height), False)))
+            transforms.append((kind, block, _image(bits, side(wide), side(height))))
         elif kind == INDEX:
             n = bits.read(8) + 1
-            table = np.cumsum(_channels(_image(bits, n, 1, False)), 1)
+            table = np.cumsum(_channels(_image(bits, n, 1)), 1)
             pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             transforms.append((kind, pack, _pixels(table)[0], wide))
             wide = (wide + (1 << pack) - 1) >> pack
         else:
             transforms.append((kind,))
-    pixels = _image(bits, wide, height, True)
-    for kind, *rest in reversed(transforms):
-        if kind == PREDICTOR:
-            pixels = _pixels(_predictor(_channels(pixels), (rest[1] >> 8) & 15, rest[0], 1))
-        elif kind == CROSS:
-            pixels = _pixels(_cross(_channels(pixels), rest[1], rest[0], 1))
-        elif kind == GREEN:
-            c = _channels(pixels)
-            c[..., 0] += c[..., 1]
-            c[..., 2] += c[..., 1]
-            pixels = _pixels(c)
+    return bits, wide, height, alpha, transforms
+
+
+def decode_many(files: Sequence[bytes]) -> list[np.ndarray]:
+    """The pixels of lossless WebP files: uint32 ARGB of shape (height, width). Damaged if one is none."""
+    lanes, place, out, steps = [], [], [np.zeros((0, 0), np.uint32)] * len(files), []
+    for k, data in enumerate(files):
+        bits, wide, height, alpha, transforms = _opened(data)
+        cache_bits, chosen, block, codes = _head(bits, wide, height, True)
+        steps.append((alpha, transforms))
+        if chosen is None:
+            lanes.append(_Lane(bits, wide, height, cache_bits, codes[0]))
+            place.append(k)
         else:
-            pack, table, full = rest
-            index = (pixels >> 8) & 255
-            each = 8 >> pack
-            index = ((index[:, :, None] >> (np.arange(1 << pack, dtype=np.uint32) * each)) & ((1 << each) - 1)).reshape(height, -1)[:, :full]
-            pixels = np.concatenate([table, np.zeros(256, np.uint32)])[index]
-    return pixels if alpha else pixels | np.uint32(0xFF000000)
+            out[k] = _pixel_by_pixel(bits, wide, height, cache_bits, chosen, block, codes)
+    if lanes:
+        for k, pixels in zip(place, _read_lanes(lanes), strict=True):
+            out[k] = pixels
+    for turn in range(4):  # the last transform is undone first; predictors of all images together
+        now = [(k, t[1][-1 - turn]) for k, t in enumerate(steps) if len(t[1]) > turn]
+        guessed = [k for k, t in now if t[0] == PREDICTOR]
+        for k, t in now:
+            if t[0] != PREDICTOR:
+                out[k] = _inverted(out[k], t)
+        images = [(_channels(out[k]), (t[2] >> 8) & 15, t[1]) for k, t in now if t[0] == PREDICTOR]
+        for k, c in zip(guessed, _unpredicted(images), strict=True):
+            out[k] = _pixels(c)
+    return [x if alpha else x | np.uint32(0xFF000000) for x, (alpha, _) in zip(out, steps, strict=True)]
+
+
+def _inverted(pixels: np.ndarray, transform: tuple) -> np.ndarray:
+    """Pixels before a transform other than the predictor."""
+    kind, *rest = transform
+    if kind == CROSS:
+        return _pixels(_cross(_channels(pixels), rest[1], rest[0], 1))
+    if kind == GREEN:
+        c = _channels(pixels)
+        c[..., 0] += c[..., 1]
+        c[..., 2] += c[..., 1]
+        return _pixels(c)
+    pack, table, full = rest
+    index = (pixels >> 8) & 255
+    each = 8 >> pack
+    index = ((index[:, :, None] >> (np.arange(1 << pack, dtype=np.uint32) * each)) & ((1 << each) - 1)).reshape(len(pixels), -1)[:, :full]
+    return np.concatenate([table, np.zeros(256, np.uint32)])[index]
+
+
+def decode(data: bytes) -> np.ndarray:
+    return decode_many([data])[0]
+
+
+def transforms_of(data: bytes) -> set[str]:
+    """What an image needs of a decoder: its transforms, the colour cache, back-references are not told apart from literals here."""
+    bits, wide, height, _, transforms = _opened(data)
+    cache_bits, *_ = _head(bits, wide, height, True)
+    return {("predictor", "cross", "green", "palette")[t[0]] for t in transforms} | ({"cache"} if cache_bits else set())
 
 
 # Writing.
@@ -386,68 +616,92 @@ class Writer:
         return (low + high).astype("<u4").tobytes()[: (int(ends[-1]) + 7) // 8 if len(ends) else 0]
 
 
-def code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
+def code_lengths(counts: np.ndarray, limit: int = 15, used: np.ndarray | None = None) -> np.ndarray:
     """Lengths of a complete prefix code for the counts, none over the limit: counts are flattened until it holds."""
-    import heapq
-
-    lengths, used = np.zeros(len(counts), np.int64), np.flatnonzero(counts)
-    if len(used) < 2:
+    lengths, used = np.zeros(len(counts), np.int64), counts.nonzero()[0] if used is None else used
+    n = len(used)
+    if n < 2:
         lengths[used] = 1
         return lengths
-    weight = counts[used].astype(np.int64)
+    used = used[counts[used].argsort(kind="stable")]
+    weight = counts[used].tolist()
     while True:
-        heap = [(w, k, None) for k, w in enumerate(weight.tolist())]
-        heapq.heapify(heap)
-        n = len(heap)
+        # Leaves and sums, each in order of weight; a last one of each that is never taken.
+        last = sum(weight) + 1
+        leaf, inner, i, j = [*weight, last], [last] * n, 0, 0
         parent = [0] * (2 * n - 1)
-        for node in range(n, 2 * n - 1):
-            (a, x, _), (b, y, _) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[x] = parent[y] = node
-            heapq.heappush(heap, (a + b, node, None))
-        depth = [0] * (2 * n - 1)
-        for node in range(2 * n - 3, -1, -1):
-            depth[node] = depth[parent[node]] + 1
-        if max(depth[:n]) <= limit:
-            lengths[used] = depth[:n]
+        for k in range(n - 1):
+            a, b = leaf[i], inner[j]
+            if a <= b:
+                parent[i], i, first = k, i + 1, a
+            else:
+                parent[n + j], j, first = k, j + 1, b
+            a, b = leaf[i], inner[j] if j < k else last
+            if a <= b:
+                parent[i], i = k, i + 1
+            else:
+                parent[n + j], j, a = k, j + 1, b
+            inner[k] = first + a
+        depth = [0] * (n - 1)
+        for k in range(n - 3, -1, -1):
+            depth[k] = depth[parent[n + k]] + 1
+        deep = [depth[k] + 1 for k in parent[:n]]
+        if max(deep) <= limit:
+            lengths[used] = deep
             return lengths
-        weight = (weight >> 1) + 1
+        weight = [(w >> 1) + 1 for w in weight]
 
 
-def _write_prefix(out: Writer, lengths: np.ndarray) -> None:
-    used = np.flatnonzero(lengths).tolist()
-    if len(used) <= 2 and max(used, default=0) < 256:
-        used = used or [0]
-        out.put(1, 1)
-        out.put(len(used) - 1, 1)
-        out.put(1, 1)
-        for s in used:
-            out.put(s, 8)
-        return
-    symbols, at, listed = [], 0, lengths.tolist()
-    while at < len(listed):
-        n = 1
-        while at + n < len(listed) and listed[at + n] == listed[at] and n < 138:
-            n += 1
-        if listed[at] == 0 and n >= 3:
-            symbols.append((17, n - 3, 3) if n < 11 else (18, n - 11, 7))
+class _Code:
+    """A prefix code for counts: lengths, codes (none for a lone symbol) and how many bits each symbol takes."""
+
+    def __init__(self, counts: np.ndarray, limit: int = 15):
+        self.used = counts.nonzero()[0]
+        self.lengths = code_lengths(counts, limit, self.used)
+        if len(self.used) > 1:
+            self.codes, self.bits = canonical(self.lengths, self.used), self.lengths
         else:
-            n = 1
-            symbols.append((listed[at], 0, 0))
-        at += n
-    of = code_lengths(np.bincount([s for s, _, _ in symbols], minlength=19), 7)
-    codes, listed = canonical(of), [int(of[k]) for k in CODE_LENGTH_ORDER]
-    last = max(4, max(k for k in range(19) if listed[k]) + 1)
-    out.put(0, 1)
-    out.put(last - 4, 4)
-    for k in range(last):
-        out.put(listed[k], 3)
-    out.put(0, 1)
-    single = (of > 0).sum() == 1
-    for s, more, n in symbols:
-        if not single:
-            out.put(int(codes[s]), int(of[s]))
-        if n:
-            out.put(more, n)
+            self.codes = self.bits = np.zeros(len(counts), np.int64)
+        self._told: tuple | None = None
+
+    def write(self, out: Writer) -> None:
+        used, lengths = self.used, self.lengths
+        if self._told:
+            head, values, sizes = self._told
+            for value, n in head:
+                out.put(value, n)
+            out.many(values, sizes)
+            return
+        if len(used) <= 2 and (not len(used) or used[-1] < 256):
+            used = used.tolist() or [0]
+            out.put(1 | len(used) - 1 << 1 | 4 | used[0] << 3 | (used[1] << 11 if len(used) > 1 else 0), 3 + 8 * len(used))
+            return
+        symbols: list[int] = []
+        extra: list[int] = []  # bits after a symbol
+        at, listed = 0, lengths[used].tolist()
+        for place, n in zip([*used.tolist(), len(lengths)], [*listed, 0], strict=True):
+            gap = place - at
+            while gap > 2:
+                part = min(gap, 138)
+                symbols.append(17 if part < 11 else 18)
+                extra.append(part - (3 if part < 11 else 11))
+                gap -= part
+            if gap:
+                symbols += [0] * gap
+                extra += [0] * gap
+            if n:
+                symbols.append(n)
+                extra.append(0)
+            at = place + 1
+        sym = np.array(symbols)
+        own = _Code(np.bincount(sym, minlength=19), 7)
+        order = own.lengths[_ORDER].tolist()
+        last = max(4, max(k for k in range(19) if order[k]) + 1)
+        packed = sum(n << 3 * k for k, n in enumerate(order[:last]))
+        head = [(last - 4 << 1, 5), *((packed >> k & ((1 << 30) - 1), min(30, 3 * last - k)) for k in range(0, 3 * last, 30)), (0, 1)]
+        size = own.bits[sym]
+        self._told = head, own.codes[sym] | np.array(extra) << size, size + _EXTRA[sym]
+        self.write(out)
 
 
 def _symbol(value: int) -> tuple[int, int, int]:
@@ -480,6 +734,21 @@ def _copies(flat: np.ndarray, least: int = 4) -> list[tuple[int, int, int]]:
     return out
 
 
+def _hits(flat: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's slot, and whether the last pixel before it in that slot has its colour."""
+    slot = _slot(flat, cache_bits).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(flat), bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (flat[order[1:]] == flat[order[:-1]])
+    return slot, hit
+
+
+def _symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix symbol, extra bits, how many) of lengths or distances."""
+    got = [_symbol(v) for v in values.tolist()]
+    return tuple(np.array(x, np.int64) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 3
+
+
 def _write_image(out: Writer, pixels: np.ndarray, top: bool, copies: bool = False, cache_bits: int = 0) -> None:
     flat = pixels.ravel().astype(np.uint32)
     out.put(1 if cache_bits else 0, 1)
@@ -488,72 +757,49 @@ def _write_image(out: Writer, pixels: np.ndarray, top: bool, copies: bool = Fals
     if top:
         out.put(0, 1)
     c = _channels(flat)
-    if not copies and not cache_bits:
-        order = (c[:, 1], c[:, 2], c[:, 0], c[:, 3])
-        lengths = [code_lengths(np.bincount(x, minlength=n), 11) for x, n in zip(order, (GREENS + LENGTHS, 256, 256, 256), strict=True)]
-        for x in lengths:
-            _write_prefix(out, x)
-        _write_prefix(out, np.zeros(DISTANCES, np.int64))
-        varied = [(x, n) for x, n in zip(order, lengths, strict=True) if (n > 0).sum() > 1]
-        if varied:
-            out.many(np.stack([canonical(n)[x] for x, n in varied], 1).ravel(), np.stack([n[x] for x, n in varied], 1).ravel())
-        return
-    items: list[tuple] = []
-    listed, found, at, cached, cache, shift = flat.tolist(), _copies(flat) if copies else [], 0, 0, {}, 32 - cache_bits
-    for start, length, back in [*found, (len(listed), 0, 0)]:
-        while at < start:
-            v = listed[at]
-            if cache_bits:
-                while cached < at:
-                    cache[(0x1E35A7BD * listed[cached] & 0xFFFFFFFF) >> shift] = listed[cached]
-                    cached += 1
-                k = (0x1E35A7BD * v & 0xFFFFFFFF) >> shift
-                if cache.get(k) == v:
-                    items.append((GREENS + LENGTHS + k,))
-                    at += 1
-                    continue
-            items.append((v >> 8 & 255, v >> 16 & 255, v & 255, v >> 24))
-            at += 1
-        if length:
-            s, more, n = _symbol(length)
-            t, far, m = _symbol(back + 120)
-            items.append((GREENS + s, (more, n), t, (far, m), None))
-            at += length
-    sizes = (GREENS + LENGTHS + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, DISTANCES)
-    counts = [np.zeros(n, np.int64) for n in sizes]
-    for x in items:
-        counts[0][x[0]] += 1
-        if len(x) == 4:
-            for k in (1, 2, 3):
-                counts[k][x[k]] += 1
-        elif len(x) == 5:
-            counts[4][x[2]] += 1
-    lengths = [code_lengths(x) for x in counts]
-    for x in lengths:
-        _write_prefix(out, x)
-    codes = [canonical(x) for x in lengths]
-    single = [(x > 0).sum() < 2 for x in lengths]
-
-    def symbol(k: int, s: int) -> None:
-        if not single[k]:
-            out.put(int(codes[k][s]), int(lengths[k][s]))
-
-    for x in items:
-        symbol(0, x[0])
-        if len(x) == 4:
-            for k in (1, 2, 3):
-                symbol(k, x[k])
-        elif len(x) == 5:
-            out.put(*x[1])
-            symbol(4, x[2])
-            out.put(*x[3])
+    found = _copies(flat) if copies else []
+    start, length, back = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    token = np.ones(len(flat), bool)  # pixels at which a symbol stands
+    for a, n, _ in found:
+        token[a + 1 : a + n] = False
+    at = token.nonzero()[0] if found else slice(None)
+    first = c[at, 1].astype(np.int64)
+    copied, cached = np.zeros(len(first), bool), np.zeros(len(first), bool)
+    if found:
+        copied = np.isin(at, start)
+    if cache_bits:
+        slot, hit = _hits(flat, cache_bits)
+        cached = hit[at] & ~copied
+        first[cached] = GREENS + LENGTHS + slot[at][cached]
+    (s, more, n), (t, far, m) = _symbols(length), _symbols(back + 120)
+    if found:
+        first[copied] = GREENS + s
+    plain = ~copied & ~cached if copies or cache_bits else slice(None)
+    columns = [first, *(c[at, k][plain].astype(np.int64) for k in (2, 0, 3))]
+    greens = GREENS + LENGTHS + ((1 << cache_bits) if cache_bits else 0)
+    counts = [np.bincount(x, minlength=n) for x, n in zip((*columns, t), (greens, 256, 256, 256, DISTANCES), strict=True)]
+    both = _Code(counts[1] + counts[2], 11)  # red and blue share a code: their values are much alike
+    codes = [_Code(counts[0], 11), both, both, _Code(counts[3], 11), _Code(counts[4])]
+    for x in codes:
+        x.write(out)
+    values, widths = np.zeros((len(first), 4), np.int64), np.zeros((len(first), 4), np.int64)
+    values[:, 0], widths[:, 0] = codes[0].codes[first], codes[0].bits[first]
+    for k in (1, 2, 3):
+        if len(codes[k].used) > 1:
+            values[plain, k], widths[plain, k] = codes[k].codes[columns[k]], codes[k].bits[columns[k]]
+    if found:
+        values[copied, 1], widths[copied, 1] = more, n
+        values[copied, 2], widths[copied, 2] = codes[4].codes[t], codes[4].bits[t]
+        values[copied, 3], widths[copied, 3] = far, m
+    if any(len(x.used) > 1 for x in codes):
+        out.many(values.ravel(), widths.ravel())
 
 
 def encode(pixels: np.ndarray, predictor: int | None = None, cross: int | None = None, green: bool = False, palette: bool = False, copies: bool = False, cache_bits: int = 0) -> bytes:
     """A lossless WebP file of uint32 ARGB pixels of shape (height, width), each at most 16384.
 
-    predictor: a mode 0 to 13 for the whole image; cross: an ARGB word of the three factors; palette needs at most 256
-    colours; copies and cache_bits turn on back-references and the colour cache.
+    predictor: a mode 0 to 13 for the whole image, or -1 for the best of each block; cross: an ARGB word of the three
+    factors; palette needs at most 256 colours; copies and cache_bits turn on back-references and the colour cache.
     """
     height, width = pixels.shape
     if not 0 < height <= LIMIT or not 0 < width <= LIMIT:
@@ -564,7 +810,7 @@ def encode(pixels: np.ndarray, predictor: int | None = None, cross: int | None =
     out.put(height - 1, 14)
     out.put(1, 1)
     out.put(0, 3)
-    block = 7
+    block = BLOCK
     side = lambda n: (n + (1 << block) - 1) >> block
     if palette:
         colours, index = np.unique(pixels, return_inverse=True)
@@ -600,9 +846,10 @@ def encode(pixels: np.ndarray, predictor: int | None = None, cross: int | None =
         out.put(1, 1)
         out.put(PREDICTOR, 2)
         out.put(block - 2, 3)
-        modes = np.full((side(height), side(width)), 0xFF000000 | predictor << 8, np.uint32)
-        _write_image(out, modes, False)
-        pixels = _pixels(_predictor(_channels(pixels), (modes >> 8) & 15, block, -1))
+        c = _channels(pixels)
+        modes = best_modes(c, block) if predictor < 0 else np.full((side(height), side(width)), predictor)
+        _write_image(out, (modes.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000), False)
+        pixels = _pixels(_differences(c, modes, block))
     out.put(0, 1)
     _write_image(out, pixels, True, copies, cache_bits)
     body = out.bytes()

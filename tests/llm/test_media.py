@@ -21,6 +21,8 @@ def test_every_transform_round_trips(shape):
     for n in (1, 2, 3, 4, 5, 16, 17, 200):
         few = rng.integers(0, 2**32, n, dtype=np.uint32)[rng.integers(0, n, shape)]
         assert (webp.decode(webp.encode(few, palette=True)) == few).all()
+    many = [webp.encode(x, **how) for x in (grey, wild, rows, few) for how in ({}, {"predictor": -1, "copies": True}, {"cache_bits": 7, "copies": True, "cross": 0xFF10F020}, {"predictor": 11, "green": True, "cache_bits": 2})]
+    assert all((a == b).all() for a, b in zip(webp.decode_many(many), [x for x in (grey, wild, rows, few) for _ in range(4)], strict=True))
 
 
 def test_a_picture_written_by_hand():
@@ -37,6 +39,57 @@ def test_a_picture_written_by_hand():
     assert webp.decode(data).tolist() == [[0xFFFF0000]]
 
 
+def slow_predictor(c, modes, block):
+    """Channels from differences, a pixel at a time, as the format's text says it."""
+    out = c.astype(int).copy()
+    for y in range(c.shape[0]):
+        for x in range(c.shape[1]):
+            if not y:
+                guess = out[0, x - 1] if x else np.array([0, 0, 0, 255])
+            elif not x:
+                guess = out[y - 1, 0]
+            else:
+                right = out[y - 1, x + 1] if x + 1 < c.shape[1] else out[y, 0]
+                guess = webp._predicted(int(modes[y >> block, x >> block]), *(v[None] for v in (out[y, x - 1], out[y - 1, x], out[y - 1, x - 1], right)))[0]
+            out[y, x] = (c[y, x] + guess) & 255
+    return out
+
+
+def test_fronts_undo_the_predictor_as_single_pixels_do():
+    rng = np.random.default_rng(9)
+    images = [(rng.integers(0, 256, (h, w, 4)), rng.integers(0, 16, (9, 9)), 3) for h, w in ((1, 1), (1, 7), (9, 1), (20, 31), (33, 12))]
+    for got, (c, m, b) in zip(webp._unpredicted(images), images, strict=True):
+        assert (got == slow_predictor(c, m, b)).all()
+    c, m, b = images[3]
+    assert (webp._differences(slow_predictor(c, m, b), m, b) == c).all()
+
+
+def test_lanes_read_as_single_pixels_do():
+    rng = np.random.default_rng(3)
+    pixels = np.repeat(rng.integers(0, 2**32, 40, dtype=np.uint32), 5)[rng.integers(0, 200, (30, 50))]
+    for how in ({}, {"cache_bits": 5}, {"copies": True, "cache_bits": 3}, {"copies": True}):
+        data = webp.encode(pixels, **how)
+        bits, wide, height, _, transforms = webp._opened(data)
+        head = webp._head(bits, wide, height, True)
+        assert not transforms and (webp._pixel_by_pixel(bits, wide, height, *head) == webp.decode(data)).all()
+
+
+def test_prefix_codes_are_complete_and_shortest():
+    import heapq
+
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 7, 60, 280):
+        counts = rng.integers(0, 50, n) + (np.arange(n) == 0) + (np.arange(n) == 1)
+        lengths, heap = webp.code_lengths(counts), sorted(counts[counts > 0].tolist())
+        total = 0
+        while len(heap) > 1:
+            both = heapq.heappop(heap) + heapq.heappop(heap)
+            total += both
+            heapq.heappush(heap, both)
+        assert (counts * lengths).sum() == total and sum(2.0 ** -lengths[lengths > 0]) == 1
+    assert webp.code_lengths(2 ** np.arange(30), 11).max() <= 11
+
+
 def test_damage_is_found():
     data = webp.encode(np.arange(400, dtype=np.uint32).reshape(20, 20))
     for broken in (b"", data[:20], b"RIFX" + data[4:], data[:12] + b"VP8 " + data[16:], data[: len(data) // 2]):
@@ -58,3 +111,36 @@ def test_edges(spark):
     assert all(len(v) == 1 for v in by.values())
     assert {r["payload_sha256"] for r in digest} == {hashlib.sha256(p).hexdigest() for _, _, p in want}
     assert media.digest(media.store(docs.limit(0))).count() == 0
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_pictures_of_documents_need_every_transform():
+    import collections
+
+    import pyarrow.parquet as pq
+
+    seen = collections.Counter()
+    texts = [(t or "").encode() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts += [b"=" * 3000, b"ab" * 900, b"line of text\n" * 400]
+    media_ = [media.stored(media.padded(t)) for t in texts]
+    for m, t, x in zip(media_, texts, media.loaded_many(media_), strict=True):
+        assert x.tobytes() == media.padded(t)
+        for f in media.files_of(m):
+            seen.update(webp.transforms_of(f))
+    assert min(seen[k] for k in ("predictor", "cross", "green", "cache")) > len(texts) / 10 and seen["palette"] > 0
+
+
+def test_the_query(spark, tmp_path):
+    import zlib
+
+    from catchwater.llm import queries
+
+    cases.frame(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op5_lossless_webp(spark, str(tmp_path)).collect()
+    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in out)
+    want = []
+    for i, t, *_ in cases.rows():
+        raw = (t or "").encode()
+        full = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        want.append((i or -1, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:])))
+    assert got == sorted(want) and all(r["media_bytes"] > 0 and len(r["media_sha256"]) == 64 and r["feature"] for r in out)
