@@ -11,7 +11,8 @@ document that holds a window which a smaller one holds is told its word range. R
 A window is removed from a document if it starts in a document with a smaller doc_id, judged on the input; a word goes if
 a removed window covers it. A document without id counts as larger than all others. Rows that share a doc_id and a text
 share their fate, neither is smaller. Texts with fewer words than a window lose nothing; null and empty texts have no
-words. Other columns pass through; clashing ones are replaced.
+words and stay null or empty. A text of any length is read whole. Of documents that tie in id all or none lose a window.
+Other columns pass through; clashing ones (kept, n_words, n_removed) are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -135,18 +136,45 @@ def groups(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np.ndar
     return out
 
 
-def _blob(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(np.int64(len(a)).tobytes() + a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=6).compress(np.int64(len(raw)).tobytes() + raw)
+#: Texts, and characters of each, from which the dictionary of the compressor is made at most; its size; the level.
+TAUGHT, SHOWN, DICTIONARY, LEVEL = 2000, 2000, 1 << 16, 9
 
 
-def _arrays(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 8, []
-    for kind in kinds:
-        n = int(np.frombuffer(raw, np.int64, 1, at)[0])
-        out.append(np.frombuffer(raw, kind, n, at + 8))
-        at += 8 + out[-1].nbytes
-    return out
+def dictionary(docs: DataFrame, total: int) -> bytes:
+    """A dictionary for blobs, from a bounded sample of texts: it changes their size only. Empty where there is too little.
+
+    With many buckets a blob holds few strings; with it, it is about as well compressed as a long one.
+    """
+    every = max(1, total // (TAUGHT * SHOWN))
+    some = docs.where(F.pmod(F.xxhash64("d", "t"), F.lit(every)) == 0).select(F.substring("text", 1, SHOWN).alias("text")).limit(TAUGHT)
+    samples = [" ".join(r["text"].split()).encode() for r in some.where("text is not null").collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, [x for x in samples if len(x) > 8]).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+class Blobs:
+    """Compressed arrays."""
+
+    def __init__(self, taught: bytes):
+        known = zstandard.ZstdCompressionDict(taught) if taught else None
+        if known:
+            known.precompute_compress(level=LEVEL)
+        self.packer = zstandard.ZstdCompressor(dict_data=known) if known else zstandard.ZstdCompressor(level=LEVEL)
+        self.opener = zstandard.ZstdDecompressor(dict_data=known)
+
+    def packed(self, *arrays: np.ndarray) -> bytes:
+        raw = b"".join(np.int64(len(a)).tobytes() + a.tobytes() for a in arrays)
+        return self.packer.compress(np.int64(len(raw)).tobytes() + raw)
+
+    def arrays(self, blob: bytes, *kinds: type) -> list[np.ndarray]:
+        raw, at, out = self.opener.decompress(blob), 8, []
+        for kind in kinds:
+            n = int(np.frombuffer(raw, np.int64, 1, at)[0])
+            out.append(np.frombuffer(raw, kind, n, at + 8))
+            at += 8 + out[-1].nbytes
+        return out
 
 
 def _ranges(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
@@ -176,11 +204,12 @@ def commonness(docs: DataFrame, mer: int) -> np.ndarray:
     return np.minimum(4 * np.log2(out + 1), 255).astype(np.uint64)
 
 
-def _packed(docs: DataFrame, buckets: int, window: int, mer: int, pack: int) -> DataFrame:
+def _packed(docs: DataFrame, buckets: int, window: int, mer: int, pack: int, taught: bytes) -> DataFrame:
     """Rows (bucket, blob) and, for what a task can tell by itself, (bucket, document, text hash, ranges)."""
     level = commonness(docs, mer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Blobs(taught)
         for batch in pieces(batches, "text", pack):
             doc_id, print_ = np.asarray(batch.column("d")), np.asarray(batch.column("t"))
             data, starts, ends, first = _normal(batch.column("text"))
@@ -205,7 +234,7 @@ def _packed(docs: DataFrame, buckets: int, window: int, mer: int, pack: int) ->
             blobs = []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 k = sent[lo:hi]
-                blobs.append(_blob(doc_id[own[k]], print_[own[k]].astype(np.uint32), offset[k].astype(np.int32), count[k].astype(np.int32), _gathered(data, a[k], size[lo:hi])))
+                blobs.append(store.packed(doc_id[own[k]], print_[own[k]].astype(np.uint32), offset[k].astype(np.int32), count[k].astype(np.int32), _gathered(data, a[k], size[lo:hi])))
             n = len(blobs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket[cut[:-1]]), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], names
@@ -215,13 +244,14 @@ def _packed(docs: DataFrame, buckets: int, window: int, mer: int, pack: int) ->
     return docs.mapInArrow(run, "bucket int, blob binary, d long, t long, ranges array<int>")
 
 
-def _bucket(parts: pa.Table, window: int) -> pa.Table:
+def _bucket(parts: pa.Table, window: int, taught: bytes) -> pa.Table:
     """The word ranges that documents of one bucket lose; ranges that tasks found pass through."""
     told = parts.filter(pc.is_null(parts["blob"])).select(["d", "t", "ranges"])
     parts = parts.filter(pc.is_valid(parts["blob"]))
     if not len(parts):
         return told
-    read = [_arrays(x, np.int64, np.uint32, np.int32, np.int32, np.uint8) for x in parts["blob"].to_pylist()]
+    store = Blobs(taught)
+    read = [store.arrays(x, np.int64, np.uint32, np.int32, np.int32, np.uint8) for x in parts["blob"].to_pylist()]
     doc_id, print_, offset, count, data = (np.concatenate(x) for x in zip(*read, strict=True))
     print_ = print_.astype(np.int64)
     ends = np.flatnonzero(data == 32)
@@ -253,10 +283,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, mer: int = MER, pack: int = PAC
     keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__t", F.pmod(F.xxhash64(text), F.lit(1 << 32)))  # 32 bits tell rows of one id apart
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(16, int(total // bucket_bytes))
-    packed = _packed(keyed.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.col(text).alias("text")), buckets, window, mer, pack)
+    plain = keyed.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.col(text).alias("text"))
+    taught = dictionary(plain, total)
+    packed = _packed(plain, buckets, window, mer, pack, taught)
 
     def own(parts: pa.Table) -> pa.Table:
-        return _bucket(parts, window)
+        return _bucket(parts, window, taught)
 
     found = packed.groupBy("bucket").applyInArrow(own, "d long, t long, ranges array<int>")
     ranges = found.groupBy("d", "t").agg(F.flatten(F.collect_list("ranges")).alias("__r"))
