@@ -99,8 +99,9 @@ def ancestors(links: DataFrame, values: dict, combine: dict, keys: tuple[str, ..
     combine: for each value, a function of two dicts (near part of the path, far part) giving the joined part, of columns
     and of numpy arrays alike. Returns keys, i and the values over each cell's whole path to its root.
 
-    One task follows all paths of a block to where they leave it. Only cells that are entered from other blocks go on, by
-    pointer doubling: a round covers twice as many blocks. One join brings the rest of each path to its cells.
+    One task follows all paths of a block to where they leave it. Only cells that are entered from other blocks go on: at
+    most BLOCK of them as one block more, others by pointer doubling, where a round covers twice as many blocks. One join
+    brings the rest of each path to its cells.
     """
     on, names = [*keys, "i"], list(values)
     own = links.select(*on, "p", *(F.expr(values[n]).alias(n) if isinstance(values[n], str) else values[n].alias(n) for n in names))
@@ -116,19 +117,34 @@ def ancestors(links: DataFrame, values: dict, combine: dict, keys: tuple[str, ..
                 held[n][cells] = joined[n]
 
         out = _ends(p, up, visit)
-        ends = pa.array(out, mask=out < 0)
-        return pa.table([ends if f.name == "p" else _number(held[f.name], f.type) if f.name in held else part[f.name].combine_chunks() for f in schema], schema=schema)
+        columns = {"p": pa.array(out, mask=out < 0), "leaves": pa.array((p >= 0) & ((up < 0) | (out == p))), **{n: _number(held[n], schema.field(n).type) for n in names}}
+        return pa.table([columns[n] if n in columns else part[n].combine_chunks() for n in told.names], names=told.names)
 
-    state, open_ = _round(own.withColumn("__b", block(F.col("i"))).groupBy(*keys, "__b").applyInArrow(_without(local, "__b"), own.schema), "path")
+    told = T.StructType([*own.schema, T.StructField("leaves", T.BooleanType())])
+    state, open_, leaving = _round(_solved(own.withColumn("__b", block(F.col("i"))), keys, local, told), "path")
     if not open_:
-        return state
+        return state.select(*on, *names)
     entered = state.where("p is not null").select(*keys, F.col("p").alias("i")).distinct()
-    far = _doubled(state.join(entered, on, "left_semi"), combine, names, keys, depth)
+    links = state.join(entered, on, "left_semi").drop("leaves")
+    far = _at_once(links, keys, local, told) if leaving <= BLOCK else _doubled(links, combine, names, keys, depth)
     far = far.select(*keys, F.col("i").alias("p"), *(F.col(n).alias(f"far_{n}") for n in names))
     near_, far_ = {n: F.col(n) for n in names}, {n: F.col(f"far_{n}") for n in names}
     return state.join(far, [*keys, "p"], "left").select(*on, *(F.when(F.col("p").isNull(), F.col(n)).otherwise(combine[n](near_, far_)).alias(n) for n in names))
 
 
+def _solved(blocked: DataFrame, keys: tuple[str, ...], local: Callable[[pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
+    """The rows of each block (keys, __b) after `local`."""
+    return blocked.groupBy(*keys, "__b").applyInArrow(_without(local, "__b"), schema)
+
+
+def _at_once(links: DataFrame, keys: tuple[str, ...], local: Callable[[pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
+    """Links between blocks, of which there are at most BLOCK, as one block."""
+    state, open_, _ = _round(_solved(links.withColumn("__b", F.lit(0)), keys, local, schema), "between")
+    if open_:
+        raise ValueError("the links have a cycle")
+    return state
+
+
 def _without(f: Callable[[pa.Table], pa.Table], *names: str) -> Callable[[pa.Table], pa.Table]:
     def run(part: pa.Table) -> pa.Table:
         return f(part.drop_columns(list(names)))
@@ -138,7 +154,7 @@ def _without(f: Callable[[pa.Table], pa.Table], *names: str) -> Callable[[pa.Tab
 
 def _doubled(links: DataFrame, combine: dict, names: list[str], keys: tuple[str, ...], depth: int) -> DataFrame:
     on = [*keys, "i"]
-    state, open_ = _round(links.select(*on, "p", *names), "path")
+    state, open_, _ = _round(links.select(*on, "p", *names), "path")
     for _ in range(depth):
         if not open_:
             return state.select(*on, *names)
@@ -146,7 +162,7 @@ def _doubled(links: DataFrame, combine: dict, names: list[str], keys: tuple[str,
         joined = state.join(far, [*keys, "p"], "left")
         near_, far_ = {n: F.col(n) for n in names}, {n: F.col(f"far_{n}") for n in names}
         step = [F.when(F.col("p").isNull(), F.col(n)).otherwise(combine[n](near_, far_)).alias(n) for n in names]
-        before, (state, open_) = state, _round(joined.select(*on, F.col("far_p").alias("p"), *step), "path")
+        before, (state, open_, _) = state, _round(joined.select(*on, F.col("far_p").alias("p"), *step), "path")
         dropped(before)
     raise ValueError("the links have a cycle")
 
@@ -154,9 +170,9 @@ def _doubled(links: DataFrame, combine: dict, names: list[str], keys: tuple[str,
 def descendants(links: DataFrame, value: str = "q", keys: tuple[str, ...] = (), depth: int = 64, block: Block = by_index) -> DataFrame:
     """For every i, the sum of `value` over itself and all cells whose path of links (keys, i, p, value) leads through it.
 
-    One task sums all paths of a block. What leaves a block enters others at few cells; those are summed among themselves
-    by doubling (after t rounds one holds what comes over fewer than 2**t blocks), and the blocks that are entered sum once
-    more. Sums of whole numbers are exact below 2**53.
+    One task sums all paths of a block. What leaves a block enters others at few cells; those are summed among themselves,
+    at most BLOCK of them as one block more, others by doubling (after t rounds one holds what comes over fewer than 2**t
+    blocks), and the blocks that are entered sum once more.
     """
     on = [*keys, "i"]
     own = written(links.select(*on, "p", value), "tree")
@@ -177,32 +193,35 @@ def descendants(links: DataFrame, value: str = "q", keys: tuple[str, ...] = (),
 
     schema = T.StructType([*(own.schema[n] for n in on), T.StructField("p", T.LongType()), own.schema[value], T.StructField("leaves", T.BooleanType())])
     blocked = own.withColumn("__b", block(F.col("i")))
-    state, open_ = _round(blocked.groupBy(*keys, "__b").applyInArrow(_without(local, "__b"), schema), "sums")
+    state, open_, leaving = _round(_solved(blocked, keys, local, schema), "sums")
     if not open_:
         dropped(own)
         return state.select(*on, value)
     into = state.where("leaves").groupBy(*keys, F.col("p").alias("i")).agg(F.sum(value).alias(value))
-    inflow = _summed(into.join(state.select(*on, "p"), on), value, keys, depth).withColumnRenamed(value, "more")
+    between = into.join(state.select(*on, "p"), on).select(*on, "p", F.col(value).cast(own.schema[value].dataType).alias(value))
+    inflow = _at_once(between, keys, local, schema) if leaving <= BLOCK else _summed(between, value, keys, depth)
+    inflow = inflow.select(*on, F.col(value).alias("more"))
     wet = blocked.join(inflow, on, "left").withColumn(value, F.col(value) + F.coalesce("more", F.lit(0))).drop("more")
-    return wet.groupBy(*keys, "__b").applyInArrow(_without(local, "__b"), schema).select(*on, value)
+    return _solved(wet, keys, local, schema).select(*on, value)
 
 
 def _summed(links: DataFrame, value: str, keys: tuple[str, ...], depth: int) -> DataFrame:
     on = [*keys, "i"]
-    state, open_ = _round(links.select(*on, "p", value), "tree")
+    state, open_, _ = _round(links.select(*on, "p", value), "tree")
     for _ in range(depth):
         if not open_:
             return state.select(*on, value)
         more = state.where("p is not null").groupBy(*keys, F.col("p").alias("i")).agg(F.sum(value).alias("more"))
         up = state.where("p is not null").select(*keys, F.col("i").alias("p"), F.col("p").alias("up"))
         step = state.join(more, on, "left").join(up, [*keys, "p"], "left")
-        before, (state, open_) = state, _round(step.select(*on, F.col("up").alias("p"), (F.col(value) + F.coalesce("more", F.lit(0))).alias(value)), "tree")
+        before, (state, open_, _) = state, _round(step.select(*on, F.col("up").alias("p"), (F.col(value) + F.coalesce("more", F.lit(0))).alias(value)), "tree")
         dropped(before)
     raise ValueError("the links have a cycle")
 
 
-def _round(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
-    """df as a written table, and whether any p is left: counted by the writing job itself."""
+def _round(df: DataFrame, name: str) -> tuple[DataFrame, bool, int]:
+    """df as a written table, whether any p is left, and how many rows leave their block: counted by the writing job itself."""
     seen = Observation()
-    out = written(df.observe(seen, F.count("p").alias("open")), name)
-    return out, bool(seen.get["open"])
+    leaving = F.count_if("leaves") if "leaves" in df.columns else F.count(F.lit(None))
+    out = written(df.observe(seen, F.count("p").alias("open"), leaving.alias("leaving")), name)
+    return out, bool(seen.get["open"]), int(seen.get["leaving"] or 0)

@@ -191,3 +191,63 @@ def test_a_cell_takes_one_walker(spark, heights):
         assert len(at) == 90 == len({r["pos"] for r in at}) and {r["pid"] for r in at} == set(range(90))
     with pytest.raises(ValueError):
         particles.collision_step(raster, particles.placed(raster, 400, 4), 9)
+
+
+def test_smoothing_cell_by_cell(spark, heights):
+    """Three rounds of red and black steps, floor and volume-keeping shift against numpy."""
+    from catchwater.operators import hydro
+
+    h = (np.arange(heights.size) % 7 / 8.0).reshape(NY, NX)
+    eta, colour = heights + h, np.add.outer(np.arange(NY), np.arange(NX)) % 2
+    for _ in range(3):
+        for parity in (0, 1):
+            total = np.zeros_like(eta)
+            total[1:] += eta[:-1] - eta[1:]
+            total[:-1] += eta[1:] - eta[:-1]
+            total[:, 1:] += eta[:, :-1] - eta[:, 1:]
+            total[:, :-1] += eta[:, 1:] - eta[:, :-1]
+            eta = np.where(colour == parity, eta + 0.2 * total, eta)
+        eta = np.maximum(eta, heights)
+        low, high = -100.0, 100.0
+        for _ in range(200):
+            c = (low + high) / 2
+            low, high = (c, high) if np.maximum(0, eta + c - heights).sum() < h.sum() else (low, c)
+        eta = np.maximum(heights, eta + low)
+    raster = from_matrix(spark, heights).with_columns(h=(F.col("i") % 7) / 8.0)
+    got = {r["i"]: r["h"] for r in hydro.smoothed(raster, outer=3).cells.select("i", "h").collect()}
+    assert np.allclose([got[i] for i in range(heights.size)], (eta - heights).ravel(), atol=1e-6)
+
+
+def test_deposition_cell_by_cell(spark, heights):
+    """Stream power, its sediment and deposition at ever farther receivers against plain Python."""
+    from catchwater.operators import erosion
+
+    raster = from_matrix(spark, heights)
+    links = depressions.reroute(raster, routing.receivers(raster)).cache()
+    cells = raster.cells.join(accumulate.constant_discharge(raster, links, 1.0), "i")
+    rcv = {r["i"]: r["rcv"] for r in links.collect()}
+    q = {r["i"]: r["q"] for r in cells.collect()}
+    z, n, p = heights.ravel(), heights.size, erosion.Params()
+    leave = [i // NX in (0, NY - 1) or i % NX in (0, NX - 1) for i in range(n)]
+    new = {}
+
+    def eroded(i):
+        if i not in new:
+            k = p.kr * p.dt * q[i] ** p.m
+            new[i] = z[i] if leave[i] else z[i] / (1 + k) if rcv[i] == i else (z[i] + k * eroded(rcv[i])) / (1 + k)
+        return new[i]
+
+    height = np.array([eroded(i) for i in range(n)])
+    qs = (z - height) / p.dt
+    up = [rcv[i] if rcv[i] != i else None for i in range(n)]
+    while any(x is not None for x in up):
+        d = [min(p.kd * qs[i] / q[up[i]], qs[i]) if up[i] is not None and up[up[i]] is not None and not leave[i] and qs[i] > 0 else 0.0 for i in range(n)]  # a path's end gets nothing
+        gain = np.zeros(n)
+        for i in range(n):
+            if d[i]:
+                gain[up[i]] += d[i]
+        height, qs = height + gain * p.dt, qs - np.array(d)
+        up = [None if x is None else up[x] for x in up]
+    got = {r["i"]: r["z"] for r in erosion.stream_power_transport(raster.with_cells(cells), links).cells.select("i", "z").collect()}
+    want = np.array([height[i] for i in range(n)])
+    assert np.allclose([got[i] for i in range(n)], want, atol=1e-6)
