@@ -5,8 +5,9 @@ executors; nothing but the vocabulary is held. The queue keeps, for every merge
 whose pair has that rank; a two-level bitmap finds the smallest rank that has any by find-first-set, and an entry whose
 pair has changed meanwhile is skipped when met. A piece of m bytes costs O(m) merges, however long it is.
 
-Nulls, empty texts: no ids. Null ids: empty bytes. Rows are kept as they are, repeated or not; other columns pass
-through, and a column that has the output's name is replaced.
+Nulls, empty texts: no ids. Null ids: empty bytes. A text of any length, without a space too, is merged as a whole; of equal
+ranks the leftmost pair goes first. Rows are kept as they are, repeated or not; other columns pass through, and a column
+that has the output's name (ids, decoded) is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,13 +11,18 @@ from tests.llm.test_ngram_jaccard import brute as jaccard_brute  # noqa: E402
 from tests.llm.test_substring_dedup import brute as substring_brute  # noqa: E402
 
 
+#: Extra columns with the names that operators use.
+CLASH = ("score", "predicted", "kept", "n_words", "n_removed", "grams", "bands", "bin", "piece", "item", "t", "d", "ranges", "class_id")
+
+
 @pytest.fixture(scope="module")
 def sf(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("sf"))
     rows, labels = corpus(5, 300)
     passage = cases.text(77, 30)
     rows = [(i, t + (" " + passage if i % 40 == 7 else "")) for i, t in rows] + [(1000, rows[11][1]), (1001, rows[12][1] + " more"), (13, rows[13][1]), (1002, None), (1003, "")]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    rows += [(1004, cases.text(91, 12_000) + " " + passage)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *CLASH) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH))
     docs.write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
@@ -30,7 +35,8 @@ def test_stages_against_brute_force(spark, sf):
         out = written(stage(spark, docs, sf), "stage")
         before, after = docs.collect(), out.collect()
         if name != pipeline.STAGES[-1][0]:
-            assert out.columns == docs.columns
+            assert out.columns == docs.columns and all(r[c] == c for r in after for c in CLASH)
+            assert {r["doc_id"]: r["text"] for r in after if r["text"] is None or r["text"] == ""} == {r["doc_id"]: r["text"] for r in before if (r["text"] is None or r["text"] == "") and r["doc_id"] in {x["doc_id"] for x in after}}
         if name in ("toxicity", "quality classifier"):
             assert 0 < len(after) < len(before) and {r["doc_id"] for r in after} <= {r["doc_id"] for r in before}
         if name == "n-gram Jaccard join":
