@@ -237,9 +237,10 @@ _DOWN = "greatest(0, coalesce({v} - {v}_t, 0)) + greatest(0, coalesce({v} - {v}_
 _SHARES = f"WITH RECURSIVE {_edges_sql()}, t AS (SELECT i, {_DOWN.format(v='z')} AS total FROM (SELECT *, {_WIN.format(v='z')} FROM c {_WINDOWS})), w AS (SELECT e.i, k, j, (z - zj) / total AS w FROM e JOIN t ON t.i = e.i WHERE z > zj)"
 
 
-@query(f"{_SHARES} SELECT i, k, j, round(w, 6) AS w FROM w")
+@query(f"{_SHARES} SELECT i, k, j, floor(w * 1e6) / 1e6 AS w FROM w")
 def mfd_weights(spark, d):
-    return rounded(accumulate.slope_weights(r1(spark, d)).select("i", "k", "j", "w"), "w")
+    """Shares cut, not rounded, to six digits: engines round halves of binary fractions differently."""
+    return accumulate.slope_weights(r1(spark, d)).select("i", "k", "j", (F.floor(F.col("w") * 1e6) / F.lit(1e6)).alias("w"))
 
 
 @query(f"{_SHARES}, v(n, i, q) AS (SELECT CAST(0 AS BIGINT), i, CAST(1 AS DOUBLE) FROM c UNION ALL SELECT v.n + 1, w.j, sum(v.q * w.w) FROM v JOIN w ON w.i = v.i GROUP BY v.n + 1, w.j) SELECT i, round(sum(q), 6) AS q FROM v GROUP BY i")
@@ -258,10 +259,10 @@ def slope_right(spark, d):
     return terrain.slope_towards(r1(spark, d), "r")
 
 
-@query(_recursive("SELECT i, round(sum(CASE WHEN k = depth AND k > 0 THEN pow(0.5e0, k) * b ELSE pow(0.5e0, k) * b END), 6) AS x FROM (SELECT p.i, p.k, max(p.k) OVER (PARTITION BY p.i) AS depth, c.z AS b FROM paths p JOIN c ON c.i = p.a) GROUP BY i"))
+@query(_recursive("SELECT paths.i, round(sum(pow(1e0 / 3e0, k) * c.z), 6) AS x FROM paths JOIN c ON c.i = paths.a GROUP BY paths.i"))
 def affine_upstream(spark, d):
     raster = r1(spark, d)
-    return rounded(accumulate.affine(routing.receivers(raster).join(raster.cells.select("i", F.lit(0.5).alias("a"), F.col("z").alias("b")), "i"), meta=raster.meta), "x")
+    return rounded(accumulate.affine(routing.receivers(raster).join(raster.cells.select("i", F.lit(1.0 / 3.0).alias("a"), F.col("z").alias("b")), "i"), meta=raster.meta), "x")
 
 
 @query(_recursive("SELECT a AS i, round(sum(pow(0.75e0, k)), 6) AS q, round(0.25e0 * sum(pow(0.75e0, k)), 6) AS loss FROM paths GROUP BY a"))
