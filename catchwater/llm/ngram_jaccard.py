@@ -1,7 +1,8 @@
 """N-gram Jaccard join: MinHash banding, a shuffle on band hashes, exact verification on full n-gram sets.
 
 Band and row counts come from banding(): two documents of similarity t share a band with probability
-1 - (1 - t**rows)**bands, and the counts are the cheapest that reach the target recall at the threshold.
+1 - (1 - t**rows)**bands. Of the counts that reach the target recall at the threshold, those with the fewest hashes are
+taken that let few pairs of half the threshold's similarity meet.
 
 1. signatures(): per document, the fingerprint of its n-gram set and one hash for each band.
 2. Documents with one and the same n-gram set form a class; its smallest doc_id stands for it from here on.
@@ -14,7 +15,8 @@ Band and row counts come from banding(): two documents of similarity t share a b
 
 Words are runs of non-space bytes, unchanged. A text of fewer words than n has one n-gram, all its words. Null and empty
 texts have none and no link. A document without doc_id has no link. Rows that share a doc_id count as one document whose
-links unite. Repeated rows are copies of each other.
+links unite. Repeated rows are copies of each other. A text of any length is one set, made whole in one task. Of documents
+that tie for a class the smallest doc_id stands for it. Other columns are not used. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,9 +35,13 @@ from catchwater.llm.common import components, joined, mix, pieces, shingles, spa
 WORDS, THRESHOLD, RECALL, CHUNK = 5, 0.8, 0.999, 512
 
 
-def banding(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 5) -> tuple[int, int]:
-    """(bands, rows): the fewest bands of so many rows that reach the recall at the threshold."""
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows))), rows
+def banding(threshold: float = THRESHOLD, recall: float = RECALL, stray: float = 0.2) -> tuple[int, int]:
+    """(bands, rows): the fewest bands that reach the recall at the threshold, by the fewest rows with which pairs of half that similarity meet with a chance of `stray` at most."""
+    for rows in range(1, 65):
+        bands = int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
+        if 1 - (1 - (threshold / 2) ** rows) ** bands <= stray:
+            break
+    return bands, rows
 
 
 def _sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,11 +213,8 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall:
     per = links.groupBy(F.col("doc_id").alias("rep"), "t").agg(F.sum("n_links").alias("links"))
     known = classes.select("f1", "f2", "n", "rep", "t", "copies").join(per, ["rep", "t"], "left").join(reached, F.col("rep") == reached["id"], "left")
     known = known.select("f1", "f2", "n", "rep", "copies", "links", "component")
-    out = signed.select("doc_id", "f1", "f2", F.when(F.col("n") > 0, F.col("n")).alias("n")).join(known, ["f1", "f2", "n"], "left")
-    alone = F.col("doc_id").isNull() | F.col("rep").isNull()
-    return out.select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("copy_of"),
-        F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("class_id"),
-        F.when(alone, F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+    linked = some.select("doc_id", "f1", "f2", "n").join(known, ["f1", "f2", "n"]).select(
+        "doc_id", F.col("rep").alias("copy_of"), F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")
     )
+    alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.union(alone)
