@@ -42,7 +42,28 @@ def test_matches_equal_brute_force():
     want = set()
     for d, text in enumerate(texts):
         grams, _ = license_scan._shingles(pa.array([text], pa.large_string()))
-        for name, own in zip(kinds.names, kinds.sets, strict=True):
-            if len(set(grams.tolist()) & set(own.tolist())) >= 0.8 * len(own):
+        share = {name: (len(set(grams.tolist()) & set(own.tolist())) / len(own), len(own)) for name, own in zip(kinds.names, kinds.sets, strict=True)}
+        for name, (x, n) in share.items():
+            if x >= 0.8 and not any(y > x and min(m, n) >= 0.5 * max(m, n) for y, m in share.values()):
                 want.add((d, name))
     assert got == want and want
+
+
+def test_pieces_far_apart_are_no_match_and_each_occurrence_counts(spark):
+    header = license_scan.TEMPLATES["apache-2.0-header"].split()
+    apart = " ".join(" ".join(header[k : k + 12]) + " " + cases.text(k, 60) for k in range(0, len(header), 12))
+    mit, gpl = license_scan.TEMPLATES["mit"], license_scan.TEMPLATES["gpl-2.0-header"]
+    many = " ".join(mit + " " + cases.text(k, 25) for k in range(4)) + " " + gpl
+    schema = "doc_id long, text string, license string, first_word string, n_words string, containment string"
+    docs = spark.createDataFrame([(1, apart, *"wxyz"), (2, many, *"wxyz"), (3, cases.text(5, 20_000) + " " + mit, *"wxyz"), (4, None, *"wxyz"), (5, "", *"wxyz")], schema)
+    found = license_scan.scan(docs).collect()
+    assert all(r["doc_id"] != 1 or r["license"] == "apache-2.0-notice" for r in found)
+    two = sorted((r["first_word"], r["license"], r["n_words"]) for r in found if r["doc_id"] == 2)
+    words = len(license_scan._shingles(pa.array([mit]))[0]) + 1
+    assert [x[1] for x in two] == ["mit"] * 4 + ["gpl-2.0-header"] and all(n == words for _, name, n in two if name == "mit")
+    assert [(r["license"], r["first_word"]) for r in found if r["doc_id"] == 3] == [("mit", 20_000)]
+
+
+def test_versions_are_told_apart(spark):
+    docs = spark.createDataFrame([(2, license_scan.TEMPLATES["gpl-2.0-notice"]), (3, license_scan.TEMPLATES["gpl-3.0-header"])], "doc_id long, text string")
+    assert {(r["doc_id"], r["license"]) for r in license_scan.scan(docs).collect()} == {(2, "gpl-2.0-notice"), (3, "gpl-3.0-header")}
