@@ -96,7 +96,7 @@ class Prefix:
             n = n[order]
             self.bits = int(n[-1])
             self.table = (used[order] << 4 | n).repeat(_ROOM[n] >> (15 - self.bits))[_PLACES[self.bits]].astype(np.int32)
-        self._list = None
+        self._list, self.lengths = None, None
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
@@ -110,7 +110,8 @@ class Prefix:
         return e >> 4
 
 
-def _read_prefix(bits: Bits, alphabet: int) -> Prefix:
+def _read_prefix(bits: Bits, alphabet: int, known: Prefix | None = None) -> Prefix:
+    """The next prefix code; `known` itself if it is the same."""
     lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
         two = bits.read(1)
@@ -154,7 +155,11 @@ def _read_prefix(bits: Bits, alphabet: int) -> Prefix:
     bits.at = start + used
     if bits.at > bits.size:
         raise Damaged("the image ends early")
-    return Prefix(np.array(out))
+    if known is not None and known.lengths == out:
+        return known
+    code = Prefix(np.array(out))
+    code.lengths = out
+    return code
 
 
 def _extra(bits: Bits, symbol: int) -> int:
@@ -175,7 +180,13 @@ def _head(bits: Bits, width: int, height: int, top: bool) -> tuple[int, np.ndarr
         chosen = (_image(bits, (width + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block) >> 8) & 0xFFFF
         groups = int(chosen.max()) + 1
     alphabets = (GREENS + LENGTHS + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, DISTANCES)
-    return cache_bits, chosen, block, [[_read_prefix(bits, n) for n in alphabets] for _ in range(groups)]
+    codes = []
+    for _ in range(groups):
+        own: list[Prefix] = []
+        for k, n in enumerate(alphabets):
+            own.append(_read_prefix(bits, n, own[1] if k == 2 else None))
+        codes.append(own)
+    return cache_bits, chosen, block, codes
 
 
 def _image(bits: Bits, width: int, height: int) -> np.ndarray:
@@ -279,6 +290,7 @@ def _read_lanes(lanes: list[_Lane]) -> list[np.ndarray]:
 
     while len(on):
         group = [(tables[c], starts[c][on], masks[c][on]) for c in range(4)]
+        plain = None if group[3][2].any() else (tables[3][group[3][1]] >> 4).astype(np.uint32) << np.uint32(24)  # one alpha for each lane
         p, d, n_, b_ = pos[on], done[on], sizes[on], base[on]
         for _ in range(16):
             x = look(p)
@@ -295,13 +307,18 @@ def _read_lanes(lanes: list[_Lane]) -> list[np.ndarray]:
             t, o, m = group[2]
             e = t[o + (x & m).astype(np.int64)]
             blue, n3 = e >> 4, e & 15
-            x = x >> n3.astype(np.uint64)
-            t, o, m = group[3]
-            e = t[o + (x & m).astype(np.int64)]
-            value = (e >> 4).astype(np.uint32) << np.uint32(24) | red.astype(np.uint32) << np.uint32(16) | green.astype(np.uint32) << np.uint32(8) | blue.astype(np.uint32)
+            after = q + n3
+            if plain is None:
+                x = x >> n3.astype(np.uint64)
+                t, o, m = group[3]
+                e = t[o + (x & m).astype(np.int64)]
+                alpha, after = (e >> 4).astype(np.uint32) << np.uint32(24), after + (e & 15)
+            else:
+                alpha = plain
+            value = alpha | (red << 16 | green << 8 | blue).astype(np.uint32)
             place, live = b_ + d, d < n_
             colour[place] = value
-            p = np.where(live, np.where(literal, q + n3 + (e & 15), p + n), p)
+            p = np.where(live, np.where(literal, after, p + n), p)
             step = live.astype(np.int64)
             other = np.flatnonzero(live & ~literal)
             if not len(other):
