@@ -334,10 +334,11 @@ def max_difference(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def run(raster: Raster, step: Callable[[Raster], Raster], n: int) -> Raster:
-    """n steps, each written."""
-    for _ in range(n):
+    """n steps, each written; the states between are deleted, the given one is the caller's."""
+    for k in range(n):
         before, raster = raster, raster.with_cells(written(step(raster).cells, "state"))
-        dropped(before.cells)
+        if k:
+            dropped(before.cells)
     return raster
 
 

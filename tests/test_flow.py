@@ -115,6 +115,8 @@ def test_inertial_flow_keeps_mass(spark):
     state = flood.Flood(from_matrix(spark, z), hydro.Params(edge_slope=0.0)).set_depth(0.5)
     after = state.run_inertial(2, 0.0)
     assert np.isclose(after.get("h").agg(F.sum("h")).first()[0], 0.5 * z.size)
+    more = after.run_inertial(2, 0.0)  # the state before stays as it is
+    assert np.isclose(more.get("h").agg(F.sum("h")).first()[0], 0.5 * z.size) and after.get("h").count() == z.size
     with pytest.raises(TypeError):
         state._source("rain")
 
