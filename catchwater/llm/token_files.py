@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catchwater.llm.common import gathered_ids, parts, pieces, released
+from catchwater.llm.common import gathered_ids, parts, pieces, released, written
 
 #: Ids in a block, lanes in a block at most, ids in a lane at least; bytes of text in a file.
 BLOCK, LANES, LANE, FILE = 1 << 20, 2048, 256, 32 << 20
@@ -424,6 +424,7 @@ def _runs(spark: SparkSession, path: str, columns: str, values: Callable[[list[n
         released()
 
     found = blocks.select("file", "block", "runs", "data").mapInArrow(run, f"file long, block long, doc_id long, doc long, at long, last boolean, inside long, n long, {columns}")
+    found = written(found, "runs")  # blocks are decoded once
     return found.join(offsets, ["file", "block"]).withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside", "block")
 
 
