@@ -168,8 +168,8 @@ ORACLE_SQL: dict[str, str] = {
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
         sized AS (
-            SELECT *, len(role) + len(regexp_extract_all(role, '\|<(?:turn>|body>|/turn>|image>|audio>|document>)')) + len(text)
-                   + len(regexp_extract_all(text, '\|<(?:turn>|body>|/turn>|image>|audio>|document>)')) + 19 AS chars FROM turns)
+            SELECT *, len(role) + len(regexp_extract_all(role, '\\|<(?:turn>|body>|/turn>|image>|audio>|document>)')) + len(text)
+                   + len(regexp_extract_all(text, '\\|<(?:turn>|body>|/turn>|image>|audio>|document>)')) + 19 AS chars FROM turns)
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
                coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
