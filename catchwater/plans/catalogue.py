@@ -7,6 +7,7 @@ R4: R1 with codes: 3 on the frame (9 on the left and right frame in every fifth
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from catchwater.functions.columns import uniform
 from catchwater.operators import accumulate, depressions, erosion, flood, hydro, masks, noise, particles, resample, routing, scan, terrain
 from catchwater.operators.grid import D4, D8, Raster, can_leave, edge_class, edges, from_arrays, from_table, is_nodata, tile_ids, with_boundaries
-from catchwater.plans.iterate import written
+from catchwater.plans.iterate import shared_dir, written
+from catchwater.sources import files
 
 NX = 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -890,6 +892,29 @@ def seeded_uniform(spark, d):
     return r1(spark, d).cells.select("i", uniform(11, F.col("i")).alias("u"))
 
 
+# Files.
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_C1} SELECT (r - 3) * 61 + q - 20 AS i, r - 3 AS \"row\", q - 20 AS col, z FROM c, g WHERE r >= 3 AND r < ny - 1 AND q >= 20 AND q < 81")
+def tiff_window(spark, d):
+    """R1 as a deflated GeoTIFF, read back in a window."""
+    raster, path = r1(spark, d), _file(spark, "tiff")
+    files.write_tiff(raster, path, kind="<f8", packing=8, predictor=3)
+    return files.read_raster(spark, path, rows=(3, raster.meta.ny - 1), cols=(20, 81)).cells
+
+
+@query('SELECT CAST(o_orderkey AS BIGINT) AS i, CAST(o_orderkey // 100 AS BIGINT) AS "row", CAST(o_orderkey % 100 AS BIGINT) AS col, CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) AS z FROM orders')
+def npy_round_trip(spark, d):
+    """R2 as an array of four-byte numbers, read back by rows."""
+    path = _file(spark, "npy")
+    files.write_npy(r2(spark, d), path)
+    return files.read_arrays(spark, path, partition=8192).drop("path", "band")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """For each cell of R1, where its water goes and how many cells drain through it."""
     raster = r1(spark, d)

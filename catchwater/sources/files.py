@@ -1,18 +1,17 @@
-"""Raster files: Parquet cell tables (the native form), .npy arrays, PNG, and GeoTIFF bands.
+"""Raster files: Parquet cell tables (the native form), .npy arrays, GeoTIFF, and PNG pictures.
 
-Cell tables are read and written in parallel. A file of another format is decoded by one task, header included; files of
-these formats are written a band of rows at a time, so that no process holds more than a band. GeoTIFF: one band in strips
-or tiles, plain, LZW or deflated, with or without a predictor; place, reference system and missing value are kept in the
-raster's description and written again.
+Files of other formats are read and written in parallel through the sources of raster_source: reading by blocks of one file,
+writing by bands of rows that tasks pack and lay at their places. The driver sees headers and, of packed bands, their sizes.
+Place, reference system and missing value of a GeoTIFF are kept in the raster's description and written again. Paths that
+only Spark can open are read as whole files, one task a file (2 GB at most).
 """
 
 from __future__ import annotations
 
 import io
 import json
-import struct
-import zlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import asdict
 
 import numpy as np
@@ -21,14 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catchwater.operators.grid import Meta, Raster
+from catchwater.plans.iterate import dropped, written
+from catchwater.sources import formats
+from catchwater.sources.formats import NODATA_TAG, lzw_decoded, tiff_band, tiff_place  # noqa: F401
+from catchwater.sources.raster_source import CELLS, layout_at, listed, registered
 
-CELLS = "path string, i long, row long, col long, z double"
-#: Rows that are written at a time.
-BAND = 256
-# The tags of GeoTIFF files that tell place and reference system, with their field types, and the missing value.
-PIXEL_SCALE, NODATA_TAG = 33550, 42113
-GEO_TAGS = {33922: 12, 34264: 12, 34735: 3, 34736: 12, 34737: 2, 42113: 2}
-_FIELDS = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 12: "d", 11: "f", 16: "Q"}
+#: Rows of a band at most, and bytes.
+BAND, BAND_BYTES = 256, 8 << 20
+#: Schemes that tasks can open without Spark.
+OPEN = re.compile(r"(file:|s3://|gs://|gcs://|hdfs://|abfss?://|(?![a-z0-9+.-]+://))")
 
 
 def write_cells(raster: Raster, path: str) -> None:
@@ -42,199 +42,143 @@ def read_cells(spark: SparkSession, path: str) -> Raster:
     return Raster(spark.read.parquet(f"{path}/cells"), Meta(**meta))
 
 
-def lzw_decoded(data: bytes) -> bytes:
-    """The bytes of an LZW strip: codes of 9 to 12 bits, highest bit first, wider one code early."""
-    out, held, bits, width, table, before = bytearray(), 0, 0, 9, None, b""
-    start = [bytes((k,)) for k in range(256)] + [b"", b""]
-    for byte in data:
-        held, bits = held << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 257:
-            break
-        if code == 256:
-            table, width, before = list(start), 9, b""
-            continue
-        if table is None or code > len(table) or (code == len(table) and not before):
-            raise ValueError("a damaged LZW strip")
-        now = table[code] if code < len(table) else before + before[:1]
-        if before:
-            table.append(before + now[:1])
-            width = max(9, min(12, (len(table) + 1).bit_length()))
-        out += now
-        before = now
-    return bytes(out)
-
-
-def _unpredicted(raw: bytes, kind: np.dtype, wide: int, predictor: int) -> np.ndarray:
-    """Rows of a strip or tile of `wide` samples from their differences."""
-    if predictor == 2:
-        if kind.kind == "f":
-            raise ValueError("predictor 2 needs whole numbers")
-        return np.cumsum(np.frombuffer(raw, kind).reshape(-1, wide), 1, dtype=kind)
-    if predictor == 3:
-        size = kind.itemsize
-        planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(-1, wide * size), 1, dtype=np.uint8).reshape(-1, size, wide)
-        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">"))[..., 0]
-    return np.frombuffer(raw, kind).reshape(-1, wide)
-
-
-def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8 or struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise ValueError("not a TIFF file")
-    at, tags = struct.unpack(order + "I", data[4:8])[0], {}
-    for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
-        if kind not in _FIELDS:
-            continue
-        form = order + _FIELDS[kind] * n
-        size = struct.calcsize(form)
-        raw = data[at + 10 + 12 * k : at + 14 + 12 * k] if size <= 4 else data[(p := struct.unpack(order + "I", data[at + 10 + 12 * k : at + 14 + 12 * k])[0]) : p + size]
-        tags[tag] = struct.unpack(form, raw[:size])
-    return order, tags
-
-
-def tiff_place(data: bytes) -> tuple[float, str]:
-    """Pixel size (1 if not told) and, as JSON, the tags of place, reference system and missing value."""
-    _, tags = _tags(data)
-    geo = {str(t): b"".join(tags[t]).decode("latin-1") if kind == 2 else list(tags[t]) for t, kind in GEO_TAGS.items() if t in tags}
-    return float(tags[PIXEL_SCALE][0]) if PIXEL_SCALE in tags else 1.0, json.dumps(geo, sort_keys=True) if geo else ""
-
-
-def tiff_band(data: bytes) -> np.ndarray:
-    """The first band of a TIFF; missing values of numbers with a fraction become NaN."""
-    order, tags = _tags(data)
-    width, height, packing, predictor = tags[256][0], tags[257][0], tags.get(259, (1,))[0], tags.get(317, (1,))[0]
-    if packing not in (1, 5, 8, 32946) or tags.get(277, (1,))[0] != 1 or predictor not in (1, 2, 3):
-        raise ValueError("only one-band TIFF files, plain, LZW or deflated, are read")
-    kind = np.dtype(order + {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]] + str(tags[258][0] // 8))
-    wide, tall = (tags[322][0], tags[323][0]) if 322 in tags else (width, tags.get(278, (height,))[0])
-    starts, sizes = (tags[324], tags[325]) if 322 in tags else (tags[273], tags[279])
-    out, across = np.zeros((height, width), kind), -(-width // wide)
-    for k, (start, n) in enumerate(zip(starts, sizes, strict=True)):
-        raw = data[start : start + n]
-        raw = raw if packing == 1 else lzw_decoded(raw) if packing == 5 else zlib.decompress(raw)
-        r, c = k // across * tall, k % across * wide
-        part = _unpredicted(raw, kind, wide, predictor)[: height - r, : width - c]
-        out[r : r + len(part), c : c + part.shape[1]] = part
-    if NODATA_TAG in tags:
-        try:
-            missing = float(b"".join(tags[NODATA_TAG]).rstrip(b"\0 "))
-        except ValueError:
-            return out
-        out = out.astype(np.float64)
-        out[out == (float(np.float32(missing)) if kind.itemsize == 4 and kind.kind == "f" else missing)] = np.nan
-    return out
-
-
-def tiff_frame(nx: int, ny: int, dx: float = 1.0, geo: str = "") -> tuple[bytes, bytes]:
-    """What comes before and after the float32 samples of a plain TIFF in strips of BAND rows."""
-    strips = -(-ny // BAND)
-    rows = [min(BAND, ny - k * BAND) for k in range(strips)]
-    at = 8 + 4 * nx * ny
-    starts = [8 + 4 * nx * BAND * k for k in range(strips)]
-    entries = [(256, 4, [nx]), (257, 4, [ny]), (258, 3, [32]), (259, 3, [1]), (262, 3, [1]), (273, 4, starts), (277, 3, [1]), (278, 4, [min(BAND, ny)]), (279, 4, [4 * nx * r for r in rows]), (339, 3, [3]), (PIXEL_SCALE, 12, [dx, dx, 0.0])]
-    for tag, value in json.loads(geo or "{}").items():
-        entries.append((int(tag), GEO_TAGS[int(tag)], value))
-    entries.sort()
-    table, more, free = struct.pack("<H", len(entries)), b"", at + 2 + 12 * len(entries) + 4
-    for tag, kind, value in entries:
-        raw = value.encode("latin-1") if kind == 2 else struct.pack("<" + _FIELDS[kind] * len(value), *value)
-        n = len(value)
-        if len(raw) <= 4:
-            table += struct.pack("<HHI", tag, kind, n) + raw.ljust(4, b"\0")
-        else:
-            table += struct.pack("<HHII", tag, kind, n, free + len(more))
-            more += raw + b"\0" * (len(raw) & 1)
-    return b"II" + struct.pack("<HI", 42, at), table + struct.pack("<I", 0) + more
-
-
-def tiff_bytes(z: np.ndarray, dx: float = 1.0, geo: str = "") -> bytes:
-    head, tail = tiff_frame(z.shape[1], z.shape[0], dx, geo)
-    return head + np.ascontiguousarray(z, "<f4").tobytes() + tail
-
-
-def _decoded(content: bytes) -> np.ndarray:
-    return np.load(io.BytesIO(content)) if content[:6] == b"\x93NUMPY" else tiff_band(content)
-
-
-def read_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """(path, i, row, col, z) of .npy and TIFF files, each decoded by one task."""
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                name, z = batch.column("path")[k].as_py(), _decoded(batch.column("content")[k].as_py())
-                n = z.shape[1]
-                for row in range(z.shape[0]):
-                    col = np.arange(n)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(row * n + col), pa.array(np.full(n, row)), pa.array(col), pa.array(z[row].astype(np.float64))], ["path", "i", "row", "col", "z"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, CELLS)
+def read_arrays(spark: SparkSession, path: str, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None, partition: int | None = None) -> DataFrame:
+    """(path, band, i, row, col, z) of .npy and TIFF files: a file or a folder; rows, cols: a window (from, to).
 
+    partition: bytes of a file for a task. Filters on row, col, band and i prune too where spark.sql.python.filterPushdown.enabled is set.
+    """
+    if not OPEN.match(path):
+        cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_decoded, CELLS)
+        for name, span in (("row", rows), ("col", cols)):
+            cells = cells if span is None else cells.where((F.col(name) >= span[0]) & (F.col(name) < span[1]))
+        return cells
+    options = {k: f"{v[0]}:{v[1]}" for k, v in (("rows", rows), ("cols", cols)) if v is not None}
+    options |= {} if partition is None else {"bytes": str(partition)}
+    if (spark.conf.get("spark.sql.python.filterPushdown.enabled", None) or "").lower() == "true":
+        options["filters"] = "true"
+    return registered(spark).read.format("raster_file").options(**options).load(path)
 
-def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    """(path, nx, ny, dx, geo) of .npy and TIFF files, read by tasks."""
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                raw = batch.column("content")[k].as_py()
-                array = raw[:6] == b"\x93NUMPY"
-                dx, geo = (1.0, "") if array else tiff_place(raw)
-                ny, nx = np.load(io.BytesIO(raw), mmap_mode=None).shape if array else (_tags(raw)[1][257][0], _tags(raw)[1][256][0])
-                yield pa.RecordBatch.from_arrays([batch.column("path").slice(k, 1), pa.array([nx]), pa.array([ny]), pa.array([dx]), pa.array([geo])], ["path", "nx", "ny", "dx", "geo"])
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            name, raw = batch.column("path")[k].as_py(), batch.column("content")[k].as_py()
+            z = np.load(io.BytesIO(raw)) if raw[:6] == b"\x93NUMPY" else tiff_band(raw)
+            col = np.arange(z.shape[1])
+            for row in range(z.shape[0]):
+                n = len(col)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.zeros(n, np.int32)), pa.array(row * n + col), pa.array(np.full(n, row)), pa.array(col), pa.array(z[row].astype(np.float64))], ["path", "band", "i", "row", "col", "z"])
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(told, "path string, nx long, ny long, dx double, geo string")
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            raw = batch.column("content")[k].as_py()
+            layout, _, _ = formats.layout_of(lambda at, n: raw[at : at + n])
+            yield pa.RecordBatch.from_arrays([batch.column("path").slice(k, 1), pa.array([layout.nx]), pa.array([layout.ny]), pa.array([layout.dx]), pa.array([layout.geo])], ["path", "nx", "ny", "dx", "geo"])
 
 
-def read_raster(spark: SparkSession, path: str, mode: str = "normal") -> Raster:
-    """One .npy or TIFF file as a raster. Only its description comes to the driver."""
+def read_meta(spark: SparkSession, path: str) -> DataFrame:
+    """(path, nx, ny, dx, geo) of .npy and TIFF files, from their headers."""
+    schema = "path string, nx long, ny long, dx double, geo string"
+    if not OPEN.match(path):
+        return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_told, schema)
+    rows = []
+    for name in listed(path):
+        layout, _, _ = layout_at(name)
+        rows.append((name, layout.nx, layout.ny, layout.dx, layout.geo))
+    return spark.createDataFrame(rows, schema)
+
+
+def read_raster(spark: SparkSession, path: str, mode: str = "normal", band: int = 0, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> Raster:
+    """One band of a .npy or TIFF file as a raster, or a window of it, whose cells count from its own corner.
+
+    A window keeps the reference system; the place of its corner is moved where the file tells one by a tie point.
+    """
     told = read_meta(spark, path).first()
     if told is None:
         raise ValueError(f"no file at {path}")
-    return Raster(read_arrays(spark, path).drop("path"), Meta(told["nx"], told["ny"], told["dx"], mode, told["geo"]))
+    cells = read_arrays(spark, path, rows, cols).where(F.col("band") == band).drop("path", "band")
+    meta = Meta(told["nx"], told["ny"], told["dx"], mode, told["geo"])
+    if rows is None and cols is None:
+        return Raster(cells, meta)
+    (r0, r1), (c0, c1) = ((a, min(b, n)) for (a, b), n in ((rows or (0, meta.ny), meta.ny), (cols or (0, meta.nx), meta.nx)))
+    nx = c1 - c0
+    cells = cells.select(((F.col("row") - r0) * nx + F.col("col") - c0).alias("i"), (F.col("row") - r0).alias("row"), (F.col("col") - c0).alias("col"), "z")
+    geo = json.loads(meta.geo or "{}")
+    if len(geo.get("33922", [])) == 6:
+        i, j, k, x, y, z = geo["33922"]
+        geo["33922"] = [i, j, k, x + c0 * meta.dx, y - r0 * meta.dx, z]
+    return Raster(cells, Meta(nx, r1 - r0, meta.dx, mode, json.dumps(geo, sort_keys=True) if geo else ""))
+
+
+def band_rows(nx: int) -> int:
+    return max(1, min(BAND, BAND_BYTES // (8 * nx)))
+
+
+def _bands(raster: Raster, field: str, pack: Callable[[np.ndarray], tuple], schema: str) -> DataFrame:
+    """band and what `pack` makes of each band of rows, NaN where a cell is missing: packed by tasks."""
+    nx, ny, rows = raster.meta.nx, raster.meta.ny, band_rows(raster.meta.nx)
+    names = ["band", *(c.split()[0] for c in schema.split(", "))]
+
+    def packed(part: pa.Table) -> pa.Table:
+        band = part["band"][0].as_py()
+        out = np.full((min(rows, ny - band * rows), nx), np.nan)
+        out[np.asarray(part["row"]) - band * rows, np.asarray(part["col"])] = np.asarray(part["v"], np.float64)
+        return pa.table([pa.array([x]) for x in (band, *pack(out))], names=names)
 
+    cells = raster.cells.select("row", "col", F.col(field).cast("double").alias("v")).withColumn("band", F.floor(F.col("row") / rows))
+    return cells.groupBy("band").applyInArrow(packed, f"band long, {schema}")
 
-def bands(raster: Raster, field: str = "z") -> Iterator[np.ndarray]:
-    """One field as arrays of BAND rows, from the top, a band on the driver at a time; NaN where a cell is missing."""
-    nx, ny = raster.meta.nx, raster.meta.ny
 
-    def pack(part: pa.Table) -> pa.Table:
-        band = part["band"][0].as_py()
-        out = np.full((min(BAND, ny - band * BAND), nx), np.nan)
-        out[np.asarray(part["row"]) - band * BAND, np.asarray(part["col"])] = np.asarray(part["v"], np.float64)
-        return pa.table({"band": [band], "data": pa.array([out.tobytes()], pa.binary())})
+def _laid(parts: DataFrame, path: str, size: int, *more: tuple[int, bytes]) -> None:
+    """Rows (at, data) of tasks and what frames them as one file of `size` bytes."""
+    spark = registered(parts.sparkSession)
+    frame = spark.createDataFrame([(at, bytearray(data)) for at, data in more if data], "at long, data binary")
+    parts.select("at", "data").union(frame).write.format("placed_bytes").option("size", str(size)).mode("append").save(path)
+
 
-    cells = raster.cells.select("row", "col", F.col(field).cast("double").alias("v")).withColumn("band", F.floor(F.col("row") / BAND))
-    for row in cells.groupBy("band").applyInArrow(pack, "band long, data binary").orderBy("band").toLocalIterator():
-        yield np.frombuffer(row["data"]).reshape(-1, nx)
+def _sized(bands: DataFrame, *columns: str) -> tuple[DataFrame, list]:
+    """The bands, written, and their sizes in order."""
+    bands = written(bands, "bands")
+    return bands, bands.select("band", F.length("data").alias("n"), *columns).orderBy("band").collect()
 
 
-def write_npy(raster: Raster, path: str, field: str = "z") -> tuple[float, float]:
+def write_npy(raster: Raster, path: str, field: str = "z", kind: str = "<f4") -> tuple[float, float]:
     """The field as .npy; returns its least and largest value."""
-    low, high = np.inf, -np.inf
-    with open(path, "wb") as f:
-        np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (raster.meta.ny, raster.meta.nx)})
-        for z in bands(raster, field):
-            f.write(z.astype("<f4").tobytes())
-            low, high = min(low, float(np.nanmin(z))), max(high, float(np.nanmax(z)))
-    return low, high
-
-
-def write_tiff(raster: Raster, path: str, field: str = "z") -> None:
-    meta = raster.meta
-    head, tail = tiff_frame(meta.nx, meta.ny, meta.dx, meta.geo)
+    nx, ny, rows, size = raster.meta.nx, raster.meta.ny, band_rows(raster.meta.nx), np.dtype(kind).itemsize
+    head = formats.npy_frame(nx, ny, kind)
+    bands = _bands(raster, field, lambda z: (formats.strip_bytes(z, kind),), "data binary")
+    _laid(bands.withColumn("at", len(head) + F.col("band") * (rows * nx * size)), path, len(head) + nx * ny * size, (0, head))
+    v = F.col(field).cast("float" if size == 4 else "double")
+    low, high = raster.cells.where(~F.isnan(field)).agg(F.min(v), F.max(v)).first()
+    return (np.inf, -np.inf) if low is None else (low, high)
+
+
+def write_tiff(raster: Raster, path: str, field: str = "z", kind: str = "<f4", packing: int = 1, predictor: int = 1) -> None:
+    """The field as a GeoTIFF in strips; packing 1 is plain, 8 deflated; predictor 3 helps deflating numbers with a fraction."""
+    if packing not in (1, 8) or predictor not in (1, 3) or kind not in ("<f4", "<f8"):
+        raise ValueError("strips are plain or deflated, with predictor 1 or 3, of 4 or 8 bytes a number")
+    meta, rows = raster.meta, band_rows(raster.meta.nx)
     missing = json.loads(meta.geo or "{}").get(str(NODATA_TAG), "").rstrip("\0 ")
-    with open(path, "wb") as f:
-        f.write(head)
-        for z in bands(raster, field):
-            f.write((np.where(np.isnan(z), float(missing), z) if missing else z).astype("<f4").tobytes())
-        f.write(tail)
+    bands = _bands(raster, field, lambda z: (formats.strip_bytes(np.where(np.isnan(z), float(missing), z) if missing else z, kind, packing, predictor),), "data binary")
+    count = -(-meta.ny // rows)
+    if packing == 1:
+        sizes = [min(rows, meta.ny - k * rows) * meta.nx * np.dtype(kind).itemsize for k in range(count)]
+    else:
+        bands, told = _sized(bands)
+        sizes = [r["n"] for r in told]
+    if len(sizes) != count:
+        raise ValueError("rows are missing")
+    head, starts, tail = formats.tiff_frame(meta.nx, meta.ny, rows, sizes, kind, packing, predictor, meta.dx, meta.geo)
+    _placed(bands, starts, sizes, path, head, tail)
+
+
+def _placed(bands: DataFrame, starts: list[int], sizes: list[int], path: str, head: bytes, tail: bytes) -> None:
+    places = bands.sparkSession.createDataFrame(list(enumerate(starts)), "band long, at long")
+    end = (starts[-1] + sizes[-1]) if starts else len(head)
+    _laid(bands.join(places, "band"), path, end + len(tail), (0, head), (end, tail))
+    dropped(bands)
 
 
 def write_png(raster: Raster, path: str, bits: int = 8, field: str = "z") -> None:
@@ -243,13 +187,7 @@ def write_png(raster: Raster, path: str, bits: int = 8, field: str = "z") -> Non
 
     nx, ny = raster.meta.nx, raster.meta.ny
     levels = raster.with_cells(raster.cells.select("i", "row", "col").join(normalised(raster, (1 << bits) - 1, field), "i"))
-    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    with open(path, "wb") as f:
-        f.write(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", nx, ny, bits, 0, 0, 0, 0)))
-        packer = zlib.compressobj()
-        for z in bands(levels, "value"):
-            lines = np.nan_to_num(z).astype(">u2" if bits == 16 else np.uint8)
-            raw = np.concatenate([np.zeros((len(z), 1), np.uint8), np.ascontiguousarray(lines).view(np.uint8).reshape(len(z), -1)], 1)
-            if done := packer.compress(raw.tobytes()):
-                f.write(part(b"IDAT", done))
-        f.write(part(b"IDAT", packer.flush()) + part(b"IEND", b""))
+    bands, told = _sized(_bands(levels, "value", lambda z: formats.png_lines(z, bits), "data binary, adler long, raw long"), "adler", "raw")
+    head, tail = formats.png_frame(nx, ny, bits, [(r["adler"], r["raw"]) for r in told])
+    sizes = [r["n"] for r in told]
+    _placed(bands, [len(head) + int(x) for x in np.cumsum([0, *sizes])[:-1]], sizes, path, head, tail)
