@@ -52,7 +52,7 @@ def _unbanded(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Ta
 
 
 def red(spark: SparkSession, nx: int, ny: int, amplitude: float = 1.0, seed: int = 42, exponent: float = 1.0) -> Raster:
-    """White noise whose spectrum falls as 1 / |k|**exponent, without mean, scaled to the amplitude.
+    """White noise whose spectrum falls as 1 / |k|**exponent, k in cycles a cell, without mean, scaled to the amplitude.
 
     The transform is separable: bands of rows, then bands of columns are transformed, the spectrum is scaled while columns
     are at hand, and both are transformed back. A task holds a band of BAND lines.
@@ -60,7 +60,7 @@ def red(spark: SparkSession, nx: int, ny: int, amplitude: float = 1.0, seed: int
     base = white(spark, nx, ny, 1.0, seed).cells.select("row", "col", F.col("z").alias("re"), F.lit(0.0).alias("im"))
 
     def scaled(cols: np.ndarray, x: np.ndarray) -> np.ndarray:
-        ky, kx = np.fft.fftfreq(ny)[None, :] * ny, (((cols + nx // 2) % nx) - nx // 2)[:, None] if nx % 2 == 0 else (((cols + (nx - 1) // 2) % nx) - (nx - 1) // 2)[:, None]
+        ky, kx = np.fft.fftfreq(ny)[None, :], np.fft.fftfreq(nx)[cols][:, None]
         k = np.hypot(ky, kx)
         spectrum = np.fft.fft(x, axis=1) / np.where(k == 0, 1.0, k) ** exponent
         return np.fft.ifft(np.where(k == 0, 0, spectrum), axis=1)
