@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catchwater.functions.columns import positive_slope
-from catchwater.operators.grid import D4, Meta, Raster, can_leave, edges, gather, is_nodata, tiled
+from catchwater.operators.grid import D4, TILE, Meta, Raster, can_leave, edges, gather, is_nodata, tiled
 from catchwater.operators.routing import stochastic_receivers
-from catchwater.plans.iterate import Block, ancestors, by_index, descendants, written
+from catchwater.plans import condense
+from catchwater.plans.condense import Blocks, accumulated
+from catchwater.plans.iterate import Block, ancestors, by_index, descendants
 
 
 def as_tree(links: DataFrame, *more: str) -> DataFrame:
@@ -24,6 +24,11 @@ def _blocks(meta: Meta | None) -> Block:
     return by_index if meta is None else tiled(meta)
 
 
+def _levels(meta: Meta | None) -> Blocks:
+    """Tiles whose side grows eightfold with each level."""
+    return condense.by_index if meta is None else lambda level: tiled(meta, 2 * TILE << 3 * level)
+
+
 def drainage_cells(links: DataFrame, meta: Meta | None = None) -> DataFrame:
     """(i, q): how many cells drain through i, itself included. meta: the raster's, to follow paths by tiles."""
     return descendants(as_tree(links).withColumn("q", F.lit(1).cast("long")), block=_blocks(meta))
@@ -55,67 +60,11 @@ def ensemble(raster: Raster, rate: float, reps: int, seed: int, area: bool = Tru
 def with_loss(links: DataFrame, sources: DataFrame, kept: DataFrame, meta: Meta | None = None) -> DataFrame:
     """(i, q, loss): each cell keeps the fraction a of what reaches it (its own source included) and passes the rest on.
 
-    kept: (i, a). The mass that reaches a cell is a sum over paths of products of 1 - a; see level_accumulate().
+    kept: (i, a). The mass that reaches a cell is a sum over paths of products of 1 - a; see plans.condense.
     """
     graph = links.where("rcv <> i").select(F.col("i").alias("src"), F.col("rcv").alias("dst"))
     weights = graph.join(kept.select(F.col("i").alias("src"), (F.lit(1.0) - F.col("a")).alias("w")), "src")
-    return level_accumulate(weights, sources, block=_blocks(meta)).join(kept, "i", "left").select("i", "q", (F.col("q") * F.coalesce("a", F.lit(0.0))).alias("loss"))
-
-
-def level_accumulate(graph: DataFrame, sources: DataFrame, depth: int = 10_000, block: Block = by_index) -> DataFrame:
-    """(i, q): sources (i, q) pushed through an acyclic graph (src, dst, w).
-
-    One task pushes what has come to a block through all its levels; what crosses to another block comes there in the next
-    round, and blocks that nothing comes to are left alone. What cells get adds up over the rounds, so rounds grow with
-    the number of borders on a path, not with its cells. A cycle inside a block or over blocks is an error.
-    """
-    graph = written(graph.select("src", "dst", F.col("w").cast("double").alias("w"), block(F.col("src")).alias("b")), "graph")
-    front = sources.select("i", F.col("q").cast("double").alias("q"))
-    settled = []
-    for _ in range(depth):
-        coming = front.withColumn("b", block(F.col("i")))
-        seen = Observation()
-        step = graph.groupBy("b").cogroup(coming.groupBy("b")).applyInArrow(_pushed, "i long, q double, p long").observe(seen, F.count("p").alias("open"))
-        step = written(step, "level")
-        settled.append(step.where("p is null").select("i", "q"))
-        if not seen.get["open"]:
-            return reduce(DataFrame.union, settled).groupBy("i").agg(F.sum("q").alias("q"))
-        front = step.where("p is not null").groupBy("i").agg(F.sum("q").alias("q"))
-    raise ValueError("the graph has a cycle")
-
-
-def _pushed(edges: pa.Table, coming: pa.Table) -> pa.Table:
-    """One block: (i, q, null) for what its cells get and (i, q, i) for what goes to cells of other blocks."""
-    kinds = pa.schema([("i", pa.int64()), ("q", pa.float64()), ("p", pa.int64())])
-    if not len(coming):
-        return kinds.empty_table()
-    src, dst, w = (np.asarray(edges[c]) for c in ("src", "dst", "w"))
-    given = np.asarray(coming["i"], np.int64)
-    cells = np.unique(np.concatenate([src, given]))
-    place = np.minimum(np.searchsorted(cells, dst), len(cells) - 1)
-    inner = cells[place] == dst
-    a, b, share = np.searchsorted(cells, src[inner]), place[inner], w[inner]
-    order = np.argsort(a, kind="stable")
-    a, b, share = a[order], b[order], share[order]
-    first, last = np.searchsorted(a, np.arange(len(cells))), np.searchsorted(a, np.arange(len(cells)), "right")
-    q = np.bincount(np.searchsorted(cells, given), np.asarray(coming["q"], np.float64), len(cells))
-    left = np.bincount(b, minlength=len(cells))
-    front, done = np.flatnonzero(left == 0), 0
-    while len(front):
-        done += len(front)
-        n = last[front] - first[front]
-        at = np.repeat(first[front] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        np.add.at(q, b[at], q[a[at]] * share[at])
-        np.subtract.at(left, b[at], 1)
-        front = np.unique(b[at][left[b[at]] == 0])
-    if done < len(cells):
-        raise ValueError("the graph has a cycle")
-    some = np.flatnonzero((q != 0) | np.isin(cells, given))
-    away = np.flatnonzero(~inner)
-    sent = q[np.searchsorted(cells, src[away])] * w[away]
-    away, sent = away[sent != 0], sent[sent != 0]
-    none = pa.nulls(len(some), pa.int64())
-    return pa.table([pa.array(np.concatenate([cells[some], dst[away]])), pa.array(np.concatenate([q[some], sent])), pa.concat_arrays([none, pa.array(dst[away], pa.int64())])], schema=kinds)
+    return accumulated(weights, sources, _levels(meta)).join(kept, "i", "left").select("i", "q", (F.col("q") * F.coalesce("a", F.lit(0.0))).alias("loss"))
 
 
 def slope_weights(raster: Raster, field: str = "z", emit: Column | None = None, *carried: str) -> DataFrame:
@@ -137,7 +86,7 @@ def slope_weights(raster: Raster, field: str = "z", emit: Column | None = None,
 def multiple_flow(raster: Raster, sources: DataFrame, field: str = "z") -> DataFrame:
     """(i, q): sources shared over all lower neighbours by slope."""
     w = slope_weights(raster, field)
-    return level_accumulate(w.select(F.col("i").alias("src"), F.col("j").alias("dst"), "w"), sources, block=tiled(raster.meta))
+    return accumulated(w.select(F.col("i").alias("src"), F.col("j").alias("dst"), "w"), sources, _levels(raster.meta))
 
 
 def indegree(raster: Raster, field: str = "z") -> DataFrame:

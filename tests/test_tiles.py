@@ -92,7 +92,7 @@ def test_paths_over_tile_borders(spark, heights, monkeypatch):
 
     whole, small, true = all_of(), [], grid.tiled
     for module in (accumulate, depressions):
-        monkeypatch.setattr(module, "tiled", lambda meta: true(meta, 3))
+        monkeypatch.setattr(module, "tiled", lambda meta, size=256: true(meta, 3 * size // 256))
     small = all_of()
     for a, b in zip(whole, small, strict=True):
         assert a == b
