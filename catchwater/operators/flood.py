@@ -1,4 +1,4 @@
-"""Flood runs: loops over the steps of hydro, with routing, filling and accumulation between."""
+"""Flood runs: steps of hydro, many in a pass where neighbours are all that they need (plans.blocked), and rounds of routing, filling and accumulation."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catchwater.operators import accumulate, depressions, hydro
+from catchwater.operators import accumulate, depressions, hydro, kernels
 from catchwater.operators.grid import Raster, can_leave
 from catchwater.operators.routing import receivers
+from catchwater.plans.blocked import Kernel, Tile, advanced
 from catchwater.plans.iterate import written
 
 Forcing = float | Column | Callable[[Raster], Raster] | None
@@ -37,17 +38,28 @@ class Flood:
             raise TypeError("rain is a rate or a column of rates")
         return (rain if isinstance(rain, Column) else F.lit(float(rain))) * F.lit(self.raster.meta.dx**2)
 
-    def run_inertial(self, n: int, rain: Forcing = None) -> Flood:
-        """n local-inertial steps: rain (a rate, a column or a function of the raster), faces, depth."""
+    def _advanced(self, kernel: Kernel, n: int, reach: int, fields: tuple[str, ...], changed: tuple[str, ...], edge: int = 0, at_once: int | None = None, **more: Column) -> Flood:
+        """n steps of a kernel, many in a pass; more: columns for the kernel alone, found once."""
+        given = self.raster.with_columns(**{f"__{c}": v.cast("double") for c, v in more.items()}) if more else self.raster
+        own = {f"__{c}": c for c in more}
 
-        def step(r: Raster) -> Raster:
-            if callable(rain) and not isinstance(rain, Column):
-                wet = rain(r)
-            else:
-                wet = hydro.rain(r, self.params, None if rain is None else rain if isinstance(rain, Column) else F.lit(float(rain)))
-            return hydro.inertial_depth(hydro.inertial_faces(wet, self.params), self.params)
+        def named(tile: Tile, steps: int) -> dict:
+            tile.fields.update({own[f]: tile.fields[f] for f in own})
+            return kernel(tile, steps)
 
-        return self._with(hydro.run(self.raster, step, n))
+        done = advanced(given, named, n, reach, (*fields, *own), changed, edge, at_once)
+        return self._with(done.with_cells(done.cells.select(*self.raster.cells.columns)))
+
+    def run_inertial(self, n: int, rain: Forcing = None, at_once: int | None = None) -> Flood:
+        """n local-inertial steps: rain (a rate, a column that is found once, or a function of the raster, which is asked each step), faces, depth."""
+        if callable(rain) and not isinstance(rain, Column):
+
+            def step(r: Raster) -> Raster:
+                return hydro.inertial_depth(hydro.inertial_faces(rain(r), self.params), self.params)
+
+            return self._with(hydro.run(self.raster, step, n))
+        rate = F.lit(float(self.params.rain)) if rain is None else rain if isinstance(rain, Column) else F.lit(float(rain))
+        return self._advanced(kernels.inertial(self.params), n, 1, ("z", "h", "qx", "qy"), ("h", "qx", "qy"), at_once=at_once, rate=rate)
 
     def route(self, rain: Forcing = None, lakes: bool = True, carve: bool = True, epsilon: float = 2e-3) -> tuple[Flood, DataFrame]:
         """Receivers of the water surface, with lakes filled, and the discharge that they gather."""
@@ -82,28 +94,27 @@ class Flood:
             raster = raster.with_cells(written(raster.cells.drop("q").join(q, "i").select(*raster.cells.columns), "diffused"))
         return self._with(raster)
 
-    def run_sweeps(self, n: int, omega: float = 1.0, rain: Forcing = None, mask: Column | None = None, tile: int | None = None) -> Flood:
-        """n sweeps of q over the raised water surface; with tiles, what crosses them is frozen for the run."""
+    def run_sweeps(self, n: int, omega: float = 1.0, rain: Forcing = None, mask: Column | None = None, tile: int | None = None, at_once: int | None = None) -> Flood:
+        """n sweeps of q over the raised water surface; with tiles, what crosses them is frozen for the run. The mask is found once."""
         base = self.raster.with_columns(zh=F.col("z") + F.col("h"), qapp=F.col("q"))
-        raster = hydro.raised_pits(base)
-        for _ in range(n):
-            q = hydro.sweep(raster, self._source(rain), omega, mask, tile=tile)
-            raster = raster.with_cells(written(raster.cells.drop("q").join(q, "i").select(*raster.cells.columns), "swept"))
-        return self._with(raster.with_columns(**depressions.split_surface()).with_cells(raster.with_columns(**depressions.split_surface()).cells.drop("zh", "qapp")))
+        more = {"source": self._source(rain)} | ({} if mask is None else {"on": mask})
+        state = self._with(hydro.raised_pits(base))._advanced(kernels.sweeps(omega, tile), n, 1, ("zh", "q", "qapp"), ("q",), 1, at_once, **more)
+        split = state.raster.with_columns(**depressions.split_surface())
+        return self._with(split.with_cells(split.cells.drop("zh", "qapp")))
 
-    def run_diffusive(self, n: int, dt: float | None = None, keep_old: float = 0.5) -> Flood:
-        return self._with(hydro.run(self.raster, lambda r: hydro.diffusive_step(r, self.params, dt, keep_old), n))
+    def run_diffusive(self, n: int, dt: float | None = None, keep_old: float = 0.5, at_once: int | None = None) -> Flood:
+        return self._advanced(kernels.diffusive(self.params, dt, keep_old), n, 2, ("z", "h", "q"), ("h", "q"), at_once=at_once)
 
-    def run_depth(self, n: int, dt: float | None = None, mask: Column | None = None) -> Flood:
-        """n depth steps at constant q."""
-        return self._with(hydro.run(self.raster, lambda r: hydro.depth_step(r, self.params, dt, mask), n))
+    def run_depth(self, n: int, dt: float | None = None, mask: Column | None = None, at_once: int | None = None) -> Flood:
+        """n depth steps at constant q; the mask is found once."""
+        return self._advanced(kernels.depth(self.params, dt), n, 1, ("z", "h", "q"), ("h",), at_once=at_once, **({} if mask is None else {"on": mask}))
 
-    def run_analytic(self, n: int, keep_old: float = 0.2, mask: Column | None = None) -> Flood:
-        return self._with(hydro.run(self.raster, lambda r: hydro.analytic_depth(r, self.params, keep_old, mask), n))
+    def run_analytic(self, n: int, keep_old: float = 0.2, mask: Column | None = None, at_once: int | None = None) -> Flood:
+        return self._advanced(kernels.analytic(self.params, keep_old), n, 1, ("z", "h", "q"), ("h",), at_once=at_once, **({} if mask is None else {"on": mask}))
 
-    def run_flux_diffusion(self, n: int, rain: Forcing = None, dt: float = 0.01, omega: float = 0.5) -> Flood:
+    def run_flux_diffusion(self, n: int, rain: Forcing = None, dt: float = 0.01, omega: float = 0.5, at_once: int | None = None) -> Flood:
         p = replace(self.params, dt=dt)
-        return self._with(hydro.run(self.raster, lambda r: hydro.diffusion_flux_step(r, self._source(rain) / r.meta.dx**2, p, omega), n))
+        return self._advanced(kernels.flux_diffusion(p, omega), n, 1, ("z", "h"), ("h",), at_once=at_once, source=self._source(rain) / self.raster.meta.dx**2)
 
     def warm_up(self, n: int, dt: float = 0.01, omega: float = 0.5) -> Flood:
         return self._with(hydro.run(self.raster, lambda r: hydro.additive_step(r, dt, omega), n))
