@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from catchwater.functions.columns import larger, lesser
 from catchwater.operators.accumulate import as_tree
 from catchwater.operators.grid import D4, Meta, Raster, can_leave, edges, gather, tiled
-from catchwater.plans.iterate import ancestors, by_index, descendants, dropped, some, written
+from catchwater.plans import spill
+from catchwater.plans.iterate import Block, ancestors, by_index, descendants, dropped, written
 
 
 def roots(links: DataFrame, meta: Meta | None = None) -> DataFrame:
@@ -41,45 +42,43 @@ def saddles(raster: Raster, labels: DataFrame, field: str = "z") -> DataFrame:
     return best.select("bid", F.col("s.i").alias("saddle"), F.col("s.j").alias("outlet"), F.col("s.height").alias("height"), F.col("s.other").alias("other"))
 
 
-def _kept(found: DataFrame) -> DataFrame:
-    """Saddles without the larger of each two basins that chose each other."""
-    back = found.select(F.col("bid").alias("other"), F.col("other").alias("bid"))
-    mutual = found.join(back, ["bid", "other"], "left_semi").where("other < bid").select("bid")
-    return found.join(mutual, "bid", "left_anti")
+def spill_pairs(raster: Raster, labels: DataFrame, field: str = "z") -> DataFrame:
+    """(a, b, height, low, high, i, j): the lowest saddle from each basin a to each other basin b, from cell i to cell j."""
+    cells = raster.cells.select("i", "row", "col", F.col(field).alias("v"), *(["bc"] if raster.meta.mode == "custom" else [])).join(labels.select("i", "bid"), "i")
+    pairs = edges(raster.with_cells(cells), "v", "bid").where("bid <> 0 and bid <> bid_j")
+    way = F.struct(F.greatest("v", "v_j").alias("height"), F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "j")
+    return pairs.groupBy(F.col("bid").alias("a"), F.col("bid_j").alias("b")).agg(F.min(way).alias("s")).select("a", "b", "s.*")
 
 
-def _carved(links: DataFrame, found: DataFrame, meta: Meta) -> DataFrame:
+def _carved(links: DataFrame, found: DataFrame, block: Block = by_index) -> DataFrame:
     """Turns round the links from each saddle down to its pit and leads the saddle to its outlet."""
     tree = as_tree(links)
     marks = tree.join(found.select(F.col("saddle").alias("i"), F.lit(1).cast("long").alias("q")), "i", "left").select("i", "p", F.coalesce("q", F.lit(0).cast("long")).alias("q"))
-    below = descendants(marks, block=tiled(meta)).where("q > 0").select("i")  # cells on the way from a saddle to its pit
+    below = descendants(marks, block=block).where("q > 0").select("i")  # cells on the way from a saddle to its pit
     turned = tree.where("p is not null").join(below, "i", "left_semi").select(F.col("p").alias("i"), F.col("i").alias("new"), F.lit(1).alias("rank"))
     changes = turned.union(found.select(F.col("saddle").alias("i"), F.col("outlet").alias("new"), F.lit(0).alias("rank")))
     changes = changes.groupBy("i").agg(F.min(F.struct("rank", "new"))["new"].alias("new"))
     return links.join(changes, "i", "left").select("i", F.coalesce("new", "rcv").alias("rcv"))
 
 
-def reroute(raster: Raster, links: DataFrame, carve: bool = True, field: str = "z", rounds: int = 64) -> DataFrame:
-    """(i, rcv) without pits: each basin drains over its lowest saddle. Basins at least halve each round.
+def reroute(raster: Raster, links: DataFrame, carve: bool = True, field: str = "z", at_once: int = spill.AT_ONCE) -> DataFrame:
+    """(i, rcv) without pits: each basin drains over its lowest saddle, joined basins over theirs, see plans.spill.
 
-    carve: turn the path from saddle to pit round; else the pit jumps to the outlet cell. Without any way out of the
-    raster the last basin keeps its pit.
+    carve: turn the path from saddle to pit round; else the pit jumps to the outlet cell. Without any way out of the raster
+    the last basin keeps its pit. The raster is read for basins, for their saddles and for the new links, however many rounds
+    of joining there are.
     """
     links = written(links.select("i", "rcv"), "receivers")
-    for _ in range(rounds):
-        labels = written(basins(raster, links), "basins")
-        found = written(_kept(saddles(raster, labels, field)), "saddles")
-        if not some(found):
-            dropped(labels, found)
-            return links
-        if carve:
-            new = _carved(links, found, raster.meta)
-        else:
-            jump = found.select((F.col("bid") - 1).alias("i"), F.col("outlet").alias("new"))
-            new = links.join(jump, "i", "left").select("i", F.coalesce("new", "rcv").alias("rcv"))
-        before, links = links, written(new, "receivers")
-        dropped(before, labels, found)
-    raise ValueError("basins remain after all rounds")
+    labels = written(basins(raster, links), "basins")
+    found = spill.tree(spill_pairs(raster, labels, field), carve, _carved, at_once)
+    if carve:
+        new = _carved(links, found, tiled(raster.meta))
+    else:
+        jump = found.select((F.col("bid") - 1).alias("i"), F.col("outlet").alias("new"))
+        new = links.join(jump, "i", "left").select("i", F.coalesce("new", "rcv").alias("rcv"))
+    out = written(new, "receivers")
+    dropped(links, labels, found)
+    return out
 
 
 def _heights(raster: Raster, links: DataFrame, field: str) -> DataFrame:
