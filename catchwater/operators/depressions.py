@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwater.functions.columns import larger, lesser
 from catchwater.operators.accumulate import as_tree
 from catchwater.operators.grid import D4, Meta, Raster, can_leave, edges, gather, tiled
-from catchwater.plans import spill
+from catchwater.plans import envelope, spill
 from catchwater.plans.iterate import Block, ancestors, by_index, descendants, dropped, written
 
 
@@ -126,59 +121,12 @@ def split_surface(surface: str = "zh", bed: str = "z") -> dict:
 def carve_down(raster: Raster, links: DataFrame, drop: float = 2e-3, field: str = "z") -> DataFrame:
     """(i, z): from every local minimum that water cannot leave, the steepest path lowered by `drop` a step until a lower cell or a root.
 
-    links: receivers that lead out of the pits, see reroute(); a pit that is its own receiver stays as it is. A task takes
-    all walks of a tile to their ends or to the tile's border, from where the next round goes on; where walks meet, the
-    lowest wins.
-    """
-    tile, near = tiled(raster.meta), gather(raster, field)
-    lowest = F.least(*[F.col(f"{field}_{d}") for d, _, _ in D4])
-    starts = near.where(~can_leave(raster.meta) & (F.col(field) <= lowest)).select("i", F.col(field).alias("ref"), F.lit(0).cast("long").alias("n"))
-    cells = raster.cells.select("i", F.col(field).cast("double").alias("z")).join(links, "i")
-    cells = cells.select("i", "z", F.when(F.col("rcv") != F.col("i"), F.col("rcv")).alias("p"))
-    cells = written(cells.withColumn("b", tile(F.col("i"))), "cells")
-    front, changes = starts, []
-    for _ in range(raster.meta.nx * raster.meta.ny + 1):  # no path crosses more borders
-        seen = Observation()
-        walked = cells.groupBy("b").cogroup(front.withColumn("b", tile(F.col("i"))).groupBy("b")).applyInArrow(lambda own, walks: _walked(own, walks, drop), "i long, new double, n long, ref double")
-        walked = written(walked.observe(seen, F.count("n").alias("open"), F.min("n").alias("least")), "walked")
-        if (seen.get["least"] or 0) < 0:
-            break
-        changes.append(walked.where("n is null").select("i", "new"))
-        if not seen.get["open"]:
-            lowered = reduce(DataFrame.union, changes).groupBy("i").agg(F.min("new").alias("new"))
-            return raster.cells.select("i", F.col(field).alias("z")).join(lowered, "i", "left").select("i", F.least("z", F.coalesce("new", "z")).alias("z"))
-        front = walked.where("n is not null").select("i", "ref", "n").distinct()
-    raise ValueError("the links have a cycle")
-
-
-def _walked(own: pa.Table, walks: pa.Table, drop: float) -> pa.Table:
-    """One tile: (i, height, null, null) for lowered cells, (i, null, n, ref) for walks that go on in another tile.
-
-    A walk stands at cell i, n steps from its minimum of height ref; at n > 0 the cell itself is still to be looked at. A
-    cell whose link ends there (it is its own receiver) is not lowered.
+    links: receivers that lead out of the pits, see reroute(); a pit that is its own receiver stays as it is. Where ways
+    meet, the lowest wins; see plans.envelope.
     """
-    kinds = pa.schema([("i", pa.int64()), ("new", pa.float64()), ("n", pa.int64()), ("ref", pa.float64())])
-    if not len(walks):
-        return kinds.empty_table()
-    own = own.sort_by("i")
-    i, z, last = np.asarray(own["i"]), np.asarray(own["z"]), np.asarray(own["p"].is_null())
-    p = np.asarray(pc.fill_null(own["p"], -1), np.int64)
-    new, away = np.full(len(i), np.inf), []
-    at, ref, n = np.searchsorted(i, np.asarray(walks["i"])), np.asarray(walks["ref"]), np.asarray(walks["n"])
-    for _ in range(len(i) + 1):
-        goes = ((n == 0) | (z[at] >= ref - (n - 1) * drop)) & ~last[at]
-        at, ref, n = at[goes], ref[goes], n[goes]
-        low = n > 0
-        np.minimum.at(new, at[low], ref[low] - n[low] * drop)
-        to = np.minimum(np.searchsorted(i, p[at]), len(i) - 1)
-        inside = i[to] == p[at]
-        away.append((p[at][~inside], n[~inside] + 1, ref[~inside]))
-        at, ref, n = to[inside], ref[inside], n[inside] + 1
-        if not len(at):
-            break
-    else:  # a cycle: told by a negative number of steps
-        away.append((p[at], np.full(len(at), -1), ref))
-    some = np.flatnonzero(np.isfinite(new))
-    there, steps, height = (np.concatenate(x) for x in zip(*away, strict=True))
-    lowered = pa.table([pa.array(i[some]), pa.array(new[some]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.float64())], schema=kinds)
-    return pa.concat_tables([lowered, pa.table([pa.array(there), pa.nulls(len(there), pa.float64()), pa.array(steps), pa.array(height)], schema=kinds)])
+    near = gather(raster, field)
+    low = F.least(*[F.col(f"{field}_{d}") for d, _, _ in D4])
+    starts = near.select("i", F.col(field).alias("z"), (~can_leave(raster.meta) & (F.col(field) <= low)).alias("start"))
+    cells = starts.join(links, "i").select("i", "z", F.when(F.col("rcv") != F.col("i"), F.col("rcv")).alias("p"), F.coalesce("start", F.lit(False)).alias("start"))
+    lowered = envelope.lowest(cells, drop, tiled(raster.meta))
+    return raster.cells.select("i", F.col(field).alias("z")).join(lowered, "i", "left").select("i", F.coalesce("new", "z").alias("z"))

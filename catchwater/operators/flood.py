@@ -116,6 +116,17 @@ class Flood:
         p = replace(self.params, dt=dt)
         return self._advanced(kernels.flux_diffusion(p, omega), n, 1, ("z", "h"), ("h",), at_once=at_once, source=self._source(rain) / self.raster.meta.dx**2)
 
+    def run_velocity(self, n: int, rain: Forcing = None, dt: float = 1e-3, omega: float = 0.5, at_once: int | None = None) -> Flood:
+        """n steps of face velocities ux and uy (right and bottom face; 0 if the raster has none) and upwind fluxes of h ** (5/3)."""
+        blank = {c: F.lit(0.0) for c in ("ux", "uy") if c not in self.raster.cells.columns}
+        state = self._with(self.raster.with_columns(**blank)) if blank else self
+        return state._advanced(kernels.velocity(self.params, dt, omega), n, 1, ("z", "h", "ux", "uy"), ("h", "ux", "uy"), at_once=at_once, source=self._source(rain) / self.raster.meta.dx**2)
+
+    def run_over_minima(self, links: DataFrame, n: int = 1, keep_old: float = 0.0) -> Flood:
+        """n fused steps over slopes and, where there is no way down, over saved links; the raster keeps its flags in lm."""
+        raster = self.raster if "lm" in self.raster.cells.columns else self.raster.with_columns(lm=F.lit(False))
+        return self._with(hydro.run(raster, lambda r: hydro.minima_step(r, links, self.params, keep_old), n))
+
     def warm_up(self, n: int, dt: float = 0.01, omega: float = 0.5) -> Flood:
         return self._with(hydro.run(self.raster, lambda r: hydro.additive_step(r, dt, omega), n))
 

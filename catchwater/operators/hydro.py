@@ -125,6 +125,55 @@ def face_weights(raster: Raster) -> DataFrame:
     return raster.cells.select("i").join(summed, "i", "left").select("i", F.coalesce("wx", F.lit(0.0)).alias("wx"), F.coalesce("wy", F.lit(0.0)).alias("wy"))
 
 
+def renormalised(raster: Raster, wx: str = "wx", wy: str = "wy") -> DataFrame:
+    """(i, wx, wy): signed shares on right and bottom faces (see face_weights) scaled so that each cell's outflows sum to 1.
+
+    A face's share belongs to the cell that it leaves: positive to its own cell, negative to the cell on its other side.
+    Faces that nothing leaves, and those of cells without data or towards no cell, stay as they are.
+    """
+    share = raster.with_cells(raster.cells.select("i", "row", "col", F.col(wx).alias("wx"), F.col(wy).alias("wy"), *(["bc"] if raster.meta.mode == "custom" else [])))
+    out = lambda c, sign: F.greatest(F.lit(0.0), F.coalesce(sign * F.col(c), F.lit(0.0)))
+    total = F.when(~is_nodata(raster.meta), out("wx", 1) + out("wy", 1) + out("wx_l", -1) + out("wy_t", -1))
+    near = gather(share, "wx", "wy")
+    summed = raster.with_cells(near.select(*share.cells.columns, total.alias("total")))
+    scaled = lambda w, d: F.col(w) / F.coalesce(F.nullif(F.when(F.col(w) > 0, F.col("total")).otherwise(F.col(f"total_{d}")), F.lit(0.0)), F.lit(1.0))
+    return gather(summed, "total").select("i", scaled("wx", "r").alias("wx"), scaled("wy", "b").alias("wy"))
+
+
+def minima_step(raster: Raster, links: DataFrame, p: Params = Params(), keep_old: float = 0.0, lift: float = 5e-3) -> Raster:
+    """h, q and lm after one fused step that sends water by slope and, from flagged cells without a way down, over saved links.
+
+    A cell without a lower neighbour is flagged and rises by `lift`. A flagged cell sends nothing to neighbours whose saved
+    receiver it is; with no slope left, all its water takes its own saved link. The receivers of flagged cells are flagged
+    from the next step on. links: (i, rcv). One gathering of surface and receivers, one sum at the cells that water reaches.
+    """
+    dx = raster.meta.dx
+    saved = raster.cells.join(links.select("i", "rcv"), "i", "left").withColumn("zh", F.col("z") + F.col("h"))
+    near = gather(raster.with_cells(saved), "zh", "rcv")
+    inside = ~(can_leave(raster.meta) | is_nodata(raster.meta))
+    lower = F.lit(False)
+    for d, _, _ in D4:
+        lower = lower | F.coalesce(F.col(f"zh_{d}") < F.col("zh"), F.lit(False))
+    near = near.withColumns({"inside": inside, "pit": inside & ~lower}).withColumn("flag", F.col("lm") | F.col("pit"))
+    slope = {d: F.when(F.col("flag") & F.coalesce(F.col(f"rcv_{d}") == F.col("i"), F.lit(False)), F.lit(0.0)).otherwise(positive_slope(F.col("zh"), F.col(f"zh_{d}"), dx)) for d, _, _ in D4}
+    near = near.withColumns({f"s_{d}": s for d, s in slope.items()})
+    total = F.col("s_t") + F.col("s_l") + F.col("s_r") + F.col("s_b")
+    near = near.withColumn("total", total)
+    part = lambda j, w: F.struct(j.alias("j"), w.alias("w"))
+    down = F.array(*[part(F.col(f"i_{d}"), F.col("q") * F.col(f"s_{d}") / F.col("total")) for d, _, _ in D4])
+    sent = near.where("inside").select(F.explode(F.when(F.col("total") > 0, down).otherwise(F.array(part(F.col("rcv"), F.col("q"))))).alias("e"), F.lit(False).alias("lead"))
+    told = near.where("inside and flag and rcv is not null").select(F.struct(F.col("rcv").alias("j"), F.lit(0.0).alias("w")).alias("e"), F.lit(True).alias("lead"))
+    got = sent.where("e.j is not null and e.w > 0").union(told).groupBy(F.col("e.j").alias("i")).agg(F.sum("e.w").alias("more"), F.max("lead").alias("led"))
+    mx, my = F.greatest("s_l", "s_r"), F.greatest("s_t", "s_b")
+    leaves = F.when(F.col("inside"), _capacity(F.col("h"), F.greatest(F.sqrt(mx * mx + my * my), F.lit(1e-4)), dx, p.manning)).otherwise(0.0)
+    df = near.withColumn("leaves", leaves).join(got, "i", "left")
+    q = (1 - keep_old) * (F.lit(p.rain * dx * dx) + F.coalesce("more", F.lit(0.0))) + keep_old * F.col("q")
+    df = df.withColumn("q", q)
+    rise = F.when(F.col("pit"), F.lit(lift)).otherwise(0.0) + F.lit(p.dt / dx**2) * (F.col("q") - F.col("leaves"))
+    df = df.withColumns({"h": F.greatest(F.lit(0.0), F.col("h") + rise), "lm": F.col("flag") | F.coalesce("led", F.lit(False))})
+    return raster.with_cells(df.select(*raster.cells.columns))
+
+
 def diffusive_step(raster: Raster, p: Params = Params(), dt: float | None = None, keep_old: float = 0.5, floor: float = 1e-6) -> Raster:
     """One fused step: q takes its inflow, h the balance of q and Manning outflow over the two-axis slope."""
     q = diffuse(raster, F.lit(p.rain * raster.meta.dx**2), keep_old=keep_old)

@@ -892,6 +892,58 @@ def seeded_uniform(spark, d):
     return r1(spark, d).cells.select("i", uniform(11, F.col("i")).alias("u"))
 
 
+# Faces and saved links.
+
+_UXY = f"{_WETN}, o AS (SELECT *, lag(qx) OVER rr AS qx_l, lag(qy) OVER cc AS qy_t FROM w {_WINDOWS}), t AS (SELECT *, greatest(0, qx) + greatest(0, qy) + greatest(0, coalesce(-qx_l, 0)) + greatest(0, coalesce(-qy_t, 0)) AS total FROM o), u AS (SELECT *, lead(total) OVER rr AS total_r, lead(total) OVER cc AS total_b FROM t {_WINDOWS})"
+
+
+@query(f"WITH {_UXY} SELECT i, round(qx / coalesce(nullif(CASE WHEN qx > 0 THEN total ELSE total_r END, 0), 1), 6) AS wx, round(qy / coalesce(nullif(CASE WHEN qy > 0 THEN total ELSE total_b END, 0), 1), 6) AS wy FROM u")
+def renormalised_outflows(spark, d):
+    return rounded(hydro.renormalised(wet(r1(spark, d)), "qx", "qy"), "wx", "wy")
+
+
+def _velocity_sql(steps: int) -> str:
+    """Face velocities and upwind fluxes, `steps` times."""
+    out = [_WET, "s0 AS (SELECT i, r, q, z, h, qx AS ux, qy AS uy FROM w)"]
+    push = "pow(greatest(0, greatest(z + h, z_{d} + h_{d}) - greatest(z, z_{d})), 1.5e0) / 0.033e0 * ((z - z_{d}) + (h * h - h_{d} * h_{d}) / 2)"
+    face = "CASE WHEN h_{d} IS NULL OR (h = 0 AND h_{d} = 0) THEN {u} ELSE 0.5e0 * {u} + 0.5e0 * sign(p_{d}) * sqrt(abs(p_{d})) END"
+    flux = "CASE WHEN v_{d} IS NULL OR (v = 0 AND v_{d} = 0) THEN 0 ELSE {s} * {u} * CASE WHEN {s} * {u} < 0 THEN v ELSE v_{d} END END"
+    for k in range(steps):
+        out.append(f"n{k} AS (SELECT *, {_WIN.format(v='z')}, {_WIN.format(v='h')} FROM s{k} {_WINDOWS})")
+        out.append(f"p{k} AS (SELECT *, {push.format(d='r')} AS p_r, {push.format(d='b')} AS p_b FROM n{k})")
+        out.append(f"f{k} AS (SELECT i, r, q, z, {face.format(d='r', u='ux')} AS ux, {face.format(d='b', u='uy')} AS uy, pow(h, 5e0 / 3e0) AS v FROM p{k})")
+        out.append(f"v{k} AS (SELECT *, lag(ux) OVER rr AS ux_l, lag(uy) OVER cc AS uy_t, {_WIN.format(v='v')} FROM f{k} {_WINDOWS})")
+        net = " + ".join(flux.format(d=d, u=u, s=s) for d, u, s in (("t", "uy_t", "1"), ("l", "ux_l", "1"), ("r", "ux", "-1"), ("b", "uy", "-1")))
+        out.append(f"s{k + 1} AS (SELECT i, r, q, z, pow(greatest(0, v + 1e-3 * ({net} + 1e-2)), 3e0 / 5e0) AS h, ux, uy FROM v{k})")
+    return f"WITH {', '.join(out)} SELECT i, round(h, 6) AS h, round(ux, 6) AS ux, round(uy, 6) AS uy FROM s{steps}"
+
+
+@query(_velocity_sql(2))
+def velocity_run(spark, d):
+    state = flood.Flood(wet(r1(spark, d)).with_columns(ux=F.col("qx"), uy=F.col("qy"))).run_velocity(2, 1e-2)
+    return rounded(state.raster.cells.select("i", "h", "ux", "uy"), "h", "ux", "uy")
+
+
+_MINIMA = (
+    f"WITH {_receivers_sql()}, w AS (SELECT c.i, r, q, z, (c.i % 7) / 8.0e0 AS h, (c.i % 11) / 4.0e0 AS qq, z + (c.i % 7) / 8.0e0 AS zh, rcv, c.i % 13 = 0 AS lm FROM c JOIN rec ON rec.i = c.i), "
+    f"n AS (SELECT *, {_WIN.format(v='zh')}, {_WIN.format(v='rcv')} FROM w {_WINDOWS}), "
+    "a AS (SELECT *, r > 0 AND r < ny - 1 AND q > 0 AND q < nx - 1 AS inside FROM n, g), b AS (SELECT *, inside AND zh <= least(zh_t, zh_l, zh_r, zh_b) AS pit FROM a), f AS (SELECT *, lm OR pit AS flag FROM b), "
+    "s AS (SELECT *, " + ", ".join(f"CASE WHEN flag AND rcv_{d} = i THEN 0 ELSE greatest(0, coalesce(zh - zh_{d}, 0)) END AS s_{d}" for d in "tlrb") + " FROM f), t AS (SELECT *, s_t + s_l + s_r + s_b AS total FROM s), "
+    "got AS (SELECT j, sum(x) AS more, max(lead_) AS led FROM ("
+    + " UNION ALL ".join(f"SELECT i + ({o}) AS j, qq * s_{d} / total AS x, 0 AS lead_ FROM t WHERE inside AND s_{d} > 0" for d, o in (("t", -100), ("l", -1), ("r", 1), ("b", 100)))
+    + " UNION ALL SELECT rcv, qq, 0 FROM t WHERE inside AND total <= 0 UNION ALL SELECT rcv, 0, 1 FROM t WHERE inside AND flag) GROUP BY j), "
+    "x AS (SELECT t.*, coalesce(more, 0) + 1e-2 AS qn, coalesce(led, 0) = 1 AS led, CASE WHEN inside THEN pow(h, 5e0 / 3e0) / 0.033e0 * sqrt(greatest(sqrt(pow(greatest(s_l, s_r), 2) + pow(greatest(s_t, s_b), 2)), 1e-4)) ELSE 0 END AS out_ FROM t LEFT JOIN got ON got.j = t.i) "
+    "SELECT i, round(qn, 6) AS q, round(greatest(0, h + CASE WHEN pit THEN 5e-3 ELSE 0 END + 1e-3 * (qn - out_)), 6) AS h, flag OR led AS lm FROM x"
+)
+
+
+@query(_MINIMA)
+def over_minima(spark, d):
+    raster = r1(spark, d)
+    state = flood.Flood(wet(raster).with_columns(lm=F.col("i") % 13 == 0), hydro.Params(rain=1e-2)).run_over_minima(routing.receivers(raster))
+    return rounded(state.raster.cells.select("i", "q", "h", "lm"), "q", "h")
+
+
 # Files.
 
 
