@@ -57,6 +57,12 @@ def ensemble(raster: Raster, rate: float, reps: int, seed: int, area: bool = Tru
     return counts.groupBy("i").agg((F.sum(F.col("q") * weight) * unit).alias("q"))
 
 
+def ensemble_of(raster: Raster, sources: DataFrame, reps: int, seed: int, field: str = "z") -> DataFrame:
+    """(i, q): the mean over `reps` stochastic routings of what sources (i, q) gather, all draws in one pass, keyed by draw."""
+    tree = as_tree(stochastic_receivers(raster, seed, reps, field)).join(sources.select("i", "q"), "i")
+    return descendants(tree, keys=("rep",), block=tiled(raster.meta)).groupBy("i").agg((F.sum("q") / reps).alias("q"))
+
+
 def with_loss(links: DataFrame, sources: DataFrame, kept: DataFrame, meta: Meta | None = None) -> DataFrame:
     """(i, q, loss): each cell keeps the fraction a of what reaches it (its own source included) and passes the rest on.
 

@@ -12,7 +12,7 @@ from catchwater.operators import accumulate, depressions, hydro, kernels
 from catchwater.operators.grid import Raster, can_leave
 from catchwater.operators.routing import receivers
 from catchwater.plans.blocked import Kernel, Tile, advanced
-from catchwater.plans.iterate import written
+from catchwater.plans.iterate import dropped, settled, written
 
 Forcing = float | Column | Callable[[Raster], Raster] | None
 
@@ -61,8 +61,12 @@ class Flood:
         rate = F.lit(float(self.params.rain)) if rain is None else rain if isinstance(rain, Column) else F.lit(float(rain))
         return self._advanced(kernels.inertial(self.params), n, 1, ("z", "h", "qx", "qy"), ("h", "qx", "qy"), at_once=at_once, rate=rate)
 
-    def route(self, rain: Forcing = None, lakes: bool = True, carve: bool = True, epsilon: float = 2e-3) -> tuple[Flood, DataFrame]:
-        """Receivers of the water surface, with lakes filled, and the discharge that they gather."""
+    def route(self, rain: Forcing = None, lakes: bool = True, carve: bool = True, epsilon: float = 2e-3, stochastic: int = 0, seed: int = 0) -> tuple[Flood, DataFrame]:
+        """Receivers of the water surface, with lakes filled, and the discharge that they gather.
+
+        stochastic: the discharge is the mean over so many random routings of the filled surface, all drawn and summed in
+        one pass, keyed by draw.
+        """
         surface = self.raster.with_columns(zh=F.col("z") + F.col("h"))
         links = receivers(surface, "zh")
         raster = self.raster
@@ -70,28 +74,42 @@ class Flood:
             links = depressions.reroute(surface, links, carve, "zh")
             wet = depressions.fill_into_water(self.raster, links, epsilon).select("i", F.col("h").alias("hf"))
             raster = raster.with_cells(raster.cells.join(wet, "i").withColumn("h", F.col("hf")).drop("hf"))
-        q = accumulate.accumulate(links, raster.cells.select("i", self._source(rain).alias("q")), meta=raster.meta)
+        sources = raster.cells.select("i", self._source(rain).alias("q"))
+        if stochastic:
+            q = accumulate.ensemble_of(raster.with_columns(zh=F.col("z") + F.col("h")), sources, stochastic, seed, "zh")
+        else:
+            q = accumulate.accumulate(links, sources, meta=raster.meta)
         cells = raster.cells.drop("q").join(q, "i").select(*raster.cells.columns)
         return self._with(raster.with_cells(written(cells, "routed"))), links
 
-    def run_graphflood(self, n: int, rain: Forcing = None, lakes: bool = True, keep_old: float = 0.0, diffusions: int = 0) -> Flood:
-        """n rounds of routing, filling, accumulation, optional diffusion and Manning depth."""
+    def run_graphflood(self, n: int, rain: Forcing = None, lakes: bool = True, keep_old: float = 0.0, diffusions: int = 0, stochastic: int = 0, seed: int = 0) -> Flood:
+        """n rounds of routing, filling, accumulation (over random routings if asked for), optional diffusion and Manning depth."""
         state = self
-        for _ in range(n):
-            before = state.raster.cells.select("i", F.col("q").alias("q0"))
-            routed, links = state.route(rain, lakes)
-            cells = routed.raster.cells.join(before, "i").withColumn("q", (1 - keep_old) * F.col("q") + keep_old * F.col("q0")).drop("q0")
-            state = routed._with(routed.raster.with_cells(cells)).diffuse(diffusions, rain)
-            done = hydro.manning_core(state.raster, links, self.params)
-            state = self._with(done.with_cells(written(done.cells, "state")))
+        for k in range(n):
+
+            def cells(state: Flood = state, k: int = k) -> DataFrame:
+                before = state.raster.cells.select("i", F.col("q").alias("q0"))
+                routed, links = state.route(rain, lakes, stochastic=stochastic, seed=(seed << 20) + k)
+                mixed = routed.raster.cells.join(before, "i").withColumn("q", (1 - keep_old) * F.col("q") + keep_old * F.col("q0")).drop("q0")
+                wet = routed._with(routed.raster.with_cells(mixed)).diffuse(diffusions, rain)
+                return hydro.manning_core(wet.raster, links, self.params).cells
+
+            last, state = state, self._with(self.raster.with_cells(settled(cells, "state")))
+            if k:
+                dropped(last.raster.cells)
         return state
 
     def diffuse(self, n: int, rain: Forcing = None, keep_old: float = 0.0) -> Flood:
-        """n sharings of q among lower neighbours."""
-        raster = self.raster
-        for _ in range(n):
-            q = hydro.diffuse(raster, self._source(rain), keep_old=keep_old)
-            raster = raster.with_cells(written(raster.cells.drop("q").join(q, "i").select(*raster.cells.columns), "diffused"))
+        """n sharings of q among lower neighbours. The surface stays, so its shares are found once, however many sharings there are."""
+        if not n:
+            return self
+        shares, raster = written(hydro.sharing(self.raster), "shares"), self.raster
+        for k in range(n):
+            q = hydro.diffuse(raster, self._source(rain), keep_old=keep_old, weights=shares)
+            before, raster = raster, raster.with_cells(written(raster.cells.drop("q").join(q, "i").select(*raster.cells.columns), "diffused"))
+            if k:
+                dropped(before.cells)
+        dropped(shares)
         return self._with(raster)
 
     def run_sweeps(self, n: int, omega: float = 1.0, rain: Forcing = None, mask: Column | None = None, tile: int | None = None, at_once: int | None = None) -> Flood:
@@ -135,8 +153,12 @@ class Flood:
 
     def fill_lakes(self, epsilon: float = 2e-3, discharge: bool = False, rain: Forcing = None) -> Flood:
         """Depressions filled with water; with the discharge that the filled surface gathers if asked for."""
-        filled, _ = self.route(rain, True, True, epsilon)
-        return filled if discharge else self._with(filled.raster.with_cells(filled.raster.cells.drop("q").join(self.raster.cells.select("i", "q"), "i").select(*self.raster.cells.columns)))
+
+        def cells() -> DataFrame:
+            filled = self.route(rain, True, True, epsilon)[0].raster.cells
+            return filled if discharge else filled.drop("q").join(self.raster.cells.select("i", "q"), "i").select(*self.raster.cells.columns)
+
+        return self._with(self.raster.with_cells(settled(cells, "lakes")))
 
     def spread(self, **how) -> Flood:
         return self._with(hydro.smoothed(self.raster, **how))

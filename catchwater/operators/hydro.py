@@ -100,6 +100,11 @@ def _landed(w: DataFrame) -> DataFrame:
     return w.groupBy(F.col("j").alias("i")).agg(F.sum(F.col("q") * F.col("w")).alias("more"))
 
 
+def sharing(raster: Raster) -> DataFrame:
+    """(i, k, j, s, w): the shares by which diffuse() sends q over the water surface."""
+    return slope_weights(_surface(raster), "zh", ~(can_leave(raster.meta) | is_nodata(raster.meta)))
+
+
 def diffuse(raster: Raster, source: Column, q: str = "q", keep_old: float = 0.0, to_outlets: bool = True, weights: DataFrame | None = None) -> DataFrame:
     """(i, q): source plus what lower-neighbour weights bring from q, blended with the old q.
 

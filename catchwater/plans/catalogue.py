@@ -615,6 +615,13 @@ def graphflood_run(spark, d):
     return rounded(flood.Flood(r1(spark, d)).set_depth(0.0).run_graphflood(2, 1.0).get("h"), "h")
 
 
+@query()
+def graphflood_random(spark, d):
+    """One round whose discharge is the mean over four random routings of the filled surface."""
+    state = flood.Flood(r1(spark, d)).set_depth(0.0).run_graphflood(1, 1.0, stochastic=4, seed=7)
+    return rounded(state.raster.cells.select("i", "h", "q"), "h", "q")
+
+
 @query()
 def lakes_filled(spark, d):
     return rounded(flood.Flood(r1(spark, d)).fill_lakes().get("h"), "h")

@@ -36,6 +36,24 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["shared_path"] = path
+    for made in _MADE:
+        made.append(out)
+    return out
+
+
+#: Tables that are being made, for those who clear up after a whole computation.
+_MADE: list[list[DataFrame]] = []
+
+
+def settled(build: Callable[[], DataFrame], name: str = "settled") -> DataFrame:
+    """What build() gives, as a table; all other tables that were written on the way are deleted."""
+    made: list[DataFrame] = []
+    _MADE.append(made)
+    try:
+        out = written(build(), name)
+    finally:
+        _MADE.pop()
+    dropped(*(t for t in made if t is not out))
     return out
 
 

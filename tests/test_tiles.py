@@ -251,3 +251,52 @@ def test_deposition_cell_by_cell(spark, heights):
     got = {r["i"]: r["z"] for r in erosion.stream_power_transport(raster.with_cells(cells), links).cells.select("i", "z").collect()}
     want = np.array([height[i] for i in range(n)])
     assert np.allclose([got[i] for i in range(n)], want, atol=1e-6)
+
+
+def test_graphflood_over_random_routings(spark, heights):
+    """One round over three draws against plain Python; nothing but the state is left in the shared folder."""
+    import hashlib
+    import os
+
+    from catchwater.operators.flood import Flood
+    from catchwater.operators.hydro import Params
+    from catchwater.plans.iterate import shared_dir
+
+    z, n, reps, seed = heights.ravel(), heights.size, 3, (5 << 20) + 0
+    raster = from_matrix(spark, heights)
+    here = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(here))
+    got = {r["i"]: (r["h"], r["q"]) for r in Flood(raster).run_graphflood(1, 1.0, stochastic=reps, seed=5).raster.cells.collect()}
+    left = [f for f in set(os.listdir(here)) - before if not f.startswith(".")]
+    assert len(left) == 1 and left[0].startswith("state-")
+    rcv = brute_reroute(heights)
+    paths = []
+    for i in range(n):
+        p = [i]
+        while rcv[p[-1]] != p[-1]:
+            p.append(rcv[p[-1]])
+        paths.append(p)
+    full = np.array([max(z[a] + 2e-3 * k for k, a in enumerate(p)) for p in paths])
+    full = z + (full - z)
+    drawn = lambda *keys: int(hashlib.md5(",".join(map(str, keys)).encode()).hexdigest()[:13], 16) / (1 << 52)
+    q = np.zeros(n)
+    for rep in range(reps):
+        to = []
+        for i in range(n):
+            best, where = 0.0, i
+            for k, (dr, dc) in enumerate(((-1, 0), (0, -1), (0, 1), (1, 0))):
+                j = neighbours(heights, None, "normal", i, dr, dc)
+                if j is not None and full[i] > full[j] and (v := drawn(seed, rep, i, k) * (full[i] - full[j]) ** 0.5) > best:
+                    best, where = v, j
+            to.append(where)
+        for at in range(n):
+            q[at] += 1 / reps
+            while to[at] != at:
+                at = to[at]
+                q[at] += 1 / reps
+    assert np.allclose([got[i][1] for i in range(n)], q)
+    p = Params()
+    depth = full - z
+    slope = np.array([p.edge_slope if rcv[i] == i else max(full[i] - full[rcv[i]], 1e-4) for i in range(n)])
+    want = depth + np.maximum((q - depth ** (5 / 3) / p.manning * np.sqrt(slope)) * p.dt, -depth)
+    assert np.allclose([got[i][0] for i in range(n)], want)
