@@ -18,6 +18,7 @@ from catchwater.operators import accumulate, depressions, erosion, flood, hydro,
 from catchwater.operators.grid import D4, D8, Raster, can_leave, edge_class, edges, from_arrays, from_table, is_nodata, tile_ids, with_boundaries
 from catchwater.plans.iterate import shared_dir, written
 from catchwater.sources import files
+from catchwater.streaming import forcing
 
 NX = 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -888,6 +889,23 @@ def particle_step_d8(spark, d):
     return particles.moved(particles.placed(raster, 500, 5), particles.next_cells(raster, eight=True))
 
 
+def _steepest_sql(value: str) -> str:
+    """Cells and the neighbour of the largest positive value, edge by edge."""
+    return f"WITH {_edges_sql()}, {_WALK}, x AS (SELECT i, j, k, {value} AS s FROM e), nxt AS (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY s DESC, k) AS n FROM x WHERE s > 0) WHERE n = 1) SELECT CAST(pid AS BIGINT) AS pid, coalesce(nxt.j, walk.pos) AS pos FROM walk LEFT JOIN nxt ON nxt.i = walk.pos"
+
+
+@query(_steepest_sql("(z + (i % 7) / 8.0e0) - (zj + (j % 7) / 8.0e0)"))
+def particle_step_on_water(spark, d):
+    raster = wet(r1(spark, d)).with_columns(zh=F.col("z") + F.col("h"))
+    return particles.moved(particles.placed(raster, 500, 5), particles.next_cells(raster, "zh"))
+
+
+@query(_steepest_sql(f"(z - zj) * pow({_drawn_sql(3, 'i', 'k')}, 0.5e0)"))
+def particle_step_random(spark, d):
+    raster = r1(spark, d)
+    return particles.moved(particles.placed(raster, 500, 5), particles.next_cells(raster, seed=3, exponent=0.5))
+
+
 @query()
 def particle_collisions(spark, d):
     raster = r1(spark, d).with_columns(h=F.lit(0.0))
@@ -951,6 +969,21 @@ def over_minima(spark, d):
     return rounded(state.raster.cells.select("i", "q", "h", "lm"), "q", "h")
 
 
+# Rain gauges.
+
+
+@query("SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, CAST(event_id % 1000 AS BIGINT) AS i, round(sum(value), 6) AS rain, count(*) AS n FROM events GROUP BY 1, 2")
+def rain_windows(spark, d):
+    gauges = spark.read.parquet(f"{d}/events.parquet").select("ts", F.floor(F.col("event_id") % 1000 / 100).alias("row"), (F.col("event_id") % 100).alias("col"), F.col("value").alias("amount"))
+    totals = forcing.rain_totals(gauges, NX)
+    return rounded(totals.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "i", "rain", "n"), "rain")
+
+
+@query(f"WITH {_WET} SELECT i, z AS h, h * 2 AS z FROM w")
+def fields_swapped(spark, d):
+    return scan.swapped(scan.scaled(wet(r1(spark, d)), "h", 2.0), "z", "h").cells.select("i", "h", "z")
+
+
 # Files.
 
 
