@@ -7,8 +7,11 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Codes of a custom boundary raster.
 NODATA, INTERIOR, OUTLET, INLET, PERIODIC = 0, 1, 3, 7, 9
@@ -160,40 +163,46 @@ def _copies(place: str, n: int, wraps: bool) -> Column:
 def gather(raster: Raster, *fields: str, eight: bool = False) -> DataFrame:
     """The cells with each field of each neighbour, as field_direction (i_t, z_t, ...); null where there is none.
 
-    Cells are dealt to tiles in one shuffle, those at a tile's border to the tiles beside it too; two windows inside a tile
-    (one along rows, one along columns) then give all neighbours, diagonals included. Wrapped axes have the far end beside
-    their first and last tile. In custom mode a cell of code 9 wraps on the axis of its edge (a corner: north-south), and a
-    cell of code 0 is nobody's neighbour.
+    Cells are dealt to tiles in one shuffle, those at a tile's border to the tiles beside it too; a task lays a tile's rows
+    out as a grid and takes all neighbours at once, diagonals included. Wrapped axes have the far end beside their first and
+    last tile. In custom mode a cell of code 9 wraps on the axis of its edge (a corner: north-south), and a cell of code 0 is
+    nobody's neighbour.
     """
-    meta, fields = raster.meta, tuple(dict.fromkeys(("i", *fields)))
+    meta, fields, names = raster.meta, tuple(dict.fromkeys(("i", *fields))), raster.cells.columns
     custom = meta.mode == "custom"
-    own = F.struct(*fields, *(["bc"] if custom and "bc" not in fields else []))
     wraps_ew, wraps_ns = custom or meta.mode == "periodic_EW", custom or meta.mode == "periodic_NS"
-    df = raster.cells.withColumn("__s", own).withColumn("__r", F.explode(_copies("row", meta.ny, wraps_ns))).withColumn("__c", F.explode(_copies("col", meta.nx, wraps_ew)))
-    df = df.withColumns({"__tr": F.col("__r.t"), "__tc": F.col("__c.t"), "__r": F.col("__r.at"), "__c": F.col("__c.at")}).repartition("__tr", "__tc")
-    along, across = Window.partitionBy("__tr", "__tc", "__r").orderBy("__c"), Window.partitionBy("__tr", "__tc", "__c").orderBy("__r")
-    df = df.withColumns({"__l": F.lag("__s").over(along), "__g": F.lead("__s").over(along)})
-    line = F.struct("__s", "__l", "__g") if eight else F.struct("__s")
-    df = df.withColumn("__line", line)
-    df = df.withColumns({"__u": F.lag("__line").over(across), "__d": F.lead("__line").over(across)})
-    inner = (F.col("__r") == F.col("row")) & (F.col("__c") == F.col("col")) & (F.floor(F.col("row") / TILE) == F.col("__tr")) & (F.floor(F.col("col") / TILE) == F.col("__tc"))
-    df = df.where(inner)
-    if custom:  # an axis wraps only at cells of code 9
-        kind, coded = edge_class(meta), F.col("bc") == PERIODIC
-        east_west, north_south = kind.isin(4, 5) & coded, kind.isin(1, 2, 3, 6, 7, 8) & coded
-        off = lambda name, at_end, wraps: F.when(at_end & ~wraps, F.lit(None)).otherwise(F.col(name))
-        df = df.withColumns({
-            "__l": off("__l", F.col("col") == 0, east_west), "__g": off("__g", F.col("col") == meta.nx - 1, east_west),
-            "__u": off("__u", F.col("row") == 0, north_south), "__d": off("__d", F.col("row") == meta.ny - 1, north_south),
-        })
-    places = {"t": "__u.__s", "l": "__l", "r": "__g", "b": "__d.__s"}
-    if eight:
-        places |= {"tl": "__u.__l", "tr": "__u.__g", "bl": "__d.__l", "br": "__d.__g"}
-    for d, place in places.items():
-        value = F.col(place)
-        df = df.withColumn(f"__{d}_", F.when(value["bc"] != NODATA, value) if custom else value)
-    out = [F.col(f"__{d}_")[f].alias(f"{f}_{d}") for d in places for f in fields]
-    return df.select(*raster.cells.columns, *out)
+    directions = D8 if eight else D4
+    df = raster.cells.select("*", F.explode(_copies("row", meta.ny, wraps_ns)).alias("__r"))
+    df = df.select(*names, "__r", F.explode(_copies("col", meta.nx, wraps_ew)).alias("__c"))
+    df = df.select(*names, F.col("__r.t").alias("__tr"), F.col("__c.t").alias("__tc"), F.col("__r.at").alias("__r"), F.col("__c.at").alias("__c"))
+    kinds = raster.cells.schema
+    schema = T.StructType([*kinds.fields, *(T.StructField(f"{f}_{d}", kinds[f].dataType) for d, _, _ in directions for f in fields)])
+
+    def near(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        r, c, row, col = (np.asarray(part[n], np.int64) for n in ("__r", "__c", "row", "col"))
+        r0, c0 = int(r.min()) - 1, int(c.min()) - 1
+        at = np.full((int(r.max()) - r0 + 2, int(c.max()) - c0 + 2), -1, np.int64)
+        at[r - r0, c - c0] = np.arange(len(r))
+        tr, tc = part["__tr"][0].as_py(), part["__tc"][0].as_py()
+        own = np.flatnonzero((r == row) & (c == col) & (row // TILE == tr) & (col // TILE == tc))
+        kept = part.select(names).take(pa.array(own))
+        r, c, row, col = r[own] - r0, c[own] - c0, row[own], col[own]
+        out = [kept[n] for n in names]
+        if custom:
+            code = np.asarray(pc.fill_null(part["bc"].cast(pa.int64()), NODATA))
+            coded, frame = code[own] == PERIODIC, (row == 0) | (row == meta.ny - 1)
+            held = np.append(code != NODATA, False)
+        for _, dr, dc in directions:
+            to = at[r + dr, c + dc]
+            if custom:  # an axis wraps only at cells of code 9
+                over_ns, over_ew = (row + dr < 0) | (row + dr >= meta.ny), (col + dc < 0) | (col + dc >= meta.nx)
+                to = np.where((over_ns & ~(coded & frame)) | (over_ew & ~(coded & ~frame)) | ~held[to], -1, to)
+            places = pa.array(to, mask=to < 0)
+            out += [part[f].take(places) for f in fields]
+        return pa.table(out, names=schema.names)
+
+    return df.groupBy("__tr", "__tc").applyInArrow(near, schema)
 
 
 def edges(raster: Raster, *fields: str, eight: bool = False) -> DataFrame:
