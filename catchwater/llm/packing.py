@@ -1,8 +1,9 @@
 """Best-fit packing with several permitted sequence lengths.
 
-tokenised() gives every whole text its ids by the tokenizer of the token files, and an end id. Items (documents, cut into
-pieces of ids where they are longer than the longest permitted length) are dealt to shards by a hash; a shard holds about
-`shard` ids and is packed by one task. Longest first, an item goes to the open bin whose free room fits it best; a bitmap
+Every whole text gets its ids by the tokenizer of the token files, and an end id. packed() does all in the task that reads
+the texts and gives the pieces with their ids; tokenised(), best_fit() and sequences() do it in steps over the cluster. Items (documents, cut into
+pieces of ids where they are longer than the longest permitted length) are dealt to shards, as they come or by a hash; a shard
+holds about `shard` ids and is packed by one task. Longest first, an item goes to the open bin whose free room fits it best; a bitmap
 over free rooms finds it. If no open bin has room, a bin of the size with the least cost per id that it can be expected to
 hold is opened: a size costs its length plus `overhead`, and what can still come into it is bounded by the lengths not
 placed yet that fit beside the item. At the end each bin shrinks to the smallest permitted length that holds its contents.
@@ -115,6 +116,56 @@ def best_fit(items: DataFrame, sizes: Sequence[int] = SIZES, overhead: int = OVE
     return items.groupBy("shard").applyInArrow(run, out)
 
 
+def packed(docs: DataFrame, path: str, end_id: int = 0, sizes: Sequence[int] = SIZES, overhead: int = OVERHEAD, shard: int = SHARD) -> DataFrame:
+    """The packed pieces of docs (doc_id, text) with their ids, nothing shuffled: each task tokenises its texts and packs a shard as soon as it has `shard` ids.
+
+    A row is a piece: item, doc_id, piece, shard, bin, bin_size, bin_offset, n_tokens, ids (n_tokens of them, 32 bits each); a
+    bin's pieces laid at their offsets are a sequence. Item and shard hold the partition's number in their upper half.
+    """
+    longest, names = max(sizes), ["item", "doc_id", "piece", "shard", "bin", "bin_size", "bin_offset", "n_tokens", "ids"]
+
+    def laid(held: list, number: int) -> Iterator[pa.RecordBatch]:
+        doc = pa.concat_arrays([d for d, *_ in held])
+        item = np.concatenate([k for _, k, *_ in held])
+        data = [raw for *_, own in held for raw in own]
+        n = np.fromiter((len(raw) // 4 for raw in data), np.int64, len(data))
+        count = -(-n // longest)
+        of = np.repeat(np.arange(len(data)), count)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        size = np.minimum(longest, n[of] - piece * longest)
+        own = pa.table([pa.array(of), doc.take(pa.array(of)), pa.array(piece), pa.array(size)], names=["of", "doc_id", "piece", "n"])
+        own = own.sort_by([("n", "descending"), ("doc_id", "ascending"), ("of", "ascending"), ("piece", "ascending")]).combine_chunks()
+        of, piece, size = (np.asarray(own[c]) for c in ("of", "piece", "n"))
+        bins, offsets, widths = pack(size.tolist(), sizes, overhead)
+        wide = np.asarray(widths, np.int32)[bins]
+        for a in range(0, len(of), 2000):
+            cut = slice(a, a + 2000)
+            m = len(of[cut])
+            ids = [data[o][4 * longest * p : 4 * longest * p + 4 * s] for o, p, s in zip(of[cut].tolist(), piece[cut].tolist(), size[cut].tolist(), strict=True)]
+            columns = [pa.array(item[of[cut]]), own["doc_id"].chunk(0).slice(a, m), pa.array(piece[cut].astype(np.int32)), pa.array(np.full(m, number)), pa.array(bins[cut], pa.int64()), pa.array(wide[cut]), pa.array(offsets[cut], pa.int32()), pa.array(size[cut].astype(np.int32)), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from catchwater.llm.token_files import tokenizer
+
+        cached, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
+        held, size, seen, shards, part = [], 0, 0, 0, 0
+        for batch, text in slices(batches, "text"):
+            ids, first = cached.encode(text)
+            raw, at = ids.astype("<u4").tobytes(), (4 * first).tolist()
+            part = batch.column("part")[0].as_py() << 32
+            held.append((batch.column("doc_id"), part + seen + np.arange(len(text)), [raw[a:b] + end for a, b in zip(at[:-1], at[1:], strict=True)]))
+            seen, size = seen + len(text), size + len(ids) + len(text)
+            if size >= shard:
+                yield from laid(held, part + shards)
+                held, size, shards = [], 0, shards + 1
+        if held:
+            yield from laid(held, part + shards)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
+    return rows.mapInArrow(run, "item long, doc_id long, piece int, shard long, bin long, bin_size int, bin_offset int, n_tokens int, ids binary")
+
+
 def sequences(items: DataFrame, placed: DataFrame, sizes: Sequence[int] = SIZES) -> DataFrame:
     """The packed bins: shard, bin, bin_size, doc_ids and starts (a piece each, in order), ids (n_tokens of them, 32 bits each).
 

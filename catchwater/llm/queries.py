@@ -77,7 +77,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from catchwater.llm import packing
 
-    return packing.best_fit(packing.tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=False))
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

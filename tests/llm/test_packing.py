@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from catchwater.llm import packing
 from tests.llm import cases
@@ -86,3 +87,29 @@ def test_the_query(spark, tmp_path):
     out = queries.op7_best_fit_packing(spark, str(tmp_path)).collect()
     _, _, ids, _ = packed(spark, rows)
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in out) == sorted((str(i), min(4096, len(own) - k)) for i, own in ids for k in range(0, len(own), 4096))
+
+
+def test_packed_pieces_hold_all_ids(spark):
+    """Every id of every document once, in bins that don't overflow and whose size is the least that holds them."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path, sizes = P.path("byte_bpe_50k.json"), (64, 256, 1024)
+    plain = Tokenizer.from_file(path)
+    docs = cases.frame(spark)
+    for shard in (2000, packing.SHARD):
+        rows = packing.packed(docs, path, sizes=sizes, shard=shard).collect()
+        items, bins = {}, {}
+        for r in rows:
+            ids = np.frombuffer(bytes(r["ids"]), "<u4").tolist()
+            assert len(ids) == r["n_tokens"] > 0
+            items.setdefault((r["item"], r["doc_id"]), {})[r["piece"]] = ids
+            bins.setdefault((r["shard"], r["bin"], r["bin_size"]), []).append((r["bin_offset"], r["n_tokens"]))
+        got = sorted(((i is None, i or 0), sum((p[k] for k in range(len(p))), [])) for (_, i), p in items.items())
+        assert got == sorted(((i is None, i or 0), [*plain.encode(t or "", add_special_tokens=False).ids, 0]) for i, t, *_ in cases.rows())
+        assert len({b[:2] for b in bins}) == len(bins)
+        for (_, _, size), own in bins.items():
+            ends = [0, *np.cumsum([n for _, n in sorted(own)]).tolist()]
+            assert [o for o, _ in sorted(own)] == ends[:-1] and size == min(c for c in sizes if c >= ends[-1])
+        assert len({r["shard"] for r in rows}) >= (3 if shard == 2000 else 1)
+    assert packing.packed(docs.limit(0), path).count() == 0
