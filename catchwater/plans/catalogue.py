@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catchwater.functions.columns import uniform
-from catchwater.operators import accumulate, depressions, erosion, flood, hydro, masks, noise, particles, resample, routing, scan, terrain
+from catchwater.operators import accumulate, depressions, erosion, flood, hydro, masks, noise, particles, resample, routing, scan, sparse, terrain
 from catchwater.operators.grid import D4, D8, Raster, can_leave, edge_class, edges, from_arrays, from_table, is_nodata, tile_ids, with_boundaries
 from catchwater.plans.iterate import shared_dir, written
 from catchwater.sources import files
@@ -969,6 +969,57 @@ def over_minima(spark, d):
     return rounded(state.raster.cells.select("i", "q", "h", "lm"), "q", "h")
 
 
+# Discharge on walkers' cells.
+
+
+def _walked_sql(steps: int) -> str:
+    """Depth steps on walkers' cells, each followed by the walkers' step down the surface."""
+    out = [_C1, _WALK, "s0 AS (SELECT i, r, q, z, (i % 7) / 8.0e0 AS h, (i % 11) / 4.0e0 AS qq FROM c)", "w0 AS (SELECT pid, pos FROM walk)"]
+    sends = " UNION ALL ".join(f"SELECT i + ({o}) AS j, qq * s_{d} / total AS x FROM a{{k}} WHERE s_{d} > 0" for d, o in (("t", -100), ("l", -1), ("r", 1), ("b", 100)))
+    slopes = ", ".join(f"greatest(0, coalesce(z + h - (z_{d} + h_{d}), 0)) AS s_{d}" for d in "tlrb")
+    lower = " UNION ALL ".join(f"SELECT i, i + ({o}) AS j, {n} AS k, z + h - (z_{d} + h_{d}) AS s FROM m{{k}}" for n, (d, o) in enumerate((("t", -100), ("l", -1), ("r", 1), ("b", 100))))
+    for k in range(steps):
+        out.append(f"n{k} AS (SELECT *, {_WIN.format(v='z')}, {_WIN.format(v='h')} FROM s{k} {_WINDOWS}), l{k} AS (SELECT *, {slopes} FROM n{k}), a{k} AS (SELECT *, s_t + s_l + s_r + s_b AS total FROM l{k})")
+        out.append(f"g{k} AS (SELECT j, sum(x) AS more FROM ({sends.format(k=k)}) GROUP BY j), o{k} AS (SELECT DISTINCT pos FROM w{k})")
+        leaves = "CASE WHEN greatest(s_l, s_r) > 0 AND greatest(s_t, s_b) > 0 THEN pow(h, 5e0 / 3e0) / 0.033e0 * sqrt(greatest(1e-4, sqrt(pow(greatest(s_l, s_r), 2) + pow(greatest(s_t, s_b), 2)))) ELSE 0 END"
+        out.append(f"b{k} AS (SELECT a.*, pos IS NOT NULL AS at_, CASE WHEN pos IS NULL THEN qq ELSE 1e-2 + coalesce(more, 0) END AS qn FROM a{k} a LEFT JOIN o{k} ON pos = i LEFT JOIN g{k} ON j = i)")
+        out.append(f"s{k + 1} AS (SELECT i, r, q, z, CASE WHEN at_ THEN greatest(0, h + 1e-2 * (qn - {leaves})) ELSE h END AS h, qn AS qq FROM b{k})")
+        out.append(f"m{k} AS (SELECT *, {_WIN.format(v='z')}, {_WIN.format(v='h')} FROM s{k + 1} {_WINDOWS})")
+        out.append(f"d{k} AS (SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, k) AS n FROM ({lower.format(k=k)}) WHERE s > 0) WHERE n = 1), w{k + 1} AS (SELECT pid, coalesce(j, pos) AS pos FROM w{k} LEFT JOIN d{k} ON i = pos)")
+    return f"WITH {', '.join(out)} SELECT i, round(qq, 6) AS q, round(h, 6) AS h, coalesce(n, 0) AS walkers FROM s{steps} LEFT JOIN (SELECT pos, count(*) AS n FROM w{steps} GROUP BY pos) ON pos = i"
+
+
+@query(_walked_sql(2))
+def walked_depth(spark, d):
+    raster = r1(spark, d)
+    state = sparse.stored(wet(raster))
+    state, walkers = sparse.run(state, particles.placed(raster, 500, 5), 2, hydro.Params(rain=1e-2, dt=1e-2))
+    held = particles.histogram(walkers).select(F.col("pos").alias("i"), F.col("n").alias("walkers"))
+    return rounded(state.raster().cells.select("i", "q", "h").join(held, "i", "left").withColumn("walkers", F.coalesce("walkers", F.lit(0))), "q", "h")
+
+
+_WALKED_FACES = (
+    f"WITH {_C1}, {_WALK}, o AS (SELECT DISTINCT pos FROM walk), w AS (SELECT i, r, q, z, (i % 7) / 8.0e0 AS h, (i % 11) / 4.0e0 AS qq, ((i % 5) - 2) / 16.0e0 AS wx, ((i % 3) - 1) / 16.0e0 AS wy, pos IS NOT NULL AS at_ FROM c LEFT JOIN o ON pos = i), "
+    f"n AS (SELECT *, {_WIN.format(v='z')}, {_WIN.format(v='h')}, {_WIN.format(v='at_')} FROM w {_WINDOWS}), "
+    "s AS (SELECT *, " + ", ".join(f"CASE WHEN at_ THEN greatest(0, coalesce(z + h - (z_{d} + h_{d}), 0)) ELSE 0 END AS s_{d}" for d in "tlrb") + " FROM n), t AS (SELECT *, s_t + s_l + s_r + s_b AS total FROM s), "
+    f"x AS (SELECT *, lead(nullif(s_l, 0) / total) OVER rr AS from_r, lead(nullif(s_t, 0) / total) OVER cc AS from_b FROM t {_WINDOWS}), "
+    "f AS (SELECT i, r, q, qq, at_, CASE WHEN at_ AND total = 0 THEN h + 1e-2 * " + _drawn_sql(4, "0", "i") + " ELSE h END AS h, NOT at_ AND (coalesce(at__t, false) OR coalesce(at__l, false) OR coalesce(at__r, false) OR coalesce(at__b, false)) AS beside, coalesce(nullif(s_r, 0) / total, -from_r, wx) AS wx, coalesce(nullif(s_b, 0) / total, -from_b, wy) AS wy FROM x), "
+    f"p AS (SELECT *, greatest(0, wx) + greatest(0, wy) + greatest(0, coalesce(-lag(wx) OVER rr, 0)) + greatest(0, coalesce(-lag(wy) OVER cc, 0)) AS out_ FROM f {_WINDOWS}), "
+    "y AS (SELECT *, CASE WHEN beside AND out_ > 0 THEN 1 / out_ ELSE 1 END AS f FROM p), "
+    f"k AS (SELECT *, {_WIN.format(v='f')}, {_WIN.format(v='qq')}, lag(wx) OVER rr AS wx_l, lag(wy) OVER cc AS wy_t FROM y {_WINDOWS}) "
+    "SELECT i, round(h, 6) AS h, round(CASE WHEN at_ OR beside THEN 0.25e0 + coalesce(greatest(0, wy_t) * f_t * qq_t, 0) + coalesce(greatest(0, wx_l) * f_l * qq_l, 0) + coalesce(greatest(0, -wx) * f_r * qq_r, 0) + coalesce(greatest(0, -wy) * f_b * qq_b, 0) ELSE qq END, 6) AS q, "
+    "round(wx * CASE WHEN wx > 0 THEN f ELSE coalesce(f_r, 1) END, 6) AS wx, round(wy * CASE WHEN wy > 0 THEN f ELSE coalesce(f_b, 1) END, 6) AS wy FROM k"
+)
+
+
+@query(_WALKED_FACES)
+def walked_faces(spark, d):
+    raster = r1(spark, d)
+    faces = wet(raster).with_columns(wx=F.col("qx"), wy=F.col("qy"))
+    state = sparse.discharge_step(sparse.stored(faces), particles.placed(raster, 500, 5), F.lit(0.25), 4)
+    return rounded(state.raster().cells.select("i", "h", "q", "wx", "wy"), "h", "q", "wx", "wy")
+
+
 # Rain gauges.
 
 

@@ -5,7 +5,7 @@ import os
 import pytest
 
 D = "/root/testdata/sf0.001"
-NAMES = "grid_edges_custom receivers_custom drainage_cells basin_saddles filled_z mfd_weights spl_step inertial_faces face_weights halve_cubic_reflect double_resolution hillshade_multi perlin prefix_sum particle_step".split()
+NAMES = "grid_edges_custom receivers_custom drainage_cells basin_saddles filled_z mfd_weights spl_step inertial_faces face_weights halve_cubic_reflect double_resolution hillshade_multi perlin prefix_sum particle_step walked_depth walked_faces".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 
