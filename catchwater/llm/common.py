@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,32 @@ def released() -> None:
         pass
 
 
+def in_folders(df: DataFrame, name: str, *places: str) -> DataFrame:
+    """df as a table in the shared folder with a folder for each value of the columns `places`, for opened()."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*places).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["shared_path"] = path
+    return out
+
+
+def qualified(table: DataFrame) -> str:
+    """The place of a table that in_folders() made, as tasks name it; s3a is s3 to them."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.__dict__["shared_path"])
+    uri = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    kind, rest = uri.split(":", 1)
+    return f"{'s3' if kind == 's3a' else kind}:{rest if rest.startswith('//') else '//' + rest}"
+
+
+def opened(place: str, folder: str) -> pa.Table:
+    """The rows in one folder of a table, read by a task from the store that all share."""
+    from pyarrow import fs, parquet
+
+    store, path = fs.FileSystem.from_uri(place)
+    return parquet.read_table(f"{path}/{folder}", filesystem=store, partitioning=None)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """The rows of batches in record batches of about `size` bytes of text, each with its texts, null ones as empty."""
     for batch in batches:

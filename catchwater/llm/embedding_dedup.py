@@ -2,8 +2,9 @@
 
 Vectors that are equal form a class with one representative. Representatives are dealt to shards by a hash; a task builds
 the hierarchical graph of its shard, audits it, and writes it to the shared folder. Representatives are also packed into
-slices, and every pair of a shard and a slice is one task: each query of the slice goes down the graph with the shard's
-beam. A beam that ends inside the similarity range has met a dense group: from there, links are followed from point to
+slices, also written there. Tasks get pairs of numbers, of a shard and a slice, in order of shards; they open both from the
+shared folder, a graph once for the pairs that follow each other, so no vector is shuffled to meet a graph. Shards and slices
+are bounded in vectors and in bytes. Each query of the slice goes down the graph with the shard's beam. A beam that ends inside the similarity range has met a dense group: from there, links are followed from point to
 point while they stay in range of those queries, and all points so reached are compared with them. The audit compares the
 first members with brute force over the shard and doubles the beam until enough of them find every partner, those with few
 partners and those with many each for themselves. Candidates are verified by cosine in double precision; where single
@@ -11,7 +12,8 @@ precision with its error bound already decides, that is not repeated.
 
 A task returns one row a query and one a member that has links: how many vectors, and the smallest id among them or of the
 members they unite, never the pairs; components() unites these. A link that only one of its ends found so joins both;
-n_links is the greater of the links found from a vector and those found towards it.
+n_links is the greater of the links found from a vector and those found towards it. Copies of a very common vector learn what
+their representative has in several tasks.
 
 Null, zero and non-finite vectors and vectors with null components link with nothing, nor does a null id. Vectors of
 different lengths never link. Equal vectors link whatever their number. Rows that share an id count as one vector whose
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catchwater.llm.common import components, dropped, released, written
+from catchwater.llm.common import components, dropped, in_folders, opened, qualified, released, written
 
 #: Cosine from which vectors are linked; vectors in a shard, shards at least; links of a vertex on the ground and above.
 THRESHOLD, SHARD, SHARDS, GROUND, ABOVE = 0.95, 50_000, 6, 32, 16
 #: Vectors in a slice, slices at least; how far under the threshold a dense group is followed.
 SLICE, SLICES, MARGIN = 100_000, 4, 0.05
+#: Bytes of vectors in a shard and in a slice at most; pairs of both that a task takes; copies of a vector in a task.
+SHARD_BYTES, SLICE_BYTES, PAIRS, HOT = 256 << 20, 128 << 20, 8, 100_000
 #: Beam while building and at the start of the search; audited queries; the share of them that has to find every partner;
 #: from how many partners a query has many.
 BUILD, BEAM, AUDITED, RECALL, MANY = 48, 48, 2048, 0.995, 16
@@ -299,14 +303,19 @@ def _slice(own: pa.Table) -> pa.Table:
     return pa.table({"dim": [d], "slice": [place], "q_ids": [ids.tobytes()], "q_copies": [copies.tobytes()], "q_vectors": pa.array([raw], pa.binary())})
 
 
-def _links(shards: pa.Table, slices: pa.Table, threshold: float) -> pa.Table:
+class Shard:
+    """A shard's row, ready for queries."""
+
+    def __init__(self, row: pa.Table):
+        self.d, self.beam = row["dim"][0].as_py(), row["beam"][0].as_py()
+        self.graph, self.x = Graph.unpacked(row["graph"][0].as_py()), _unit(row["vectors"][0].as_py(), self.d)
+        self.ids, self.weight = (np.frombuffer(row[k][0].as_py(), np.int64) for k in ("ids", "copies"))
+
+
+def _links(shard: Shard, slices: pa.Table, threshold: float) -> pa.Table:
     """The rows of one shard and one slice."""
     kinds = pa.schema([("vec_id", pa.int64()), ("n_links", pa.int64()), ("n_back", pa.int64()), ("reach", pa.int64())])
-    if not len(shards) or not len(slices):
-        return kinds.empty_table()
-    d, long = shards["dim"][0].as_py(), np.int64
-    graph, beam, x = Graph.unpacked(shards["graph"][0].as_py()), shards["beam"][0].as_py(), _unit(shards["vectors"][0].as_py(), d)
-    ids, weight = (np.frombuffer(shards[k][0].as_py(), long) for k in ("ids", "copies"))
+    long, d, graph, beam, x, ids, weight = np.int64, shard.d, shard.graph, shard.beam, shard.x, shard.ids, shard.weight
     qid, copies = (np.frombuffer(slices[k][0].as_py(), long) for k in ("q_ids", "q_copies"))
     raw, out = slices["q_vectors"][0].as_py(), []
     root, back = np.arange(len(ids)), np.zeros(len(ids), long)
@@ -335,7 +344,7 @@ def _links(shards: pa.Table, slices: pa.Table, threshold: float) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def dedup(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, shards: int = SHARDS, slice_: int = SLICE, slices: int = SLICES) -> DataFrame:
+def dedup(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, shards: int = SHARDS, slice_: int = SLICE, slices: int = SLICES, hot: int = HOT) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
     v = F.col("embedding")
     norm = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
@@ -344,19 +353,36 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD,
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0).cast("float")).alias("embedding")).withColumn("usable", usable)
     classes = rows.where("usable").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     classes = written(classes.withColumns({"dim": F.size("embedding").cast("long"), "mixed": F.xxhash64("vec_id")}), "vectors")
-    n = classes.count()
-    shards, slices = max(shards, -(-n // shard)), max(slices, -(-n // slice_))
+    n, size = classes.agg(F.count("*"), F.coalesce(F.sum("dim") * 8, F.lit(0))).first()
+    shards, slices = max(shards, -(-n // shard), -(-size // SHARD_BYTES)), max(slices, -(-n // slice_), -(-size // SLICE_BYTES))
     dealt = lambda seed, parts: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts))
     graphs = classes.withColumn("shard", dealt(1, shards)).groupBy("dim", "shard").applyInArrow(lambda own: _shard(own, threshold), "dim long, shard long, beam long, ids binary, copies binary, vectors binary, graph binary")
     packs = classes.withColumn("slice", dealt(2, slices)).groupBy("dim", "slice").applyInArrow(_slice, "dim long, slice long, q_ids binary, q_copies binary, q_vectors binary")
-    graphs, packs = written(graphs, "graphs"), written(packs, "slices")
-    left = graphs.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))).groupBy("dim", "shard", "slice")
-    right = packs.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).groupBy("dim", "shard", "slice")
-    found = written(left.cogroup(right).applyInArrow(lambda a, b: _links(a, b, threshold), "vec_id long, n_links long, n_back long, reach long"), "links")
+    graphs = in_folders(graphs.withColumns({"__dim": F.col("dim"), "__at": F.col("shard")}), "graphs", "__dim", "__at")
+    packs = in_folders(packs.withColumns({"__dim": F.col("dim"), "__at": F.col("slice")}), "slices", "__dim", "__at")
+    from_graphs, from_packs = qualified(graphs), qualified(packs)
+    numbers = graphs.select("dim", "shard").join(packs.select("dim", "slice"), "dim")  # three numbers for each piece of work
+    numbers = numbers.repartitionByRange(max(min(shards * slices, 64), -(-shards * slices // PAIRS)), "dim", "shard", "slice").sortWithinPartitions("dim", "shard", "slice")
+
+    def linked_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, shard_ = None, None
+        for batch in batches:
+            for d, s, q in zip(*(batch.column(c).to_pylist() for c in ("dim", "shard", "slice")), strict=True):
+                if place != (d, s):
+                    place, shard_ = (d, s), None  # the one before goes first
+                    shard_ = Shard(opened(from_graphs, f"__dim={d}/__at={s}"))
+                yield from _links(shard_, opened(from_packs, f"__dim={d}/__at={q}"), threshold).to_batches()
+
+    found = written(numbers.mapInArrow(linked_in, "vec_id long, n_links long, n_back long, reach long"), "links")
     dropped(graphs, packs)
     groups = components(found.select("vec_id", "reach"), "vec_id", "reach")
     per = found.groupBy("vec_id").agg(F.greatest(F.sum("n_links"), F.sum("n_back")).alias("links")).join(groups, F.col("vec_id") == F.col("id"), "left").drop("id")
-    known = classes.select("embedding", F.col("vec_id").alias("rep"), "copies").join(per.withColumnRenamed("vec_id", "rep"), "rep", "left")
-    linked = rows.where("usable").join(known, "embedding").select("vec_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    common = classes.where(F.col("copies") > hot).groupBy(F.xxhash64("embedding").alias("print")).agg(F.max(F.ceil(F.col("copies") / hot)).alias("parts"))
+    common = written(common, "common")  # one row of two numbers for each `hot` rows at most
+    spread = lambda df: df.withColumn("print", F.xxhash64("embedding")).join(common, "print", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    known = spread(classes.select("embedding", F.col("vec_id").alias("rep"), "copies").join(per.withColumnRenamed("vec_id", "rep"), "rep", "left"))
+    known = known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("print", "parts")
+    own = spread(rows.where("usable")).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("parts")))
+    linked = own.join(known, ["embedding", "part"]).select("vec_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

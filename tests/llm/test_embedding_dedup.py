@@ -98,7 +98,7 @@ def table(x, ids):
 
 
 def links(members, queries):
-    out = embedding_dedup._links(embedding_dedup._shard(table(*members), 0.95), embedding_dedup._slice(table(*queries)), 0.95)
+    out = embedding_dedup._links(embedding_dedup.Shard(embedding_dedup._shard(table(*members), 0.95)), embedding_dedup._slice(table(*queries)), 0.95)
     return out.to_pylist()
 
 
@@ -165,6 +165,16 @@ def test_chains_unite(spark):
         assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.dedup(frame, shards=shards).collect()) == want
 
 
+def test_common_vectors_in_parts(spark):
+    """Copies of common vectors meet what their representative has in several tasks, with the same rows."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(40, 16)).astype(np.float32)
+    rows = [(k, base[k % 40 if k % 3 else 5].tolist()) for k in range(240)] + [(300 + k, (base[k] * np.float32(1.0001)).tolist()) for k in range(10)]
+    frame = spark.createDataFrame([(i, v, 1, "") for i, v in rows], SCHEMA)
+    for hot in (4, embedding_dedup.HOT):
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.dedup(frame, hot=hot).collect()) == brute(rows)
+
+
 def test_more_vectors_than_a_block(spark, tmp_path):
     """9,000 distinct vectors through the query, two blocks of a slice and more, against all pairs."""
     from catchwater.llm import queries
