@@ -57,10 +57,10 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document: its bin, the bin's size and the piece's place there, in ids of the tokenizer."""
+    """A row for each piece of a document: its ids of the tokenizer, its bin, the bin's size and the piece's place there."""
     import public_tokenizers
 
-    return packing.best_fit(packing.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=False))
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
