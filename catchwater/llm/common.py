@@ -81,11 +81,18 @@ _FIRM[0x21:0x7F] = True
 _WIDE_SPACE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
-def parts(text: pa.Array, whole: tuple[str, ...] = ()) -> tuple[list[str], np.ndarray, np.ndarray]:
+#: ASCII letters and ASCII marks that are no white space, letter or digit.
+_LETTER, _MARK = np.zeros(256, bool), _FIRM.copy()
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
+
+
+def parts(text: pa.Array, whole: tuple[str, ...] = (), fine: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct parts, each part's place among them, each text's first part and one more).
 
     A text is cut before each single space between two characters that are no white space: there a pre-tokeniser of the
-    form " ?word" always cuts. A text that holds a string of `whole` is one part.
+    form " ?word" always cuts. fine: also between a letter and a mark, both ASCII, and before each single newline between
+    such characters, where the pre-tokeniser of GPT-2 always cuts. A text that holds a string of `whole` is one part.
     """
     text = pa.concat_arrays([text.cast(pa.large_string())])  # offsets from 0
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
@@ -95,19 +102,20 @@ def parts(text: pa.Array, whole: tuple[str, ...] = ()) -> tuple[list[str], np.nd
     firm = _FIRM.copy()
     if len(text) and not pc.any(pc.match_substring_regex(text, _WIDE_SPACE)).as_py():
         firm[0x80:] = True
-    space = np.flatnonzero(data[1:-1] == 32) + 1 if len(data) > 2 else np.zeros(0, np.int64)
+    space = np.flatnonzero((data[1:-1] == 32) | (data[1:-1] == 10) if fine else data[1:-1] == 32) + 1 if len(data) > 2 else np.zeros(0, np.int64)
     cut = space[firm[data[space - 1]] & firm[data[space + 1]]]
+    marks = np.flatnonzero(_MARK[data[1:]] & _LETTER[data[:-1]]) + 1 if fine and len(data) > 2 else cut[:0]
     begin = offsets[:-1] - base
     size = np.diff(offsets)
     edge = np.zeros(len(data) + 1, bool)
     edge[begin] = True
-    cut = cut[~edge[cut] & ~edge[cut + 1]]  # inside one text
+    cut = np.concatenate([cut[~edge[cut] & ~edge[cut + 1]], marks[~edge[marks]]])  # inside one text
     for token in whole:
         held = np.asarray(pc.match_substring(text, token))
         if held.any():
             cut = cut[~held[np.searchsorted(begin, cut, side="right") - 1]]
     at = np.concatenate([cut, begin[size > 0]])
-    at = np.sort(at, kind="stable")  # two sorted runs; a cut is never a text's first byte
+    at = np.sort(at, kind="stable")  # sorted runs; a cut is never a text's first byte
     ends = np.concatenate([at, [stop - base]]).astype(np.int64)
     words_ = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.ascontiguousarray(ends + base)), raw]) if len(at) else pa.array([], pa.large_string())
     coded = words_.dictionary_encode()

@@ -7,8 +7,8 @@ Coder. The ids of a block are dealt to lanes, each a run of the block with a ran
 together, one id a step, and share one model, which only knows earlier steps, so that numpy codes all lanes at once.
 Order 2 (hash of the two ids before) and order 1 (the id before) each predict an id with a confidence; the chances that
 the predictions hold, given their confidences and the order-0 frequency of the predicted id, are mixed in the logistic
-domain by weights learned on the way. An arithmetic-coding step tells which prediction held; if none did, a second step
-codes the id by order-0 frequencies. All model arithmetic is in integers, so any machine reads what another wrote.
+domain by weights learned on the way, for all contexts at once every few steps. An arithmetic-coding step tells which
+prediction held; if none did, a second step codes the id by order-0 frequencies. All model arithmetic is in integers, so any machine reads what another wrote.
 
 A block holds BLOCK ids at most: a long document goes on in the next blocks of its file and is joined when read. Null and
 empty texts: the end id alone. Null ids come first. Rows that share a doc_id come in the order of a hash of their texts.
@@ -19,6 +19,7 @@ stored. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from catchwater.llm.common import gathered_ids, parts, pieces, released, written
 
 #: Ids in a block, lanes in a block at most, ids in a lane at least; bytes of text in a file.
-BLOCK, LANES, LANE, FILE = 1 << 20, 2048, 256, 32 << 20
-MAGIC = b"CWT1"
+BLOCK, LANES, LANE, FILE = 1 << 20, 4096, 256, 32 << 20
+MAGIC = b"CWT2"
 REMEMBERED, LONGEST = 300_000, 64
 _U = np.uint64
 _P = np.arange(4096)
@@ -44,18 +45,17 @@ SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1
 
 
 class Chance:
-    """Adaptive 12-bit chances by context, counted over all lanes of a step."""
+    """Adaptive 12-bit chances by context."""
 
     def __init__(self, contexts: int):
         self.hit, self.all = np.full(contexts, 2, np.int64), np.full(contexts, 4, np.int64)
 
-    def __call__(self, at: np.ndarray) -> np.ndarray:
-        return STRETCH[(self.hit * 4095 // self.all)[at]]
+    def __call__(self) -> np.ndarray:
+        return STRETCH[self.hit * 4095 // self.all]
 
-    def learn(self, at: np.ndarray, hit: np.ndarray) -> None:
-        n = len(self.all)
-        self.all += 4 * np.bincount(at, minlength=n)
-        self.hit += 4 * np.bincount(at[hit], minlength=n)
+    def learn(self, hit: np.ndarray, n: np.ndarray) -> None:
+        self.all += 4 * n
+        self.hit += 4 * hit
         if self.all.max() > 1 << 18:
             big = self.all > 1 << 17
             self.all[big] >>= 1
@@ -71,139 +71,184 @@ class Mixer:
 
     def __call__(self, inputs: np.ndarray) -> np.ndarray:
         self.inputs = inputs
-        return SQUASH[np.clip((self.weight @ inputs) >> 16, -2047, 2047) + 2047]
+        self.chance = SQUASH[np.clip((self.weight @ inputs) >> 16, -2047, 2047) + 2047]
+        return self.chance
 
-    def learn(self, chance: np.ndarray, hit: np.ndarray, on: np.ndarray) -> None:
-        wrong = np.where(on, hit * 4096 - chance, 0)
-        self.weight += (self.inputs @ wrong) * 6 // max(int(on.sum()), 1) >> 5
+    def learn(self, hit: np.ndarray, n: np.ndarray) -> None:
+        self.weight += (self.inputs @ (hit * 4096 - n * self.chance)) * 6 // max(int(n.sum()), 1) >> 5
+
+
+#: A context: how sure order 2 is and how frequent its id, the same of order 1, and whether they agree.
+CONTEXTS = 1 << 11
+SURE2, OFTEN2, SURE1, OFTEN1, AGREE = (np.arange(CONTEXTS) >> k & m for k, m in ((0, 7), (3, 3), (5, 7), (8, 3), (10, 1)))
+#: The contexts of the chances that are mixed, for order 2 and for order 1.
+INPUTS = (SURE2 + 8 * AGREE, SURE1 + 8 * AGREE, OFTEN2 + 4 * AGREE), (SURE1 + 8 * (SURE2 > 0), OFTEN1, SURE2)
+#: What a prediction's sureness gains by a miss and by a hit.
+GAIN = np.array([-((k + 1) >> 1) for k in range(8)] + [1] * 7 + [0], np.int32)
 
 
 class Model:
-    """The predictions of orders 0 to 2, shared by the lanes of a block."""
+    """The predictions of orders 0 to 2, shared by the lanes of a block.
+
+    A prediction is one number: id, frequency class, sureness. What is coded depends on its context alone, so chances are
+    mixed once for all contexts; they and the weights learn every EPOCH steps (more often at first), predictions each step.
+    """
 
-    BITS, REBUILD = 18, 8
+    BITS, EPOCH = 18, 16
 
     def __init__(self, vocabulary: int, lanes: int):
-        self.vocabulary = vocabulary
-        self.one, self.sure1 = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
-        self.two, self.sure2 = np.zeros(1 << self.BITS, np.int64), np.zeros(1 << self.BITS, np.int64)
-        self.count, self.seen = np.ones(vocabulary, np.int64), []
-        self.p1 = self.p2 = np.zeros(lanes, np.int64)
-        self.by2, self.by1, self.by0 = Chance(32), Chance(32), Chance(64)
-        self.mix2, self.mix1 = Mixer(), Mixer()
-        self.second = Chance(32), Chance(64), Chance(32)
-        self._rebuild()
-
-    def _rebuild(self) -> None:
-        if self.seen:
-            self.count += 32 * np.bincount(np.concatenate(self.seen), minlength=self.vocabulary)
-            self.seen = []
-            if self.count.sum() > 1 << 26:
-                self.count = (self.count >> 1) | 1
-        self.cum = np.concatenate([[0], np.cumsum(self.count)])
-        self.level = np.minimum(np.log2(self.count).astype(np.int64), 31)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the first and second of three shares of 1 << 16 for each lane: order 2 holds, order 1 holds, neither."""
-        self.h2 = ((self.p1 * 0x2545F491 + self.p2 * 0x9E3779B1) >> 7) & ((1 << self.BITS) - 1)
-        self.c2, self.s2, self.c1, self.s1 = self.two[self.h2], self.sure2[self.h2], self.one[self.p1], self.sure1[self.p1]
-        self.agree = self.c1 == self.c2
-        self.k2, self.k1, self.k0 = self.s2 + 16 * self.agree, self.s1 + 16 * self.agree, self.level[self.c2] + 32 * self.agree
-        self.chance2 = self.mix2(np.stack([self.by2(self.k2), self.by1(self.k1), self.by0(self.k0)]))
-        self.m1, self.m0, self.m2 = self.s1 + 16 * (self.s2 > 0), self.level[self.c1], self.s2
-        a, b, c = self.second
-        self.chance1 = self.mix1(np.stack([a(self.m1), b(self.m0), c(self.m2)]))
-        first = self.chance2 * 15 + 8
-        return first, first + np.where(self.agree, 0, (65535 - first) * self.chance1 // 4200 + 1)
-
-    def learn(self, x: np.ndarray) -> None:
-        hit2, hit1 = x == self.c2, x == self.c1
-        self.mix2.learn(self.chance2, hit2, np.ones(len(x), bool))
-        self.by2.learn(self.k2, hit2)
-        self.by1.learn(self.k1, hit2)
-        self.by0.learn(self.k0, hit2)
-        on = ~hit2 & ~self.agree
-        self.mix1.learn(self.chance1, hit1, on)
-        for chance, at in zip(self.second, (self.m1, self.m0, self.m2), strict=True):
-            chance.learn(at[on], hit1[on])
-        self.two[self.h2] = np.where(hit2 | (self.s2 > 0), self.c2, x)
-        self.sure2[self.h2] = np.where(hit2, np.minimum(self.s2 + 1, 15), self.s2 >> 1)
-        self.one[self.p1] = np.where(hit1 | (self.s1 > 0), self.c1, x)
-        self.sure1[self.p1] = np.where(hit1, np.minimum(self.s1 + 1, 15), self.s1 >> 1)
-        self.p2, self.p1 = self.p1, x
+        self.vocabulary, self.lanes = vocabulary, lanes
+        self.one, self.two = np.zeros(vocabulary, np.int32), np.zeros(1 << self.BITS, np.int32)
+        self.count, self.ids = np.zeros(vocabulary, np.int64), np.arange(vocabulary, dtype=np.int32) << 5
+        self.bits = max(19, vocabulary.bit_length() + 2)
+        self.p1, self.u1, self.u2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.chances = tuple(tuple(Chance(16) for _ in own) for own in INPUTS)
+        self.mixers = Mixer(), Mixer()
+        self.seen: list[np.ndarray] = []
+        self.told: list[np.ndarray] = []
+        self.steps = 0
+        self._mixed()
+
+    def _mixed(self) -> None:
+        self.size = 1 + self.count * ((1 << self.bits) - self.vocabulary) // max(int(self.count.sum()), 1)
+        self.size[self.count.argmax()] += (1 << self.bits) - int(self.size.sum())
+        self.start, self._slots = np.cumsum(self.size) - self.size, None
+        often = (self.count > 8).view(np.int8) + (self.count > 64).view(np.int8) + (self.count > 512).view(np.int8)
+        self.fresh = self.ids | (often.astype(np.int32) << 3)
+        chance2, chance1 = (mix(np.stack([c()[at] for c, at in zip(chances, own, strict=True)])) for mix, chances, own in zip(self.mixers, self.chances, INPUTS, strict=True))
+        first = chance2 * 15 + 8
+        second = first + np.where(AGREE > 0, 0, (65535 - first) * chance1 // 4200 + 1)
+        #: Ends of the first and second share of 1 << 16 by context; start and size of the share by context and outcome.
+        self.ends = (first << 32 | second).astype(_U)
+        self.share = np.stack([first, first << 32 | second - first, second << 32 | 65536 - second, np.zeros_like(first)], 1).ravel().astype(_U)
+
+    def slots(self) -> np.ndarray:
+        """The id at each of the 1 << bits places of order 0."""
+        if self._slots is None:
+            self._slots = (self.ids >> 5).repeat(self.size)
+        return self._slots
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids that orders 2 and 1 predict, and four times the context, for each lane."""
+        self.h2 = ((self.u1 + self.u2) >> np.uint32(32 - self.BITS)).astype(np.int64)
+        self.e2, self.e1 = self.two.take(self.h2), self.one.take(self.p1)
+        self.c2, self.c1 = self.e2 >> 5, self.e1 >> 5
+        at = (self.e1 & 31) << 5
+        at |= self.e2 & 31
+        at |= (self.c1 == self.c2) * np.int32(1 << 10)
+        self.at = at.astype(np.int64)
+        self.at <<= 2
+        return self.c2, self.c1, self.at
+
+    def learn(self, x: np.ndarray, told: np.ndarray) -> None:
+        """x: the ids that came; told: four times the context and the outcome (order 2, order 1, neither)."""
+        new, short = self.fresh.take(x), x.astype(np.int32)
+        for table, at, e, c in ((self.two, self.h2, self.e2, self.c2), (self.one, self.p1, self.e1, self.c1)):
+            key = e & 7
+            key |= (short == c) * np.int32(8)
+            e += GAIN.take(key)
+            table[at] = np.where(key, e, new)
+        self.u2 = self.u1 * np.uint32(0x9E3779B1)
+        self.p1 = x
+        self.u1 = x.astype(np.uint32) * np.uint32(0x2545F491)
         self.seen.append(x)
-        if len(self.seen) == self.REBUILD:
-            self._rebuild()
+        self.told.append(told)
+        self.steps += 1
+        if not self.steps % self.EPOCH or self.steps in (1, 2, 4, 8):
+            self._learned()
+            self._mixed()
 
+    def _learned(self) -> None:
+        self.count += np.bincount(np.concatenate(self.seen), minlength=self.vocabulary)
+        hit2, hit1, none, _ = np.bincount(np.concatenate(self.told), minlength=4 * CONTEXTS).reshape(CONTEXTS, 4).T
+        self.seen, self.told = [], []
+        missed = np.where(AGREE > 0, 0, hit1 + none)
+        for mix, chances, own, hit, all_ in zip(self.mixers, self.chances, INPUTS, (hit2, hit1), (hit2 + hit1 + none, missed), strict=True):
+            mix.learn(hit, all_)
+            for chance, at in zip(chances, own, strict=True):
+                chance.learn(*(np.bincount(at, w, 16).astype(np.int64) for w in (hit, all_)))  # sums are exact
 
-_TOP, _BOTTOM, _SHIFT = _U(1 << 48), _U(1 << 32), _U(16)
 
+_WORD, _LEAST, _LOW = _U(32), _U(1 << 31), _U((1 << 31) - 1)
 
-class Encoder:
-    """Range coders without carry, one for each lane, that put out 16-bit words."""
 
-    def __init__(self, lanes: int, steps: int):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
-        self.words, self.n = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
+class Encoder:
+    """Range coders, one for each lane, with windows of 63 bits that put out 32-bit words; carries are added at the end."""
+
+    def __init__(self, lanes: int):
+        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 1 << 63, _U)
+        self.lanes, self.words = [], []
+
+    def put(self, share: np.ndarray) -> None:
+        """start << 32 | size of each lane, of 1 << 16."""
+        unit = self.range >> _U(16)
+        self.low += (share >> _WORD) * unit
+        self.range = (share & _U(0xFFFFFFFF)) * unit
+        self._shift((self.range < _LEAST).nonzero()[0])
+
+    def put_some(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
+        unit = self.range[lanes] >> _U(bits)
+        self.low[lanes] += start.astype(_U) * unit
+        unit *= size.astype(_U)
+        self.range[lanes] = unit
+        self._shift(lanes[unit < _LEAST])
+
+    def _shift(self, lanes: np.ndarray) -> None:
+        low = self.low[lanes]
+        self.lanes.append(lanes)
+        self.words.append(low >> _U(31))
+        self.low[lanes] = (low & _LOW) << _WORD
+        self.range[lanes] <<= _WORD
 
-    def put(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, total: int) -> None:
-        low, wide = self.low[lanes], self.range[lanes] // _U(total)
-        low += start.astype(_U) * wide
-        wide *= size.astype(_U)
-        on = np.arange(len(lanes))
+    def finish(self) -> tuple[np.ndarray, bytes]:
+        every = np.arange(len(self.low))
+        for _ in range(2):
+            self._shift(every)
+        lane = np.concatenate(self.lanes).astype(np.uint16)
+        order = np.argsort(lane, kind="stable")
+        words = np.concatenate(self.words)[order]
         while True:
-            a, w = low[on], wide[on]
-            same = (a ^ (a + w)) < _TOP
-            short = ~same & (w < _BOTTOM)
-            w[short] = (~a[short] + _U(1)) & (_BOTTOM - _U(1))
-            out = same | short
-            if not out.any():
+            over = np.flatnonzero(words >> _WORD)
+            if not len(over):
                 break
-            on, a, w = on[out], a[out], w[out]
-            lane = lanes[on]
-            self.words[lane, self.n[lane]] = (a >> _U(48)).astype(np.uint16)
-            self.n[lane] += 1
-            low[on], wide[on] = a << _SHIFT, w << _SHIFT
-        self.low[lanes], self.range[lanes] = low, wide
-
-    def finish(self) -> tuple[np.ndarray, bytes]:
-        lanes = np.arange(len(self.low))
-        for k in (48, 32, 16, 0):
-            self.words[lanes, self.n] = (self.low >> _U(k)).astype(np.uint16)
-            self.n += 1
-        return self.n, self.words[np.arange(self.words.shape[1]) < self.n[:, None]].tobytes()
+            words[over] &= _U(0xFFFFFFFF)
+            words[over - 1] += _U(1)
+        return np.bincount(lane, minlength=len(every)), words.astype("<u4").tobytes()
 
 
 class Decoder:
     def __init__(self, counts: np.ndarray, words: np.ndarray):
-        self.low, self.range = np.zeros(len(counts), _U), np.full(len(counts), 2**64 - 1, _U)
-        self.words, self.at = np.concatenate([words, np.zeros(8, np.uint16)]).astype(_U), np.cumsum(counts) - counts
-        self.code = np.zeros(len(counts), _U)
-        for _ in range(4):
-            self.code = self.code << _SHIFT | self.words[self.at]
-            self.at += 1
-
-    def look(self, lanes: np.ndarray, total: int) -> np.ndarray:
-        self.unit = self.range[lanes] // _U(total)
-        return np.minimum((self.code[lanes] - self.low[lanes]) // self.unit, _U(total - 1)).astype(np.int64)
-
-    def take(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        low, wide, code = self.low[lanes] + start.astype(_U) * self.unit, self.unit * size.astype(_U), self.code[lanes]
-        on = np.arange(len(lanes))
-        while True:
-            a, w = low[on], wide[on]
-            same = (a ^ (a + w)) < _TOP
-            short = ~same & (w < _BOTTOM)
-            w[short] = (~a[short] + _U(1)) & (_BOTTOM - _U(1))
-            out = same | short
-            if not out.any():
-                break
-            on, a, w = on[out], a[out], w[out]
-            lane = lanes[on]
-            code[on] = code[on] << _SHIFT | self.words[self.at[lane]]
-            self.at[lane] += 1
-            low[on], wide[on] = a << _SHIFT, w << _SHIFT
-        self.low[lanes], self.range[lanes], self.code[lanes] = low, wide, code
+        words = np.concatenate([words, np.zeros(8, "<u4")]).astype(_U)
+        self.words = (words[:-1] & _U(1)) << _U(31) | words[1:] >> _U(1)  # windows end one bit before a word does
+        first = np.cumsum(counts) - counts
+        self.code, self.range = words[first] << _U(31) | words[first + 1] >> _U(1), np.full(len(counts), 1 << 63, _U)
+        self.at, self.most = first + 1, len(self.words) - 1
+
+    def outcome(self, ends: np.ndarray) -> np.ndarray:
+        """Which of three shares each lane's code falls into."""
+        self.unit = self.range >> _U(16)
+        return (self.code >= (ends >> _WORD) * self.unit).view(np.int8) + (self.code >= (ends & _U(0xFFFFFFFF)) * self.unit).view(np.int8)
+
+    def take(self, share: np.ndarray) -> None:
+        self.code -= (share >> _WORD) * self.unit
+        self.range = (share & _U(0xFFFFFFFF)) * self.unit
+        self._shift((self.range < _LEAST).nonzero()[0])
+
+    def take_some(self, lanes: np.ndarray, model: Model) -> np.ndarray:
+        """The ids that the lanes hold by order 0."""
+        unit, code = self.range[lanes] >> _U(model.bits), self.code[lanes]
+        x = model.slots().take((code // unit).astype(np.int64), mode="clip")
+        self.code[lanes] = code - model.start[x].astype(_U) * unit
+        unit *= model.size[x].astype(_U)
+        self.range[lanes] = unit
+        self._shift(lanes[unit < _LEAST])
+        return x
+
+    def _shift(self, lanes: np.ndarray) -> None:
+        at = self.at[lanes]
+        self.code[lanes] = self.code[lanes] << _WORD | self.words.take(at, mode="clip")
+        self.at[lanes] = at + 1
+        self.range[lanes] <<= _WORD
 
 
 def compress(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -213,19 +258,20 @@ def compress(ids: np.ndarray, vocabulary: int) -> bytes:
     steps = -(-n // lanes)
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
-    grid = grid.reshape(lanes, steps)
-    model, coder, every = Model(vocabulary, lanes), Encoder(lanes, steps), np.arange(lanes)
-    for t in range(steps):
-        x = grid[:, t]
-        first, second = model.predict()
-        hit2, hit1 = x == model.c2, (x == model.c1) & ~model.agree
-        hit1 &= ~hit2
-        start = np.where(hit2, 0, np.where(hit1, first, second))
-        coder.put(every, start, np.where(hit2, first, np.where(hit1, second - first, 65536 - second)), 65536)
-        rest = np.flatnonzero(~hit2 & ~hit1)
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    model, coder = Model(vocabulary, lanes), Encoder(lanes)
+    for x in grid:
+        c2, c1, told = model.predict()
+        short = x.astype(np.int32)
+        hit2, hit1 = short == c2, short == c1
+        hit1 |= hit2
+        told += 2 - hit1.view(np.int8) - hit2.view(np.int8)
+        coder.put(model.share.take(told))
+        rest = (~hit1).nonzero()[0]
         if len(rest):
-            coder.put(rest, model.cum[x[rest]], model.count[x[rest]], int(model.cum[-1]))
-        model.learn(x)
+            some = x[rest]
+            coder.put_some(rest, model.start[some], model.size[some], model.bits)
+        model.learn(x, told)
     counts, words = coder.finish()
     head = np.array([n, lanes, vocabulary, zlib.crc32(ids.astype("<u4").tobytes())], "<u4")
     return MAGIC + head.tobytes() + counts.astype("<u4").tobytes() + words
@@ -245,22 +291,19 @@ def _decompressed(block: bytes) -> np.ndarray:
     n, lanes, vocabulary, crc = np.frombuffer(block, "<u4", 4, 4).tolist()
     counts = np.frombuffer(block, "<u4", lanes, 20).astype(np.int64)
     steps = -(-n // lanes)
-    model, coder, every = Model(vocabulary, lanes), Decoder(counts, np.frombuffer(block, "<u2", -1, 20 + 4 * lanes)), np.arange(lanes)
-    grid = np.zeros((lanes, steps), np.int64)
-    for t in range(steps):
-        first, second = model.predict()
-        value = coder.look(every, 65536)
-        hit2 = value < first
-        hit1 = ~hit2 & (value < second)
-        coder.take(every, np.where(hit2, 0, np.where(hit1, first, second)), np.where(hit2, first, np.where(hit1, second - first, 65536 - second)))
-        x = np.where(hit2, model.c2, model.c1)
-        rest = np.flatnonzero(~hit2 & ~hit1)
+    model, coder = Model(vocabulary, lanes), Decoder(counts, np.frombuffer(block, "<u4", -1, 20 + 4 * lanes))
+    grid = np.zeros((steps, lanes), np.int64)
+    for x in grid:
+        c2, c1, told = model.predict()
+        outcome = coder.outcome(model.ends.take(told >> 2))
+        told += outcome
+        coder.take(model.share.take(told))
+        x[:] = np.where(outcome, c1, c2)
+        rest = (outcome == 2).nonzero()[0]
         if len(rest):
-            x[rest] = np.searchsorted(model.cum, coder.look(rest, int(model.cum[-1])), side="right") - 1
-            coder.take(rest, model.cum[x[rest]], model.count[x[rest]])
-        grid[:, t] = x
-        model.learn(x)
-    ids = grid.ravel()[:n].astype("<u4")
+            x[rest] = coder.take_some(rest, model)
+        model.learn(x, told)
+    ids = grid.T.ravel()[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("a token block is damaged")
     return ids
@@ -270,17 +313,20 @@ class Cached:
     """A tokenizer, with the ids of the parts of texts that came before.
 
     encode: from texts to their ids. sizes: bytes that each id stands for. added: strings that the tokenizer takes out of
-    a text before anything else; a text with one of them stays whole.
+    a text before anything else; a text with one of them stays whole. fine: texts are cut as GPT-2's pre-tokeniser does.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], sizes: np.ndarray, added: tuple[str, ...] = ()):
-        self.many, self.sizes, self.added, self.seen = encode, sizes, added, {}
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], sizes: np.ndarray, added: tuple[str, ...] = (), fine: bool = False):
+        self.many, self.sizes, self.added, self.fine, self.seen = encode, sizes, added, fine, {}
         self.vocabulary = len(sizes)
 
     def fresh(self, new: list[str]) -> list[bytes]:
         """Ids of parts not seen yet: words, spaced apart, go through the tokenizer side by side, since it cuts there anyway."""
         out: list[bytes] = [b""] * len(new)
-        word = [x[0] == " " and len(x) > 1 and not x[1].isspace() and not x[-1].isspace() and not any(t in x for t in self.added) for x in new]
+        lead = " \n" if self.fine else " "
+        word = [len(x) > 1 and x[0] in lead and not x[1].isspace() and not x[-1].isspace() for x in new]
+        for token in self.added:
+            word = [w and token not in x for w, x in zip(word, new, strict=True)]
         plain, odd = [k for k, w in enumerate(word) if w], [k for k, w in enumerate(word) if not w]
         for k, ids in zip(odd, self.many([new[k] for k in odd]), strict=True):
             out[k] = np.array(ids, "<u4").tobytes()
@@ -295,7 +341,7 @@ class Cached:
 
     def encoded(self, text: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(ids of each distinct part, each part's place among them, each text's first part and one more)."""
-        distinct, place, first = parts(text, self.added)
+        distinct, place, first = parts(text, self.added, self.fine)
         if len(self.seen) > REMEMBERED:  # the earlier half has the commoner parts
             self.seen = dict(islice(self.seen.items(), REMEMBERED // 2))
         seen = self.seen
@@ -328,10 +374,14 @@ def tokenizer(path: str) -> Cached:
 
     library = Tokenizer.from_file(path)
     added = library.get_added_tokens_decoder()
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    before = made["pre_tokenizer"] or {}
+    fine = made["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
     sizes = np.zeros(max([*library.get_vocab().values(), -1]) + 1, np.int64)
     for token, k in library.get_vocab().items():
         sizes[k] = len(token)  # a character of a byte-level token stands for a byte
-    return Cached(lambda texts: [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)], sizes, tuple(t.content for t in added.values()))
+    return Cached(lambda texts: [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)], sizes, tuple(t.content for t in added.values()), fine)
 
 
 @lru_cache(2)

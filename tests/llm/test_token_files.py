@@ -84,3 +84,26 @@ def test_parts_are_cut_where_the_tokenizer_cuts():
             assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [x.ids for x in library.encode_batch(some, add_special_tokens=False)]
     ids, _ = token_files.tokenizer(PATH).encode(pa.array(texts[-1:]))
     assert ids.tolist() == [64, 220, 50256, 275]
+
+
+def test_the_library_gets_each_word_once_whatever_marks_follow(monkeypatch):
+    import pyarrow as pa
+
+    token_files.tokenizer.cache_clear()
+    codec = token_files.tokenizer(PATH)
+    fresh, new = codec.fresh, []
+    monkeypatch.setattr(codec, "fresh", lambda some: new.extend(some) or fresh(some))
+    text = " word" + " word, word. word! word; (word) word's word.\nword.\n\nword" * 3
+    ids, _ = codec.encode(pa.array([text], pa.large_string()))
+    token_files.tokenizer.cache_clear()
+    assert ids.tolist() == tokenizers.Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert new.count(" word") == 1 and not {" word,", " word.", " word!", " word;"} & set(new)
+
+
+def test_chances_are_mixed_a_few_times_for_many_ids(monkeypatch):
+    calls, mix = [], token_files.Mixer.__call__
+    monkeypatch.setattr(token_files.Mixer, "__call__", lambda self, inputs: calls.append(inputs.shape) or mix(self, inputs))
+    ids = np.random.default_rng(1).zipf(1.3, 1 << 17) % 50_257
+    block = token_files.compress(ids, 50_257)
+    assert len(calls) < (1 << 17) // 2000
+    assert (token_files.decompress(block) == ids).all() and len(block) < 2 * len(ids)
