@@ -42,14 +42,21 @@ def pixels_of(samples: np.ndarray) -> np.ndarray:
     return c[..., 0] << np.uint32(16) | c[..., 1] << np.uint32(8) | c[..., 2] | np.uint32(0xFF000000)
 
 
+def _indexed(colours: int, pixels: int) -> bool:
+    """Whether a palette makes a picture shorter."""
+    return colours <= 256 and 24 * colours + pixels * max(colours - 1, 1).bit_length() < 12 * pixels
+
+
 def stored(payload: bytes) -> bytes:
     """The pictures of a padded payload."""
     files, limit = [], HIGH * ROW
     for at in range(0, len(payload), limit):
         part = payload[at : at + limit]
         pixels = pixels_of(np.frombuffer(part, np.uint8))
-        colours = 257 if len(np.unique(pixels[:3])) > 256 else len(np.unique(pixels))
-        if colours <= 256 and 24 * colours + pixels.size * max(colours - 1, 1).bit_length() < 12 * pixels.size:
+        colours = len(np.unique(pixels[:3]))
+        if len(pixels) > 3 and _indexed(colours, pixels.size):  # no picture with more colours than its top is shorter
+            colours = len(np.unique(pixels))
+        if _indexed(colours, pixels.size):
             files.append(webp.encode(pixels, palette=True, copies=colours > 1 and pixels.size > 4 * colours))
         elif len(zlib.compress(part, 1)) < REPETITIVE * len(part):
             files.append(webp.encode(pixels, copies=True, cache_bits=4))
@@ -83,9 +90,23 @@ def loaded(media: bytes) -> np.ndarray:
     return loaded_many([media])[0]
 
 
-def _together(batches: Iterator[pa.RecordBatch], media: str = "media") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """The rows of batches with the samples of their media, about TOGETHER stored bytes at a time."""
+def _gathered(batches: Iterator[pa.RecordBatch], media: str) -> Iterator[pa.RecordBatch]:
+    """Batches in a row as one, up to about TOGETHER stored bytes: pictures read side by side share their steps."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
+        held.append(batch)
+        size += batch.column(media).nbytes
+        if size >= TOGETHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if sum(map(len, held)):
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _together(batches: Iterator[pa.RecordBatch], media: str = "media") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The rows of batches with the samples of their media, about TOGETHER stored bytes at a time, small batches together."""
+    for batch in _gathered(batches, media):
         size = np.cumsum([len(x.as_buffer()) for x in batch.column(media)]) if batch.num_rows else []
         at = 0
         while at < batch.num_rows:

@@ -14,6 +14,7 @@ by symbol. Pixels are uint32 ARGB arrays of shape (height, width).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -110,16 +111,22 @@ class Prefix:
         return e >> 4
 
 
+@lru_cache(4096)
+def _simple(*symbols: int) -> Prefix:
+    """The code of one or two symbols."""
+    lengths = np.zeros(max(symbols) + 1, np.int64)
+    lengths[list(symbols)] = 1
+    return Prefix(lengths)
+
+
 def _read_prefix(bits: Bits, alphabet: int, known: Prefix | None = None) -> Prefix:
     """The next prefix code; `known` itself if it is the same."""
-    lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
         two = bits.read(1)
         symbols = [bits.read(8 if bits.read(1) else 1)] + ([bits.read(8)] if two else [])
         if max(symbols) >= alphabet:
             raise Damaged("a symbol is out of range")
-        lengths[symbols] = 1
-        return Prefix(lengths)
+        return _simple(*symbols)
     of = np.zeros(19, np.int64)
     for k in range(4 + bits.read(4)):
         of[CODE_LENGTH_ORDER[k]] = bits.read(3)
@@ -409,7 +416,8 @@ def _predicted(mode: int, left: np.ndarray, up: np.ndarray, up_left: np.ndarray,
     if mode == 10:
         return (((left + up_left) >> 1) + ((up + up_right) >> 1)) >> 1
     if mode == 11:
-        return np.where((np.abs(up - up_left).sum(-1) < np.abs(left - up_left).sum(-1))[..., None], left, up)
+        far = np.abs(up - up_left) - np.abs(left - up_left)
+        return np.where((far[..., 0] + far[..., 1] + far[..., 2] + far[..., 3] < 0)[..., None], left, up)
     if mode == 12:
         return np.clip(left + up - up_left, 0, 255)
     mean = (left + up) >> 1
@@ -442,16 +450,24 @@ def _differences(c: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
     return out
 
 
-def best_modes(c: np.ndarray, block: int, candidates: Sequence[int] = (0, 1, 2, 7, 11, 12)) -> np.ndarray:
-    """For each block of pixels, the mode that leaves the least differences."""
+def best_modes(c: np.ndarray, block: int, candidates: Sequence[int] = (0, 1, 2, 7, 11, 12)) -> tuple[np.ndarray, np.ndarray]:
+    """For each block of pixels, the mode that leaves the least differences; and the differences that these modes leave."""
     height, width = c.shape[:2]
     near, rows, cols = _around(c), np.arange(0, height, 1 << block), np.arange(0, width, 1 << block)
-    cost = []
+    cost, left = [], []
     for m in candidates:
-        d = (c - _predicted(m, *near))[..., :3] & 255
-        d = np.minimum(d, 256 - d).sum(-1)
-        cost.append(np.add.reduceat(np.add.reduceat(d, rows, 0), cols, 1))
-    return np.asarray(list(candidates))[np.argmin(np.stack(cost), 0)]
+        d = (c - _predicted(m, *near)) & 255
+        left.append(d)
+        d = np.minimum(d, 256 - d)
+        cost.append(np.add.reduceat(np.add.reduceat(d[..., 0].astype(np.int64) + d[..., 1] + d[..., 2], rows, 0), cols, 1))
+    best, out = np.argmin(np.stack(cost), 0), np.empty_like(c)
+    for y, own in zip(rows.tolist(), best.tolist(), strict=True):
+        for x, k in zip(cols.tolist(), own, strict=True):
+            out[y : y + (1 << block), x : x + (1 << block)] = left[k][y : y + (1 << block), x : x + (1 << block)]
+    out[0, 1:] = (c[0, 1:] - c[0, :-1]) & 255
+    out[1:, 0] = (c[1:, 0] - c[:-1, 0]) & 255
+    out[0, 0] = (c[0, 0] - np.array([0, 0, 0, 255], c.dtype)) & 255
+    return np.asarray(list(candidates))[best], out
 
 
 def _unpredicted(images: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
@@ -612,17 +628,17 @@ class Writer:
         self._n.append(n)
 
     def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self._flush()
+        self.flush()
         self.values.append(values)
         self.sizes.append(sizes)
 
-    def _flush(self) -> None:
+    def flush(self) -> None:
         self.values.append(np.array(self._v, np.int64))
         self.sizes.append(np.array(self._n, np.int64))
         self._v, self._n = [], []
 
     def bytes(self) -> bytes:
-        self._flush()
+        self.flush()
         value, size = np.concatenate(self.values), np.concatenate(self.sizes)
         ends = np.cumsum(size)
         at = ends - size
@@ -669,6 +685,27 @@ def code_lengths(counts: np.ndarray, limit: int = 15, used: np.ndarray | None =
         weight = [(w >> 1) + 1 for w in weight]
 
 
+def _length_symbols(used: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that tell code lengths, and the value of the bits after each: runs of 3 to 138 zeros are one symbol."""
+    n = len(used)
+    gap = np.empty(n + 1, np.int64)  # zeros before each length, and after the last
+    gap[0], gap[n] = used[0], len(lengths) - 1 - used[-1]
+    gap[1:n] = np.diff(used) - 1
+    full, rest = gap // 138, gap % 138
+    run = rest > 2
+    size = full + np.where(run, 1, rest) + 1
+    ends = size.cumsum()
+    sym, extra = np.zeros(int(ends[-1]), np.int64), np.zeros(int(ends[-1]), np.int64)
+    sym[ends[:-1] - 1] = lengths[used]
+    for k in full.nonzero()[0].tolist():
+        at = int(ends[k] - size[k])
+        sym[at : at + int(full[k])], extra[at : at + int(full[k])] = 18, 127
+    at, part = (ends - 2)[run], rest[run]
+    sym[at] = 17 + (part > 10)
+    extra[at] = part - np.where(part > 10, 11, 3)
+    return sym[:-1], extra[:-1]
+
+
 class _Code:
     """A prefix code for counts: lengths, codes (none for a lone symbol) and how many bits each symbol takes."""
 
@@ -693,31 +730,14 @@ class _Code:
             used = used.tolist() or [0]
             out.put(1 | len(used) - 1 << 1 | 4 | used[0] << 3 | (used[1] << 11 if len(used) > 1 else 0), 3 + 8 * len(used))
             return
-        symbols: list[int] = []
-        extra: list[int] = []  # bits after a symbol
-        at, listed = 0, lengths[used].tolist()
-        for place, n in zip([*used.tolist(), len(lengths)], [*listed, 0], strict=True):
-            gap = place - at
-            while gap > 2:
-                part = min(gap, 138)
-                symbols.append(17 if part < 11 else 18)
-                extra.append(part - (3 if part < 11 else 11))
-                gap -= part
-            if gap:
-                symbols += [0] * gap
-                extra += [0] * gap
-            if n:
-                symbols.append(n)
-                extra.append(0)
-            at = place + 1
-        sym = np.array(symbols)
+        sym, extra = _length_symbols(used, lengths)
         own = _Code(np.bincount(sym, minlength=19), 7)
         order = own.lengths[_ORDER].tolist()
         last = max(4, max(k for k in range(19) if order[k]) + 1)
         packed = sum(n << 3 * k for k, n in enumerate(order[:last]))
         head = [(last - 4 << 1, 5), *((packed >> k & ((1 << 30) - 1), min(30, 3 * last - k)) for k in range(0, 3 * last, 30)), (0, 1)]
         size = own.bits[sym]
-        self._told = head, own.codes[sym] | np.array(extra) << size, size + _EXTRA[sym]
+        self._told = head, own.codes[sym] | extra << size, size + _EXTRA[sym]
         self.write(out)
 
 
@@ -812,6 +832,24 @@ def _write_image(out: Writer, pixels: np.ndarray, top: bool, copies: bool = Fals
         out.many(values.ravel(), widths.ravel())
 
 
+def _bits_of(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of an image inside of another one."""
+    out = Writer()
+    _write_image(out, image, False)
+    out.flush()
+    return np.concatenate(out.values), np.concatenate(out.sizes)
+
+
+@lru_cache(4096)
+def _known_bits(raw: bytes, height: int) -> tuple[np.ndarray, np.ndarray]:
+    return _bits_of(np.frombuffer(raw, np.uint32).reshape(height, -1))
+
+
+def _inner(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_bits_of(); the same few small images come again and again."""
+    return _known_bits(image.tobytes(), len(image)) if image.size <= 64 else _bits_of(image)
+
+
 def encode(pixels: np.ndarray, predictor: int | None = None, cross: int | None = None, green: bool = False, palette: bool = False, copies: bool = False, cache_bits: int = 0) -> bytes:
     """A lossless WebP file of uint32 ARGB pixels of shape (height, width), each at most 16384.
 
@@ -857,16 +895,16 @@ def encode(pixels: np.ndarray, predictor: int | None = None, cross: int | None =
         out.put(CROSS, 2)
         out.put(block - 2, 3)
         factors = np.full((side(height), side(width)), cross, np.uint32)
-        _write_image(out, factors, False)
+        out.many(*_inner(factors))
         pixels = _pixels(_cross(_channels(pixels), factors, block, -1))
     if predictor is not None:
         out.put(1, 1)
         out.put(PREDICTOR, 2)
         out.put(block - 2, 3)
-        c = _channels(pixels)
-        modes = best_modes(c, block) if predictor < 0 else np.full((side(height), side(width)), predictor)
-        _write_image(out, (modes.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000), False)
-        pixels = _pixels(_differences(c, modes, block))
+        c = _channels(pixels).astype(np.int16)
+        modes, left = best_modes(c, block) if predictor < 0 else (np.full((side(height), side(width)), predictor), None)
+        out.many(*_inner((modes.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000)))
+        pixels = _pixels(_differences(c, modes, block) if left is None else left)
     out.put(0, 1)
     _write_image(out, pixels, True, copies, cache_bits)
     body = out.bytes()

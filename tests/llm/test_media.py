@@ -130,6 +130,44 @@ def test_pictures_of_documents_need_every_transform():
     assert min(seen[k] for k in ("predictor", "cross", "green", "cache")) > len(texts) / 10 and seen["palette"] > 0
 
 
+def test_small_inner_images_are_written_once(monkeypatch):
+    calls, write = [], webp._write_image
+    monkeypatch.setattr(webp, "_write_image", lambda out, pixels, top, *more: calls.append(top) or write(out, pixels, top, *more))
+    pixels = np.random.default_rng(2).integers(0, 2**32, (9, 192), dtype=np.uint32)
+    for how in ({"cross": 0xFF0301FE}, {"predictor": 5}):
+        first = webp.encode(pixels, **how)
+        assert all(webp.encode(pixels, **how) == first for _ in range(4)) and (webp.decode(first) == pixels).all()
+    assert calls.count(False) <= 2 and calls.count(True) == 10
+
+
+def test_small_batches_are_read_together(monkeypatch):
+    import pyarrow as pa
+
+    calls, read = [], webp.decode_many
+    monkeypatch.setattr(webp, "decode_many", lambda files: calls.append(len(files)) or read(files))
+    payloads = [media.padded(bytes([k]) * (50 * k)) for k in range(12)]
+    batches = [pa.record_batch({"media": pa.array([media.stored(p) for p in payloads[k : k + 3]], pa.binary())}) for k in (0, 3, 6, 9)]
+    got = [x.tobytes() for _, own in media._together(iter([*batches, batches[0].slice(0, 0)])) for x in own]
+    assert got == payloads and calls == [12]
+    assert list(media._together(iter([]))) == []
+
+
+def test_lengths_and_differences_are_those_of_the_plain_way():
+    rng = np.random.default_rng(5)
+    for n, share in ((19, 0.5), (280, 0.02), (280, 0.3), (792, 0.005), (792, 0.9), (600, 0.01)):
+        lengths = np.where(rng.random(n) < share, rng.integers(1, 12, n), 0)
+        lengths[rng.integers(n)] = 3
+        symbols, extra, back = *webp._length_symbols(lengths.nonzero()[0], lengths), []
+        for a, b in zip(symbols.tolist(), extra.tolist(), strict=True):
+            back += [a] if a < 16 else [0] * (b + (3 if a == 17 else 11))
+            assert not b or (a == 17 and b < 8) or (a == 18 and b < 128)
+        assert back == lengths.tolist()
+    for shape in ((1, 1), (1, 40), (40, 1), (16, 192), (70, 65)):
+        c = rng.integers(0, 256, (*shape, 4)).astype(np.int16)
+        modes, left = webp.best_modes(c, 5)
+        assert (left == webp._differences(c, modes, 5)).all()
+
+
 def test_the_query(spark, tmp_path):
     import zlib
 
