@@ -61,6 +61,17 @@ class Bits:
         return (self.value >> (at - self.base)) & ((1 << n) - 1)
 
 
+    def repeated(self, first: int) -> bool:
+        """Whether the bits from `first` on come once more; if so, they are passed."""
+        n = self.at - first
+        if self.at + n > self.size:
+            return False
+        held = int.from_bytes(self.data[first >> 3 : (self.at + n + 7) >> 3], "little") >> (first & 7)
+        same = not (held ^ held >> n) & ((1 << n) - 1)
+        self.at += n if same else 0
+        return same
+
+
 _REVERSED = np.array([int(f"{k:015b}"[::-1], 2) for k in range(1 << 15)])
 #: Of codes of n bits: how many of 15 bits one stands for, and the mask of its bits.
 _ROOM, _MASK = np.array([1 << 15 - n for n in range(16)]), np.array([(1 << n) - 1 for n in range(16)])
@@ -191,6 +202,10 @@ def _head(bits: Bits, width: int, height: int, top: bool) -> tuple[int, np.ndarr
     for _ in range(groups):
         own: list[Prefix] = []
         for k, n in enumerate(alphabets):
+            if k == 2 and bits.repeated(first):
+                own.append(own[1])  # the bits of red's code once more
+                continue
+            first = bits.at
             own.append(_read_prefix(bits, n, own[1] if k == 2 else None))
         codes.append(own)
     return cache_bits, chosen, block, codes
@@ -270,28 +285,27 @@ def _read_lanes(lanes: list[_Lane]) -> list[np.ndarray]:
         chunks.append(raw)
         at += len(raw)
     words = np.frombuffer(b"".join(chunks) + b"\0" * 64, "<u4").astype(np.uint64)
-    words = words[:-1] | words[1:] << np.uint64(32)
+    words = (words[:-1] | words[1:] << np.uint64(32)).view(np.int64)  # shifts may bring in ones at the top: no code is that long
     end = start + np.array([x.bits.size - x.bits.at for x in lanes])
     tables = [np.concatenate([x.codes[c].table for x in lanes]) for c in range(5)]
     starts = [np.cumsum([0] + [len(x.codes[c].table) for x in lanes[:-1]]) for c in range(5)]
-    masks = [np.array([len(x.codes[c].table) - 1 for x in lanes], np.uint64) for c in range(5)]
+    masks = [np.array([len(x.codes[c].table) - 1 for x in lanes]) for c in range(5)]
     width = np.array([x.width for x in lanes])
     total = int((sizes + 1).sum())
     colour, source = np.zeros(total, np.uint32), np.full(total, -1, np.int64)  # source: -1 own colour; -2 - slot: cache hit; else an earlier pixel
     copies: list[tuple[np.ndarray, ...]] = []
     on, pos, done = np.arange(len(lanes)), start.copy(), np.zeros(len(lanes), np.int64)
-    most = len(words) - 1
 
     def look(p: np.ndarray) -> np.ndarray:
-        return words[np.minimum(p >> 5, most)] >> (p & 31).astype(np.uint64)
+        return words.take(p >> 5, mode="clip") >> (p & 31)
 
     def symbol(c: int, lane: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        e = tables[c][starts[c][lane] + (x & masks[c][lane]).astype(np.int64)]
+        e = tables[c][starts[c][lane] + (x & masks[c][lane])]
         return e >> 4, e & 15
 
     def extra(s: np.ndarray, lane: np.ndarray) -> np.ndarray:
         n = np.maximum((s - 2) >> 1, 0)
-        more = (look(pos[lane]) & ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        more = look(pos[lane]) & ((1 << n) - 1)
         pos[lane] += n
         return np.where(s < 4, s, ((2 + (s & 1)) << n) + more) + 1
 
@@ -302,23 +316,23 @@ def _read_lanes(lanes: list[_Lane]) -> list[np.ndarray]:
         for _ in range(16):
             x = look(p)
             t, o, m = group[0]
-            e = t[o + (x & m).astype(np.int64)]
+            e = t.take(o + (x & m))
             green, n = e >> 4, e & 15
             literal = green < GREENS
-            x = x >> n.astype(np.uint64)
+            x = x >> n
             t, o, m = group[1]
-            e = t[o + (x & m).astype(np.int64)]
+            e = t.take(o + (x & m))
             red, n2 = e >> 4, n + (e & 15)
             q = p + n2
             x = look(q)
             t, o, m = group[2]
-            e = t[o + (x & m).astype(np.int64)]
+            e = t.take(o + (x & m))
             blue, n3 = e >> 4, e & 15
             after = q + n3
             if plain is None:
-                x = x >> n3.astype(np.uint64)
+                x = x >> n3
                 t, o, m = group[3]
-                e = t[o + (x & m).astype(np.int64)]
+                e = t.take(o + (x & m))
                 alpha, after = (e >> 4).astype(np.uint32) << np.uint32(24), after + (e & 15)
             else:
                 alpha = plain
@@ -774,7 +788,7 @@ def _copies(flat: np.ndarray, least: int = 4) -> list[tuple[int, int, int]]:
 def _hits(flat: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Each pixel's slot, and whether the last pixel before it in that slot has its colour."""
     slot = _slot(flat, cache_bits).astype(np.int64)
-    order = np.argsort(slot, kind="stable")
+    order = np.argsort(slot.astype(np.uint16), kind="stable")
     hit = np.zeros(len(flat), bool)
     hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (flat[order[1:]] == flat[order[:-1]])
     return slot, hit
@@ -819,6 +833,20 @@ def _write_image(out: Writer, pixels: np.ndarray, top: bool, copies: bool = Fals
     codes = [_Code(counts[0], 11), both, both, _Code(counts[3], 11), _Code(counts[4])]
     for x in codes:
         x.write(out)
+    if not found:  # two symbols take 30 bits at most and go as one value
+        pairs, sizes = np.zeros((len(first), 2), np.int64), np.zeros((len(first), 2), np.int64)
+        pairs[:, 0], sizes[:, 0] = codes[0].codes[first], codes[0].bits[first]
+        if len(codes[1].used) > 1:
+            red, blue = columns[1], columns[2]
+            pairs[plain, 0] |= codes[1].codes[red] << sizes[plain, 0]
+            sizes[plain, 0] += codes[1].bits[red]
+            pairs[plain, 1], sizes[plain, 1] = codes[2].codes[blue], codes[2].bits[blue]
+        if len(codes[3].used) > 1:
+            pairs[plain, 1] |= codes[3].codes[columns[3]] << sizes[plain, 1]
+            sizes[plain, 1] += codes[3].bits[columns[3]]
+        if any(len(x.used) > 1 for x in codes):
+            out.many(pairs.ravel(), sizes.ravel())
+        return
     values, widths = np.zeros((len(first), 4), np.int64), np.zeros((len(first), 4), np.int64)
     values[:, 0], widths[:, 0] = codes[0].codes[first], codes[0].bits[first]
     for k in (1, 2, 3):
