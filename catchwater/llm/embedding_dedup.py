@@ -38,6 +38,8 @@ THRESHOLD, SHARD, SHARDS, GROUND, ABOVE = 0.95, 50_000, 6, 32, 16
 SLICE, SLICES, MARGIN = 100_000, 4, 0.05
 #: Bytes of vectors in a shard and in a slice at most; pairs of both that a task takes; copies of a vector in a task.
 SHARD_BYTES, SLICE_BYTES, PAIRS, HOT = 256 << 20, 128 << 20, 8, 100_000
+#: Queries that go through a graph together: what they meet in a step stays in a core's cache, however large the shard is.
+TOGETHER = 128
 #: Beam while building and at the start of the search; audited queries; the share of them that has to find every partner;
 #: from how many partners a query has many.
 BUILD, BEAM, AUDITED, RECALL, MANY = 48, 48, 2048, 0.995, 16
@@ -133,41 +135,43 @@ class Graph:
 
     def _search(self, links: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """The beam's points and similarities for each query, nearest first; the queries advance together."""
-        n, every = len(q), np.arange(len(q))
-        ids, sims, done = np.full((n, beam), -1, np.int64), np.full((n, beam), _NONE), np.zeros((n, beam), bool)
+        n, size, wide = len(q), len(links), expand * links.shape[1]
+        ids, sims, done = np.full((n, beam), -1, np.int32), np.full((n, beam), _NONE), np.zeros((n, beam), bool)
         ids[:, 0], sims[:, 0] = entry, np.einsum("qd,qd->q", self.x[entry], q)
-        seen = np.zeros((n, len(links)), bool)
-        seen[every, entry] = True
-        live = every
+        kind = np.uint8 if wide < 255 else np.uint16
+        seen = np.zeros(n * size, kind)  # for each query and point 0, or from 1 the place at which the point was met
+        seen[np.arange(n) * size + entry] = wide + 1
+        places, live = np.arange(1, wide + 1, dtype=kind), np.arange(n)
         while len(live):
-            todo = np.where(done[live] | (ids[live] < 0), _NONE, sims[live])
+            todo = np.where(done[live], _NONE, sims[live])
             pick = np.argpartition(-todo, min(expand, beam - 1), 1)[:, :expand]
-            open_ = np.take_along_axis(todo, pick, 1) > _NONE
+            open_ = todo.take(pick + np.arange(len(live))[:, None] * beam) > _NONE
             some = open_.any(1)
             live, pick, open_ = live[some], pick[some], open_[some]
             if not len(live):
                 break
-            done[live[:, None], pick] |= open_
-            near = links[np.where(open_, ids[live[:, None], pick], 0)].astype(np.int64)
-            near = np.where(open_[:, :, None], near, -1).reshape(len(live), -1)
-            fresh = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
-            r, c = np.nonzero(fresh)
-            seen[live[r], near[r, c]] = True
+            at = live[:, None] * beam + pick
+            done.reshape(-1)[at[open_]] = True
+            near = np.where(open_[:, :, None], links.take(np.where(open_, ids.take(at), 0), 0), -1).reshape(len(live), wide)
+            at = (live * size)[:, None] + near
+            fresh = np.flatnonzero((near >= 0) & (seen.take(at, mode="clip") == 0))
+            at, own = at.take(fresh), places.take(fresh % wide)
+            seen[at] = own
+            fresh = fresh[seen.take(at) == own]  # a point that two expanded ones share comes once
             sim = np.full(near.shape, _NONE)
-            sim[r, c] = np.einsum("kd,kd->k", self.x[near[r, c]], q[live[r]])
-            if expand > 1:  # a point that two expanded ones share comes once
-                order = np.argsort(np.where(fresh, near, -1), 1, kind="stable")
-                s = np.take_along_axis(np.where(fresh, near, -1), order, 1)
-                twice = np.zeros(near.shape, bool)
-                np.put_along_axis(twice, order[:, 1:], (s[:, 1:] == s[:, :-1]), 1)
-                sim[twice] = _NONE
-            all_sim = np.concatenate([sims[live], sim], 1)
-            top = np.argpartition(-all_sim, beam - 1, 1)[:, :beam]
-            sims[live] = np.take_along_axis(all_sim, top, 1)
-            ids[live] = np.take_along_axis(np.concatenate([ids[live], np.where(sim > _NONE, near, -1)], 1), top, 1)
-            done[live] = np.take_along_axis(np.concatenate([done[live], np.zeros(near.shape, bool)], 1), top, 1)
+            point, own = near.take(fresh), live.take(fresh // wide)
+            for lo in range(0, len(fresh), 2048):
+                part = slice(lo, lo + 2048)
+                sim.reshape(-1)[fresh[part]] = np.einsum("kd,kd->k", self.x.take(point[part], 0), q.take(own[part], 0))
+            every = np.concatenate([sims[live], sim], 1)
+            top = np.argpartition(-every, beam - 1, 1)[:, :beam]
+            top += np.arange(len(live))[:, None] * every.shape[1]
+            sims[live] = every.take(top)
+            ids[live] = np.concatenate([ids[live], near], 1).take(top)
+            done[live] = np.concatenate([done[live], sim == _NONE], 1).take(top)  # those met before are never expanded
+        ids[sims == _NONE] = -1
         order = np.argsort(-sims, 1, kind="stable")
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        return np.take_along_axis(ids, order, 1).astype(np.int64), np.take_along_axis(sims, order, 1)
 
     def packed(self) -> bytes:
         out = io.BytesIO()
@@ -202,7 +206,7 @@ class Graph:
         if not len(q) or not len(self.x):
             return
         entry, dense, starts = self._entry(q), [], []
-        step = max(16, min(512, (32 << 20) // len(self.x)))
+        step = max(16, min(TOGETHER, (32 << 20) // len(self.x)))
         for at in range(0, len(q), step):
             own = np.arange(at, min(at + step, len(q)))
             ids, sims = self._search(self.layers[-1], q[own], entry[own], beam)

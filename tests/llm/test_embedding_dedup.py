@@ -202,3 +202,30 @@ def test_more_vectors_than_a_block(spark, tmp_path):
     assert len(y) > 8192 and len(out) == len(y)
     assert np.mean([out[k]["n_links"] == n[k] for k in range(len(y))]) >= 0.999
     assert np.mean([out[k]["component_id"] == find(k) for k in range(len(y))]) >= 0.999
+
+
+def test_a_step_of_the_search_holds_little_whatever_the_shard():
+    """Queries go through the graph a few at a time: what a step holds does not outgrow a core's cache with the shard."""
+    import tracemalloc
+
+    x, _ = skewed(200, 900, 2000)
+    graph, peak = embedding_dedup.Graph(x), []
+    for q in (x[:256], x[:2048]):
+        tracemalloc.start()
+        found = sum(len(r) for r, _, _ in graph.near(q, 0.95, 48))
+        peak.append(tracemalloc.get_traced_memory()[1] - 2 * q.nbytes)
+        tracemalloc.stop()
+        assert found >= len(q)  # each finds itself at least
+    assert max(peak) < 10 << 20
+
+
+def test_a_search_meets_a_point_once():
+    """Points that several expanded ones lead to come once in the beam, the nearest first."""
+    x, _ = skewed(300, 300, 900)
+    graph = embedding_dedup.Graph(x)
+    q = np.ascontiguousarray(x, np.float32)
+    ids, sims = graph._search(graph.layers[-1], q, graph._entry(q), 48)
+    order = np.sort(ids, 1)
+    assert not ((order[:, 1:] == order[:, :-1]) & (order[:, 1:] >= 0)).any()
+    assert (np.diff(sims, axis=1) <= 0).all() and (ids >= 0).all()
+    assert np.allclose(np.einsum("qd,qwd->qw", q, graph.x[ids]), sims, atol=1e-5)
