@@ -47,22 +47,48 @@ def _indexed(colours: int, pixels: int) -> bool:
     return colours <= 256 and 24 * colours + pixels * max(colours - 1, 1).bit_length() < 12 * pixels
 
 
+def _colours(pixels: np.ndarray) -> int:
+    x = np.sort(pixels, None)
+    return 1 + int(np.count_nonzero(x[1:] != x[:-1]))
+
+
+def stored_many(payloads: list[bytes]) -> list[bytes]:
+    """The pictures of each padded payload. Pictures of one form are written together."""
+    files: list[list[bytes]] = [[] for _ in payloads]
+    waiting: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in FORMS]
+    limit = HIGH * ROW
+
+    def written(form: int) -> None:
+        own, waiting[form] = waiting[form], []
+        for (k, place, _), file in zip(own, webp.encode_many([x for _, _, x in own], **FORMS[form]), strict=True):
+            files[k][place] = file
+
+    for k, payload in enumerate(payloads):
+        for at in range(0, len(payload), limit):
+            part = payload[at : at + limit]
+            pixels = pixels_of(np.frombuffer(part, np.uint8))
+            colours = _colours(pixels[:3])
+            if len(pixels) > 3 and _indexed(colours, pixels.size):  # no picture with more colours than its top is shorter
+                colours = _colours(pixels)
+            if _indexed(colours, pixels.size):
+                files[k].append(webp.encode(pixels, palette=True, copies=colours > 1 and pixels.size > 4 * colours))
+            elif len(zlib.compress(part, 1)) < REPETITIVE * len(part):
+                files[k].append(webp.encode(pixels, copies=True, cache_bits=4))
+            else:
+                form = zlib.crc32(part) % len(FORMS)
+                waiting[form].append((k, len(files[k]), pixels))
+                files[k].append(b"")
+                if len(waiting[form]) == webp.TOGETHER:
+                    written(form)
+    for form, own in enumerate(waiting):
+        if own:
+            written(form)
+    return [b"".join(own) for own in files]
+
+
 def stored(payload: bytes) -> bytes:
     """The pictures of a padded payload."""
-    files, limit = [], HIGH * ROW
-    for at in range(0, len(payload), limit):
-        part = payload[at : at + limit]
-        pixels = pixels_of(np.frombuffer(part, np.uint8))
-        colours = len(np.unique(pixels[:3]))
-        if len(pixels) > 3 and _indexed(colours, pixels.size):  # no picture with more colours than its top is shorter
-            colours = len(np.unique(pixels))
-        if _indexed(colours, pixels.size):
-            files.append(webp.encode(pixels, palette=True, copies=colours > 1 and pixels.size > 4 * colours))
-        elif len(zlib.compress(part, 1)) < REPETITIVE * len(part):
-            files.append(webp.encode(pixels, copies=True, cache_bits=4))
-        else:
-            files.append(webp.encode(pixels, **FORMS[zlib.crc32(part) % len(FORMS)]))
-    return b"".join(files)
+    return stored_many([payload])[0]
 
 
 def files_of(media: bytes) -> list[bytes]:
@@ -135,7 +161,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, text):
             raw = [x.encode() for x in texts.to_pylist()]
-            media = [stored(padded(x)) for x in raw]
+            media = stored_many([padded(x) for x in raw])
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ by symbol. Pixels are uint32 ARGB arrays of shape (height, width).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -34,8 +34,8 @@ PREDICTOR, CROSS, GREEN, INDEX = 0, 1, 2, 3
 GREENS, LENGTHS, DISTANCES = 256, 24, 40
 _ORDER, _EXTRA = np.array(CODE_LENGTH_ORDER), np.array([0] * 16 + [2, 3, 7])
 LIMIT = 1 << 14
-#: Bits of the side of a block with its own predictor and factors.
-BLOCK = 5
+#: Bits of the side of a block with its own predictor and factors; images written together at most: 16 bits hold image and slot.
+BLOCK, TOGETHER = 5, 64
 
 
 class Damaged(ValueError):
@@ -187,17 +187,26 @@ def _extra(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << n) + bits.read(n) + 1
 
 
-def _head(bits: Bits, width: int, height: int, top: bool) -> tuple[int, np.ndarray | None, int, list[list[Prefix]]]:
-    """Cache bits, the entropy image and its block, and the prefix codes of an image."""
+def _greens(cache_bits: int) -> int:
+    """Symbols of the first code."""
+    return GREENS + LENGTHS + ((1 << cache_bits) if cache_bits else 0)
+
+
+def _before_codes(bits: Bits, width: int, height: int, top: bool) -> tuple[int, np.ndarray | None, int]:
+    """Cache bits, the entropy image and its block."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise Damaged("the colour cache is too large")
-    groups, chosen, block = 1, None, 0
+    chosen, block = None, 0
     if top and bits.read(1):
         block = bits.read(3) + 2
         chosen = (_image(bits, (width + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block) >> 8) & 0xFFFF
-        groups = int(chosen.max()) + 1
-    alphabets = (GREENS + LENGTHS + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, DISTANCES)
+    return cache_bits, chosen, block
+
+
+def _codes(bits: Bits, cache_bits: int, groups: int) -> list[list[Prefix]]:
+    """The five prefix codes of each group."""
+    alphabets = (_greens(cache_bits), 256, 256, 256, DISTANCES)
     codes = []
     for _ in range(groups):
         own: list[Prefix] = []
@@ -208,7 +217,13 @@ def _head(bits: Bits, width: int, height: int, top: bool) -> tuple[int, np.ndarr
             first = bits.at
             own.append(_read_prefix(bits, n, own[1] if k == 2 else None))
         codes.append(own)
-    return cache_bits, chosen, block, codes
+    return codes
+
+
+def _head(bits: Bits, width: int, height: int, top: bool) -> tuple[int, np.ndarray | None, int, list[list[Prefix]]]:
+    """Cache bits, the entropy image and its block, and the prefix codes of an image."""
+    cache_bits, chosen, block = _before_codes(bits, width, height, top)
+    return cache_bits, chosen, block, _codes(bits, cache_bits, 1 if chosen is None else int(chosen.max()) + 1)
 
 
 def _image(bits: Bits, width: int, height: int) -> np.ndarray:
@@ -266,10 +281,93 @@ def _slot(colour: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
 
 
 class _Lane:
-    """An image to be read: its bits, size, cache bits and prefix codes."""
-
-    def __init__(self, bits: Bits, width: int, height: int, cache_bits: int, codes: list[Prefix]):
-        self.bits, self.width, self.height, self.cache_bits, self.codes = bits, width, height, cache_bits, codes
+    """An image to be read: its bits from the prefix codes on, size and cache bits."""
+
+    def __init__(self, bits: Bits, width: int, height: int, cache_bits: int):
+        self.bits, self.width, self.height, self.cache_bits = bits, width, height, cache_bits
+
+
+def _tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tables of Prefix for rows of code lengths, one after another; where each starts, and the mask of its bits."""
+    row, used = lengths.nonzero()
+    n, count = lengths[row, used], np.bincount(row, minlength=len(lengths))
+    if not count.all():
+        raise Damaged("an empty prefix code")
+    if (np.bincount(row, _ROOM[n], len(lengths))[count > 1] != 1 << 15).any():
+        raise Damaged("a prefix code is not complete")
+    order = (row << 4 | n).argsort(kind="stable")
+    row, used, n = row[order], used[order], np.where(count[row] == 1, 0, n)[order]
+    deep = np.where(count == 1, 0, lengths.max(1))
+    flat = (used << 4 | n).repeat(_ROOM[n] >> 15 - deep[row])
+    size = 1 << deep
+    start = size.cumsum() - size
+    first, bits = start.repeat(size), deep.repeat(size)
+    return flat[first + (_REVERSED[np.arange(len(flat)) - first] >> 15 - bits)].astype(np.int32), start, size - 1
+
+
+#: Lanes whose tables are made together.
+_LANES = 256
+_LEAST, _MORE = np.array([3, 3, 11]), np.array([2, 3, 7])
+
+
+def _all_tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [_tables(lengths[lo : lo + _LANES]) for lo in range(0, len(lengths), _LANES)]
+    base = np.cumsum([0] + [len(t) for t, _, _ in parts])
+    return np.concatenate([t for t, _, _ in parts]), np.concatenate([s + b for (_, s, _), b in zip(parts, base)]), np.concatenate([m for _, _, m in parts])
+
+
+def _read_prefixes(look: Callable[[np.ndarray], np.ndarray], pos: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_all_tables() of the next prefix code of each lane, as _read_prefix reads one; pos, each lane's bit, is moved on."""
+    wide = int(alphabet.max())
+    out = np.zeros(len(pos) * wide + 1, np.int64)  # the last place takes what no lane writes
+    x = look(pos)
+    some = (x & 1).nonzero()[0]
+    if len(some):
+        two, full, s = x[some] >> 1 & 1, x[some] >> 2 & 1, x[some] >> 3
+        a, n = s & np.where(full, 255, 1), np.where(full, 8, 1)
+        b = np.where(two, s >> n & 255, a)
+        if (np.maximum(a, b) >= alphabet[some]).any():
+            raise Damaged("a symbol is out of range")
+        out[some * wide + a] = out[some * wide + b] = 1
+        pos[some] += 3 + n + 8 * two
+    on = (~x & 1).nonzero()[0]
+    if len(on):
+        told, p = 4 + (x[on] >> 1 & 15), pos[on] + 5
+        of = np.zeros((len(on), 19), np.int64)
+        of[:, _ORDER] = np.concatenate([look(p)[:, None] >> 3 * np.arange(10) & 7, look(p + 30)[:, None] >> 3 * np.arange(9) & 7], 1) * (np.arange(19) < told[:, None])
+        p += 3 * told
+        x = look(p)
+        given, n = (x & 1) > 0, 2 + 2 * (x >> 1 & 7)
+        limit = alphabet[on]
+        left = np.where(given, 2 + (look(p + 4) & (1 << n) - 1), limit)
+        p += np.where(given, 4 + n, 1)
+        table, start, mask = _all_tables(of)
+        at, before, base = np.zeros_like(p), np.full_like(p, 8), on * wide
+        while len(on):
+            for _ in range(8):
+                x = look(p)
+                e = table.take(start + (x & mask)).astype(np.int64)
+                s, n = e >> 4, e & 15
+                live = (at < limit) & (left > 0)
+                own = live & (s < 16)
+                out[np.where(own, base + at, len(out) - 1)] = s
+                step, p = live.astype(np.int64), p + n * live
+                runs = (live & (s > 15)).nonzero()[0]
+                if len(runs):
+                    t = s[runs] - 16
+                    step[runs] = _LEAST[t] + (x[runs] >> n[runs] & (1 << _MORE[t]) - 1)
+                    p[runs] += _MORE[t]
+                    if (at[runs] + step[runs] > limit[runs]).any():
+                        raise Damaged("code lengths run over")
+                    for k in runs[t == 0].tolist():
+                        out[base[k] + at[k] : base[k] + at[k] + step[k]] = before[k]
+                before = np.where(own & (s > 0), s, before)
+                left = left - live
+                at = at + step
+            pos[on] = p
+            more = (at < limit) & (left > 0)
+            on, p, at, before, base, left, limit, start, mask = (v[more] for v in (on, p, at, before, base, left, limit, start, mask))
+    return _all_tables(out[:-1].reshape(-1, wide))
 
 
 def _read_lanes(lanes: list[_Lane]) -> list[np.ndarray]:
@@ -287,9 +385,6 @@ def _read_lanes(lanes: list[_Lane]) -> list[np.ndarray]:
     words = np.frombuffer(b"".join(chunks) + b"\0" * 64, "<u4").astype(np.uint64)
     words = (words[:-1] | words[1:] << np.uint64(32)).view(np.int64)  # shifts may bring in ones at the top: no code is that long
     end = start + np.array([x.bits.size - x.bits.at for x in lanes])
-    tables = [np.concatenate([x.codes[c].table for x in lanes]) for c in range(5)]
-    starts = [np.cumsum([0] + [len(x.codes[c].table) for x in lanes[:-1]]) for c in range(5)]
-    masks = [np.array([len(x.codes[c].table) - 1 for x in lanes]) for c in range(5)]
     width = np.array([x.width for x in lanes])
     total = int((sizes + 1).sum())
     colour, source = np.zeros(total, np.uint32), np.full(total, -1, np.int64)  # source: -1 own colour; -2 - slot: cache hit; else an earlier pixel
@@ -299,6 +394,9 @@ def _read_lanes(lanes: list[_Lane]) -> list[np.ndarray]:
     def look(p: np.ndarray) -> np.ndarray:
         return words.take(p >> 5, mode="clip") >> (p & 31)
 
+    alphabets = (np.array([_greens(x.cache_bits) for x in lanes]), *(np.full(len(lanes), n) for n in (256, 256, 256, DISTANCES)))
+    tables, starts, masks = zip(*(_read_prefixes(look, pos, n) for n in alphabets), strict=True)
+
     def symbol(c: int, lane: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         e = tables[c][starts[c][lane] + (x & masks[c][lane])]
         return e >> 4, e & 15
@@ -378,34 +476,40 @@ def _read_lanes(lanes: list[_Lane]) -> list[np.ndarray]:
 
 def _roots(source: np.ndarray) -> np.ndarray:
     """Where pointers to earlier pixels end."""
-    up = np.where(source >= 0, source, np.arange(len(source)))
+    some, up = np.flatnonzero(source >= 0), np.arange(len(source))
+    up[some] = source[some]
     while True:
-        new = up[up]
-        if (new == up).all():
+        new = up[up[some]]
+        if (new == up[some]).all():
             return up
-        up = new
+        up[some] = new
 
 
 def _followed(colour: np.ndarray, source: np.ndarray, lanes: list[_Lane], base: np.ndarray, sizes: np.ndarray) -> None:
     """Gives copied pixels and cache hits their colours."""
-    if (source == -1).all():
+    pointing = source != -1
+    if not pointing.any():
         return
     root = _roots(source)
     if (source < -1).any():
-        bits = np.repeat([x.cache_bits for x in lanes], sizes + 1)
-        some = np.flatnonzero(bits > 0)
-        some = some[~np.isin(some, base + sizes)]
-        slot = np.where(source[root[some]] < -1, -2 - source[root[some]], _slot(colour[root[some]], bits[some]).astype(np.int64))
-        lane = np.repeat(np.arange(len(lanes)), sizes + 1)[some]
-        order = np.argsort(lane << 11 | slot, kind="stable")
-        key = (lane << 11 | slot)[order]
+        cached = np.repeat(np.array([x.cache_bits for x in lanes]) * np.logical_or.reduceat(source < -1, base), sizes + 1)
+        cached[base + sizes] = 0
+        some = np.flatnonzero(cached)
+        own, at = root[some], np.repeat(np.arange(len(lanes)), sizes + 1)[some]
+        slot = np.where(source[own] < -1, -2 - source[own], _slot(colour[own], cached[some]).astype(np.int64))
+        key = ((at & 31) << 11 | slot).astype(np.uint16)  # 32 lanes are sorted at a time, by 16 bits
+        cuts = [*np.searchsorted(at, np.arange(0, len(lanes), 32)).tolist(), len(at)]
         before = np.full(len(source), -1)
-        before[some[order[1:]]] = np.where(key[1:] == key[:-1], some[order[:-1]], -1)
+        for lo, hi in zip(cuts, cuts[1:]):
+            order = np.argsort(key[lo:hi], kind="stable")
+            k, where = key[lo:hi][order], some[lo:hi][order]
+            before[where[1:]] = np.where(k[1:] == k[:-1], where[:-1], -1)
         hits = np.flatnonzero(source < -1)
         colour[hits] = 0  # a slot that nothing has fallen into yet
         source[hits] = before[hits]
         root = _roots(source)
-    colour[:] = colour[root]
+    some = np.flatnonzero(pointing)
+    colour[some] = colour[root[some]]
 
 
 def _channels(pixels: np.ndarray) -> np.ndarray:
@@ -575,13 +679,13 @@ def decode_many(files: Sequence[bytes]) -> list[np.ndarray]:
     lanes, place, out, steps = [], [], [np.zeros((0, 0), np.uint32)] * len(files), []
     for k, data in enumerate(files):
         bits, wide, height, alpha, transforms = _opened(data)
-        cache_bits, chosen, block, codes = _head(bits, wide, height, True)
+        cache_bits, chosen, block = _before_codes(bits, wide, height, True)
         steps.append((alpha, transforms))
         if chosen is None:
-            lanes.append(_Lane(bits, wide, height, cache_bits, codes[0]))
+            lanes.append(_Lane(bits, wide, height, cache_bits))
             place.append(k)
         else:
-            out[k] = _pixel_by_pixel(bits, wide, height, cache_bits, chosen, block, codes)
+            out[k] = _pixel_by_pixel(bits, wide, height, cache_bits, chosen, block, _codes(bits, cache_bits, int(chosen.max()) + 1))
     if lanes:
         for k, pixels in zip(place, _read_lanes(lanes), strict=True):
             out[k] = pixels
@@ -628,6 +732,15 @@ def transforms_of(data: bytes) -> set[str]:
 # Writing.
 
 
+def _laid_out(value: np.ndarray, at: np.ndarray) -> bytes:
+    """The values' bits at the bits `at`, which rise."""
+    shifted, word = value.astype(np.uint64) << (at & 31).astype(np.uint64), at >> 5
+    n = int(word[-1]) + 2
+    low = np.bincount(word, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), n)  # bits never meet: sums are exact
+    high = np.bincount(word + 1, (shifted >> np.uint64(32)).astype(np.float64), n)
+    return (low + high).astype("<u4").tobytes()
+
+
 class Writer:
     """Bits, lowest first, as (value, length) pairs that are laid out at once."""
 
@@ -655,12 +768,7 @@ class Writer:
         self.flush()
         value, size = np.concatenate(self.values), np.concatenate(self.sizes)
         ends = np.cumsum(size)
-        at = ends - size
-        shifted, word = value.astype(np.uint64) << (at & 31).astype(np.uint64), at >> 5
-        n = (int(ends[-1]) >> 5) + 2 if len(ends) else 0
-        low = np.bincount(word, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), n)  # bits never meet: sums are exact
-        high = np.bincount(word + 1, (shifted >> np.uint64(32)).astype(np.float64), n)
-        return (low + high).astype("<u4").tobytes()[: (int(ends[-1]) + 7) // 8 if len(ends) else 0]
+        return _laid_out(value, ends - size)[: (int(ends[-1]) + 7) // 8] if len(ends) else b""
 
 
 def code_lengths(counts: np.ndarray, limit: int = 15, used: np.ndarray | None = None) -> np.ndarray:
@@ -935,7 +1043,167 @@ def encode(pixels: np.ndarray, predictor: int | None = None, cross: int | None =
         pixels = _pixels(_differences(c, modes, block) if left is None else left)
     out.put(0, 1)
     _write_image(out, pixels, True, copies, cache_bits)
-    body = out.bytes()
+    return _file(out.bytes())
+
+
+def _file(body: bytes) -> bytes:
     size = len(body)
     body += b"\0" * (size & 1)
     return b"RIFF" + (12 + len(body)).to_bytes(4, "little") + b"WEBPVP8L" + size.to_bytes(4, "little") + body
+
+
+# Writing many images of one width and form together.
+
+
+def _best_together(c: np.ndarray, height: np.ndarray, block: int, candidates: Sequence[int] = (0, 1, 2, 7, 11, 12)) -> tuple[np.ndarray, np.ndarray]:
+    """best_modes() of images that stand below each other in c, none higher than a block: a row of modes for each."""
+    first, cols = np.cumsum(height) - height, np.arange(0, c.shape[1], 1 << block)
+    above = np.arange(len(c)) - 1
+    above[first] = first + height - 1
+    up = c[above]
+    up_right = np.roll(up, -1, 1)
+    up_right[:, -1] = c[:, 0]
+    near, cost, left = (np.roll(c, 1, 1), up, np.roll(up, 1, 1), up_right), [], []
+    for m in candidates:
+        d = (c - _predicted(m, *near)) & 255
+        left.append(d)
+        d = np.minimum(d, 256 - d)
+        cost.append(np.add.reduceat(np.add.reduceat(d[..., 0] + d[..., 1] + d[..., 2], first, 0, np.int64), cols, 1))
+    best, out = np.argmin(np.stack(cost), 0), np.empty_like(c)
+    for y, n, own in zip(first.tolist(), height.tolist(), best.tolist(), strict=True):
+        for x, k in zip(cols.tolist(), own, strict=True):
+            out[y : y + n, x : x + (1 << block)] = left[k][y : y + n, x : x + (1 << block)]
+    below = np.ones(len(c), bool)
+    below[first] = False
+    below = below.nonzero()[0]
+    out[first, 1:] = (c[first, 1:] - c[first, :-1]) & 255
+    out[below, 0] = (c[below, 0] - c[below - 1, 0]) & 255
+    out[first, 0] = (c[first, 0] - np.array([0, 0, 0, 255], c.dtype)) & 255
+    return np.asarray(list(candidates))[best], out
+
+
+class _Codes:
+    """Prefix codes for rows of counts, as _Code makes each: codes and bits by row and symbol."""
+
+    def __init__(self, counts: np.ndarray, limit: int):
+        self.lengths = np.stack([code_lengths(x, limit) for x in counts])
+        self.row, self.used = self.lengths.nonzero()
+        self.n = np.bincount(self.row, minlength=len(counts))
+        self.codes, self.bits = np.zeros_like(self.lengths), np.where(self.n[:, None] > 1, self.lengths, 0)
+        many = self.n[self.row] > 1
+        row, used = self.row[many], self.used[many]
+        n = self.lengths[row, used]
+        order = (row << 4 | n).argsort(kind="stable")
+        row, used, n = row[order], used[order], n[order]
+        room = _ROOM[n]  # a code's rooms fill all of 15 bits, so each row starts anew
+        self.codes[row, used] = _REVERSED[(room.cumsum() - room) & 0x7FFF] & _MASK[n]
+
+    def told(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each row, what _Code.write() writes of a code of more than two symbols, as values and sizes."""
+        rows, alphabet = self.lengths.shape
+        last = (self.n + 1).cumsum() - 1  # after the symbols of each row, its end
+        at = np.arange(len(self.row)) + self.row
+        used, length = np.full(len(self.row) + rows, alphabet), np.zeros(len(self.row) + rows, np.int64)
+        used[at], length[at] = self.used, self.lengths[self.row, self.used]
+        gap = np.diff(used, prepend=-1) - 1
+        gap[last[:-1] + 1] = used[last[:-1] + 1]
+        full, rest = gap // 138, gap % 138
+        run = rest > 2
+        size = full + np.where(run, 1, rest) + 1
+        ends = size.cumsum()
+        sym, extra, keep = np.zeros(int(ends[-1]), np.int64), np.zeros(int(ends[-1]), np.int64), np.ones(int(ends[-1]), bool)
+        sym[ends - 1] = length
+        at = np.repeat(ends - size - full.cumsum() + full, full) + np.arange(int(full.sum()))
+        sym[at], extra[at] = 18, 127
+        at, part = (ends - 2)[run], rest[run]
+        sym[at] = 17 + (part > 10)
+        extra[at] = part - np.where(part > 10, 11, 3)
+        keep[ends[last] - 1] = False
+        row = np.repeat(np.repeat(np.arange(rows), self.n + 1), size)[keep]
+        sym, extra = sym[keep], extra[keep]
+        own = _Codes(np.bincount(row * 19 + sym, minlength=rows * 19).reshape(rows, 19), 7)
+        order = own.lengths[:, _ORDER]
+        told = np.maximum(4, 19 - (order[:, ::-1] > 0).argmax(1))
+        packed = (order << 3 * np.arange(19)).sum(1)
+        head = np.stack([told - 4 << 1, packed & ((1 << 30) - 1), packed >> 30, np.zeros_like(told)], 1)
+        heads = np.stack([np.full_like(told, 5), np.minimum(30, 3 * told), np.maximum(0, 3 * told - 30), np.ones_like(told)], 1)
+        bits = own.bits[row, sym]
+        values, sizes = own.codes[row, sym] | extra << bits, bits + _EXTRA[sym]
+        ends = np.bincount(row, minlength=rows).cumsum().tolist()
+        return [(np.concatenate([head[k], values[a:b]]), np.concatenate([heads[k], sizes[a:b]])) for k, (a, b) in enumerate(zip([0, *ends], ends))]
+
+
+def _encode_together(images: list[np.ndarray], form: dict) -> list[bytes]:
+    """encode() of up to TOGETHER images of one width, none higher than a block, by one form without copies and palettes."""
+    cross, bits, n = form.get("cross"), form.get("cache_bits", 0), len(images)
+    height, width = np.array([len(x) for x in images]), images[0].shape[1]
+    pixels, one = np.concatenate(images), (1, (width + (1 << BLOCK) - 1) >> BLOCK)
+    modes = None
+    ahead: list[tuple[np.ndarray, np.ndarray]] = []  # the same for all images, after their heights
+    put = lambda *pairs: ahead.append(tuple(np.array(x, np.int64) for x in zip(*pairs, strict=True)))
+    if form.get("green"):
+        put((1 | GREEN << 1, 3))
+        c = _channels(pixels)
+        c[..., 0] -= c[..., 1]
+        c[..., 2] -= c[..., 1]
+        pixels = _pixels(c)
+    if cross is not None:
+        put((1 | CROSS << 1 | BLOCK - 2 << 3, 6))
+        ahead.append(_inner(np.full(one, cross, np.uint32)))
+        pixels = _pixels(_cross(_channels(pixels), np.full((1, 1), cross, np.uint32), 30, -1))
+    if "predictor" in form:
+        put((1 | PREDICTOR << 1 | BLOCK - 2 << 3, 6))
+        modes, left = _best_together(_channels(pixels).astype(np.int16), height, BLOCK)
+        modes, pixels = (modes.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000), _pixels(left)
+    rest = np.array([bits << 2 | 2 if bits else 0]), np.array([7 if bits else 3])
+    flat, ends = np.ascontiguousarray(pixels, "<u4").ravel(), np.cumsum(height * width)
+    lane, c = np.repeat(np.arange(n), height * width), flat.view(np.uint8).reshape(-1, 4)
+    greens, first, plain, own = GREENS + LENGTHS + ((1 << bits) if bits else 0), c[:, 1].astype(np.int64), slice(None), lane
+    if bits:
+        slot = _slot(flat, bits).astype(np.int64)
+        key = (lane << bits | slot).astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+        hit = np.zeros(len(flat), bool)
+        key, colour = key[order], flat[order]
+        hit[order[1:]] = (key[1:] == key[:-1]) & (colour[1:] == colour[:-1])
+        first[hit] = GREENS + LENGTHS + slot[hit]
+        plain = (~hit).nonzero()[0]
+        own = lane[plain]
+    blue, red, alpha = (c[plain, k].astype(np.int64) for k in (0, 2, 3))
+    counted = lambda where, values, size: np.bincount(where * size + values, minlength=n * size).reshape(n, size)
+    of_greens, of_both, of_alpha = counted(lane, first, greens), counted(own, red, 256) + counted(own, blue, 256), counted(own, alpha, 256)
+    usual = ((of_greens > 0).sum(1) > 2) & ((of_both > 0).sum(1) > 2) & ((of_alpha > 0).sum(1) == 1)
+    if not usual.all():  # codes of few symbols are written otherwise
+        strong = iter(_encode_together([x for x, u in zip(images, usual, strict=True) if u], form) if usual.any() else ())
+        return [next(strong) if u else encode(x, **form) for x, u in zip(images, usual.tolist(), strict=True)]
+    green, both = _Codes(of_greens, 11), _Codes(of_both, 11)
+    values, sizes = np.zeros((len(flat), 2), np.int64), np.zeros((len(flat), 2), np.int64)
+    values[:, 0], sizes[:, 0] = green.codes[lane, first], green.bits[lane, first]
+    values[plain, 0] |= both.codes[own, red] << sizes[plain, 0]
+    sizes[plain, 0] += both.bits[own, red]
+    values[plain, 1], sizes[plain, 1] = both.codes[own, blue], both.bits[own, blue]
+    lone = of_alpha.argmax(1)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    count, start = [], 0
+    for k, (a, b, end) in enumerate(zip(green.told(), both.told(), ends.tolist(), strict=True)):
+        top = np.array([0x2F | width - 1 << 8, int(height[k]) - 1 | 1 << 14]), np.array([22, 18])
+        alone = np.array([5 | int(lone[k]) << 3, 5]), np.array([11, 11])  # alpha's lone symbol; no distances
+        lines = values[start:end].ravel(), sizes[start:end].ravel()
+        mine = [top, *ahead, *((_inner(modes[k : k + 1]),) if modes is not None else ()), rest, a, b, b, alone, lines]
+        count.append(sum(len(x) for x, _ in mine))
+        parts += mine
+        start = end
+    value, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ends, upto = size.cumsum(), np.cumsum(count)
+    length = np.diff(ends[upto - 1], prepend=0)  # bits of each image, which starts at a word of its own
+    word = (length + 31 >> 5).cumsum() - (length + 31 >> 5)
+    body = _laid_out(value, ends - size + np.repeat(word * 32 - ends[upto - 1] + length, count))
+    return [_file(body[4 * a : 4 * a + (m + 7 >> 3)]) for a, m in zip(word.tolist(), length.tolist(), strict=True)]
+
+
+def encode_many(images: Sequence[np.ndarray], **form) -> list[bytes]:
+    """encode() of each image by the same arguments; images of one width and at most a block's height are written together."""
+    together = set(form) <= {"predictor", "cross", "green", "cache_bits"} and form.get("predictor", -1) == -1 and form.get("cache_bits", 0) <= 10
+    if not together or len({x.shape[1] for x in images}) != 1 or not all(0 < len(x) <= 1 << BLOCK for x in images) or not 0 < images[0].shape[1] <= LIMIT:
+        return [encode(x, **form) for x in images]
+    return [x for lo in range(0, len(images), TOGETHER) for x in _encode_together(list(images[lo : lo + TOGETHER]), form)]

@@ -182,3 +182,112 @@ def test_the_query(spark, tmp_path):
         full = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
         want.append((i or -1, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:])))
     assert got == sorted(want) and all(r["media_bytes"] > 0 and len(r["media_sha256"]) == 64 and r["feature"] for r in out)
+
+
+def words(rng, shape):
+    """Pixels of text-like bytes."""
+    letters = np.frombuffer(b"etaoin shrdlu,cmfwyp.vbgk", np.uint8)
+    return media.pixels_of(letters[np.minimum(rng.geometric(0.12, (shape[0], media.ROW)), 25) - 1])[:, : shape[1]]
+
+
+def test_pictures_written_together_are_those_written_alone():
+    rng = np.random.default_rng(6)
+    for wide in (192, 33, 1):
+        images = [words(rng, (int(h), wide)) for h in rng.integers(1, 17, 70)]
+        images += [np.full((3, wide), 0xFF616161, np.uint32), words(rng, (1, wide)), images[0], np.tile(images[1][:1], (16, 1))]
+        images += [rng.integers(0, 2**32, (16, wide), dtype=np.uint32) | np.uint32(0xFF000000), rng.integers(0, 2**32, (4, wide), dtype=np.uint32)]
+        images += [np.where(rng.random((2, wide)) < 0.5, np.uint32(0xFF000000), np.uint32(0xFF0000FF)), np.full((32, wide), 0xFF000000, np.uint32)]
+        for form in media.FORMS:
+            assert webp.encode_many(images, **form) == [webp.encode(x, **form) for x in images]
+    tall = [words(rng, (40, 50)), words(rng, (3, 50))]
+    for form in ({}, {"predictor": 5}, {"copies": True}, {"predictor": -1}, {"cache_bits": 11}, {"cache_bits": 10, "cross": 0xFF10F020}):
+        for some in (tall, tall[1:] * 3, [tall[1], tall[1][:, :9]], []):
+            assert webp.encode_many(some, **form) == [webp.encode(x, **form) for x in some]
+
+
+def test_prefix_codes_of_lanes_are_read_as_one_by_one():
+    """Codes as other writers tell them: simple ones, repeated lengths, a limit of told lengths, codes cut off by it."""
+    rng, told, alphabets = np.random.default_rng(11), [], []
+    of = np.array([4] * 13 + [5] * 6)
+    codes = webp.canonical(of)
+    for turn in range(300):
+        out, n = webp.Writer(), int(rng.choice([40, 256, 280, 536, 792]))
+        if turn % 5 == 0:
+            two, full = int(rng.integers(2)), int(rng.integers(2))
+            for value, bits in ((1, 1), (two, 1), (full, 1), (int(rng.integers(40)) if full else 1, 8 if full else 1), (int(rng.integers(40)), 8 * two)):
+                out.put(value & ((1 << bits) - 1), bits)
+        else:
+            counts = rng.integers(0, 100, n) * (rng.random(n) < rng.choice([0.05, 0.5, 1.0]))
+            counts[rng.integers(n)] += 1
+            lengths = np.full(256, 8) if turn % 7 == 1 and n == 256 else webp.code_lengths(counts)
+            symbols, at = [], 0
+            while at < n:
+                run = 1
+                while at + run < n and lengths[at + run] == lengths[at]:
+                    run += 1
+                value, before = int(lengths[at]), next((int(x) for x in lengths[:at][::-1] if x), 8)
+                if value == 0 and run >= 3:
+                    run = min(run, 138)
+                    symbols.append((18, run - 11, 7) if run >= 11 else (17, run - 3, 3))
+                elif value and value == before and run >= 3:
+                    run = min(run, 6)
+                    symbols.append((16, run - 3, 2))
+                else:
+                    run = 1
+                    symbols.append((value, 0, 0))
+                at += run
+            short = turn % 3 == 0  # trailing zeros are left out
+            while short and symbols[-1][0] in (0, 17, 18):
+                symbols.pop()
+            symbols += [(0, 0, 0)] * (len(symbols) == 1)
+            out.put(0, 1)
+            out.put(15, 4)
+            for k in webp.CODE_LENGTH_ORDER:
+                out.put(int(of[k]), 3)
+            for value, bits in ((1, 1), (4, 3), (len(symbols) - 2, 10)) if short else ((0, 1),):
+                out.put(value, bits)
+            for s, extra, bits in symbols:
+                out.put(int(codes[s]), int(of[s]))
+                out.put(extra, bits)
+        told.append(out.bytes())
+        alphabets.append(n)
+    raw, start = b"", []
+    for x in told:
+        start.append(len(raw) * 8)
+        raw += x + b"\xa5" * (4 + len(x) % 3)
+    bytes_ = np.frombuffer(raw + bytes(16), np.uint8).astype(np.int64)
+
+    def look(p):
+        return sum(bytes_[(p >> 3) + k] << 8 * k for k in range(6)) >> (p & 7)
+
+    want, good, ends = [], [], []
+    for k, x in enumerate(told):
+        bits = webp.Bits(raw[start[k] // 8 :])
+        try:
+            want.append(webp._read_prefix(bits, alphabets[k]).table.tolist())
+            good.append(k)
+            ends.append(start[k] + bits.at)
+        except webp.Damaged:
+            with pytest.raises(webp.Damaged):
+                webp._read_prefixes(look, np.array([start[k]]), np.array([alphabets[k]]))
+    pos = np.array(start)[good]
+    table, first, mask = webp._read_prefixes(look, pos, np.array(alphabets)[good])
+    assert len(good) > 250 and pos.tolist() == ends
+    assert [table[a : a + m + 1].tolist() for a, m in zip(first, mask, strict=True)] == want
+
+
+def test_pictures_of_a_batch_share_their_work(monkeypatch):
+    """Neither writing nor reading takes the codes of common pictures one at a time."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    payloads = [media.padded(words(rng, (int(h), 192)).view(np.uint8).reshape(-1, 4)[:, 2::-1].tobytes()) for h in rng.integers(2, 17, 200)]
+    writes, reads, write, read = [], [], webp._write_image, webp._read_prefix
+    monkeypatch.setattr(webp, "_write_image", lambda out, pixels, top, *more: writes.append(top) or write(out, pixels, top, *more))
+    monkeypatch.setattr(webp, "_read_prefix", lambda bits, alphabet, *more: reads.append(alphabet) or read(bits, alphabet, *more))
+    batch = pa.record_batch({"doc_id": pa.array(range(200)), "text": pa.array([p.decode() for p in payloads])})
+    stored = [m for own, texts in media.slices([batch], "text") for m in media.stored_many([x.encode() for x in texts.to_pylist()])]
+    assert writes.count(True) == 0
+    reads.clear()
+    assert [x.tobytes() for x in media.loaded_many(stored)] == payloads
+    assert not [n for n in reads if n > 280]  # a picture's own codes with a cache; small inner images have none
