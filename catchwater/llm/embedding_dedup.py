@@ -4,7 +4,8 @@ Vectors that are equal form a class with one representative. Representatives are
 the hierarchical graph of its shard, audits it, and writes it to the shared folder. Representatives are also packed into
 slices, also written there. Tasks get pairs of numbers, of a shard and a slice, in order of shards; they open both from the
 shared folder, a graph once for the pairs that follow each other, so no vector is shuffled to meet a graph. Shards and slices
-are bounded in vectors and in bytes. Each query of the slice goes down the graph with the shard's beam. A beam that ends inside the similarity range has met a dense group: from there, links are followed from point to
+are bounded in vectors and in bytes. Each query of the slice goes down the graph with the shard's beam, and is compared with
+the few points that the graph has lost: those that a search for themselves does not find. A beam that ends inside the similarity range has met a dense group: from there, links are followed from point to
 point while they stay in range of those queries, and all points so reached are compared with them. The audit compares the
 first members with brute force over the shard and doubles the beam until enough of them find every partner, those with few
 partners and those with many each for themselves. Candidates are verified by cosine in double precision; where single
@@ -82,6 +83,16 @@ class Graph:
             for at in range(0, members, self.BATCH):
                 self._insert(links, at, min(at + self.BATCH, members))
             self.layers.append(links)
+        self.apart = self._lost()
+
+    def _lost(self) -> np.ndarray:
+        """Points that a search for themselves does not find, since links to them were given up: queries meet all of these."""
+        lost, entry = [np.zeros(0, np.int64)], self._entry(self.x)
+        for at in range(0, len(self.x), TOGETHER):
+            own = np.arange(at, min(at + TOGETHER, len(self.x)))
+            ids, _ = self._search(self.layers[-1], self.x[own], entry[own], BUILD)
+            lost.append(own[(ids != own[:, None]).all(1)])
+        return np.concatenate(lost)
 
     def _insert(self, links: np.ndarray, at: int, end: int) -> None:
         new = np.arange(at, end)
@@ -175,14 +186,14 @@ class Graph:
 
     def packed(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, order=self.order, x=self.x, **{f"layer{k}": links for k, links in enumerate(self.layers)})
+        np.savez(out, order=self.order, x=self.x, apart=self.apart, **{f"layer{k}": links for k, links in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
     def unpacked(cls, raw: bytes) -> Graph:
         self, held = cls.__new__(cls), np.load(io.BytesIO(raw))
-        self.order, self.x = held["order"], held["x"]
-        self.layers = [held[f"layer{k}"] for k in range(len(held.files) - 2)]
+        self.order, self.x, self.apart = held["order"], held["x"], held["apart"]
+        self.layers = [held[f"layer{k}"] for k in range(len(held.files) - 3)]
         return self
 
     def _reached(self, q: np.ndarray, start: np.ndarray, threshold: float) -> np.ndarray:
@@ -205,14 +216,19 @@ class Graph:
         q = np.ascontiguousarray(q, np.float32)
         if not len(q) or not len(self.x):
             return
-        entry, dense, starts = self._entry(q), [], []
+        entry, dense, starts, joined = self._entry(q), [], [], np.ones(len(self.x), bool)
+        joined[self.apart] = False
         step = max(16, min(TOGETHER, (32 << 20) // len(self.x)))
         for at in range(0, len(q), step):
             own = np.arange(at, min(at + step, len(q)))
             ids, sims = self._search(self.layers[-1], q[own], entry[own], beam)
             full = sims[:, -1] >= threshold - MARGIN
-            r, c = np.nonzero((sims >= threshold) & ~full[:, None])
+            r, c = np.nonzero((sims >= threshold) & ~full[:, None] & joined[ids])
             yield own[r], self.order[ids[r, c]], sims[r, c]
+            sim = q[own] @ self.x[self.apart].T
+            r, c = np.nonzero(sim >= threshold)
+            if len(r):
+                yield own[r], self.order[self.apart[c]], sim[r, c]
             dense.append(own[full])
             starts.append(ids[full])
         dense, starts = np.concatenate(dense), np.concatenate(starts)
@@ -220,6 +236,7 @@ class Graph:
         for at in range(0, len(together), 256):
             own = together[at : at + 256]
             some = self._reached(q[dense[own]], np.unique(starts[own]), threshold)
+            some = some[joined[some]]
             for lo in range(0, len(own), 32):
                 part = dense[own[lo : lo + 32]]
                 sim = q[part] @ self.x[some].T

@@ -229,3 +229,20 @@ def test_a_search_meets_a_point_once():
     assert not ((order[:, 1:] == order[:, :-1]) & (order[:, 1:] >= 0)).any()
     assert (np.diff(sims, axis=1) <= 0).all() and (ids >= 0).all()
     assert np.allclose(np.einsum("qd,qwd->qw", q, graph.x[ids]), sims, atol=1e-5)
+
+
+def test_points_that_the_graph_has_lost_are_found():
+    """A point to which no link leads still meets its partners, once, and asks for no wider beam."""
+    x, kind = skewed(100, 400, 500)
+    graph = embedding_dedup.Graph(x)
+    cut = np.flatnonzero(kind[graph.order] == 1)[-60:]
+    cut = cut[cut >= len(graph.layers[-2])]  # not on a higher layer
+    for links in graph.layers:
+        links[np.isin(links, cut)] = -1
+    graph.apart = graph._lost()
+    assert len(cut) > 20 and set(cut.tolist()) <= set(graph.apart.tolist())
+    graph = embedding_dedup.Graph.unpacked(graph.packed())
+    r, c = graph.within(x, 0.95, 48)
+    want = x @ x.T >= 0.95
+    assert len(set(zip(r.tolist(), c.tolist(), strict=True))) == len(r) == want.sum() and want[r, c].all()
+    assert graph.audited(x, 0.95, own=np.arange(len(x))) == 48
